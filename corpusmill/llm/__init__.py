@@ -1 +1,10 @@
-"""Operators that prepare text corpora for language-model training."""
+"""Operators that prepare text corpora for language-model training.
+
+Functions that run in Python workers are shipped with the job by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
