@@ -25,7 +25,8 @@ def text_sha256(text: Column) -> Column:
     return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "), 256)
 
 
-def _block(h: Column, blocks: int) -> Column:
+def bloom_block(h: Column, blocks: int) -> Column:
+    """The 64-bit block of a Bloom filter that a hash belongs to."""
     return F.pmod(h, F.lit(blocks))
 
 
@@ -33,7 +34,8 @@ def _bit(h: Column, i: int) -> Column:
     return F.shiftrightunsigned(h, 40 + 6 * i).bitwiseAND(63).cast("int")
 
 
-def _bits(h: Column) -> Column:
+def bloom_bits(h: Column) -> Column:
+    """The bits of a hash in its block."""
     one = F.lit(1).cast("long")
     return F.call_function("shiftleft", one, _bit(h, 0)).bitwiseOR(F.call_function("shiftleft", one, _bit(h, 1)))
 
@@ -41,7 +43,7 @@ def _bits(h: Column) -> Column:
 def repeated_blocks(hashes: DataFrame, n_rows: int) -> tuple[DataFrame, int]:
     """Blocks (block, twice) of the filter over column `h`: bit b of `twice` is set if two rows or more set it."""
     blocks = 1 << max(10, (max(1, n_rows) // 4).bit_length())
-    bits = hashes.select(_block(F.col("h"), blocks).alias("block"), F.explode(F.array_distinct(F.array(_bit(F.col("h"), 0), _bit(F.col("h"), 1)))).alias("bit"))
+    bits = hashes.select(bloom_block(F.col("h"), blocks).alias("block"), F.explode(F.array_distinct(F.array(_bit(F.col("h"), 0), _bit(F.col("h"), 1)))).alias("bit"))
     often = bits.groupBy("block", "bit").count().where("count > 1")
     return often.groupBy("block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("twice")), blocks
 
@@ -51,8 +53,8 @@ def flag_repeats(rows: DataFrame, h: str, n_rows: int, filter_blocks: DataFrame,
     block, twice = fresh(rows, "__block"), fresh(rows, "__twice")
     right = filter_blocks.select(F.col("block").alias(block), F.col("twice").alias(twice))
     right = F.broadcast(right) if blocks <= MAX_BROADCAST_BLOCKS else right
-    mask = _bits(F.col(h))
-    joined = rows.withColumn(block, _block(F.col(h), blocks)).join(right, block, "left")
+    mask = bloom_bits(F.col(h))
+    joined = rows.withColumn(block, bloom_block(F.col(h), blocks)).join(right, block, "left")
     return joined.withColumn(flag, F.coalesce(F.col(twice), F.lit(0)).bitwiseAND(mask) == mask).drop(block, twice)
 
 

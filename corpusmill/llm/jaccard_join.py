@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.exact_dedup import MAX_BROADCAST_BLOCKS, bloom_bits, bloom_block
 from corpusmill.llm.shared import attach, scratch
 
 #: Largest size for which subsets may be enumerated; sets up to it are stored whole.
@@ -69,6 +70,20 @@ def subsets_of(n: int, percent: int) -> int:
     return total
 
 
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """How often, modulo 2, tokens fall on each of 512 bits; on 4096 for large sets."""
+    width = 512 if len(tokens) <= 800 else 4096
+    odd = np.bincount((tokens >> np.uint64(20) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound for the number of tokens that one of two sets has and the other hasn't."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    n = min(len(a), len(b))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(a.reshape(-1, n), 0) ^ np.bitwise_xor.reduce(b.reshape(-1, n), 0)).sum())
+
+
 def _counts(docs: DataFrame, k: int) -> np.ndarray:
     """Shingles of all documents, counted in BUCKETS hash buckets; BUCKETS numbers reach the driver, however many rows."""
 
@@ -91,7 +106,7 @@ def _counts(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
-    """doc_id, n, key (hash of the whole set), tokens: prefix in the global order, or the whole set up to MAX_LIGHT."""
+    """doc_id, n, key (hash of the whole set), parity, tokens: prefix in the global order, or the whole set up to MAX_LIGHT."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight = counts.value
@@ -100,11 +115,12 @@ def _sets(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
             for text in b["text"]:
                 s = shingles(text, k)
                 key = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+                parity = parity_bits(s)
                 s = s[np.lexsort((s, weight[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))]
-                out.append((len(s), key, (s if len(s) <= MAX_LIGHT else s[: prefix_length(len(s), percent)]).view(np.int64)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [x[0] for x in out], "key": [x[1] for x in out], "tokens": [x[2] for x in out]})
+                out.append((len(s), key, (s if len(s) <= MAX_LIGHT else s[: prefix_length(len(s), percent)]).view(np.int64), parity))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [x[0] for x in out], "key": [x[1] for x in out], "tokens": [x[2] for x in out], "parity": [x[3] for x in out]})
 
-    return docs.select("doc_id", "text").mapInPandas(make, "doc_id long, n long, key binary, tokens array<long>")
+    return docs.select("doc_id", "text").mapInPandas(make, "doc_id long, n long, key binary, tokens array<long>, parity binary")
 
 
 def _light_pairs(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
@@ -137,6 +153,32 @@ def _may_link(na: str, ia: str, nb: str, ib: str, percent: int):
     return sizes & ((1 + F.least(na - ia - 1, nb - ib - 1)) * (100 + percent) >= percent * (na + nb))
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose sizes and parity bits don't rule the similarity out."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            n = (p["na"] + p["nb"]).to_numpy(np.int64)
+            most = n - 2 * -(-percent * n // (100 + percent))
+            ok = [least_difference(x, y) <= m for x, y, m in zip(p["pa"], p["pb"], most)]
+            yield p.loc[np.asarray(ok, bool), ["a", "b"]]
+
+    first = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    second = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    return pairs.join(first, "a").join(second, "b").mapInPandas(check, "a long, b long").distinct()
+
+
+def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids. A Bloom filter of the ids, broadcast if it is small enough, keeps most other texts from the shuffle."""
+    ids = scratch(ids, "ids")
+    blocks = 1 << max(10, (ids.count() // 4).bit_length())
+    if blocks <= MAX_BROADCAST_BLOCKS:
+        h = F.xxhash64("doc_id")
+        there = ids.groupBy(bloom_block(h, blocks).alias("block")).agg(F.bit_or(bloom_bits(h)).alias("bits"))
+        docs = docs.withColumn("block", bloom_block(h, blocks)).join(F.broadcast(there), "block").where(F.col("bits").bitwiseAND(bloom_bits(h)) == bloom_bits(h)).drop("block", "bits")
+    return docs.join(ids, "doc_id", "left_semi")
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) of document ids, those whose whole shingle sets are similar enough."""
 
@@ -154,7 +196,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
             yield p.loc[np.asarray(ok, bool), ["a", "b"]]
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = scratch(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(tokens, "node long, tokens binary"), "verify")
+    sets = scratch(_rows_of(docs.select("doc_id", "text"), ids).mapInPandas(tokens, "node long, tokens binary"), "verify")
     x, y = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
 
@@ -199,9 +241,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     counts = docs.sparkSession.sparkContext.broadcast(_counts(docs, k))
     sets = scratch(_sets(docs, k, percent, counts), "sets")
     n_rows = sets.count()
-    owners = scratch(sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "owners")
-    nodes = attach(sets, owners, "key", "copies", n_rows).where("doc_id = node").select("node", "n", "tokens").dropDuplicates(["node", "n"])
-    nodes = scratch(nodes, "nodes")
+    one = [F.min_by(c, "doc_id").alias(c) for c in ("n", "tokens", "parity")]
+    nodes = scratch(sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *one), "nodes")
+    owners = nodes.select("key", "node", "copies")
+    nodes = nodes.where("node is not null")
     boundary = boundary_by_cost(nodes, percent)
     light = _light_pairs(nodes, boundary, percent)
     reach = least_overlap(boundary + 1, percent)
@@ -214,7 +257,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     some_heavy = F.greatest("n", "pn") > boundary
     first = shared.where((F.col("node") != F.col("pivot")) & some_heavy & _may_link("n", "i", "pn", "pi", percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     first = scratch(first.union(light).distinct(), "pairs")
-    links = scratch(_verify(docs, first, k, percent), "links")
+    links = scratch(_verify(docs, scratch(_possible(first, nodes, percent), "possible"), k, percent), "links")
     classes = scratch(components(links), "classes")
     placed = shared.join(classes, "node", "left").select("token", "node", "n", "i", F.coalesce("component", "node").alias("component"))
     placed = scratch(placed, "placed")
@@ -225,7 +268,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     once = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("ca") < F.col("cb"))) & (F.greatest("na", "nb") > boundary)
     second = minor.join(other, "token").where(once & _may_link("na", "ia", "nb", "ib", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verify(docs, scratch(second.join(tried, ["a", "b"], "left_anti"), "pairs"), k, percent)
+    more = _verify(docs, scratch(_possible(second.join(tried, ["a", "b"], "left_anti"), nodes, percent), "possible"), k, percent)
     classes = components(scratch(links.union(more), "links"))
     named = owners.join(classes, "node", "left").select("key", "copies", F.coalesce("component", "node").alias("component_id"))
     known = attach(sets.where("key is not null"), scratch(named, "named"), "key", "copies", n_rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
