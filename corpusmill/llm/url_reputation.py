@@ -100,7 +100,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     reputation = scratch(host_reputation(scratch(hosts, "hosts"), z).select("host", "pages", "share", "bound"), "reputation")
     judged = attach(parsed, reputation, "host", "pages", n_rows)
     rule = longest_rule(F.col("host"), F.col("path"), rules)
-    said = F.create_map(*[F.lit(x) for verdict, r in rules for x in (r, verdict)]) if rules else F.create_map(F.lit(""), F.lit(""))
+    said = F.create_map(*[F.lit(x) for verdict, r in rules for x in (r, verdict)]) if rules else F.lit(None).cast("map<string,string>")
     judged = judged.withColumn("rule", rule)
     verdict = F.coalesce(F.element_at(said, F.coalesce("rule", F.lit(""))), F.when(F.col("bound") >= threshold, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "share", "bound")
