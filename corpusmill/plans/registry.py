@@ -619,8 +619,8 @@ def requests(spark, d):
     return X.table(spark, d, "events").select(F.col("event_type").alias("scope"), F.col("user_id").cast("string").alias("identity"), F.col("event_id").alias("request_id"), "ts")
 
 
-@query("j7_rate_limit_audit", """WITH RECURSIVE o AS (SELECT event_type AS scope, user_id::VARCHAR AS identity, event_id, epoch_us(ts) AS at, row_number() OVER (PARTITION BY event_type, user_id ORDER BY epoch_us(ts), event_id) AS i FROM events),
-r AS (SELECT scope, identity, event_id, i, at AS start, 1 AS n FROM o WHERE i = 1 UNION ALL SELECT o.scope, o.identity, o.event_id, o.i, CASE WHEN o.at >= r.start + 864000000000 THEN o.at ELSE r.start END, CASE WHEN o.at >= r.start + 864000000000 THEN 1 ELSE r.n + 1 END FROM r JOIN o ON o.scope = r.scope AND o.identity = r.identity AND o.i = r.i + 1)
+@query("j7_rate_limit_audit", """WITH RECURSIVE o AS (SELECT event_type AS scope, user_id::VARCHAR AS identity, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type, user_id ORDER BY epoch_us(ts), event_id) AS i FROM events),
+r AS (SELECT scope, identity, event_id, i, us AS start, 1 AS n FROM o WHERE i = 1 UNION ALL SELECT o.scope, o.identity, o.event_id, o.i, CASE WHEN o.us >= r.start + 864000000000 THEN o.us ELSE r.start END, CASE WHEN o.us >= r.start + 864000000000 THEN 1 ELSE r.n + 1 END FROM r JOIN o ON o.scope = r.scope AND o.identity = r.identity AND o.i = r.i + 1)
 SELECT scope, identity, event_id AS request_id, n <= 3 AS allowed, greatest(3 - n, 0) AS remaining FROM r""")
 def j7(spark, d):
     return J.rate_limit_audit(requests(spark, d), 3, 864_000)
