@@ -78,8 +78,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: flo
     sized = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), key.alias("key"))
     sized = scratch(sized.withColumn("deal", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "sized")
     targets = scratch(source_targets(sized, weights, budget, cap, slots), "targets")
-    known = attach(sized.drop("source"), targets.select("key", "source", "rows", "source_size", "target", "block_words"), "key", "rows", sized.count())
-    known = known.withColumn("bucket", F.substring("deal", 1, 4))
+    n_rows = sized.count()
+    known = attach(sized.drop("source"), targets.select("key", "source", "rows", "source_size", "target", "block_words"), "key", "rows", n_rows)
+    digits = 1
+    while digits < 8 and 16**digits * 2048 < n_rows:
+        digits += 1
+    known = known.withColumn("bucket", F.substring("deal", 1, digits))
     placed = running_start(known, "key", "bucket", [F.col("deal"), F.col("doc_id"), F.col("size")], "size", "start")
     takes = mix_schedule(targets, slots).groupBy("key", "block").agg(F.sum(F.when(F.col("words") == F.col("block_size"), 1).otherwise(0)).alias("times"), F.max(F.when(F.col("words") < F.col("block_size"), F.col("words"))).alias("cut"))
     names = ["key", "start", "doc_id", "source", "size", "source_size", "target"]
