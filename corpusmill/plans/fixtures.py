@@ -46,17 +46,15 @@ WHOLE = LINES + ", whole AS (SELECT repo_id, doc_id::VARCHAR AS chunk_id, file_p
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """The first two words of each benchmark text, asked of every fourth repository, with the vector of the same number."""
-    repos = files(spark, d).select("repo_id").distinct().where("pmod(cast(regexp_extract(repo_id, '[0-9]+', 0) as int), 4) = 0")
+    """The first two words of each benchmark text, asked of the repository of the document of the same number, with the vector of that number."""
     text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), 0), 1, 2), " ")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("q"))
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    keyed = asked.join(vectors, "query_id", "left").withColumn("k", F.lit(1))
-    return keyed.join(repos.withColumn("k", F.lit(1)), "k").drop("k")
+    return asked.join(vectors, "query_id", "left").join(files(spark, d).select(F.col("doc_id").alias("query_id"), "repo_id"), "query_id")
 
 
 QUESTIONS = """asked AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+')[1:2], ' ') AS q FROM benchmark),
-questions AS (SELECT a.query_id, a.q, e.embedding, r.repo_id FROM asked a LEFT JOIN embeddings e ON e.vec_id = a.query_id, (SELECT DISTINCT repo_id FROM files WHERE regexp_extract(repo_id, '[0-9]+')::INT % 4 = 0) r)"""
+questions AS (SELECT a.query_id, a.q, e.embedding, f.repo_id FROM asked a JOIN files f ON f.doc_id = a.query_id LEFT JOIN embeddings e ON e.vec_id = a.query_id)"""
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -83,15 +81,15 @@ edges AS (SELECT DISTINCT r.repo_id, r.file_path AS source, t.file_path AS targe
 
 
 def diffs(spark: SparkSession, d: str) -> DataFrame:
-    """A diff for each second document: its lines added or removed by parity, in two files."""
-    docs = table(spark, d, "documents").where("doc_id % 2 = 0 and text is not null")
+    """A diff for each document: its lines added or removed by parity, in two files."""
+    docs = table(spark, d, "documents").where("doc_id is not null and text is not null")
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 2 == 0, "+").otherwise("-"), x))
     head = lambda name: F.concat(F.lit(f"diff --git a/{name}"), F.col("doc_id").cast("string"), F.lit(f".py b/{name}"), F.col("doc_id").cast("string"), F.lit(".py\n"))
     body = F.concat(head("auth/f"), F.when(F.expr("doc_id % 6 = 0"), "new file mode 100644\n").otherwise(""), F.lit("@@ -1,2 +10,5 @@\n"), F.array_join(lines, "\n"), F.lit("\n"), head("doc"), F.lit("@@ -3 +4 @@\n+one\n-two"))
     return docs.select(F.col("source").alias("repo_id"), F.sha2(F.col("doc_id").cast("string"), 256).alias("head_sha"), body.alias("diff_text"), F.expr("timestamp_seconds(1700000000 + doc_id)").alias("created_at"))
 
 
-DIFFS = """dl AS (SELECT source AS repo_id, doc_id, sha256(doc_id::VARCHAR) AS head_sha, string_split(text, chr(10)) AS l FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL),
+DIFFS = """dl AS (SELECT source AS repo_id, doc_id, sha256(doc_id::VARCHAR) AS head_sha, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 dp AS (SELECT repo_id, doc_id, head_sha, unnest(l) AS x, unnest(range(len(l))) AS i FROM dl),
 da AS (SELECT repo_id, doc_id, head_sha, count(*) FILTER (i % 2 = 0 AND NOT starts_with(x, '++')) AS added, count(*) FILTER (i % 2 = 1 AND NOT starts_with(x, '--')) AS removed,
   list(x ORDER BY i) FILTER (i % 2 = 0 AND NOT starts_with(x, '++')) AS plus FROM dp GROUP BY ALL),

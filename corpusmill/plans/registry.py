@@ -378,11 +378,11 @@ def r2(spark, d):
     return lexical(spark, d).select("query_id", "repo_id", "chunk_id", "score", "rank")
 
 
-@query("r3_dense_search", f"""WITH a AS (SELECT vec_id AS query_id, label AS repo_id, embedding FROM embeddings WHERE vec_id % 50 = 0), v AS (SELECT label AS repo_id, vec_id::VARCHAR AS chunk_id, embedding FROM embeddings)
+@query("r3_dense_search", f"""WITH a AS (SELECT vec_id AS query_id, label AS repo_id, embedding FROM embeddings WHERE vec_id % 20 = 0), v AS (SELECT label AS repo_id, vec_id::VARCHAR AS chunk_id, embedding FROM embeddings)
 SELECT * FROM (SELECT query_id, repo_id::VARCHAR AS repo_id, chunk_id, round_even({_COS}, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round_even({_COS}, 4) DESC, chunk_id) AS rank FROM a JOIN v USING (repo_id)) WHERE rank <= 5""")
 def r3(spark, d):
     e = X.table(spark, d, "embeddings").withColumn("repo_id", F.col("label").cast("string"))
-    return R.dense_search(e.select("repo_id", F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "repo_id", "embedding"), 5)
+    return R.dense_search(e.select("repo_id", F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "repo_id", "embedding"), 5)
 
 
 @query("r4_min_max_normalize", "SELECT event_id, CASE WHEN max(value) OVER w = min(value) OVER w THEN 1.0 ELSE round_even((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w), 6) END AS v FROM events WINDOW w AS (PARTITION BY user_id)")
