@@ -2,7 +2,8 @@
 
 Transducers are composed: a lexicon maps words to the symbols insult (with a weight), threat, target, negation and report;
 a grammar reads the symbols of one clause and multiplies the weight by what stands around it: a target nearby raises an
-insult or threat, a negation before it or a report around it lowers it. The scores of a document's matched clauses, not its
+insult or threat, a negation before it or a report around it lowers it. In a text without insults a threat counts only
+in a clause that also names a target ("kill you", not "kill the process"). The scores of a document's matched clauses, not its
 isolated words, are its features: their sum, the highest, how many there are for its length. A logistic function, fitted to
 labelled documents, turns them into a score from 0 to 1.
 
@@ -10,7 +11,7 @@ Insult words are learned: words, and beginnings of words, that toxic documents o
 others. The sample bound is the parameter max_labels; the lexicon is bounded by max_terms. Everything else covers all rows.
 
 Defined results: null and empty texts have no clauses and get the lowest score; labels that are null, or repeat a document,
-are left out or count once; without labels of both kinds only the fixed words score; rows that repeat are scored each; an
+are left out or count once; of texts that share a labelled doc_id, the first by code point is learned from; without labels of both kinds only the fixed words score; rows that repeat are scored each; an
 empty table gives an empty table; other columns are ignored.
 """
 
@@ -38,10 +39,12 @@ _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:,|\n]")
 _ENDS = frozenset(".!?;:,|\n")
 STEMS = (6, 5, 4)
+#: The weight of a threat; sampled labels may hold too few threats to learn one.
+THREAT_WEIGHT = 3.0
 #: The grammar: (state, symbol) to (next state, factor of the weight of an insult or threat read there). States remember
 #: what the clause has shown so far; a symbol without an entry leaves the state as it is.
 GRAMMAR = {
-    ("start", "target"): ("aimed", 1.0), ("start", "negation"): ("denied", 1.0), ("start", "report"): ("told", 1.0), ("start", "insult"): ("hit", 1.0), ("start", "threat"): ("hit", 0.5),
+    ("start", "target"): ("aimed", 1.0), ("start", "negation"): ("denied", 1.0), ("start", "report"): ("told", 1.0), ("start", "insult"): ("hit", 1.0), ("start", "threat"): ("hit", 1.0),
     ("aimed", "negation"): ("denied", 1.0), ("aimed", "report"): ("told", 1.0), ("aimed", "insult"): ("hit", 1.25), ("aimed", "threat"): ("hit", 1.0),
     ("denied", "insult"): ("hit", 0.6), ("denied", "threat"): ("hit", 0.2), ("denied", "report"): ("told", 1.0),
     ("told", "insult"): ("hit", 0.7), ("told", "threat"): ("hit", 0.3), ("told", "negation"): ("denied", 1.0),
@@ -73,7 +76,7 @@ def symbol_of(word: str, lexicon: Lexicon) -> tuple[str | None, float]:
     if w > 0:
         return "insult", w
     if word in THREATS:
-        return "threat", 1.0
+        return "threat", THREAT_WEIGHT
     for name, words in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)):
         if word in words:
             return name, 0.0
@@ -100,12 +103,13 @@ def clause_features(text: str, lexicon: Lexicon) -> tuple[float, float, float, f
     words = _WORD.findall(low)
     known = set(words)
     hits = {w for w in known if w in THREATS or lexicon.weight(w) > 0}
-    if not any(w not in THREATS for w in hits):
+    insulting = any(lexicon.weight(w) > 0 for w in hits)
+    if not hits or not insulting and known.isdisjoint(TARGETS):
         return 0.0, 0.0, 0.0, 0.0
     scores, clause, met = [], [], False
     for token in [*_TOKEN.findall(low), "."]:
         if token in _ENDS:
-            if met:
+            if met and (insulting or not TARGETS.isdisjoint(clause)):
                 scores.append(clause_score(clause, lexicon))
             clause, met = [], False
         else:
@@ -173,6 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_term
     sample = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         toxic, clean, n = Counter(), Counter(), [0, 0]
@@ -180,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_term
             for text, label in zip(b["text"], b["toxic"]):
                 (toxic if label else clean).update(terms_of(text))
                 n[0 if label else 1] += 1
-        yield pd.DataFrame({"term": ["", *toxic], "t": [n[0], *toxic.values()], "c": [n[1], *[clean[x] for x in toxic]]})
+        terms = [*(toxic.keys() | clean.keys())]
+        yield pd.DataFrame({"term": ["", *terms], "t": [n[0], *[toxic[x] for x in terms]], "c": [n[1], *[clean[x] for x in terms]]})
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -193,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_term
         return Lexicon()
     often = parts.where("term != '' and t >= 2").orderBy(F.desc("t"), "term").limit(max_terms)
     lexicon = build_lexicon([tuple(r) for r in often.collect()], total.t, total.c)
-    rows = np.asarray([tuple(r) for r in texts.mapInPandas(features, "a double, b double, c double, d double, y double").collect()])
+    rows = np.asarray(sorted(tuple(r) for r in texts.mapInPandas(features, "a double, b double, c double, d double, y double").collect()))
     lexicon.model = fit_model(rows[:, :4], rows[:, 4])
     return lexicon
 

@@ -303,6 +303,8 @@ def test_toxicity_clauses_and_accuracy(spark, odd):
     lexicon = toxicity.Lexicon()
     assert toxicity.clause_score("you are an idiot".split(), lexicon) > toxicity.clause_score("an idiot".split(), lexicon) > toxicity.clause_score("not an idiot".split(), lexicon) > 0
     assert toxicity.clause_score("he said idiot".split(), lexicon) < toxicity.clause_score("he idiot".split(), lexicon)
+    score = {t: toxicity.document_score(t, lexicon) for t in ("i will kill you", "i will not kill you", "he said they would kill him", "kill the process", "")}
+    assert score["i will kill you"] >= 0.7 > max(score["i will not kill you"], score["he said they would kill him"]) and score["kill the process"] == score[""]
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     trained = toxicity.train(docs, toxicity.training_labels(labels))
@@ -317,6 +319,13 @@ def test_toxicity_clauses_and_accuracy(spark, odd):
     assert toxicity.train(odd.limit(0), labels.limit(0)).words
 
 
+def test_toxicity_learns_the_same_from_any_partitions_and_once_from_a_doc_id(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), toxicity.training_labels(spark.read.parquet(f"{d}/labels.parquet"))
+    one, many = (toxicity.train(x, labels) for x in (docs.coalesce(1), docs.union(docs).repartition(40)))
+    assert one.words == many.words and one.stems == many.stems and np.allclose(one.model, many.model)
+
+
 def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
