@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.shared import scratch
+
 #: Closed classes of words in English, French, German and Spanish, and seed insults. Fixed values.
 TARGETS = frozenset("you your yours u he him his she her they them their tu toi ton ta vous votre du dich dir dein ihr euch sie usted ustedes tú te ti vosotros".split())
 NEGATIONS = frozenset("not never no isn't aren't don't doesn't didn't won't wasn't pas jamais ne nicht kein keine nie nunca jamás".split())
@@ -177,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_term
     sample = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
-    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    texts = scratch(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "labelled")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         toxic, clean, n = Counter(), Counter(), [0, 0]
@@ -193,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_term
             x = [clause_features(t, lexicon) for t in b["text"]]
             yield pd.DataFrame(np.c_[np.asarray(x).reshape(len(b), 4), b["toxic"]], columns=["a", "b", "c", "d", "y"])
 
-    parts = texts.mapInPandas(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    parts = scratch(texts.mapInPandas(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "terms")
     total = parts.where("term = ''").first()
     if total is None or not total.t or not total.c:
         return Lexicon()
