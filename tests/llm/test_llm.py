@@ -137,6 +137,22 @@ def test_pii_boosting_adds_what_looks_like_base_spans(spark):
     assert len(got) == 600 and all(r.n_phone == 1 for r in got if r.doc_id % 3 == 0)
 
 
+def test_pii_boosting_adds_national_phones_and_spelled_out_addresses(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for i in range(2400):
+        n = "".join(map(str, rng.integers(1, 9, 16)))
+        texts.append((
+            f"reach +{n[0]} ({n[1:4]}) {n[4:7]}-{n[7:11]} today", f"write ann{n[:3]}@mail{n[3]}.example.org today", f"order {n[:3]}-{n[3:6]}-{n[6:10]} sent", f"seen 999.{n[:2]}.{n[2:4]}.{n[4]} on page {n[:9]} of 2.0", f"sum x{n[:10]}y on 201{n[0]}-0{n[1]}-1{n[2]}",
+            f"reach {n[:3]}-{n[3:6]}-{n[6:10]} today", f"reach ({n[:3]}) {n[3:6]}-{n[6:10]} today", f"phone no. {n[:3]}.{n[3:6]}.{n[6:10]} today", f"write bob{n[:2]} (at) host{n[2]} (dot) example today", f"write bob{n[:2]}[at]host.example today",
+            f"id {n[:3]}-{n[3:6]}-{n[6:10]} today", f"price (at) {n[:2]}.5 today",
+        )[i % 12])
+    got = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    added = [np.mean([r.n_added == 1 for r in got if r.doc_id % 12 == k]) for k in range(12)]
+    assert min(added[5:10]) > 0.95 and max(added[:5] + added[10:]) < 0.05
+    assert all(r.spans == "address:6:%d" % (len(texts[r.doc_id]) - 6) for r in got if r.doc_id % 12 in (8, 9))
+
+
 def secret_brute(text):
     spans = []
     for order, (kind, pattern, least) in enumerate((("assign", r"((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6), ("access", r"AKIA[A-Z0-9]+", 20), ("hex", r"[0-9a-f]+", 24))):
