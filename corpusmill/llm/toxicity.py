@@ -8,7 +8,7 @@ isolated words, are its features: their sum, the highest, how many there are for
 labelled documents, turns them into a score from 0 to 1.
 
 Insult words are learned: words, and beginnings of words, that toxic documents of a bounded sample hold far more often than
-others. The sample bound is the parameter max_labels; the lexicon is bounded by max_terms. Everything else covers all rows.
+others. The sample bound is the parameter max_labels; every term of the sample is looked at. Everything else covers all rows.
 
 Defined results: null and empty texts have no clauses and get the lowest score; labels that are null, or repeat a document,
 are left out or count once; of texts that share a labelled doc_id, the first by code point is learned from; without labels of both kinds only the fixed words score; rows that repeat are scored each; an
@@ -147,6 +147,17 @@ def build_lexicon(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int
     return Lexicon({**dict.fromkeys(SEED_INSULTS, 1.5), **near}, stems)
 
 
+def deciding(terms: DataFrame, n_toxic: int, n_clean: int, least: float = 1.2) -> DataFrame:
+    """The rows of terms that build_lexicon keeps something of: accepted stems and words, and known words that begin with such a stem."""
+    t, c, stem = F.col("t"), F.col("c"), F.col("term").endswith("*")
+    odds = F.log((t + 0.3) / (n_toxic + 1)) - F.log((c + 0.3) / (n_clean + 1)) + 1e-9  # build_lexicon decides on the boundary
+    stems = terms.where(stem & (t >= 8) & (t >= 0.45 * (t + c)) & (odds >= least))
+    known = terms.where(~stem & (F.col("term") != "") & (t + c >= 4))
+    begins = F.explode(F.array(*[F.concat(F.substring("term", 1, n), F.lit("*")) for n in STEMS])).alias("stem")
+    near = known.select("*", begins).join(stems.select(F.col("term").alias("stem")), "stem", "left_semi").select("term", "t", "c")
+    return stems.unionByName(known.where((t >= 5) & (t >= 0.6 * (t + c)) & (odds >= 2))).unionByName(near).distinct()
+
+
 def fit_model(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1.0) -> tuple[float, ...]:
     """Logistic regression by Newton's method with step halving; features that would count against toxicity are left out."""
 
@@ -174,7 +185,7 @@ def fit_model(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1.0
         del use[worst]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_terms: int = 20_000) -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> Lexicon:
     """Fit lexicon and model to at most max_labels labelled documents, the first by hash; labels: doc_id, toxic."""
     sample = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
@@ -199,8 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_term
     total = parts.where("term = ''").first()
     if total is None or not total.t or not total.c:
         return Lexicon()
-    often = parts.where("term != '' and t >= 2").orderBy(F.desc("t"), "term").limit(max_terms)
-    lexicon = build_lexicon([tuple(r) for r in often.collect()], total.t, total.c)
+    lexicon = build_lexicon([tuple(r) for r in deciding(parts, total.t, total.c).collect()], total.t, total.c)
     rows = np.asarray(sorted(tuple(r) for r in texts.mapInPandas(features, "a double, b double, c double, d double, y double").collect()))
     lexicon.model = fit_model(rows[:, :4], rows[:, 4])
     return lexicon

@@ -335,6 +335,16 @@ def test_toxicity_clauses_and_accuracy(spark, odd):
     assert toxicity.train(odd.limit(0), labels.limit(0)).words
 
 
+def test_toxicity_learns_rare_terms_beside_many_frequent_ones(spark):
+    often = " ".join(np.base_repr(i, 36).lower() for i in range(1300, 22_300))
+    toxic = [f"you snarfed{i} thing " + "grubby " * (i < 5) + often * (i < 6) for i in range(10)]
+    clean = ["a fine day " + "snarling " * (i < 4) + often * (i < 6) for i in range(40)]
+    rows = [(i, t, int(i < 10)) for i, t in enumerate(toxic + clean)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.train(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    assert lexicon.weight("grubby") > 0 and lexicon.weight("snarfedx") > 0 and lexicon.weight("snarling") == 0
+
+
 def test_toxicity_learns_the_same_from_any_partitions_and_once_from_a_doc_id(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), toxicity.training_labels(spark.read.parquet(f"{d}/labels.parquet"))
