@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,18 +70,28 @@ def dedupe_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
 def rate_limit_audit(requests: DataFrame, limit: int = 10, seconds: int = 3600) -> DataFrame:
     """J7, batch twin: windows start at the first request of an identity; (identity, ts, allowed, remaining).
 
-    An ordered fold over one identity's times; the streaming form keeps (start, count) as state instead.
+    Spark sorts each identity's requests; the fold keeps (identity, start, count) across Arrow batches, as the streaming
+    form does as state, so time is linear and memory a batch, however many requests an identity has.
     """
-    times = requests.groupBy("scope", "identity").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("request_id")))).alias("times"))
-    blank = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"), F.array().cast("array<struct<request_id:bigint,nth:int>>").alias("out"))
-
-    def step(a: Column, t: Column) -> Column:
-        new = a["start"].isNull() | (t["at"] >= a["start"] + seconds * 1_000_000)
-        n = F.when(new, 1).otherwise(a["n"] + 1)
-        return F.struct(F.when(new, t["at"]).otherwise(a["start"]).alias("start"), n.alias("n"), F.concat(a["out"], F.array(F.struct(t["request_id"].alias("request_id"), n.alias("nth")))).alias("out"))
 
-    done = times.select("scope", "identity", F.explode(F.aggregate("times", blank, step, lambda a: a["out"])).alias("o")).select("scope", "identity", "o.*")
-    return done.select("scope", "identity", "request_id", (F.col("nth") <= limit).alias("allowed"), F.greatest(F.lit(limit) - F.col("nth"), F.lit(0)).alias("remaining"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start, n = None, None, 0
+        for b in batches:
+            nth = []
+            for scope, identity, at in zip(b["scope"].to_pylist(), b["identity"].to_pylist(), b["at"].to_pylist()):
+                if (scope, identity) != last:
+                    last, start, n = (scope, identity), None, 0
+                if start is None or at >= start + seconds * 1_000_000:
+                    start, n = at, 0
+                n += 1
+                nth.append(n)
+            columns = [b["scope"], b["identity"], b["request_id"], pa.array([x <= limit for x in nth], pa.bool_()), pa.array([max(limit - x, 0) for x in nth], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["scope", "identity", "request_id", "allowed", "remaining"])
+
+    timed = requests.select("scope", "identity", F.col("request_id").cast("long").alias("request_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    types = dict(timed.dtypes)
+    ordered = timed.repartition("scope", "identity").sortWithinPartitions("scope", "identity", "at", "request_id")
+    return ordered.mapInArrow(fold, f"scope {types['scope']}, identity {types['identity']}, request_id long, allowed boolean, remaining int")
 
 
 def stage_progress(batches: DataFrame, total: str = "total") -> DataFrame:

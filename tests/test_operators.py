@@ -206,6 +206,25 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.select("scope", "identity", "request_id", "allowed", "remaining").collect())) == want
 
 
+def test_rate_limit_audit_folds_a_hot_identity_across_batches(spark):
+    rows = spark.range(30_000).selectExpr("'chat' scope", "if(id % 10 = 0, concat('u', id % 70), 'hot') identity", "id request_id", "if(id < 20, null, timestamp_seconds(id * 7919 % 10007)) ts")
+    audit = jobs.rate_limit_audit(rows, 3, 100)
+    assert "collect_list" not in audit._jdf.queryExecution().toString()
+    want, state = {}, {}
+    for r in sorted(rows.selectExpr("identity", "request_id", "unix_micros(ts) div 1000000 at").collect(), key=lambda r: (r.at is not None, r.at or 0, r.request_id)):
+        start, n = state.get(r.identity, (None, 0))
+        start, n = (r.at, 1) if start is None or r.at >= start + 100 else (start, n + 1)
+        state[r.identity] = start, n
+        want[r.request_id] = (r.identity, n <= 3, max(3 - n, 0))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    try:
+        got = audit.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 30_000 and {r.request_id: (r.identity, r.allowed, r.remaining) for r in got} == want
+
+
 def test_corpus_job_and_dedupe_stream(spark, tmp_path):
     frame = spark.createDataFrame([("r", "c", "k", datetime(2024, 1, 1))] * 4, "repo_id string, commit_sha string, idempotency_key string, ts timestamp")
     frame.write.parquet(str(tmp_path / "in"))
