@@ -3,14 +3,18 @@
 Documents with equal shingle sets are one node. Small (light) sets enumerate their subsets of every size that an overlap
 with a partner can have; sets that share a subset are linked to its smallest owner, which keeps every connection without
 forming pairs. Large (heavy) sets scan inverted lists of prefix tokens in a global order that puts frequent tokens last.
-In each list, members are first compared with one pivot; lists whose members then fall into several components are scanned
-again for the pairs between components. Candidate pairs are verified on whole sets. The boundary between light and heavy is
-the largest size at which enumerating costs no more rows than scanning.
+The boundary between light and heavy is the size at which both halves together cost least, by the list entries and the
+candidates that the lists of each size were measured to give.
 
-The order of tokens comes from a count of all shingles in a fixed number of hash buckets. Tokens are 64-bit hashes.
+Lists are scanned twice. First every member is compared with one pivot; the order comes from a sketch, counts of all shingles
+in hash buckets. Then only nodes that share a list, within the sizes and positions of a possible link, with a node of
+another component are left: their tokens are counted exactly, by a shuffle, and the lists are rebuilt in that order, in which tokens
+that occur once come first, so that what documents merely quote makes no list. Candidate pairs are verified on whole sets.
+Tokens are 64-bit hashes.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; rows that share a doc_id are one
-document; a null doc_id never gives its name to a class; other columns are ignored; an empty table gives an empty table.
+document, linked by any of its texts; a null doc_id never gives its name to a class; other columns are ignored; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,18 +24,21 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corpusmill.llm.exact_dedup import MAX_BROADCAST_BLOCKS, bloom_bits, bloom_block
-from corpusmill.llm.shared import attach, scratch
+from corpusmill.llm.shared import attach, attach_some, byte_slices, discard, fresh, maybe_among, scratch
 
 #: Largest size for which subsets may be enumerated; sets up to it are stored whole.
 MAX_LIGHT = 20
+#: What verifying one candidate costs, in list entries: its parity bits, texts and sets against 24 bytes of an entry.
+CANDIDATE_COST = 24
 #: Buckets in which shingles are counted, and the rows they are summed in.
-BUCKETS, STRIPE = 1 << 18, 1 << 12
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+BUCKETS, STRIPE = 1 << 20, 1 << 14
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,17 +48,38 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word windows of a text; fewer words make one window, none an empty array."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    k = min(k, len(w))
-    h = np.full(len(w) - k + 1, k, np.uint64)
+def window_hashes(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ends): the hash of every k-word window of the texts, and where each text's windows end.
+
+    A-Z are lowered and words are what ASCII white space parts. A text of fewer words makes one window, of none, no window.
+    """
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("").cast(pa.string())))
+    flat = words.flatten()
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False))[full]
+    named = flat.dictionary_encode()
+    known = np.fromiter(map(xxhash.xxh64_intdigest, named.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(named.dictionary))
+    w = known[named.indices.to_numpy(zero_copy_only=False)[full]] if len(known) else np.empty(0, np.uint64)
+    n = np.bincount(of, minlength=len(texts))
+    first = np.cumsum(n) - n
+    n_windows = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    ends = np.cumsum(n_windows)
+    starts = np.repeat(first - (ends - n_windows), n_windows) + np.arange(ends[-1] if len(ends) else 0)
+    length = np.repeat(np.minimum(n, k), n_windows)
+    h = length.astype(np.uint64)
     for j in range(k):
-        h = _mix(h * _ODD + w[j : len(w) - k + 1 + j])
-    return np.unique(h)
+        on = length > j
+        if on.all():
+            h = _mix(h * _ODD + w[starts + j])
+        elif on.any():
+            h[on] = _mix(h[on] * _ODD + w[starts[on] + j])
+    return h, ends
+
+
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the k-word windows of each text."""
+    h, ends = window_hashes(texts, k)
+    return [np.unique(h[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -70,57 +98,70 @@ def subsets_of(n: int, percent: int) -> int:
     return total
 
 
-def parity_bits(tokens: np.ndarray) -> bytes:
-    """How often, modulo 2, tokens fall on each of 512 bits; on 4096 for large sets."""
+def parity_bits(tokens: np.ndarray) -> np.ndarray:
+    """How often, modulo 2, tokens fall on each of 512 bits; on 4096 for large sets. 8 or 64 longs."""
     width = 512 if len(tokens) <= 800 else 4096
     odd = np.bincount((tokens >> np.uint64(20) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def least_difference(x: Column, y: Column) -> Column:
+    """A lower bound for the number of tokens that one of two sets has and the other hasn't, by their parity bits."""
+    fold = lambda p: F.when(F.size(p) == 8, p).otherwise(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("long"), lambda a, m: a.bitwiseXOR(F.get(p, 8 * m + j)))))
+    same = F.size(x) == F.size(y)
+    bits = F.zip_with(F.when(same, x).otherwise(fold(x)), F.when(same, y).otherwise(fold(y)), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.aggregate(bits, F.lit(0), lambda a, b: a + b)
 
 
-def least_difference(x: bytes, y: bytes) -> int:
-    """A lower bound for the number of tokens that one of two sets has and the other hasn't."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    n = min(len(a), len(b))
-    return int(np.bitwise_count(np.bitwise_xor.reduce(a.reshape(-1, n), 0) ^ np.bitwise_xor.reduce(b.reshape(-1, n), 0)).sum())
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    flat = np.concatenate(rows).view(np.int64) if len(rows) else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
 
 
 def _counts(docs: DataFrame, k: int) -> np.ndarray:
     """Shingles of all documents, counted in BUCKETS hash buckets; BUCKETS numbers reach the driver, however many rows."""
+    buckets, stripe = BUCKETS, STRIPE
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            for text in b["text"]:
-                np.add.at(total, (shingles(text, k) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-        yield pd.DataFrame({"stripe": np.arange(BUCKETS // STRIPE), "counts": list(total.reshape(-1, STRIPE))})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for b in byte_slices(batch, "text"):
+                h, _ = window_hashes(b["text"], k)
+                total += np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets // stripe)), _lists(list(total.reshape(-1, stripe)))], ["stripe", "counts"])
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"stripe": [key[0]], "counts": [np.sum(np.stack(rows["counts"].to_numpy()), axis=0)]})
+        total = np.zeros(stripe, np.int64)
+        for part in rows["counts"]:
+            total += part
+        return pd.DataFrame({"stripe": [key[0]], "counts": [total]})
 
-    parts = docs.select("text").mapInPandas(count, "stripe long, counts array<long>")
-    rows = parts.groupBy("stripe").applyInPandas(add, "stripe long, counts array<long>").collect()
-    total = np.zeros(BUCKETS, np.int64)
-    for r in rows:
-        total[r.stripe * STRIPE : (r.stripe + 1) * STRIPE] = r.counts
-    return total
+    parts = docs.select("text").mapInArrow(count, "stripe long, counts array<long>")
+    total = np.zeros(buckets, np.int64)
+    for r in parts.groupBy("stripe").applyInPandas(add, "stripe long, counts array<long>").toLocalIterator():
+        total[r.stripe * stripe : (r.stripe + 1) * stripe] = r.counts
+    return np.minimum(total, (1 << 32) - 1).astype(np.uint32)
 
 
 def _sets(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
-    """doc_id, n, key (hash of the whole set), parity, tokens: prefix in the global order, or the whole set up to MAX_LIGHT."""
+    """doc_id, n, key (hash of the whole set), parity, tokens: prefix in the order of the sketch, or the whole set up to MAX_LIGHT."""
+    buckets, whole = BUCKETS, MAX_LIGHT
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = counts.value
-        for b in batches:
-            out = []
-            for text in b["text"]:
-                s = shingles(text, k)
-                key = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                parity = parity_bits(s)
-                s = s[np.lexsort((s, weight[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))]
-                out.append((len(s), key, (s if len(s) <= MAX_LIGHT else s[: prefix_length(len(s), percent)]).view(np.int64), parity))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [x[0] for x in out], "key": [x[1] for x in out], "tokens": [x[2] for x in out], "parity": [x[3] for x in out]})
+        for batch in batches:
+            for b in byte_slices(batch, "text"):
+                sets = shingle_sets(b["text"], k)
+                keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                kept = []
+                for s in sets:
+                    s = s[np.lexsort((s, weight[(s & np.uint64(buckets - 1)).astype(np.int64)]))]
+                    kept.append(s if len(s) <= whole else s[: prefix_length(len(s), percent)])
+                columns = [b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(kept), _lists([parity_bits(s) for s in sets])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "tokens", "parity"])
 
-    return docs.select("doc_id", "text").mapInPandas(make, "doc_id long, n long, key binary, tokens array<long>, parity binary")
+    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, key binary, tokens array<long>, parity array<long>")
 
 
 def _light_pairs(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
@@ -128,81 +169,82 @@ def _light_pairs(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
 
     def enumerate_subsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sigs, sizes, ns, ids = [], [], [], []
-            for node, n, tokens in zip(b["node"], b["n"], b["tokens"]):
-                t = np.sort(np.asarray(tokens, np.int64))
-                for size in range(least_overlap(n, percent), n + 1):
-                    for some in combinations(range(n), size):
-                        sigs.append(xxhash.xxh64_intdigest(t[list(some)].tobytes(), size) - (1 << 63))
-                        sizes.append(size)
-                ids += [node] * (len(sigs) - len(ids))
-                ns += [n] * (len(sigs) - len(ns))
-            yield pd.DataFrame({"sig": sigs, "size": sizes, "n": ns, "node": ids}, dtype="int64")
+            for at in range(0, len(b), 200):
+                sigs, sizes, ns, ids = [], [], [], []
+                for node, n, tokens in b.iloc[at : at + 200][["node", "n", "tokens"]].itertuples(index=False):
+                    t = np.sort(np.asarray(tokens, np.int64))
+                    for size in range(least_overlap(n, percent), n + 1):
+                        for some in combinations(range(n), size):
+                            sigs.append(xxhash.xxh64_intdigest(t[list(some)].tobytes(), size) - (1 << 63))
+                            sizes.append(size)
+                    ids += [node] * (len(sigs) - len(ids))
+                    ns += [n] * (len(sigs) - len(ns))
+                yield pd.DataFrame({"sig": sigs, "size": sizes, "n": ns, "node": ids}, dtype="int64")
 
     rows = scratch(nodes.where(F.col("n") <= boundary).mapInPandas(enumerate_subsets, "sig long, size long, n long, node long"), "subsets")
     first = rows.groupBy("sig").agg(F.min("n").alias("least"), F.min_by("node", F.col("n") * F.lit(1 << 40) + F.pmod("node", F.lit(1 << 40))).alias("owner"), F.count("*").alias("c")).where("c > 1")
     met = attach(rows, scratch(first, "owners"), "sig", "c", rows.count())
     enough = (F.col("node") != F.col("owner")) & (100 * F.col("size") >= percent * (F.col("n") + F.col("least") - F.col("size")))
-    return met.where(enough).select(F.col("node").alias("a"), F.col("owner").alias("b"))
+    return met.where(enough).select(F.col("node").alias("a"), F.col("owner").alias("b")).distinct()
 
 
-def _may_link(na: str, ia: str, nb: str, ib: str, percent: int):
+def _may_link(na: str, ia: str, nb: str, ib: str, percent: int) -> Column:
     """Size and position filters for a pair whose first common token stands at ia and ib."""
     na, ia, nb, ib = F.col(na), F.col(ia), F.col(nb), F.col(ib)
     sizes = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
     return sizes & ((1 + F.least(na - ia - 1, nb - ib - 1)) * (100 + percent) >= percent * (na + nb))
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sizes and parity bits don't rule the similarity out."""
+def _size_class(n: Column, percent: int) -> Column:
+    return F.floor(F.log(n) / float(np.log(100 / percent)) + 1e-9)
+
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            n = (p["na"] + p["nb"]).to_numpy(np.int64)
-            most = n - 2 * -(-percent * n // (100 + percent))
-            ok = [least_difference(x, y) <= m for x, y, m in zip(p["pa"], p["pb"], most)]
-            yield p.loc[np.asarray(ok, bool), ["a", "b"]]
+def _roles(postings: DataFrame, percent: int) -> DataFrame:
+    """Rows of postings (token, n, i, ...) as the smaller of a pair, in the class of their size, and as the larger one, in the classes of the sizes of its partners; adds smaller and group.
 
+    A first common token at position i leaves n - i tokens for the overlap, which bounds the sizes of the partners.
+    """
+    n, left = F.col("n"), F.col("n") - F.col("i")
+    smallest, largest = F.ceil(percent * n / 100), F.least(n, F.floor(left * (100 + percent) / percent - n))
+    group = F.xxhash64("token", "class").alias("group")
+    small = postings.where(left * (100 + percent) >= 2 * percent * n).withColumn("class", _size_class(n, percent))
+    large = postings.where(largest >= smallest).withColumn("class", F.explode(F.sequence(_size_class(smallest, percent), _size_class(largest, percent))))
+    return small.select("*", F.lit(True).alias("smaller"), group).unionByName(large.select("*", F.lit(False).alias("smaller"), group)).drop("class")
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose sizes and parity bits don't rule the similarity out."""
     first = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
     second = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    return pairs.join(first, "a").join(second, "b").mapInPandas(check, "a long, b long").distinct()
+    n = F.col("na") + F.col("nb")
+    most = n - 2 * F.ceil(percent * n / (100 + percent))
+    return pairs.join(first, "a").join(second, "b").where(least_difference(F.col("pa"), F.col("pb")) <= most).select("a", "b")
 
 
 def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids. A Bloom filter of the ids, broadcast if it is small enough, keeps most other texts from the shuffle."""
-    ids = scratch(ids, "ids")
-    blocks = 1 << max(10, (ids.count() // 4).bit_length())
-    if blocks <= MAX_BROADCAST_BLOCKS:
-        h = F.xxhash64("doc_id")
-        there = ids.groupBy(bloom_block(h, blocks).alias("block")).agg(F.bit_or(bloom_bits(h)).alias("bits"))
-        docs = docs.withColumn("block", bloom_block(h, blocks)).join(F.broadcast(there), "block").where(F.col("bits").bitwiseAND(bloom_bits(h)) == bloom_bits(h)).drop("block", "bits")
-    return docs.join(ids, "doc_id", "left_semi")
+    """The rows of docs whose doc_id is among ids (a scratch table). A Bloom filter keeps most other texts from the shuffle."""
+    return maybe_among(docs, ids, "doc_id", "maybe").where("maybe").drop("maybe").join(ids, "doc_id", "left_semi")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) of document ids, those whose whole shingle sets are similar enough."""
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"node": b["doc_id"], "tokens": [shingles(t, k).tobytes() for t in b["text"]]})
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            ok = []
-            for x, y in zip(p["x"], p["y"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield p.loc[np.asarray(ok, bool), ["a", "b"]]
-
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = scratch(_rows_of(docs.select("doc_id", "text"), ids).mapInPandas(tokens, "node long, tokens binary"), "verify")
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in byte_slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([b["doc_id"], _lists(shingle_sets(b["text"], k))], ["node", "tokens"])
+
+    ids = scratch(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    sets = scratch(_rows_of(docs.select("doc_id", "text"), ids).mapInArrow(tokens, "node long, tokens array<long>"), "verify")
     x, y = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
+    met = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both"))
+    links = scratch(met.where(100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both"))).select("a", "b").distinct(), "links")
+    discard(ids, sets)
+    return links
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of the edges (a, b): the smallest node reachable. Alternating large and small stars."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of the edges (a, b): the smallest node reachable. Alternating large and small stars, until nothing changes."""
 
     def least_neighbour(e: DataFrame, u: str, v: str) -> tuple[DataFrame, DataFrame, int]:
         e = scratch(e.select(F.col(u).alias("u"), F.col(v).alias("v")), "star")
@@ -210,7 +252,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     e = scratch(edges.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(e.select("lo", "lo")).distinct()
@@ -218,23 +260,92 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = e.select("hi", "lo").union(e.select("lo", "hi")).toDF("u", "v")
         both, least, n = least_neighbour(both, "u", "v")
         large = attach(both, least, "u", "c", n).where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
-        large, least, n = least_neighbour(large, "hi", "lo")
-        small = attach(large, least, "u", "c", n).select(F.explode(F.array(F.struct(F.col("u").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("v").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*")
-        e = scratch(small.where("hi != lo").distinct(), "edges")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def boundary_by_cost(nodes: DataFrame, percent: int) -> int:
-    """The largest size up to MAX_LIGHT where the subsets of a set number no more than the list rows that its prefix scans."""
-    small = nodes.where(F.col("n") <= MAX_LIGHT).select(F.explode("tokens").alias("token"))
-    found = small.agg(F.count("*").alias("rows"), F.approx_count_distinct("token").alias("lists")).first()
-    mean = max(1.0, found.rows / max(1, found.lists))
-    boundary = 0
-    while boundary < MAX_LIGHT and subsets_of(boundary + 1, percent) <= prefix_length(boundary + 1, percent) * mean:
-        boundary += 1
+        large, other, n = least_neighbour(large, "hi", "lo")
+        small = attach(large, other, "u", "c", n).select(F.explode(F.array(F.struct(F.col("u").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("v").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*")
+        after = scratch(small.where("hi != lo").distinct(), "edges")
+        discard(e, both, least, large, other)
+        e = after
+
+
+def boundary_by_cost(nodes: DataFrame, shared: DataFrame, percent: int) -> int:
+    """The size up to MAX_LIGHT up to which enumerating costs less than scanning; on a tie, the larger one.
+
+    Enumerating costs a row for each subset. Scanning costs an entry for each prefix token, and CANDIDATE_COST for each
+    entry of a list (shared) that other nodes are in too.
+    """
+    have = {r.n: r["count"] for r in nodes.where(F.col("n") <= MAX_LIGHT).groupBy("n").count().collect()}
+    met = {r.n: r["count"] for r in shared.where(F.col("n") <= MAX_LIGHT).groupBy("n").count().collect()}
+    saved, best, boundary = 0, 0, 0
+    for n in range(1, MAX_LIGHT + 1):
+        saved += have.get(n, 0) * (prefix_length(n, percent) - subsets_of(n, percent)) + CANDIDATE_COST * met.get(n, 0)
+        if saved >= best:
+            best, boundary = saved, n
     return boundary
 
 
+def _apart(shared: DataFrame, classes: DataFrame, boundary: int, percent: int) -> DataFrame:
+    """The nodes that share a list with a node of another component that they could be linked with, as (node, component)."""
+    placed = shared.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = scratch(_roles(placed, percent).select("group", "smaller", "node", "component"), "roles")
+    own = [f(F.when(side, F.col("component"))).alias(name) for side, s in ((F.col("smaller"), "small"), (~F.col("smaller"), "large")) for f, name in ((F.min, f"{s}_min"), (F.max, f"{s}_max"))]
+    groups = rows.groupBy("group").agg(*own, F.count("*").alias("c")).where("least(small_min, large_min) < greatest(small_max, large_max) and small_min is not null and large_min is not null")
+    groups = scratch(groups, "groups")
+    met = attach_some(rows, groups, "group", "c", rows.count())
+    c = F.col("component")
+    other = F.when(F.col("smaller"), (F.col("large_min") != c) | (F.col("large_max") != c)).otherwise((F.col("small_min") != c) | (F.col("small_max") != c))
+    found = scratch(met.where(other).select("node", "component").distinct(), "apart")
+    discard(rows, groups)
+    return found
+
+
+def _exact_postings(docs: DataFrame, apart: DataFrame, k: int, percent: int, counts) -> DataFrame:
+    """Postings (token, node, n, i) of the nodes apart, in lists of two or more, in the order of their tokens' true counts among these nodes.
+
+    The order is by class, then count, then token. Tokens that are not frequent by the sketch and have an even hash make
+    the first class, all others the second one. A node whose prefix the first class fills leaves out the second.
+    """
+    buckets = BUCKETS
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = counts.value
+        frequent = max(64, int(weight.mean() * 16))
+        for batch in batches:
+            for b in byte_slices(batch, "text"):
+                firsts, seconds, sizes, names = [], [], [], []
+                for s in shingle_sets(b["text"], k):
+                    one = ((s >> np.uint64(40)) & np.uint64(1) == 0) & (weight[(s & np.uint64(buckets - 1)).astype(np.int64)] < frequent)
+                    sizes.append(len(s))
+                    names.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
+                    firsts.append(s[one])
+                    seconds.append(s[~one] if one.sum() < prefix_length(len(s), percent) else s[:0])
+                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), _lists(firsts), _lists(seconds)], ["node", "set", "n", "first", "second"])
+
+    ids = scratch(apart.select(F.col("node").alias("doc_id")), "ids")
+    found = scratch(_rows_of(docs.select("doc_id", "text"), ids).mapInArrow(tokens, "node long, set long, n long, first array<long>, second array<long>"), "tokens")
+    sizes = ["node", "set", "n", F.size("first").alias("n_first")]
+    rows = found.select(*sizes, F.lit(1).alias("class"), F.explode("first").alias("token")).unionByName(found.select(*sizes, F.lit(2).alias("class"), F.explode("second").alias("token")))
+    often = scratch(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    total = found.agg(F.coalesce(F.sum(F.size("first") + F.size("second")), F.lit(0))).first()[0]
+    met = scratch(attach_some(rows, often, "token", "df", total), "met")
+    node = Window.partitionBy("node", "set")
+    rank = F.row_number().over(node.orderBy("class", "df", "token")) - 1
+    once = F.col("n_first") - F.count_if(F.col("class") == 1).over(node)
+    upto = F.sum(F.when(F.col("class") == 2, 1).otherwise(0)).over(node)
+    once = once + F.when(F.col("class") == 2, F.col("n") - F.col("n_first") - upto).otherwise(0)
+    placed = met.select("token", "node", "n", (once + rank).cast("int").alias("i")).where(F.expr(f"i < n - ceil({percent} * n / 100) + 1"))
+    postings = scratch(placed, "placed")
+    discard(ids, found, often, met)
+    return postings
+
+
+def _same_document(sets: DataFrame, owners: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that hold different texts of one doc_id."""
+    h = F.xxhash64("key")
+    several = sets.where("key is not null and doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("least"), F.max(h).alias("most")).where("least < most").select("doc_id")
+    met = scratch(sets.join(several, "doc_id", "left_semi").select("doc_id", "key").distinct().join(owners, "key").select("doc_id", "node"), "several")
+    return met.join(met.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
+
+
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (smallest doc_id reachable by links of that similarity)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -245,37 +356,40 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     nodes = scratch(sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *one), "nodes")
     owners = nodes.select("key", "node", "copies")
     nodes = nodes.where("node is not null")
-    boundary = boundary_by_cost(nodes, percent)
-    light = _light_pairs(nodes, boundary, percent)
-    reach = least_overlap(boundary + 1, percent)
     prefix = F.expr(f"slice(tokens, 1, cast(n - ceil({percent} * n / 100) + 1 as int))")
-    postings = nodes.where(F.col("n") >= reach).select("node", "n", F.posexplode(prefix).alias("i", "token"))
-    lists = postings.groupBy("token").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("pn"), F.min_by("i", "node").alias("pi"), F.count("*").alias("c")).where("c > 1")
-    lists = scratch(lists, "lists")
+    postings = nodes.select("node", "n", F.posexplode(prefix).alias("i", "token"))
+    lists = scratch(postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "lists")
     total = lists.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    shared = scratch(attach(postings, lists, "token", "c", total), "postings")
+    shared = scratch(attach_some(postings, lists, "token", "c", total), "postings")
+    boundary = boundary_by_cost(nodes, shared, percent)
+    light = _light_pairs(nodes, boundary, percent)
+    shared = shared.where(F.col("n") >= least_overlap(boundary + 1, percent))
+    pivots = scratch(shared.groupBy("token").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("pn"), F.min_by("i", "node").alias("pi"), F.count("*").alias("members")), "pivots")
+    met = attach(shared, pivots, "token", "members", total)
     some_heavy = F.greatest("n", "pn") > boundary
-    first = shared.where((F.col("node") != F.col("pivot")) & some_heavy & _may_link("n", "i", "pn", "pi", percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    first = met.where((F.col("node") != F.col("pivot")) & some_heavy & _may_link("n", "i", "pn", "pi", percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     first = scratch(first.union(light).distinct(), "pairs")
-    links = scratch(_verify(docs, scratch(_possible(first, nodes, percent), "possible"), k, percent), "links")
-    classes = scratch(components(links), "classes")
-    placed = shared.join(classes, "node", "left").select("token", "node", "n", "i", F.coalesce("component", "node").alias("component"))
-    placed = scratch(placed, "placed")
-    largest = placed.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = scratch(placed.join(largest, "token"), "mixed")
-    other = mixed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("component").alias("cb"))
-    minor = mixed.where("component != main").select("token", "main", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("component").alias("ca"))
-    once = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("ca") < F.col("cb"))) & (F.greatest("na", "nb") > boundary)
-    second = minor.join(other, "token").where(once & _may_link("na", "ia", "nb", "ib", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verify(docs, scratch(_possible(second.join(tried, ["a", "b"], "left_anti"), nodes, percent), "possible"), k, percent)
-    classes = components(scratch(links.union(more), "links"))
+    links = _verify(docs, scratch(_possible(first, nodes, percent), "possible"), k, percent)
+    apart = _apart(shared.select("token", "node", "n", "i"), scratch(components(links), "classes"), boundary, percent)
+    listed = _roles(_exact_postings(docs, apart, k, percent, counts).join(apart, "node"), percent)
+    sides = [listed.where("smaller" if x == "a" else "not smaller").select("group", *[F.col(c).alias(f"{c}_{x}") for c in ("token", "node", "n", "i", "component")]) for x in "ab"]
+    near = (F.col("token_a") == F.col("token_b")) & (F.col("component_a") != F.col("component_b")) & (F.greatest("n_a", "n_b") > boundary) & _may_link("n_a", "i_a", "n_b", "i_b", percent)
+    second = sides[0].join(sides[1], "group").where(near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    more = _verify(docs, scratch(_possible(scratch(second, "pairs"), nodes, percent), "possible"), k, percent)
+    counts.destroy()
+    classes = components(links.union(more).union(_same_document(sets, owners)))
     named = owners.join(classes, "node", "left").select("key", "copies", F.coalesce("component", "node").alias("component_id"))
     known = attach(sets.where("key is not null"), scratch(named, "named"), "key", "copies", n_rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return known.union(sets.where("key is null").select("doc_id", "n", "doc_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that give their class its name, and those without a doc_id: one document of each class stays."""
+    """The rows of docs that give their class its name, and those without a doc_id: one document of each class stays.
+
+    Rows that a Bloom filter of the others clears pass straight on; only the rest shuffles with its texts.
+    """
     named = jaccard_classes(docs, k, percent).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(named, "doc_id", "left_anti").select(*docs.columns)
+    named, flag = scratch(named, "dropped"), fresh(docs, "__maybe")
+    flagged = maybe_among(docs, named, "doc_id", flag)
+    rest = flagged.where(F.col(flag)).drop(flag).join(named, "doc_id", "left_anti")
+    return flagged.where(~F.col(flag)).select(*docs.columns).unionByName(rest.select(*docs.columns))

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +16,8 @@ from pyspark.sql.window import Window
 #: A word and a run of white space, as Java, Python and RE2 all read them.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Blocks of a Bloom filter that are broadcast at most: 2^20 rows of two longs.
+MAX_BROADCAST_BLOCKS = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,7 +36,27 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, forgets partitioning."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that no frame still to be computed reads."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def byte_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of an Arrow batch whose strings in a column take no more bytes than that, or are a single row."""
+    ends = np.cumsum(pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -66,3 +92,40 @@ def running_start(df: DataFrame, group: str, bucket: str, order: list[Column], s
     within = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = df.join(base, [group, bucket])
     return placed.withColumn(out, F.col("__base") + F.coalesce(F.sum(size).over(within), F.lit(0))).drop("__base")
+
+
+def bloom_block(h: Column, blocks: int) -> Column:
+    """The 64-bit block of a Bloom filter that a hash belongs to."""
+    return F.pmod(h, F.lit(blocks))
+
+
+def bloom_bit(h: Column, i: int) -> Column:
+    return F.shiftrightunsigned(h, 40 + 6 * i).bitwiseAND(63).cast("int")
+
+
+def bloom_bits(h: Column) -> Column:
+    """The two bits of a hash in its block."""
+    one = F.lit(1).cast("long")
+    return F.call_function("shiftleft", one, bloom_bit(h, 0)).bitwiseOR(F.call_function("shiftleft", one, bloom_bit(h, 1)))
+
+
+def maybe_among(left: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
+    """Add the boolean `flag`: false only if left's key is not among the keys (a scratch table of one column named key, without nulls).
+
+    A broadcast Bloom filter tells; beyond MAX_BROADCAST_BLOCKS blocks every flag is true, so more rows go on to the exact join.
+    """
+    blocks = 1 << max(10, (keys.count() // 4).bit_length())
+    if blocks > MAX_BROADCAST_BLOCKS:
+        return left.withColumn(flag, F.lit(True))
+    block, bits = fresh(left, "__block"), fresh(left, "__bits")
+    h = F.xxhash64(key)
+    there = keys.groupBy(bloom_block(h, blocks).alias(block)).agg(F.bit_or(bloom_bits(h)).alias(bits))
+    met = left.withColumn(block, bloom_block(h, blocks)).join(F.broadcast(there), block, "left")
+    return met.withColumn(flag, F.coalesce(F.col(bits), F.lit(0)).bitwiseAND(bloom_bits(h)) == bloom_bits(h)).drop(block, bits)
+
+
+def attach_some(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """attach, where most rows of left have no partner: a Bloom filter keeps those from the shuffle."""
+    flag = fresh(left, "__maybe")
+    some = maybe_among(left, right.select(key), key, flag).where(F.col(flag)).drop(flag)
+    return attach(some, right, key, weight, total)

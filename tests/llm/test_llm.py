@@ -238,7 +238,7 @@ def test_jaccard_classes_small_and_large_sets(spark):
 
 
 def test_jaccard_light_path_alone(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "boundary_by_cost", lambda nodes, percent: 16)
+    monkeypatch.setattr(jaccard_join, "boundary_by_cost", lambda nodes, shared, percent: 16)
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(["a b c d e f g h i j k l m n o p q r".split()[j] for j in range(18 - i % 4) if rng.random() > 0.04])) for i in range(80)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85).collect()}
