@@ -1,9 +1,12 @@
 """Exact deduplication: a Bloom filter finds texts that may repeat; only their rows shuffle.
 
-Pass 1 hashes every normalised text to one 64-bit block of a Bloom filter and two bits in it, counts each bit and keeps
-the bits that two rows or more have set. Pass 2 tests every row against these blocks: a row with a bit that no other row
-has set is unique and passes straight through; the others are grouped by the SHA-256 of their text. A false positive
-costs a shuffled row, never a wrong result.
+Pass 1 hashes every normalised text to one slot of a Bloom filter, 64 slots for each row, and keeps the slots that two rows or
+more have hit: what is exchanged of a row is the number of its slot, once for each partition that hits it. Pass 2 tests
+every row against these slots: a row whose slot no other row hits is unique and passes straight through; the others are
+grouped by the SHA-256 of their text. A false positive costs a shuffled row, never a wrong result.
+
+Slots that repeat are broadcast, up to MAX_BROADCAST_BLOCKS words of 64 of them; so the bound is on copies and false positives
+(one row in 64), not on rows. Beyond it rows of a hash and an id meet the slots by a shuffle in duplicate_report, and in exact_dedup texts do.
 
 Defined results: null text counts as empty; a null doc_id comes after all others; rows that repeat both doc_id and text
 keep one row; an empty table gives an empty table; other columns may have any name.
@@ -14,10 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import SPACE, attach, fresh, scratch
+from corpusmill.llm.shared import MAX_BROADCAST_BLOCKS, SPACE, attach, fresh, scratch
 
-#: Blocks of the filter that are broadcast at most: 2^20 rows of two longs. With more, rows meet blocks by a shuffle of hashes.
-MAX_BROADCAST_BLOCKS = 1 << 20
+SLOTS_PER_ROW = 64
 
 
 def text_sha256(text: Column) -> Column:
@@ -25,37 +27,25 @@ def text_sha256(text: Column) -> Column:
     return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "), 256)
 
 
-def bloom_block(h: Column, blocks: int) -> Column:
-    """The 64-bit block of a Bloom filter that a hash belongs to."""
-    return F.pmod(h, F.lit(blocks))
-
-
-def _bit(h: Column, i: int) -> Column:
-    return F.shiftrightunsigned(h, 40 + 6 * i).bitwiseAND(63).cast("int")
-
-
-def bloom_bits(h: Column) -> Column:
-    """The bits of a hash in its block."""
-    one = F.lit(1).cast("long")
-    return F.call_function("shiftleft", one, _bit(h, 0)).bitwiseOR(F.call_function("shiftleft", one, _bit(h, 1)))
+def slot_count(n_rows: int) -> int:
+    return 1 << max(16, (max(1, n_rows) * SLOTS_PER_ROW - 1).bit_length())
 
 
-def repeated_blocks(hashes: DataFrame, n_rows: int) -> tuple[DataFrame, int]:
-    """Blocks (block, twice) of the filter over column `h`: bit b of `twice` is set if two rows or more set it."""
-    blocks = 1 << max(10, (max(1, n_rows) // 4).bit_length())
-    bits = hashes.select(bloom_block(F.col("h"), blocks).alias("block"), F.explode(F.array_distinct(F.array(_bit(F.col("h"), 0), _bit(F.col("h"), 1)))).alias("bit"))
-    often = bits.groupBy("block", "bit").count().where("count > 1")
-    return often.groupBy("block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("twice")), blocks
+def repeated_slots(hashes: DataFrame, slots: int) -> DataFrame:
+    """(word, twice): of the 64 slots of a word, bit b of `twice` is set if two rows or more of column `h` hit slot b. Words without such a slot are left out."""
+    hit = hashes.groupBy(F.pmod("h", F.lit(slots)).alias("slot")).count().where("count > 1")
+    return hit.groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("twice"))
 
 
-def flag_repeats(rows: DataFrame, h: str, n_rows: int, filter_blocks: DataFrame, blocks: int, flag: str) -> DataFrame:
-    """Add the boolean `flag`: the filter can't rule out that another row has the same hash."""
-    block, twice = fresh(rows, "__block"), fresh(rows, "__twice")
-    right = filter_blocks.select(F.col("block").alias(block), F.col("twice").alias(twice))
-    right = F.broadcast(right) if blocks <= MAX_BROADCAST_BLOCKS else right
-    mask = bloom_bits(F.col(h))
-    joined = rows.withColumn(block, bloom_block(F.col(h), blocks)).join(right, block, "left")
-    return joined.withColumn(flag, F.coalesce(F.col(twice), F.lit(0)).bitwiseAND(mask) == mask).drop(block, twice)
+def flag_repeats(rows: DataFrame, h: str, repeated: DataFrame, slots: int, flag: str) -> DataFrame:
+    """Add the boolean `flag`: the filter (a scratch table of repeated_slots) can't rule out that another row has the same hash."""
+    word, twice = fresh(rows, "__word"), fresh(rows, "__twice")
+    right = repeated.select(F.col("word").alias(word), F.col("twice").alias(twice))
+    right = F.broadcast(right) if repeated.count() <= MAX_BROADCAST_BLOCKS else right
+    slot = F.pmod(F.col(h), F.lit(slots))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    joined = rows.withColumn(word, F.floor(slot / 64)).join(right, word, "left")
+    return joined.withColumn(flag, F.coalesce(F.col(twice), F.lit(0)).bitwiseAND(bit) != 0).drop(word, twice)
 
 
 def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,8 +53,8 @@ def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sha = F.unhex(text_sha256(F.col(text_col)))
     digests = scratch(docs.select(F.col(id_col).alias("doc_id"), sha.alias("sha")).withColumn("h", F.xxhash64("sha")), "digests")
     n_rows = digests.count()
-    filter_blocks, blocks = repeated_blocks(digests, n_rows)
-    flagged = flag_repeats(digests, "h", n_rows, scratch(filter_blocks, "bloom"), blocks, "repeats")
+    slots = slot_count(n_rows)
+    flagged = flag_repeats(digests, "h", scratch(repeated_slots(digests, slots), "bloom"), slots, "repeats")
     alone = flagged.where(~F.col("repeats")).select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     copies = scratch(flagged.where("repeats").groupBy("sha", "doc_id").agg(F.count("*").alias("copies")), "copies")
     groups = scratch(copies.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
@@ -75,12 +65,11 @@ def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those whose text an earlier doc_id has; all columns stay. Unflagged rows never shuffle."""
+    """The rows of docs without those whose text an earlier doc_id has; all columns stay. Up to the broadcast bound, unflagged rows never shuffle."""
     sha, h, flag = fresh(docs, "__sha"), fresh(docs, "__h"), fresh(docs, "__repeats")
     hashed = docs.withColumn(sha, F.unhex(text_sha256(F.col(text_col)))).withColumn(h, F.xxhash64(sha))
-    n_rows = docs.count()
-    filter_blocks, blocks = repeated_blocks(hashed.select(F.col(h).alias("h")), n_rows)
-    flagged = flag_repeats(hashed, h, n_rows, scratch(filter_blocks, "bloom"), blocks, flag)
+    slots = slot_count(docs.count())
+    flagged = flag_repeats(hashed, h, scratch(repeated_slots(hashed.select(F.col(h).alias("h")), slots), "bloom"), slots, flag)
     alone = flagged.where(~F.col(flag)).select(*docs.columns)
     plain = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(*plain))
