@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import scratch
+from corpusmill.llm.shared import bounded_batches, scratch
 
 #: Pieces in a shard, on average.
 SHARD = 16_384
@@ -60,6 +60,7 @@ def tokenize(docs: DataFrame, capacity: int = 1024, end_id: int = 2, name: str =
             yield pd.DataFrame(out, columns=columns)
 
     columns = [x.split()[0] for x in PIECES.split(", ")]
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
 
 

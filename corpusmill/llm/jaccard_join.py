@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.llm.shared import attach, attach_some, byte_slices, discard, fresh, maybe_among, scratch
+from corpusmill.llm.shared import attach, attach_some, bounded_batches, byte_slices, discard, fresh, maybe_among, scratch
 
 #: Largest size for which subsets may be enumerated; sets up to it are stored whole.
 MAX_LIGHT = 20
@@ -348,6 +348,7 @@ def _same_document(sets: DataFrame, owners: DataFrame) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (smallest doc_id reachable by links of that similarity)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = docs.sparkSession.sparkContext.broadcast(_counts(docs, k))
     sets = scratch(_sets(docs, k, percent, counts), "sets")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import scratch
+from corpusmill.llm.shared import bounded_batches, scratch
 
 #: Common words of English, French, German and Spanish. Fixed values.
 COMMON = (
@@ -128,6 +128,7 @@ def quality_verdicts(docs: DataFrame, max_class: float = 0.2, max_common: float
             out["kept"] = ~b["base_failed"].to_numpy(bool) & ~far
             yield out
 
+    bounded_batches(docs.sparkSession)
     features = scratch(document_features(docs).withColumn("base_failed", base_failed(min_words)), "features")
     references = scratch(language_references(features), "references")
     joined = features.join(references.withColumnRenamed("lang", "ref_lang"), F.col("lang").eqNullSafe(F.col("ref_lang")), "left").drop("ref_lang", "lang")

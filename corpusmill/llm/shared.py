@@ -49,7 +49,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def byte_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on Arrow batches of the session hold at most that many rows, as texts are long. A smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
+def byte_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of an Arrow batch whose strings in a column take no more bytes than that, or are a single row."""
     ends = np.cumsum(pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False))
     start = 0
