@@ -1,18 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Transducers are composed: a lexicon maps words to the symbols insult (with a weight), threat, target, negation and report;
-a grammar reads the symbols of one clause and multiplies the weight by what stands around it: a target nearby raises an
-insult or threat, a negation before it or a report around it lowers it. In a text without insults a threat counts only
-in a clause that also names a target ("kill you", not "kill the process"). The scores of a document's matched clauses, not its
-isolated words, are its features: their sum, the highest, how many there are for its length. A logistic function, fitted to
-labelled documents, turns them into a score from 0 to 1.
+Transducers are composed. The lexicon maps words to the symbols insult (with a weight), threat, target, negation and report.
+Three machines read these symbols and weigh insults and threats: one raises them where a target stands anywhere in the
+clause, one lowers those that follow a negation, one lowers all where a report stands anywhere, also after them ("you are
+an idiot, he said"). Their product is the grammar; a clause scores the weight of its best accepting path. Clauses end at a
+full stop, semicolon or line end; commas and colons stay inside, so reports and negations act across them. In a text without insults
+a threat counts only in a clause that also names a target ("kill you", not "kill the process"). The scores of a document's
+matched clauses, never its isolated words, are its features: their sum, the highest, how much there is for its length. A
+logistic function, fitted to labelled documents, turns them into a score from 0 to 1.
 
 Insult words are learned: words, and beginnings of words, that toxic documents of a bounded sample hold far more often than
 others. The sample bound is the parameter max_labels; every term of the sample is looked at. Everything else covers all rows.
 
 Defined results: null and empty texts have no clauses and get the lowest score; labels that are null, or repeat a document,
-are left out or count once; of texts that share a labelled doc_id, the first by code point is learned from; without labels of both kinds only the fixed words score; rows that repeat are scored each; an
-empty table gives an empty table; other columns are ignored.
+are left out or count once; of texts that share a labelled doc_id, the first by code point is learned from; without labels
+of both kinds only the fixed words score; rows that repeat are scored each; an empty table gives an empty table; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import scratch
+from corpusmill.llm.shared import bounded_batches, scratch
 
 #: Closed classes of words in English, French, German and Spanish, and seed insults. Fixed values.
 TARGETS = frozenset("you your yours u he him his she her they them their tu toi ton ta vous votre du dich dir dein ihr euch sie usted ustedes tú te ti vosotros".split())
@@ -39,20 +42,55 @@ SEED_INSULTS = frozenset("idiot moron stupid loser scum trash worthless pathetic
 
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:,|\n]")
-_ENDS = frozenset(".!?;:,|\n")
+_ENDS = frozenset(".!?;|\n")
 STEMS = (6, 5, 4)
+SYMBOLS = ("insult", "threat", "target", "negation", "report")
 #: The weight of a threat; sampled labels may hold too few threats to learn one.
 THREAT_WEIGHT = 3.0
-#: The grammar: (state, symbol) to (next state, factor of the weight of an insult or threat read there). States remember
-#: what the clause has shown so far; a symbol without an entry leaves the state as it is.
-GRAMMAR = {
-    ("start", "target"): ("aimed", 1.0), ("start", "negation"): ("denied", 1.0), ("start", "report"): ("told", 1.0), ("start", "insult"): ("hit", 1.0), ("start", "threat"): ("hit", 1.0),
-    ("aimed", "negation"): ("denied", 1.0), ("aimed", "report"): ("told", 1.0), ("aimed", "insult"): ("hit", 1.25), ("aimed", "threat"): ("hit", 1.0),
-    ("denied", "insult"): ("hit", 0.6), ("denied", "threat"): ("hit", 0.2), ("denied", "report"): ("told", 1.0),
-    ("told", "insult"): ("hit", 0.7), ("told", "threat"): ("hit", 0.3), ("told", "negation"): ("denied", 1.0),
-    ("hit", "insult"): ("hit", 1.0), ("hit", "threat"): ("hit", 1.0), ("hit", "target"): ("struck", 1.0),
-    ("struck", "insult"): ("struck", 1.25), ("struck", "threat"): ("struck", 1.25),
-}
+
+
+@dataclass(frozen=True)
+class Machine:
+    """A weighted machine over symbols: (state, symbol) to (next state, factor of an insult or threat read there), or to None, where the path ends. A pair without an arc keeps the state, with factor 1."""
+
+    starts: tuple
+    finals: frozenset
+    arcs: dict
+
+    def step(self, state, symbol: str):
+        return self.arcs.get((state, symbol), (state, 1.0))
+
+
+def anywhere(symbol: str, insult: float, threat: float) -> Machine:
+    """Insults and threats of a clause that holds the symbol anywhere get these factors. A path guesses at the start whether it does."""
+    arcs = {("without", symbol): None, ("awaited", symbol): ("met", 1.0)}
+    for state in ("awaited", "met"):
+        arcs |= {(state, "insult"): (state, insult), (state, "threat"): (state, threat)}
+    return Machine(("without", "awaited"), frozenset(("without", "met")), arcs)
+
+
+def following(symbol: str, insult: float, threat: float) -> Machine:
+    """The first insult or threat after the symbol gets its factor."""
+    return Machine(("plain",), frozenset(("plain", "open")), {("plain", symbol): ("open", 1.0), ("open", "insult"): ("plain", insult), ("open", "threat"): ("plain", threat)})
+
+
+def compose(a: Machine, b: Machine) -> Machine:
+    """The machine that reads with both at once: states are pairs, factors multiply, a path ends where one of them ends."""
+    states = [{*m.starts, *m.finals, *(s for s, _ in m.arcs), *(x[0] for x in m.arcs.values() if x)} for m in (a, b)]
+    arcs = {}
+    for x in states[0]:
+        for y in states[1]:
+            for symbol in SYMBOLS:
+                p, q = a.step(x, symbol), b.step(y, symbol)
+                if p is None or q is None:
+                    arcs[(x, y), symbol] = None
+                elif (p[0], q[0]) != (x, y) or p[1] * q[1] != 1.0:
+                    arcs[(x, y), symbol] = ((p[0], q[0]), p[1] * q[1])
+    return Machine(tuple((x, y) for x in a.starts for y in b.starts), frozenset((x, y) for x in a.finals for y in b.finals), arcs)
+
+
+PARTS = (anywhere("target", 1.25, 1.25), following("negation", 0.6, 0.2), anywhere("report", 0.7, 0.3))
+GRAMMAR = compose(compose(PARTS[0], PARTS[1]), PARTS[2])
 
 
 @dataclass
@@ -61,7 +99,7 @@ class Lexicon:
 
     words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(SEED_INSULTS, 3.0))
     stems: dict[str, float] = field(default_factory=dict)
-    model: tuple[float, ...] = (-3.5, 1.0, 0.5, 0.5, 0.3)
+    model: tuple[float, ...] = (-3.5, 1.0, 0.5, 0.5)
 
     def weight(self, word: str) -> float:
         known = self.words.get(word)
@@ -85,29 +123,30 @@ def symbol_of(word: str, lexicon: Lexicon) -> tuple[str | None, float]:
     return None, 0.0
 
 
-def clause_score(tokens: list[str], lexicon: Lexicon) -> float:
-    """The weight of the best path of the grammar over a clause: what its insults and threats add up to."""
-    state, total = "start", 0.0
+def clause_score(tokens: list[str], lexicon: Lexicon, grammar: Machine = GRAMMAR) -> float:
+    """The weight of the best accepting path of the grammar over a clause: what its insults and threats add up to."""
+    live = dict.fromkeys(grammar.starts, 0.0)
     for word in tokens:
         symbol, w = symbol_of(word, lexicon)
-        if symbol and (state, symbol) in GRAMMAR:
-            was = state
-            state, factor = GRAMMAR[state, symbol]
-            total += w * factor
-            if was in ("hit",) and state == "struck":
-                total *= 1.25
-    return total
-
-
-def clause_features(text: str, lexicon: Lexicon) -> tuple[float, float, float, float]:
-    """log(1 + sum), highest, log-share for the length, and number of different insults, over matched clauses."""
+        if symbol:
+            after: dict = {}
+            for state, total in live.items():
+                arc = grammar.step(state, symbol)
+                if arc:
+                    after[arc[0]] = max(after.get(arc[0], 0.0), total + w * arc[1])
+            live = after
+    return max((total for state, total in live.items() if state in grammar.finals), default=0.0)
+
+
+def clause_features(text: str, lexicon: Lexicon) -> tuple[float, float, float]:
+    """log(1 + sum), highest and log-share for the length of the scores of matched clauses."""
     low = text.lower()
     words = _WORD.findall(low)
     known = set(words)
     hits = {w for w in known if w in THREATS or lexicon.weight(w) > 0}
     insulting = any(lexicon.weight(w) > 0 for w in hits)
     if not hits or not insulting and known.isdisjoint(TARGETS):
-        return 0.0, 0.0, 0.0, 0.0
+        return 0.0, 0.0, 0.0
     scores, clause, met = [], [], False
     for token in [*_TOKEN.findall(low), "."]:
         if token in _ENDS:
@@ -118,8 +157,7 @@ def clause_features(text: str, lexicon: Lexicon) -> tuple[float, float, float, f
             clause.append(token)
             met = met or token in hits
     total = sum(scores)
-    insults = sorted((lexicon.weight(w) for w in hits), reverse=True)
-    return math.log1p(total), max(scores, default=0.0), math.log1p(100 * total / (20 + len(words))), sum(insults[:8]) / 4
+    return math.log1p(total), max(scores, default=0.0), math.log1p(100 * total / (20 + len(words)))
 
 
 def document_score(text: str, lexicon: Lexicon) -> float:
@@ -187,6 +225,7 @@ def fit_model(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1.0
 
 def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> Lexicon:
     """Fit lexicon and model to at most max_labels labelled documents, the first by hash; labels: doc_id, toxic."""
+    bounded_batches(docs.sparkSession)
     sample = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
@@ -204,15 +243,15 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> Lexic
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = [clause_features(t, lexicon) for t in b["text"]]
-            yield pd.DataFrame(np.c_[np.asarray(x).reshape(len(b), 4), b["toxic"]], columns=["a", "b", "c", "d", "y"])
+            yield pd.DataFrame(np.c_[np.asarray(x).reshape(len(b), 3), b["toxic"]], columns=["a", "b", "c", "y"])
 
     parts = scratch(texts.mapInPandas(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "terms")
     total = parts.where("term = ''").first()
     if total is None or not total.t or not total.c:
         return Lexicon()
     lexicon = build_lexicon([tuple(r) for r in deciding(parts, total.t, total.c).collect()], total.t, total.c)
-    rows = np.asarray(sorted(tuple(r) for r in texts.mapInPandas(features, "a double, b double, c double, d double, y double").collect()))
-    lexicon.model = fit_model(rows[:, :4], rows[:, 4])
+    rows = np.asarray(sorted(tuple(r) for r in texts.mapInPandas(features, "a double, b double, c double, y double").collect()))
+    lexicon.model = fit_model(rows[:, :3], rows[:, 3])
     return lexicon
 
 
@@ -224,6 +263,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) ->
             s = [document_score(t or "", lexicon) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": s, "predicted": [int(x >= threshold) for x in s]})
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(score, "doc_id long, score double, predicted int")
 
 
@@ -234,6 +274,7 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> Dat
     def score(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: document_score(t or "", lexicon))
 
+    bounded_batches(docs.sparkSession)
     return docs.where(score(F.col("text")) < threshold)
 
 
