@@ -10,6 +10,7 @@ columns are ignored. Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.shared import bounded_batches
+
 #: Fixed formats: kind, pattern, least length of what counts (of group 2, if there is one).
 FORMATS = (
     ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 6),
@@ -66,11 +69,16 @@ def find_secrets(text: str, window: int = WINDOW) -> list[tuple[int, int, str]]:
         for m in pattern.finditer(text):
             if len(m[2] if pattern.groups > 1 else m[0]) >= least:
                 spans.append((m.start(), m.end(), kind))
+    starts, reach = [], []  # sorted starts of the fixed formats' spans, and the furthest end up to each
+    for a, b, _ in sorted(spans):
+        starts.append(a)
+        reach.append(max(b, reach[-1] if reach else 0))
     more = []
     for kind, pattern, bits in CLASSES:
         for m in pattern.finditer(text):
             s = m[0]
-            if ALLOWED.fullmatch(s) or kind == "base64" and not _mixed(s) or any(a <= m.start() and m.end() <= b for a, b, _ in spans):
+            at = bisect.bisect_right(starts, m.start())
+            if ALLOWED.fullmatch(s) or kind == "base64" and not _mixed(s) or at and reach[at - 1] >= m.end():
                 continue
             if highest_entropy(s, window) >= bits:
                 more.append((m.start(), m.end(), "entropy"))
@@ -83,7 +91,7 @@ def spell(spans: list[tuple[int, int, str]]) -> str:
 
 
 def scan_secrets(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row for each document: counts by format, SHA-256 of the formats' spans, all spans, and how many the entropy adds."""
+    """One row for each document: counts by format, SHA-256 of the formats' spans, all spans, how many the entropy adds, and how many there are."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -92,8 +100,9 @@ def scan_secrets(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 spans = find_secrets(text or "", window)
                 fixed = [x for x in spans if x[2] != "entropy"]
                 n = [sum(x[2] == kind for x in fixed) for kind, *_ in FORMATS]
-                out.append((doc_id, *n, hashlib.sha256(spell(fixed).encode()).hexdigest(), spell(spans), len(spans) - len(fixed)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy"])
+                out.append((doc_id, *n, hashlib.sha256(spell(fixed).encode()).hexdigest(), spell(spans), len(spans) - len(fixed), len(spans)))
+            yield pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy", "n_spans"])
 
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long"
+    bounded_batches(docs.sparkSession)
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long, n_spans long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scan, schema)
