@@ -53,17 +53,24 @@ def unescape(text: Column) -> Column:
 def conversation_records(conversations: DataFrame) -> DataFrame:
     """Rows of turns (conv_id, turn, role, text) to one JSON record for each conversation, in the layout that suits it.
 
-    A user's turn and an assistant's answer make a prompt record; other conversations of odd id hold from/value pairs,
-    those of even id role/content pairs. One conversation's turns must fit a task: its digests need them in order.
+    A user's turn and an assistant's answer make a prompt record, or for every third id an instruction record, with what
+    follows the first empty line as its input. Other conversations of odd id hold from/value pairs, those of even id
+    role/content pairs. One conversation's turns must fit a task: its digests need them in order.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     one = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    asked, told = F.col("t")[0]["text"], F.element_at("t", -1)["text"]
     pair = (F.size("t") == 2) & (F.col("t")[0]["role"] == "user") & (F.element_at("t", -1)["role"] == "assistant")
-    prompt = F.to_json(F.struct(F.col("t")[0]["text"].alias("prompt"), F.element_at("t", -1)["text"].alias("completion")))
+    third = F.pmod("conv_id", F.lit(3)) == 1
+    cut = F.instr(asked, "\n\n")
+    prompt = F.to_json(F.struct(asked.alias("prompt"), told.alias("completion")))
+    instruction = F.to_json(F.struct(asked.alias("instruction"), told.alias("output")))
+    with_input = F.to_json(F.struct(F.substring(asked, F.lit(1), cut - 1).alias("instruction"), F.substring(asked, cut + 2, F.lit((1 << 31) - 1)).alias("input"), told.alias("output")))
     spoken = F.expr("to_json(struct(transform(t, x -> struct(case x.role when 'user' then 'human' when 'assistant' then 'gpt' else x.role end as from, x.text as value)) as conversations))")
-    told = F.expr("to_json(struct(transform(t, x -> struct(x.role as role, x.text as content)) as messages))")
+    listed = F.expr("to_json(struct(transform(t, x -> struct(x.role as role, x.text as content)) as messages))")
     safe = F.exists("t", lambda x: x["role"].isin("human", "gpt"))
-    return one.select("conv_id", F.when(pair, prompt).when((F.pmod("conv_id", F.lit(2)) == 1) & ~safe, spoken).otherwise(told).alias("record"))
+    record = F.when(pair & third & (cut > 0), with_input).when(pair & third, instruction).when(pair, prompt).when((F.pmod("conv_id", F.lit(2)) == 1) & ~safe, spoken).otherwise(listed)
+    return one.select("conv_id", record.alias("record"))
 
 
 def canonical_turns(records: DataFrame, layouts: dict[str, tuple[str, str]] = LAYOUTS) -> DataFrame:
@@ -89,14 +96,38 @@ def format_turns(records: DataFrame) -> DataFrame:
     return cut.select("*", F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("formatted"), mask.alias("loss_mask")).drop("parts")
 
 
+#: Runs of a mask that are read together.
+RUNS = 256
+
+
+def masked_texts(formatted: DataFrame) -> Column:
+    """The pieces of `formatted` that `loss_mask` has in the loss, in order.
+
+    Runs are read in blocks: a block is cut from the whole text, a run from its block, so that neither offsets nor texts
+    are scanned from the start for every run.
+    """
+    total = lambda runs: F.aggregate(runs, F.lit(0).cast("long"), lambda a, r: a + r["length"])
+    blocks = F.when(F.size("loss_mask") > 0, F.transform(F.sequence(F.lit(0), F.expr(f"(size(loss_mask) - 1) div {RUNS}")), lambda b: F.slice("loss_mask", (b * RUNS + 1).cast("int"), RUNS))).otherwise(F.array().cast("array<array<struct<length:bigint,in_loss:boolean>>>"))
+    sized = F.transform(blocks, lambda runs: F.struct(runs.alias("runs"), total(runs).alias("length")))
+
+    def block_texts(every: Column) -> Column:
+        return F.transform(every, lambda b, i: F.struct(b["runs"].alias("runs"), F.substring(F.col("formatted"), (total(F.slice(every, F.lit(1), i)) + 1).cast("int"), b["length"].cast("int")).alias("text")))
+
+    def in_loss(b: Column) -> Column:
+        placed = F.transform(b["runs"], lambda r, i: F.struct(r["in_loss"].alias("in_loss"), (total(F.slice(b["runs"], F.lit(1), i)) + 1).alias("at"), r["length"].alias("length")))
+        return F.transform(F.filter(placed, lambda r: r["in_loss"]), lambda r: F.substring(b["text"], r["at"].cast("int"), r["length"].cast("int")))
+
+    # one element binds an array to a lambda variable, so that it is computed once
+    cut = F.get(F.transform(F.array(sized), block_texts), F.lit(0))
+    return F.flatten(F.transform(cut, in_loss))
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """Parse `formatted` again: adds turns_read array<struct<role,text>> and loss_read, the unescaped text under the mask."""
     roles, texts = F.regexp_extract_all("formatted", F.lit(_TURN), 1), F.regexp_extract_all("formatted", F.lit(_TURN), 2)
     turns = F.transform(F.arrays_zip(roles.alias("role"), texts.alias("text")), lambda x: F.struct(unescape(x["role"]).alias("role"), unescape(x["text"]).alias("text")))
-    lengths = F.transform("loss_mask", lambda r: r["length"])
-    cut = formatted.withColumn("turns_read", turns).withColumn("lengths", lengths)
-    masked = F.expr("transform(filter(transform(loss_mask, (r, i) -> struct(r.in_loss as in_loss, 1 + aggregate(slice(lengths, 1, i), 0L, (a, x) -> a + x) as at, r.length as length)), r -> r.in_loss), r -> substring(formatted, cast(r.at as int), cast(r.length as int)))")
-    return cut.select("*", F.array_join(F.transform(masked, unescape), "").alias("loss_read")).drop("lengths")
+    cut = formatted.withColumn("turns_read", turns)
+    return cut.select("*", F.array_join(F.transform(masked_texts(cut), unescape), "").alias("loss_read"))
 
 
 def conversation_digests(conversations: DataFrame) -> DataFrame:
