@@ -138,8 +138,11 @@ _URLS = r"""
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 o AS (SELECT doc_id AS page_id, count(*) AS n, sum(greatest(1 - quality, toxic)) AS bad FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
-h AS (SELECT host, string_split(host, '.') AS parts, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM p LEFT JOIN o USING (page_id) GROUP BY host),
-hd AS (SELECT host, array_to_string(parts[-2:], '.') AS domain, parts[-1] AS suffix, n, bad FROM h),
+h AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+hn AS (SELECT host, n, bad, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') AS name FROM h),
+hp AS (SELECT *, string_split(name, '.') AS parts, regexp_matches(name, '^([0-9]+(\.[0-9]+){3}|\[.*\])$') AS ip, regexp_matches(name, '(^|\.)(ac|co|com|edu|gen|go|gob|gov|gouv|govt|gv|id|info|me|mil|ne|net|nom|or|org|school|sch|web)\.[a-z]{2}$') AS two FROM hn),
+hd AS (SELECT host, CASE WHEN ip THEN name ELSE array_to_string(parts[CASE WHEN two THEN -3 ELSE -2 END:], '.') END AS domain, CASE WHEN ip THEN name ELSE array_to_string(parts[CASE WHEN two THEN -2 ELSE -1 END:], '.') END AS suffix, n, bad FROM hp),
+al AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS overall FROM hd),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hd GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
 sm AS (SELECT suffix, (10 * ((sum(bad) OVER () + 1) / (sum(n) OVER () + 2)) + bad) / (10 + n) AS prior FROM s),
@@ -158,8 +161,8 @@ u AS (SELECT page_id, host, path,
                   WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/fr/') THEN 'net/fr/'
                   WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule FROM p)
 SELECT page_id, host, path, rule,
-       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound >= 3e-1 THEN 'block' ELSE 'allow' END AS verdict
-FROM u JOIN v USING (host)
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound >= 125e-2 * overall THEN 'block' ELSE 'allow' END AS verdict
+FROM u JOIN v USING (host), al
 """
 
 ORACLE_SQL = {"op2_source_mix": _MIX, "op6_chat_format": _CHAT, "op7_jaccard_join": _JACCARD, "op8_exact_dedup": _DEDUP, "op9_url_reputation": _URLS}

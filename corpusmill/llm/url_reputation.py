@@ -3,7 +3,7 @@
 Labelled page outcomes are counted by host. The share of bad pages of a suffix is shrunk to the share of all, that of a
 registered domain to its suffix, that of a host to its domain, each through a beta-binomial prior whose strength is
 estimated from how the children of one parent differ. A host is blocked if the lower bound of its posterior share of bad
-pages reaches the threshold.
+pages reaches a multiple of the share over all pages.
 
 Defined results: a null url, or one without "://", has empty host and path, fits no rule and is judged like any other
 host; an unlabelled host takes its domain's share; labels that repeat a page count as they stand; an empty table gives an
@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 
 from corpusmill.llm.shared import LOWER, UPPER, attach, scratch
 
-#: Suffixes of two labels; any other suffix is the last label. Fixed values.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "com.mx", "co.za", "com.cn", "com.tr")
+#: Second labels that country domains register names under; such a suffix has two labels, any other is the last label. Fixed values.
+SECOND_LABELS = ("ac", "co", "com", "edu", "gen", "go", "gob", "gov", "gouv", "govt", "gv", "id", "info", "me", "mil", "ne", "net", "nom", "or", "org", "school", "sch", "web")
 MAX_RULES = 200
 
 
@@ -33,14 +33,26 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), "://[^/?#]*([^?#]*)", 1)
 
 
-def url_suffix(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def host_name(host: Column) -> Column:
+    """The host without user, password, port and a final dot."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(?::[0-9]*)?$", "")
 
 
-def registered_domain(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def _address(name: Column) -> Column:
+    return name.rlike(r"^(?:[0-9]+(?:\.[0-9]+){3}|\[.*\])$")
+
+
+def _two_labels(name: Column) -> Column:
+    return name.rlike(r"(?:^|\.)(?:" + "|".join(SECOND_LABELS) + r")\.[a-z]{2}$")
+
+
+def url_suffix(name: Column) -> Column:
+    """The public suffix of a host name; an IP address is its own."""
+    return F.when(_address(name), name).when(_two_labels(name), F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+
+
+def registered_domain(name: Column) -> Column:
+    return F.when(_address(name), name).when(_two_labels(name), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -68,28 +80,29 @@ def _shrink(children: DataFrame, parent: str, default_strength: float) -> DataFr
 
 
 def host_reputation(hosts: DataFrame, z: float = 1.645, default_strength: float = 10.0) -> DataFrame:
-    """hosts (host, n labelled pages, bad ones) to (host, share, bound): the posterior share of bad pages and its lower bound.
+    """hosts (host, n labelled pages, bad ones) to (host, share, bound, overall): the posterior share of bad pages, its lower bound, and the share over all hosts.
 
     The sum over all suffixes is a window of one row for each suffix.
     """
-    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", url_suffix(F.col("host")))
+    name = host_name(F.col("host"))
+    hosts = hosts.withColumn("domain", registered_domain(name)).withColumn("suffix", url_suffix(name))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     everything = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     overall = (F.sum("bad").over(everything) + 1) / (F.sum("n").over(everything) + 2)
-    suffixes = suffixes.withColumn("mean", (default_strength * overall + F.col("bad")) / (default_strength + F.col("n")))
-    prior = suffixes.select("suffix", F.col("mean").alias("prior")).join(_shrink(domains, "suffix", default_strength), "suffix")
+    suffixes = suffixes.withColumn("overall", overall).withColumn("mean", (default_strength * overall + F.col("bad")) / (default_strength + F.col("n")))
+    prior = suffixes.select("suffix", "overall", F.col("mean").alias("prior")).join(_shrink(domains, "suffix", default_strength), "suffix")
     domains = domains.join(prior, "suffix").withColumn("mean", (F.col("strength") * F.col("prior") + F.col("bad")) / (F.col("strength") + F.col("n")))
-    prior = domains.select("domain", F.col("mean").alias("prior")).join(_shrink(hosts, "domain", default_strength), "domain")
+    prior = domains.select("domain", "overall", F.col("mean").alias("prior")).join(_shrink(hosts, "domain", default_strength), "domain")
     a, b = F.col("strength") * F.col("prior") + F.col("bad"), F.col("strength") * (1 - F.col("prior")) + F.col("n") - F.col("bad")
-    scored = hosts.join(prior, "domain").select("host", "pages", "n", "bad", (a / (a + b)).alias("share"), (a + b).alias("weight"))
+    scored = hosts.join(prior, "domain").select("host", "pages", "n", "bad", "overall", (a / (a + b)).alias("share"), (a + b).alias("weight"))
     return scored.withColumn("bound", F.col("share") - z * F.sqrt(F.col("share") * (1 - F.col("share")) / (F.col("weight") + 1)))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], threshold: float = 0.3, z: float = 1.645) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], lift: float = 1.25, z: float = 1.645) -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict, bound. outcomes: page_id, bad (0 or 1).
 
-    rules: (verdict, rule). The rule's verdict holds; elsewhere a host whose bound reaches the threshold is blocked.
+    rules: (verdict, rule). The rule's verdict holds; elsewhere a host whose bound reaches `lift` times the share of all pages is blocked.
     """
     url = F.col("url")
     parsed = scratch(pages.select("page_id", url_host(url).alias("host"), url_path(url).alias("path")), "urls")
@@ -97,10 +110,10 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     known = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     counted = parsed.select("page_id", "host").join(known, "page_id", "left")
     hosts = counted.groupBy("host").agg(F.count("*").alias("pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    reputation = scratch(host_reputation(scratch(hosts, "hosts"), z).select("host", "pages", "share", "bound"), "reputation")
+    reputation = scratch(host_reputation(scratch(hosts, "hosts"), z).select("host", "pages", "share", "bound", "overall"), "reputation")
     judged = attach(parsed, reputation, "host", "pages", n_rows)
     rule = longest_rule(F.col("host"), F.col("path"), rules)
     said = F.create_map(*[F.lit(x) for verdict, r in rules for x in (r, verdict)]) if rules else F.lit(None).cast("map<string,string>")
     judged = judged.withColumn("rule", rule)
-    verdict = F.coalesce(F.element_at(said, F.coalesce("rule", F.lit(""))), F.when(F.col("bound") >= threshold, "block").otherwise("allow"))
+    verdict = F.coalesce(F.element_at(said, F.coalesce("rule", F.lit(""))), F.when(F.col("bound") >= lift * F.col("overall"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "share", "bound")
