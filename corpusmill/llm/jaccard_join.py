@@ -243,28 +243,30 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     return links
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node of the edges (hi, lo) is either a centre or has its centre as its only neighbour."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("hi").alias("node"), F.lit(1).alias("low")), F.struct(F.col("lo").alias("node"), F.lit(0).alias("low")))).alias("x")).groupBy("x.node").agg(F.sum("x.low").alias("up"), F.min("x.low").alias("low"))
+    return ends.where("up > 1 or up = 1 and low = 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of the edges (a, b): the smallest node reachable. Alternating large and small stars, until nothing changes."""
+    """(node, component) for every node of the edges (a, b): the smallest node reachable. Alternating large and small stars, until only stars are left."""
 
-    def least_neighbour(e: DataFrame, u: str, v: str) -> tuple[DataFrame, DataFrame, int]:
-        e = scratch(e.select(F.col(u).alias("u"), F.col(v).alias("v")), "star")
-        return e, scratch(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")), "least"), e.count()
+    def least_neighbour(e: DataFrame) -> DataFrame:
+        return scratch(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")), "least")
 
     e = scratch(edges.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
-    seen = None
-    while True:
-        state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
-        if state == seen:
-            return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(e.select("lo", "lo")).distinct()
-        seen = state
-        both = e.select("hi", "lo").union(e.select("lo", "hi")).toDF("u", "v")
-        both, least, n = least_neighbour(both, "u", "v")
-        large = attach(both, least, "u", "c", n).where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
-        large, other, n = least_neighbour(large, "hi", "lo")
-        small = attach(large, other, "u", "c", n).select(F.explode(F.array(F.struct(F.col("u").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("v").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*")
+    while not _are_stars(e):
+        both = e.select(F.explode(F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")), F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")))).alias("x")).select("x.*")
+        n = 2 * e.count()
+        least = least_neighbour(both)
+        large = scratch(attach(both, least, "u", "c", n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "star")
+        other = least_neighbour(large)
+        small = attach(large, other, "u", "c", n).select(F.explode(F.array(F.struct(F.col("u").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("v").alias("hi"), F.col("m").alias("lo")))).alias("x")).select("x.*")
         after = scratch(small.where("hi != lo").distinct(), "edges")
-        discard(e, both, least, large, other)
+        discard(e, least, large, other)
         e = after
+    return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(e.select("lo", "lo").distinct())
 
 
 def boundary_by_cost(nodes: DataFrame, shared: DataFrame, percent: int) -> int:
@@ -298,43 +300,31 @@ def _apart(shared: DataFrame, classes: DataFrame, boundary: int, percent: int) -
     return found
 
 
-def _exact_postings(docs: DataFrame, apart: DataFrame, k: int, percent: int, counts) -> DataFrame:
+def _exact_postings(docs: DataFrame, apart: DataFrame, k: int, percent: int) -> DataFrame:
     """Postings (token, node, n, i) of the nodes apart, in lists of two or more, in the order of their tokens' true counts among these nodes.
 
-    The order is by class, then count, then token. Tokens that are not frequent by the sketch and have an even hash make
-    the first class, all others the second one. A node whose prefix the first class fills leaves out the second.
+    Tokens counted once come first and make no list, so most nodes that merely quote the same passage meet nobody here.
     """
-    buckets = BUCKETS
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = counts.value
-        frequent = max(64, int(weight.mean() * 16))
         for batch in batches:
             for b in byte_slices(batch, "text"):
-                firsts, seconds, sizes, names = [], [], [], []
-                for s in shingle_sets(b["text"], k):
-                    one = ((s >> np.uint64(40)) & np.uint64(1) == 0) & (weight[(s & np.uint64(buckets - 1)).astype(np.int64)] < frequent)
-                    sizes.append(len(s))
-                    names.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
-                    firsts.append(s[one])
-                    seconds.append(s[~one] if one.sum() < prefix_length(len(s), percent) else s[:0])
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), _lists(firsts), _lists(seconds)], ["node", "set", "n", "first", "second"])
+                sets = shingle_sets(b["text"], k)
+                names = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["node", "set", "n", "tokens"])
 
     ids = scratch(apart.select(F.col("node").alias("doc_id")), "ids")
-    found = scratch(_rows_of(docs.select("doc_id", "text"), ids).mapInArrow(tokens, "node long, set long, n long, first array<long>, second array<long>"), "tokens")
-    sizes = ["node", "set", "n", F.size("first").alias("n_first")]
-    rows = found.select(*sizes, F.lit(1).alias("class"), F.explode("first").alias("token")).unionByName(found.select(*sizes, F.lit(2).alias("class"), F.explode("second").alias("token")))
+    found = scratch(_rows_of(docs.select("doc_id", "text"), ids).mapInArrow(tokens, "node long, set long, n long, tokens array<long>"), "tokens")
+    rows = found.select("node", "set", "n", F.explode("tokens").alias("token"))
     often = scratch(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "often")
-    total = found.agg(F.coalesce(F.sum(F.size("first") + F.size("second")), F.lit(0))).first()[0]
-    met = scratch(attach_some(rows, often, "token", "df", total), "met")
-    node = Window.partitionBy("node", "set")
-    rank = F.row_number().over(node.orderBy("class", "df", "token")) - 1
-    once = F.col("n_first") - F.count_if(F.col("class") == 1).over(node)
-    upto = F.sum(F.when(F.col("class") == 2, 1).otherwise(0)).over(node)
-    once = once + F.when(F.col("class") == 2, F.col("n") - F.col("n_first") - upto).otherwise(0)
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = attach_some(rows, often, "token", "df", total)
+    own = Window.partitionBy("node", "set")
+    once = F.col("n") - F.count("*").over(own)
+    rank = F.row_number().over(own.orderBy("df", "token")) - 1
     placed = met.select("token", "node", "n", (once + rank).cast("int").alias("i")).where(F.expr(f"i < n - ceil({percent} * n / 100) + 1"))
     postings = scratch(placed, "placed")
-    discard(ids, found, often, met)
+    discard(ids, found, often)
     return postings
 
 
@@ -371,13 +361,13 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     first = met.where((F.col("node") != F.col("pivot")) & some_heavy & _may_link("n", "i", "pn", "pi", percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     first = scratch(first.union(light).distinct(), "pairs")
     links = _verify(docs, scratch(_possible(first, nodes, percent), "possible"), k, percent)
+    counts.destroy()
     apart = _apart(shared.select("token", "node", "n", "i"), scratch(components(links), "classes"), boundary, percent)
-    listed = _roles(_exact_postings(docs, apart, k, percent, counts).join(apart, "node"), percent)
+    listed = _roles(_exact_postings(docs, apart, k, percent).join(apart, "node"), percent)
     sides = [listed.where("smaller" if x == "a" else "not smaller").select("group", *[F.col(c).alias(f"{c}_{x}") for c in ("token", "node", "n", "i", "component")]) for x in "ab"]
     near = (F.col("token_a") == F.col("token_b")) & (F.col("component_a") != F.col("component_b")) & (F.greatest("n_a", "n_b") > boundary) & _may_link("n_a", "i_a", "n_b", "i_b", percent)
     second = sides[0].join(sides[1], "group").where(near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     more = _verify(docs, scratch(_possible(scratch(second, "pairs"), nodes, percent), "possible"), k, percent)
-    counts.destroy()
     classes = components(links.union(more).union(_same_document(sets, owners)))
     named = owners.join(classes, "node", "left").select("key", "copies", F.coalesce("component", "node").alias("component_id"))
     known = attach(sets.where("key is not null"), scratch(named, "named"), "key", "copies", n_rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
