@@ -97,6 +97,19 @@ def rejected_urls(urls: DataFrame, url: str = "url", host: str = r"github\.com")
     return urls.where(F.col(url).isNull() | ~F.col(url).rlike(rf"(?i)^https?://{host}/[^/?#]+/[^/?#]+(?:[/?#].*)?$"))
 
 
+#: White space as Python's str knows it, spelled for Java and RE2 alike.
+SPACES = r"[ \t\n\r\f\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACES}|{SPACES}$", "")
+
+
+def one_line(text: Column) -> Column:
+    """The text with each run of white space as one space, without those at its ends."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
+
+
 def content_hash(text: Column) -> Column:
     """P9"""
     return F.sha2(text, 256)
@@ -120,8 +133,9 @@ def client_events(raw: DataFrame, payload: str = "payload") -> DataFrame:
     v = F.try_parse_json(payload)
     text = lambda name, default: F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit(default))
     number = F.when(F.schema_of_variant(F.variant_get(v, "$.duration_ms", "variant")).rlike("^(?:BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(v, "$.duration_ms", "double"))
+    metadata = F.coalesce(F.to_json(F.try_variant_get(v, "$.metadata", "variant")), F.lit("{}"))
     kept = raw.where(v.isNotNull())
-    return kept.select("*", text("event", "unknown").alias("event"), text("route", "").alias("route"), text("message", "").alias("message"), number.alias("duration_ms"))
+    return kept.select("*", text("event", "unknown").alias("event"), text("route", "").alias("route"), text("message", "").alias("message"), number.alias("duration_ms"), F.when(metadata == "null", "{}").otherwise(metadata).alias("metadata"))
 
 
 def rejected_events(raw: DataFrame, payload: str = "payload") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.functions.text import ascii_words, is_test_path
+from corpusmill.functions.text import ascii_words, is_test_path, normalize_language, stripped
+from corpusmill.sources.tables import durable
+
+TODO = ascii_words(r"(?i)\b(TODO|FIXME)\b")
 
 
 def language_breakdown(chunks: DataFrame) -> DataFrame:
@@ -19,7 +22,7 @@ def language_breakdown(chunks: DataFrame) -> DataFrame:
 
 def todo_count(chunks: DataFrame) -> DataFrame:
     """A2"""
-    return chunks.groupBy("repo_id").agg(F.sum(F.regexp_count("content", F.lit(ascii_words(r"(?i)\b(TODO|FIXME)\b")))).cast("long").alias("todo"))
+    return chunks.groupBy("repo_id").agg(F.sum(F.regexp_count("content", F.lit(TODO))).cast("long").alias("todo"))
 
 
 def long_chunks(chunks: DataFrame, lines: int = 50, most: int = 50) -> DataFrame:
@@ -44,13 +47,23 @@ def file_metrics(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("repo_id", "file_path").agg(F.count("*").alias("chunks"), F.sum(lines).alias("lines"), F.min_by("language", F.struct("start_line", "chunk_id")).alias("language"))
 
 
+def path_facts(chunks: DataFrame, lines: int = 50) -> DataFrame:
+    """What A6 and A8 need of the chunks of a path in one language: chars, chunks, marks of open work, long chunks. One pass over the contents."""
+    lang = F.lower(F.when(F.coalesce("language", F.lit("")) == "", "unknown").otherwise(F.col("language")))
+    length = F.col("end_line") - F.col("start_line") + 1
+    return chunks.groupBy("repo_id", "file_path", lang.alias("lang")).agg(F.sum(F.length("content")).alias("chars"), F.count("*").alias("chunks"), F.sum(F.regexp_count("content", F.lit(TODO))).alias("todo"), F.count_if(length > lines).alias("long"))
+
+
+def quality_of(facts: DataFrame, most_long: int = 50) -> DataFrame:
+    """A6 from path_facts."""
+    t = facts.groupBy("repo_id").agg(F.max(F.lower("file_path").endswith("readme.md")).alias("readme"), F.max(is_test_path(F.col("file_path"))).alias("tested"), F.coalesce(F.sum("todo"), F.lit(0)).alias("todo"), F.least(F.lit(most_long), F.sum("long")).alias("long"))
+    score = 100 - F.least(F.lit(30), F.col("todo")) - F.least(F.lit(30), 2 * F.col("long")) - F.when(F.col("tested"), 0).otherwise(20) + F.when(F.col("readme"), 5).otherwise(0)
+    return t.select("repo_id", F.least(F.lit(100), F.greatest(F.lit(0), score)).cast("long").alias("quality_score"))
+
+
 def quality_score(chunks: DataFrame, lines: int = 50) -> DataFrame:
     """100 less debt, between 0 and 100."""
-    base = chunks.groupBy("repo_id").agg(F.max(F.lower("file_path").endswith("readme.md")).alias("readme"), F.max(is_test_path(F.col("file_path"))).alias("tested"))
-    long = long_chunks(chunks, lines).groupBy("repo_id").agg(F.count("*").alias("long"))
-    all_of = base.join(todo_count(chunks), "repo_id").join(long, "repo_id", "left")
-    score = 100 - F.least(F.lit(30), F.col("todo")) - F.least(F.lit(30), 2 * F.coalesce("long", F.lit(0))) - F.when(F.col("tested"), 0).otherwise(20) + F.when(F.col("readme"), 5).otherwise(0)
-    return all_of.select("repo_id", F.least(F.lit(100), F.greatest(F.lit(0), score)).cast("long").alias("quality_score"))
+    return quality_of(path_facts(chunks, lines))
 
 
 def top_contributors(commits: DataFrame, most: int = 10) -> DataFrame:
@@ -60,28 +73,63 @@ def top_contributors(commits: DataFrame, most: int = 10) -> DataFrame:
     return counted.withColumn("nth", nth).where(F.col("nth") <= most)
 
 
-def architecture_facts(chunks: DataFrame) -> DataFrame:
-    """Top language, counts, first five paths and the sentence made of them."""
-    top = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("chars"), "lang"))
-    lang = language_breakdown(chunks).withColumn("nth", top).where("nth = 1").select("repo_id", F.col("lang").alias("top_language"))
+def architecture_of(facts: DataFrame, repositories: DataFrame) -> DataFrame:
+    """A8 from a stored table of path_facts. The sentences are fixed values."""
+    langs = facts.groupBy("repo_id", "lang").agg(F.sum("chars").alias("chars"))
+    lang = langs.groupBy("repo_id").agg(F.min_by("lang", F.struct(-F.col("chars"), "lang")).alias("top_language"))
+    paths = facts.groupBy("repo_id", "file_path").agg(F.sum("chunks").alias("chunks"))
     nth = F.row_number().over(Window.partitionBy("repo_id").orderBy("file_path"))
-    paths = chunks.groupBy("repo_id", "file_path").agg(F.count("*").alias("c")).withColumn("nth", nth)
-    facts = paths.groupBy("repo_id").agg(F.count("*").alias("files"), F.sum("c").alias("chunks"), F.array_sort(F.collect_list(F.when(F.col("nth") <= 5, F.col("file_path")))).alias("p"))
-    text = F.format_string("Primary language: %s. Files: %d. Chunks: %d.", "top_language", "files", "chunks")
-    return facts.join(lang, "repo_id").select("repo_id", "top_language", "files", "chunks", F.array_join("p", ",").alias("first_paths"), text.alias("summary"))
-
-
-def repo_summary_facets(results: DataFrame) -> DataFrame:
-    """From the top 8 paths of each question, at most five module roots in order of rank."""
-    parts = F.split("file_path", "/")
-    nested = parts[0].isin("src", "app", "lib", "packages") & (F.size(parts) > 2)
-    root = F.when(nested, F.concat_ws("/", parts[0], parts[1])).otherwise(parts[0])
-    roots = results.where("rank <= 8").groupBy("query_id", root.alias("module")).agg(F.min("rank").alias("first"))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("first"))
-    return roots.withColumn("nth", nth).where("nth <= 5").select("query_id", "module", "nth")
+    first = paths.select("repo_id", "file_path").withColumn("nth", nth).where("nth <= 5").groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_list("file_path")), ", ").alias("first_paths"))
+    out = paths.groupBy("repo_id").agg(F.count("*").alias("files"), F.sum("chunks").alias("chunks")).join(lang, "repo_id").join(first, "repo_id").join(repositories.select("repo_id", "full_name", "default_branch"), "repo_id")
+    text = F.format_string(
+        "Repository %s (branch %s) is primarily %s. The parse/index stage identified %d source files and %d chunks. Representative paths include: %s. "
+        "This summary is generated from structural chunk metadata and should be refined with LLM synthesis in later stages.",
+        "full_name", "default_branch", "top_language", "files", "chunks", "first_paths",
+    )
+    return out.select("repo_id", "top_language", "files", "chunks", "first_paths", text.alias("summary"))
+
+
+def architecture_facts(chunks: DataFrame, repositories: DataFrame) -> DataFrame:
+    """Top language, counts, first five paths and the summary made of them; repositories: repo_id, full_name, default_branch."""
+    return architecture_of(durable(path_facts(chunks), "path-facts"), repositories)
+
+
+def _named_hints(found: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in found.items()]))
+
+
+def repo_summary_facets(results: DataFrame, most: int = 8) -> DataFrame:
+    """Of each question, module roots, languages, output hints and flow hints of its first results. Hints are fixed values."""
+    name = normalize_language(F.col("language"))
+    known = (F.col("rank") <= most) & (F.coalesce("file_path", F.lit("")) != "")
+    t = results.groupBy("query_id", "repo_id").agg(F.array_sort(F.collect_list(F.when(known, F.struct("rank", "file_path")))).alias("p"), F.array_sort(F.collect_list(F.when(name.isNotNull(), F.struct("rank", name.alias("name"))))).alias("l"))
+    t = t.select("query_id", "repo_id", F.transform("p", lambda x: x["file_path"]).alias("paths"), F.array_distinct(F.transform("l", lambda x: x["name"])).alias("languages"))
+
+    def module(path: Column) -> Column:
+        parts = F.filter(F.split(path, "/"), lambda p: p != "")
+        root = stripped(F.get(parts, F.lit(0)))
+        nested = root.isin("src", "app", "lib", "packages") & (F.size(parts) > 1)
+        return F.when(nested, F.concat(root, F.lit("/"), stripped(F.get(parts, F.lit(1))))).otherwise(root)
+
+    low = F.transform("paths", F.lower)
+    modules = F.slice(F.array_distinct(F.filter(F.transform("paths", module), lambda m: m != "")), 1, 5)
+    first = lambda word: F.array_position(F.transform(low, lambda p: p.contains(word)), F.lit(True))
+    media = F.array(*[F.struct(first(word).alias("at"), F.lit(i).alias("nth"), F.lit(label).alias("name")) for i, (word, label) in enumerate((("gif", "GIF"), ("webp", "WebP"), ("dataurl", "data URL")))])
+    media = F.transform(F.array_sort(F.filter(media, lambda m: m["at"] > 0)), lambda m: m["name"])
+    ends = lambda *suffixes: F.exists(low, lambda p: p.rlike("(?:" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
+    holds = lambda *words: F.exists(low, lambda p: p.rlike("|".join(w.replace(".", r"\.") for w in words)))
+    views = _named_hints({"web UI views": ends(".html", ".tsx", ".jsx", ".vue", ".svelte"), "structured config/data": ends(".json", ".yaml", ".yml")})
+    flows = _named_hints({
+        "CLI entrypoint receives arguments": holds("cli", "argparse", "typer"),
+        "request handlers call service modules": holds("api", "route", "controller"),
+        "UI components render feature views": holds("component", "react", ".tsx$"),
+        "core modules execute main business logic": holds("service", "core", "engine"),
+    })
+    return t.select("query_id", "repo_id", modules.alias("modules"), "languages", F.concat(media, views).alias("outputs"), F.slice(flows, 1, 3).alias("flows"))
 
 
 def analyze_repos(chunks: DataFrame, repositories: DataFrame) -> DataFrame:
-    """A10: one result for each repository; one without chunks fails with NO_CHUNKS."""
-    done = quality_score(chunks).join(architecture_facts(chunks), "repo_id")
+    """A10: one result for each repository; one without chunks fails with NO_CHUNKS. The contents are read once."""
+    facts = durable(path_facts(chunks), "path-facts")
+    done = quality_of(facts).join(architecture_of(facts, repositories), "repo_id")
     return repositories.select("repo_id").join(done, "repo_id", "left").select("repo_id", "quality_score", "summary", F.when(F.col("summary").isNull(), "NO_CHUNKS").alias("error_code"))

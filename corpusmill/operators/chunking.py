@@ -1,10 +1,9 @@
-"""Chunking (C1-C4): line windows in closed form, and definition boundaries found by windows over a table of lines."""
+"""Chunking (C1-C4): line windows in closed form, and definition boundaries, all within the row of a file."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusmill.functions.text import language_tag, split_lines
 
@@ -27,17 +26,36 @@ def window_count(n: Column, size: int, step: int) -> Column:
     return F.when(n <= size, 1).otherwise(1 + F.ceil((n - size) / step)).cast("int")
 
 
+def _pieces(spans: Column, size: int, step: int) -> Column:
+    """array<struct<start_line,end_line,content>>: spans (first, last) of the column `lines`, cut into windows, with their texts. Linear in the file."""
+
+    def windows(s: Column) -> Column:
+        nth = F.sequence(F.lit(0), window_count(s["last"] - s["first"] + 1, size, step) - 1)
+        return F.transform(nth, lambda k: F.struct((s["first"] + k * step).cast("int").alias("a"), F.least(s["first"] + k * step + size - 1, s["last"]).cast("int").alias("z")))
+
+    text = lambda w: F.array_join(F.slice("lines", w["a"], w["z"] - w["a"] + 1), "\n")
+    return F.transform(F.flatten(F.transform(spans, windows)), lambda w: F.struct(w["a"].alias("start_line"), w["z"].alias("end_line"), text(w).alias("content")))
+
+
+def _chunks(files: DataFrame, pieces: Column) -> DataFrame:
+    cut = files.select("repo_id", "file_path", "language", F.explode(pieces).alias("c")).select("repo_id", "file_path", "c.*", "language")
+    return cut.withColumn("chunk_id", chunk_id(F.col("repo_id"), F.col("file_path"), F.col("start_line"), F.col("end_line")))
+
+
+def _lined(files: DataFrame) -> DataFrame:
+    return files.select("repo_id", "file_path", language_tag(F.col("file_path")).alias("language"), split_lines(F.col("content")).alias("lines"))
+
+
+def _whole() -> Column:
+    one = F.array(F.struct(F.lit(1).alias("first"), F.size("lines").alias("last")))
+    return F.when(F.size("lines") > 0, one).otherwise(F.slice(one, 1, 0))
+
+
 def line_window_chunks(files: DataFrame, size: int = 120, overlap: int = 20) -> DataFrame:
     """Windows of `size` lines, each sharing `overlap` with the last; blank windows stay."""
     if size <= overlap:
         raise ValueError("INVALID_CHUNK_CONFIG")
-    step = size - overlap
-    cut = files.withColumn("lines", split_lines(F.col("content"))).withColumn("n", F.size("lines")).where("n > 0")
-    cut = cut.withColumn("i", F.explode(F.sequence(F.lit(0), window_count(F.col("n"), size, step) - 1)))
-    start = F.col("i") * step + 1
-    cut = cut.withColumn("start_line", start).withColumn("end_line", F.least(start + size - 1, F.col("n")))
-    text = F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    return cut.select("repo_id", "file_path", "start_line", "end_line", text.alias("content"), language_tag(F.col("file_path")).alias("language"), chunk_id(F.col("repo_id"), F.col("file_path"), F.col("start_line"), F.col("end_line")).alias("chunk_id"))
+    return _chunks(_lined(files), _pieces(_whole(), size, size - overlap))
 
 
 def window_spans(spans: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -49,35 +67,49 @@ def window_spans(spans: DataFrame, size: int, overlap: int) -> DataFrame:
     return cut.withColumn("start_line", start.cast("int")).withColumn("end_line", F.least(start + size - 1, F.col("last")).cast("int")).drop("i")
 
 
-def line_table(files: DataFrame) -> DataFrame:
-    return files.withColumn("language", language_tag(F.col("file_path"))).select("repo_id", "file_path", "language", F.posexplode(split_lines(F.col("content"))).alias("pos", "line")).withColumn("line_no", F.col("pos") + 1)
+def _definition_spans() -> Column:
+    """Spans (first, last) of the column `lines` by `language`: a span opens at a definition, or where other code at column 0 follows one."""
+
+    def kind(line: Column) -> Column:
+        starts = F.lit(False)
+        for lang, pattern in DEFINITIONS.items():
+            starts = F.when(F.col("language") == lang, line.rlike(pattern)).otherwise(starts)
+        at0 = line.rlike(r"^\S") & ~line.rlike(r"^(?:[}\])]|end\b|#)")
+        return F.when(starts, "definition").when(at0, "gap")
+
+    marked = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), kind(x).alias("kind"))), lambda m: m["kind"].isNotNull())
+
+    def opening(own: Column) -> Column:
+        before = lambda i: F.coalesce(F.when(i > 0, F.get(own, i - 1)["kind"]), F.lit("gap"))
+        opens = F.filter(own, lambda m, i: (m["kind"] == "definition") | (before(i) == "definition"))
+        return F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(opens, lambda m: m["at"])))
+
+    def spans(starts: Column) -> Column:
+        return F.transform(starts, lambda a, i: F.struct((a + 1).alias("first"), F.coalesce(F.get(starts, i + 1), F.size("lines")).alias("last")))
+
+    # one element binds an array to a lambda variable, so that it is computed once for a file
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    found = once(once(marked, opening), spans)
+    return F.when(F.col("language").isin(*DEFINITIONS) & (F.size("lines") > 0), found).otherwise(F.slice(found, 1, 0))
+
+
+def _definition_pieces(size: int, overlap: int) -> Column:
+    step = size - overlap if overlap < size else size
+    return F.filter(_pieces(_definition_spans(), size, step), lambda c: c["content"].rlike(r"\S"))
 
 
 def definition_chunks(files: DataFrame, size: int = 120, overlap: int = 20) -> DataFrame:
     """Top-level definitions whole, what lies between them as gaps, long spans cut; blank pieces go.
 
     A definition starts at a column-0 line of its language's pattern; any other column-0 line that is not blank and closes
-    nothing starts a gap. Windows are bounded by one file.
+    nothing starts a gap. All in the row: no shuffle.
     """
-    lines = line_table(files).where(F.col("language").isin(*DEFINITIONS))
-    starts = F.lit(False)
-    for lang, pattern in DEFINITIONS.items():
-        starts = F.when(F.col("language") == lang, F.col("line").rlike(pattern)).otherwise(starts)
-    at0 = F.col("line").rlike(r"^\S") & ~F.col("line").rlike(r"^(?:[}\])]|end\b|#)")
-    ordered = Window.partitionBy("repo_id", "file_path").orderBy("line_no")
-    kind = F.when(starts, "definition").when(at0, "gap")
-    marked = lines.withColumn("kind", kind).withColumn("kind", F.coalesce("kind", F.last("kind", True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit("gap")))
-    opens = (starts | (F.coalesce(F.lag("kind").over(ordered), F.lit("")) != F.col("kind"))).cast("int")
-    spans = marked.withColumn("span", F.sum(opens).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = spans.groupBy("repo_id", "file_path", "language", "span").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"))
-    cut = window_spans(spans, size, overlap)
-    text = files.select("repo_id", "file_path", split_lines(F.col("content")).alias("lines"))
-    out = cut.join(text, ["repo_id", "file_path"]).withColumn("content", F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n"))
-    return out.where(F.col("content").rlike(r"\S")).select("repo_id", "file_path", "start_line", "end_line", "content", "language", chunk_id(F.col("repo_id"), F.col("file_path"), F.col("start_line"), F.col("end_line")).alias("chunk_id"))
+    return _chunks(_lined(files), _definition_pieces(size, overlap))
 
 
 def chunk_files(files: DataFrame, size: int = 120, overlap: int = 20) -> DataFrame:
     """C4: definition chunks where the language has them and they yield something, else line windows."""
-    defined = definition_chunks(files, size, overlap)
-    rest = files.join(defined.select("repo_id", "file_path").distinct(), ["repo_id", "file_path"], "left_anti")
-    return defined.unionByName(line_window_chunks(rest, size, overlap))
+    if size <= overlap:
+        raise ValueError("INVALID_CHUNK_CONFIG")
+    cut = _lined(files).withColumn("defined", _definition_pieces(size, overlap))
+    return _chunks(cut, F.when(F.size("defined") > 0, F.col("defined")).otherwise(_pieces(_whole(), size, size - overlap)))

@@ -13,33 +13,28 @@ SECURITY_PATTERNS = {
     "auth": r"\bauth(?:enticat|oriz)?", "token": r"\btokens?\b", "jwt": r"\bjwt\b", "oauth": r"\boauth\b", "password": r"\bpass(?:word|wd)\b", "secret": r"\bsecret\b", "credential": r"\bcredential",
     "api_key": r"\bapi[_-]?key\b", "env": r"\.env\b|\bENV\[|os\.environ", "crypto": r"\b(?:encrypt|decrypt|hash|hmac|bcrypt|sha256)\b",
 }
-HEADER = r"^diff --git a/(.*) b/(.*)$"
-
-
-def diff_lines(diffs: DataFrame) -> DataFrame:
-    lines = diffs.select("repo_id", "head_sha", F.posexplode(F.split("diff_text", "\n")).alias("pos", "line"))
-    ordered = Window.partitionBy("repo_id", "head_sha").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn("file_no", F.sum(F.col("line").rlike(HEADER).cast("int")).over(ordered)).where("file_no > 0")
+HEADER = r"^diff --git a/(.+?) b/(.+)$"
+_START = r"(?dm)(?=^diff --git a/.+? b/.+$)"
+_HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 
 
 def diff_files(diffs: DataFrame, most_lines: int = 200) -> DataFrame:
-    """One record for each file of a diff, with its hunks and first added lines."""
-    line = F.col("line")
-    status = F.when(line.startswith("new file mode"), "added").when(line.startswith("deleted file mode"), "deleted").when(line.startswith("rename from") | line.startswith("rename to"), "renamed")
-    added, removed = line.startswith("+") & ~line.startswith("+++"), line.startswith("-") & ~line.startswith("---")
-    hunk = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
-    start, count = F.regexp_extract(line, hunk, 1).try_cast("int"), F.coalesce(F.regexp_extract(line, hunk, 2).try_cast("int"), F.lit(1))
-    path = F.when(line.startswith("+++ b/"), F.substring(line, 7, 1 << 30)).when(line.rlike(HEADER), F.regexp_extract(line, HEADER, 2))
-    per = diff_lines(diffs).groupBy("repo_id", "head_sha", "file_no").agg(
-        F.max_by(path, F.when(path.isNotNull(), F.col("pos"))).alias("path"),
-        F.min_by(F.regexp_extract(line, HEADER, 1), "pos").alias("old_path"),
-        F.coalesce(F.max_by(status, F.when(status.isNotNull(), F.col("pos"))), F.lit("modified")).alias("status"),
-        F.count_if(added).alias("added"), F.count_if(removed).alias("removed"),
-        F.array_sort(F.collect_list(F.when(start.isNotNull(), F.struct(F.col("pos"), start.alias("first"), (start + F.greatest(count, F.lit(1)) - 1).alias("last"))))).alias("hunks"),
-        F.array_sort(F.collect_list(F.when(added, F.struct(F.col("pos"), F.substring(line, 2, 1 << 30).alias("text"))))).alias("plus"),
+    """One record for each file of a diff, with its hunks and first added lines. All in the row: no shuffle."""
+    parts = F.filter(F.split("diff_text", _START), lambda p: p.startswith("diff --git a/") & p.rlike("(?dm)" + HEADER))
+    files = diffs.select("repo_id", "head_sha", F.posexplode(parts).alias("nth", "part")).select("repo_id", "head_sha", F.col("nth") + 1, F.split("part", "\n").alias("lines")).toDF("repo_id", "head_sha", "file_no", "lines")
+    header = F.get("lines", F.lit(0))
+    renamed = F.try_element_at(F.filter("lines", lambda x: x.startswith("+++ b/")), F.lit(-1))
+    status = lambda x: F.when(x.startswith("new file mode"), "added").when(x.startswith("deleted file mode"), "deleted").when(x.startswith("rename from") | x.startswith("rename to"), "renamed")
+    plus = F.filter("lines", lambda x: x.startswith("+") & ~x.startswith("+++"))
+    minus = F.filter("lines", lambda x: x.startswith("-") & ~x.startswith("---"))
+    start = lambda x: F.regexp_extract(x, _HUNK, 1).try_cast("int")
+    count = lambda x: F.coalesce(F.regexp_extract(x, _HUNK, 2).try_cast("int"), F.lit(1))
+    hunks = F.transform(F.filter("lines", lambda x: x.startswith("@@ ") & start(x).isNotNull()), lambda x: F.struct(start(x).alias("start"), (start(x) + F.greatest(count(x), F.lit(1)) - 1).alias("end")))
+    return files.select(
+        "repo_id", "head_sha", F.col("file_no").cast("long").alias("file_no"), F.coalesce(F.substring(renamed, 7, 1 << 30), F.regexp_extract(header, HEADER, 2)).alias("path"), F.regexp_extract(header, HEADER, 1).alias("old_path"),
+        F.coalesce(F.try_element_at(F.array_compact(F.transform("lines", status)), F.lit(-1)), F.lit("modified")).alias("status"), F.size(plus).cast("long").alias("added"), F.size(minus).cast("long").alias("removed"),
+        hunks.alias("hunks"), F.transform(F.slice(plus, 1, most_lines), lambda x: F.substring(x, 2, 1 << 30)).alias("added_lines"),
     )
-    texts = F.transform(F.slice("plus", 1, most_lines), lambda x: x["text"])
-    return per.select("repo_id", "head_sha", "file_no", "path", "old_path", "status", "added", "removed", F.transform("hunks", lambda h: F.struct(h["first"].alias("start"), h["last"].alias("end"))).alias("hunks"), texts.alias("added_lines"))
 
 
 def security_touches(files: DataFrame) -> DataFrame:
@@ -69,12 +64,15 @@ def commit_report(files: DataFrame, impacted: DataFrame) -> DataFrame:
     return out.select("repo_id", "head_sha", "changed", "added", "removed", F.coalesce("flagged", F.lit(0)).cast("long").alias("flagged"), F.coalesce("impacted", F.lit(0)).cast("long").alias("impacted"))
 
 
-def diff_fallback_answer(files: DataFrame) -> DataFrame:
-    """Sorted categories of a diff, and the sentence that stands in for a model's answer."""
-    names = security_touches(files).select("repo_id", "head_sha", F.explode("categories").alias("c")).groupBy("repo_id", "head_sha").agg(F.array_sort(F.collect_set("c")).alias("categories"))
-    nth = F.row_number().over(Window.partitionBy("repo_id", "head_sha").orderBy("file_no"))
-    first = files.withColumn("n", nth).where("n <= 8").groupBy("repo_id", "head_sha").agg(F.array_sort(F.collect_list(F.struct("n", "path"))).alias("p"))
-    out = first.join(names, ["repo_id", "head_sha"], "left")
+def diff_fallback_answer(diffs: DataFrame, files: DataFrame) -> DataFrame:
+    """Sorted categories of a diff, and the sentence that stands in for a model's answer. The sentence is a fixed value."""
+    keys = ["repo_id", "head_sha"]
+    names = security_touches(files).select(*keys, F.explode("categories").alias("c")).groupBy(*keys).agg(F.array_sort(F.collect_set("c")).alias("categories"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("file_no"))
+    first = files.withColumn("n", nth).where("n <= 8").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "path"))).alias("p"))
+    out = diffs.select(*keys).distinct().join(first, keys, "left").join(names, keys, "left")
     some = F.coalesce(F.array_join("categories", ", "), F.lit(""))
-    text = F.concat(F.lit("Commit "), F.substring("head_sha", 1, 10), F.lit(" changes "), F.array_join(F.transform("p", lambda x: x["path"]), ", "), F.when(some != "", F.concat(F.lit("; security areas: "), some)).otherwise(""), F.lit("."))
-    return out.select("repo_id", "head_sha", some.alias("categories"), text.alias("answer"))
+    touched = F.coalesce(F.nullif(F.array_join(F.transform("p", lambda x: x["path"]), ", "), F.lit("")), F.lit("no files"))
+    note = F.when(some != "", F.concat(F.lit(" Security-sensitive areas: "), some, F.lit("."))).otherwise("")
+    text = F.concat(F.lit("This commit ("), F.substring("head_sha", 1, 10), F.lit(") changed: "), touched, F.lit("."), note)
+    return out.select(*keys, some.alias("categories"), text.alias("answer"))

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from corpusmill.functions.text import stripped
+from corpusmill.sources.tables import durable
 
 BUCKETS = (1, 5, 10, 30, 60, 120, 300)
 METRICS = ("relevance", "correctness", "precision", "recall")
@@ -21,15 +25,28 @@ def label_counters(samples: DataFrame, labels: list[str], empty: str = "unknown"
     return samples.groupBy(*named).agg(F.count("*").alias("n"))
 
 
-def nearest_rank(value: str, percent: float) -> Column:
-    """sorted[ceil(p/100 n) - 1]; null where there is none."""
-    return F.expr(f"percentile_disc({percent / 100}) within group (order by {value})")
+def nearest_rank(rows: DataFrame, value: str, percents: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., percent, value): sorted[ceil(p/100 n) - 1] of each group, nulls left out; a group without values has no row.
+
+    Counts by value are sorted by ranges; a rank is looked up in the one range that holds it, so no task buffers a group.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    placed = durable(counts.repartitionByRange(*by, "value").withColumn("part", F.spark_partition_id()), "ranges")
+    group = Window.partitionBy(*by, F.lit(0))
+    parts = placed.groupBy(*by, "part").agg(F.sum("n").alias("n"))
+    parts = parts.withColumn("start", F.coalesce(F.sum("n").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(group))
+    asked = parts.withColumn("percent", F.explode(F.array(*[F.lit(float(p)) for p in percents]))).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("percent") * F.col("total") / 100)))
+    asked = asked.where("start < rank and rank <= start + n").drop("n", "total")
+    within = Window.partitionBy(*by, "part", "percent").orderBy("value")
+    found = placed.join(asked, [*by, "part"]).withColumn("upto", F.col("start") + F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return found.where("upto >= rank and upto - n < rank").select(*by, "percent", "value")
 
 
 def sla_report(runs: DataFrame, analysis_target: float = 180, token_target: float = 1000) -> DataFrame:
     """p50 and p95 of analysis seconds of done runs, and of first-token times, against their targets."""
-    p = lambda what, cond, q: F.expr(f"percentile_disc({q}) within group (order by {what}) filter (where {cond})")
-    t = runs.agg(p("seconds", "status = 'done'", 0.5).alias("analysis_p50"), p("seconds", "status = 'done'", 0.95).alias("analysis_p95"), p("token_ms", "token_ms is not null", 0.5).alias("token_p50"), p("token_ms", "token_ms is not null", 0.95).alias("token_p95"))
+    seconds = nearest_rank(runs.where("status = 'done'"), "seconds", (50, 95)).withColumn("what", F.lit("analysis"))
+    both = seconds.unionByName(nearest_rank(runs, "token_ms", (50, 95)).withColumn("what", F.lit("token")))
+    t = both.agg(*[F.max(F.when((F.col("what") == what) & (F.col("percent") == p), F.col("value"))).alias(f"{what}_p{p}") for what in ("analysis", "token") for p in (50, 95)])
     return t.select("*", (F.col("analysis_p95") < analysis_target).alias("analysis_ok"), (F.col("token_p95") < token_target).alias("token_ok"))
 
 
@@ -55,23 +72,32 @@ def run_delta(metrics: DataFrame) -> DataFrame:
     return t.select("metric", "baseline", "candidate", F.bround(F.col("candidate") - F.col("baseline"), 3).alias("delta"))
 
 
-#: Labels of a summary's sections, and phrases that a good answer doesn't hold.
-SECTIONS = ("purpose", "core modules", "runtime flow", "output", "languages")
-NOISE = ("as an ai", "i cannot", "lorem ipsum", "todo")
+#: Labels of a summary's sections, and phrases of its noise.
+SECTIONS = ("Purpose", "Core modules", "Runtime flow", "Output formats", "Primary languages")
+NOISE = ("parse/index stage identified", "representative paths include")
+#: The start of a bullet that has some text; lines end at a line feed alone.
+BULLET = r"(?dm)^\s*[-*] [^\S\r\n]*\S"
+
+
+def has_section(text: Column, label: str) -> Column:
+    """Whether a bullet of the text has that label, plain or bold, before a colon."""
+    return text.rlike(rf"(?idm)^\s*[-*]\s*(?:{label}|\*\*{label}\*\*)\s*:")
 
 
 def chat_quality(answers: DataFrame) -> DataFrame:
     """Score and flags of each answer; passed from 3 points on without flags."""
-    text = F.coalesce("answer", F.lit(""))
-    low = F.lower(text)
-    bullets = F.regexp_count(text, F.lit(r"(?m)^[ \t]*[-*] "))
-    sections = sum((low.contains(s).cast("int") for s in SECTIONS), F.lit(0))
-    noisy = low.rlike("|".join(NOISE))
-    blank, bare = F.trim(text) == "", F.col("citation_count") <= 0
-    summary = F.col("intent") == "summary"
-    shaped = (bullets >= 4) & (sections >= 5)
-    score = F.when(blank, 0).otherwise(1) + F.when(bare, 0).otherwise(1) + F.when(summary, F.when(shaped, 2).otherwise(0) + F.when(noisy, 0).otherwise(1)).otherwise(F.when(F.length(text) >= 40, 1).otherwise(0))
-    flags = F.array_compact(F.array(F.when(blank, "empty_answer"), F.when(bare, "no_citations"), F.when(summary & ~shaped, "weak_structure"), F.when(summary & noisy, "noise")))
+    text = stripped(F.col("answer"))
+    blank, bare = text == "", F.coalesce(F.col("citation_count") <= 0, F.lit(True))
+    summary = F.lower(F.coalesce("intent", F.lit("general"))) == "summary"
+    shaped = F.regexp_count(text, F.lit(BULLET)) >= 4
+    for label in SECTIONS:
+        shaped = shaped & has_section(text, label)
+    noisy = text.rlike("(?i)" + "|".join(NOISE))
+    short = F.length(text) < 40
+    one = lambda cond: F.when(cond, 1).otherwise(0)
+    score = one(~blank) + one(~bare) + F.when(summary, 2 * one(shaped) + one(~noisy)).otherwise(one(~short))
+    named = {"empty_answer": blank, "missing_citations": bare, "summary_structure_incomplete": summary & ~shaped, "summary_noise_phrase": summary & noisy, "answer_too_short": ~summary & short}
+    flags = F.array_compact(F.array(*[F.when(cond, name) for name, cond in named.items()]))
     return answers.select("answer_id", score.alias("score"), F.array_join(flags, ",").alias("flags"), ((score >= 3) & (F.size(flags) == 0)).alias("passed"))
 
 

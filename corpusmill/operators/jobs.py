@@ -48,13 +48,25 @@ def due_jobs(jobs: DataFrame, repositories: DataFrame, now: Column, most: int =
     return ready.withColumn("nth", nth).where(F.col("nth") <= most).select("stage", "nth", "job_id", "repo_id")
 
 
+def is_retriable(stage: Column, code: Column) -> Column:
+    return code.endswith("TIMEOUT") | ((stage == "embedding") & (code == "EMBED_UPSERT_FAILED")) | ((stage == "parsing") & code.isin("CLONE_FAILED", "CLONE_TIMEOUT")) | code.startswith("UNEXPECTED_")
+
+
 def route_failures(failures: DataFrame, now: Column, most_retries: int = 3, base_seconds: int = 30) -> DataFrame:
-    """Retriable failures go back to their stage with exponential delay, others fail for good."""
-    code, stage = F.col("error_code"), F.col("stage")
-    retriable = code.endswith("TIMEOUT") | ((stage == "embedding") & (code == "EMBED_UPSERT_FAILED")) | ((stage == "parsing") & code.isin("CLONE_FAILED", "CLONE_TIMEOUT")) | code.startswith("UNEXPECTED_")
-    again = retriable & (F.col("retry_count") < most_retries)
+    """Retriable failures go back to their stage with exponential delay, others fail for good (see dead_letters). progress is null where it stays."""
+    again = is_retriable(F.col("stage"), F.col("error_code")) & (F.col("retry_count") < most_retries)
     delay = F.make_interval(secs=(base_seconds * F.pow(F.lit(2), "retry_count")).cast("decimal(18,6)"))
-    return failures.select("job_id", F.when(again, stage).otherwise("failed").alias("status"), F.when(again, F.col("retry_count") + 1).otherwise(F.col("retry_count")).cast("long").alias("retry_count"), F.when(again, now + delay).alias("next_retry_at"), (~again).alias("dead_letter"))
+    message = F.concat("error_code", F.lit(": "), "message")
+    return failures.select(
+        "job_id", F.when(again, F.col("stage")).otherwise("failed").alias("status"), F.when(~again, 100).alias("progress"), message.alias("error_message"), (F.col("retry_count") + F.when(again, 1).otherwise(0)).cast("long").alias("retry_count"),
+        F.when(again, now + delay).alias("next_retry_at"), F.when(~again, now).alias("completed_at"), (~again).alias("dead_letter"),
+    )
+
+
+def dead_letters(failures: DataFrame, most_retries: int = 3) -> DataFrame:
+    """The rows of failures that are not tried again, with the attempts made."""
+    again = is_retriable(F.col("stage"), F.col("error_code")) & (F.col("retry_count") < most_retries)
+    return failures.where(~again).select("job_id", "repo_id", "stage", "error_code", F.col("message").alias("error_message"), F.col("retry_count").cast("long").alias("attempt_count"))
 
 
 def dedupe_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -111,10 +123,25 @@ def dashboard(repositories: DataFrame, results: DataFrame) -> DataFrame:
 def complete_jobs(jobs: DataFrame, finished: DataFrame, now: Column) -> DataFrame:
     """Jobs with the finished ones done."""
     out = jobs.join(finished.select("job_id", F.lit(True).alias("f")), "job_id", "left")
-    return out.select("job_id", "repo_id", F.when(F.col("f"), "done").otherwise(F.col("status")).alias("status"), F.when(F.col("f"), 100).otherwise(F.col("progress")).cast("int").alias("progress"), F.when(F.col("f"), now).alias("completed_at"))
+    return out.select("job_id", "repo_id", F.when(F.col("f"), "done").otherwise(F.col("status")).alias("status"), F.when(F.col("f"), 100).otherwise(F.col("progress")).cast("int").alias("progress"), F.when(F.col("f"), None).otherwise(F.col("error_message")).alias("error_message"), F.when(F.col("f"), now).alias("completed_at"))
+
+
+def mark_analyzed(repositories: DataFrame, jobs: DataFrame, finished: DataFrame, now: Column) -> DataFrame:
+    """Repositories (repo_id, last_analyzed_at) of finished jobs get the same instant as those jobs."""
+    done = jobs.join(finished.select("job_id"), "job_id", "left_semi").select("repo_id").distinct().withColumn("f", F.lit(True))
+    return repositories.join(done, "repo_id", "left").withColumn("last_analyzed_at", F.when(F.col("f"), now).otherwise(F.col("last_analyzed_at"))).drop("f")
+
+
+def valid_tokens(tokens: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """Whether a share token that is asked for (share_id, repo_id) can be used, or why not."""
+    known = tokens.select("share_id", F.col("repo_id").alias("own"), "revoked_at", "expires_at")
+    out = asked.join(known, "share_id", "left")
+    invalid = ~F.coalesce(F.col("own") == F.col("repo_id"), F.lit(False))
+    state = F.when(invalid, "invalid").when(F.col("revoked_at").isNotNull(), "revoked").when(F.col("expires_at") <= now, "expired").otherwise("valid")
+    return out.select("share_id", "repo_id", state.alias("state"))
 
 
-def valid_tokens(tokens: DataFrame, now: Column) -> DataFrame:
-    """Why a share token can be used or not."""
-    state = F.when(F.col("revoked_at").isNotNull(), "revoked").when(F.col("expires_at") <= now, "expired").otherwise("valid")
-    return tokens.select("share_id", "repo_id", state.alias("state"))
+def share_expiry(ttl_days: Column, now: Column, default: int = 7) -> Column:
+    """When a new share token expires; null if its days are not from 1 to 30."""
+    days = F.coalesce(ttl_days, F.lit(default))
+    return F.when(days.between(1, 30), now + F.make_interval(days=days))

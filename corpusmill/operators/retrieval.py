@@ -15,10 +15,18 @@ STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "i
 
 
 def build_lexical_index(chunks: DataFrame) -> DataFrame:
-    """(repo_id, term, chunk_id, positions) over path and content. One row's positions are bounded by its chunk."""
+    """(repo_id, term, chunk_id, positions) over path and content. A chunk's positions are sorted and cut by term in its row: no shuffle."""
     text = F.concat(F.coalesce("file_path", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
-    spread = chunks.select("repo_id", "chunk_id", F.posexplode(all_tokens(text)).alias("pos", "term"))
-    return spread.groupBy("repo_id", "term", "chunk_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  binds an array, so that it is computed once for a row
+    placed = F.sort_array(F.transform(all_tokens(text), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+
+    def by_term(words: Column) -> Column:
+        first = F.filter(F.transform(words, lambda w, i: F.when((i == 0) | (F.get(words, i - 1)["term"] != w["term"]), i)), lambda i: i.isNotNull())
+        cut = lambda starts: F.transform(starts, lambda a, i: F.struct(F.get(words, a)["term"].alias("term"), F.transform(F.slice(words, a + 1, F.coalesce(F.get(starts, i + 1), F.size(words)) - a), lambda w: w["pos"]).alias("positions")))
+        return once(first, cut)
+
+    spread = chunks.select("repo_id", "chunk_id", F.explode(once(placed, by_term)).alias("t"))
+    return spread.select("repo_id", F.col("t.term").alias("term"), "chunk_id", F.col("t.positions").alias("positions"))
 
 
 def query_terms(questions: DataFrame) -> DataFrame:
@@ -52,15 +60,20 @@ def lexical_search(index: DataFrame, chunks: DataFrame, questions: DataFrame, li
     return placed.withColumn("rank", nth).where(F.col("rank") <= limit)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
 def dense_search(vectors: DataFrame, questions: DataFrame, limit: int = 20) -> DataFrame:
-    """The most similar vectors of the question's repository. Questions meet vectors by repo_id."""
-    asked = questions.where("embedding is not null").select("query_id", "repo_id", F.col("embedding").alias("asked"))
-    scored = vectors.where("chunk_id is not null").join(asked, "repo_id").select("query_id", "repo_id", "chunk_id", F.bround(cosine(F.col("asked"), F.col("embedding")), 4).alias("score"))
+    """The most similar vectors of the question's repository. Questions meet vectors by repo_id; each task keeps its own best before the shuffle.
+
+    Norms are taken once for a vector, not for a pair.
+    """
+    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
+    asked = questions.where("embedding is not null").select("query_id", "repo_id", F.col("embedding").alias("asked"), norm.alias("asked_norm"))
+    known = vectors.where("chunk_id is not null").select("repo_id", "chunk_id", "embedding", norm.alias("norm"))
+    cosine = dot(F.col("asked"), F.col("embedding")) / (F.col("asked_norm") * F.col("norm"))
+    scored = known.join(asked, "repo_id").select("query_id", "repo_id", "chunk_id", F.bround(cosine, 4).alias("score"))
     nth = F.row_number().over(Window.partitionBy("query_id", "repo_id").orderBy(F.desc("score"), "chunk_id"))
     return scored.withColumn("rank", nth).where(F.col("rank") <= limit)
 

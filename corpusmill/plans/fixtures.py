@@ -18,11 +18,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def files(spark: SparkSession, d: str) -> DataFrame:
     path = F.expr("case when doc_id % 97 = 0 then 'README.md' else concat(element_at(array('src', 'app', 'pkg/tests', 'docs'), cast(doc_id % 4 as int) + 1), '/f', doc_id, '.', element_at(array('py', 'ts', 'go', 'md', 'js'), cast(doc_id % 5 as int) + 1)) end")
-    return table(spark, d, "documents").where("doc_id is not null and text is not null").select(F.col("source").alias("repo_id"), path.alias("file_path"), F.col("text").alias("content"), "doc_id")
+    return table(spark, d, "documents").select(F.col("source").alias("repo_id"), path.alias("file_path"), F.col("text").alias("content"), "doc_id")
 
 
 FILES = """files AS (SELECT source AS repo_id, CASE WHEN doc_id % 97 = 0 THEN 'README.md' ELSE ['src', 'app', 'pkg/tests', 'docs'][doc_id % 4 + 1] || '/f' || doc_id || '.' || ['py', 'ts', 'go', 'md', 'js'][doc_id % 5 + 1] END AS file_path,
-  text AS content, doc_id FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)"""
+  text AS content, doc_id FROM documents)"""
 _BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 LINES = FILES + rf""", raw AS (SELECT *, regexp_split_to_array(content, '{_BREAK}') AS r FROM files),
 lined AS (SELECT repo_id, file_path, doc_id, CASE WHEN r[-1] = '' THEN r[:len(r) - 1] ELSE r END AS lines FROM raw)"""
@@ -46,15 +46,17 @@ WHOLE = LINES + ", whole AS (SELECT repo_id, doc_id::VARCHAR AS chunk_id, file_p
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """The first two words of each benchmark text, asked of the repository of the document of the same number, with the vector of that number."""
-    text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), 0), 1, 2), " ")
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("q"))
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return asked.join(vectors, "query_id", "left").join(files(spark, d).select(F.col("doc_id").alias("query_id"), "repo_id"), "query_id")
+    """Each sentence of each benchmark text, asked of the repository of the document of the text's number, with the vector of that number."""
+    parts = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "[.]", -1)).alias("nth", "part"))
+    text = F.array_join(F.regexp_extract_all("part", F.lit("[A-Za-z0-9]+"), 0), " ")
+    asked = parts.select("item_id", (F.col("item_id") * 1000 + F.col("nth")).alias("query_id"), text.alias("q")).where("q != ''")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    return asked.join(vectors, "item_id", "left").join(files(spark, d).select(F.col("doc_id").alias("item_id"), "repo_id"), "item_id").drop("item_id")
 
 
-QUESTIONS = """asked AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+')[1:2], ' ') AS q FROM benchmark),
-questions AS (SELECT a.query_id, a.q, e.embedding, f.repo_id FROM asked a JOIN files f ON f.doc_id = a.query_id LEFT JOIN embeddings e ON e.vec_id = a.query_id)"""
+QUESTIONS = """sentences AS (SELECT item_id, regexp_split_to_array(text, '[.]') AS p FROM benchmark), sentence AS (SELECT item_id, unnest(p) AS x, unnest(range(len(p))) AS nth FROM sentences),
+asked AS (SELECT item_id, item_id * 1000 + nth AS query_id, array_to_string(regexp_extract_all(x, '[A-Za-z0-9]+'), ' ') AS q FROM sentence),
+questions AS (SELECT a.query_id, a.q, e.embedding, f.repo_id FROM asked a JOIN files f ON f.doc_id = a.item_id LEFT JOIN embeddings e ON e.vec_id = a.item_id WHERE a.q <> '')"""
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -66,30 +68,30 @@ VECTORS = "vectors AS (SELECT repo_id, doc_id::VARCHAR AS chunk_id, embedding FR
 
 
 def code_files(spark: SparkSession, d: str) -> DataFrame:
-    """Python and TypeScript files under src whose import lines make a deterministic, cyclic graph."""
-    n = table(spark, d, "documents").where("doc_id is not null").select("doc_id", "source")
+    """Python and TypeScript files under src: two import lines before each document's text. File f imports f div 2 and, by a hash of its text, any file up to f."""
+    n = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.expr("doc_id div 4").alias("f"))
     top = F.expr("element_at(array('src0', 'src1', 'src2', 'src3'), cast(doc_id % 4 as int) + 1)")
-    path = F.expr("concat('src/f', doc_id div 4, if(doc_id % 8 < 4, '.py', '.ts'))")
-    one, two = F.expr("cast((7 * (doc_id div 4) + 3) % 97 as string)"), F.expr("cast((3 * (doc_id div 4) + 1) % 89 as string)")
-    text = F.when(F.expr("doc_id % 8 < 4"), F.concat(F.lit("import src.f"), one, F.lit(" as x, os\nfrom src.f"), two, F.lit(" import y\n"))).otherwise(F.concat(F.lit("import { a } from './f"), one, F.lit("'\nconst b = require('../src/f"), two, F.lit("')\n")))
+    path = F.expr("concat('src/f', f, if(doc_id % 8 < 4, '.py', '.ts'))")
+    one, two = F.expr("cast(f div 2 as string)"), F.expr("cast(cast(conv(substring(md5(text), 1, 6), 16, 10) as long) % (f + 1) as string)")
+    text = F.when(F.expr("doc_id % 8 < 4"), F.concat(F.lit("import src.f"), one, F.lit(" as x, os\nfrom src.f"), two, F.lit(" import y\n"), "text")).otherwise(F.concat(F.lit("import { a } from './f"), one, F.lit("'\nconst b = require('../src/f"), two, F.lit("')\n"), "text"))
     return n.select(top.alias("repo_id"), path.alias("file_path"), F.lit(1).alias("start_line"), text.alias("content"))
 
 
-CODE = """code AS (SELECT ['src0', 'src1', 'src2', 'src3'][doc_id % 4 + 1] AS repo_id, doc_id // 4 AS f, doc_id % 8 < 4 AS py, 'src/f' || (doc_id // 4) || CASE WHEN doc_id % 8 < 4 THEN '.py' ELSE '.ts' END AS file_path FROM documents WHERE doc_id IS NOT NULL),
-refs AS (SELECT *, (7 * f + 3) % 97 AS g FROM code UNION ALL SELECT *, (3 * f + 1) % 89 FROM code),
+CODE = """code AS (SELECT ['src0', 'src1', 'src2', 'src3'][doc_id % 4 + 1] AS repo_id, doc_id // 4 AS f, doc_id % 8 < 4 AS py, 'src/f' || (doc_id // 4) || CASE WHEN doc_id % 8 < 4 THEN '.py' ELSE '.ts' END AS file_path, coalesce(text, '') AS text FROM documents),
+refs AS (SELECT *, f // 2 AS g FROM code UNION ALL SELECT *, ('0x' || md5(text)[1:6])::BIGINT % (f + 1) FROM code),
 edges AS (SELECT DISTINCT r.repo_id, r.file_path AS source, t.file_path AS target, CASE WHEN r.py THEN 'python' ELSE 'js' END AS kind FROM refs r JOIN code t ON t.repo_id = r.repo_id AND t.py = r.py AND t.f = r.g WHERE t.file_path <> r.file_path)"""
 
 
 def diffs(spark: SparkSession, d: str) -> DataFrame:
     """A diff for each document: its lines added or removed by parity, in two files."""
-    docs = table(spark, d, "documents").where("doc_id is not null and text is not null")
+    docs = table(spark, d, "documents")
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 2 == 0, "+").otherwise("-"), x))
     head = lambda name: F.concat(F.lit(f"diff --git a/{name}"), F.col("doc_id").cast("string"), F.lit(f".py b/{name}"), F.col("doc_id").cast("string"), F.lit(".py\n"))
     body = F.concat(head("auth/f"), F.when(F.expr("doc_id % 6 = 0"), "new file mode 100644\n").otherwise(""), F.lit("@@ -1,2 +10,5 @@\n"), F.array_join(lines, "\n"), F.lit("\n"), head("doc"), F.lit("@@ -3 +4 @@\n+one\n-two"))
     return docs.select(F.col("source").alias("repo_id"), F.sha2(F.col("doc_id").cast("string"), 256).alias("head_sha"), body.alias("diff_text"), F.expr("timestamp_seconds(1700000000 + doc_id)").alias("created_at"))
 
 
-DIFFS = """dl AS (SELECT source AS repo_id, doc_id, sha256(doc_id::VARCHAR) AS head_sha, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+DIFFS = """dl AS (SELECT source AS repo_id, doc_id, sha256(doc_id::VARCHAR) AS head_sha, string_split(text, chr(10)) AS l FROM documents),
 dp AS (SELECT repo_id, doc_id, head_sha, unnest(l) AS x, unnest(range(len(l))) AS i FROM dl),
 da AS (SELECT repo_id, doc_id, head_sha, count(*) FILTER (i % 2 = 0 AND NOT starts_with(x, '++')) AS added, count(*) FILTER (i % 2 = 1 AND NOT starts_with(x, '--')) AS removed,
   list(x ORDER BY i) FILTER (i % 2 = 0 AND NOT starts_with(x, '++')) AS plus FROM dp GROUP BY ALL),
@@ -124,6 +126,15 @@ def repositories(spark: SparkSession, d: str) -> DataFrame:
 REPOS = "repositories AS (SELECT c_custkey::VARCHAR AS repo_id, 'o/' || c_custkey AS full_name FROM customer)"
 
 
+def code_repositories(spark: SparkSession, d: str) -> DataFrame:
+    """The repositories of the documents, and one without any."""
+    repos = table(spark, d, "documents").select(F.col("source").alias("repo_id")).union(spark.sql("select 'empty'")).distinct()
+    return repos.select("repo_id", F.concat(F.lit("o/"), F.col("repo_id")).alias("full_name"), F.lit("main").alias("default_branch"), F.lit("Python").alias("language"))
+
+
+CODE_REPOS = "code_repos AS (SELECT repo_id, 'o/' || repo_id AS full_name, 'main' AS default_branch FROM (SELECT DISTINCT source AS repo_id FROM documents UNION SELECT 'empty'))"
+
+
 def tokens_table(spark: SparkSession, d: str) -> DataFrame:
     """Share tokens: one for each order, some revoked, some expired."""
     return table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("share_id"), F.col("o_custkey").cast("string").alias("repo_id"), F.col("o_orderdate").alias("expires_at"), F.expr("if(o_orderkey % 7 = 0, o_orderdate, null)").alias("revoked_at"))
@@ -145,8 +156,8 @@ SCORES = """scores AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'baseline' ELSE 'can
 
 def sessions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, d, "conversations")
-    own = c.select(F.col("conv_id").cast("string").alias("session_id"), F.concat(F.lit("u"), (F.col("conv_id") % 7).cast("string")).alias("user_id")).distinct()
+    own = c.select(F.col("conv_id").cast("string").alias("session_id"), F.concat(F.lit("u"), (F.col("conv_id") % 7).cast("string")).alias("user_id"), F.concat(F.lit("r"), (F.col("conv_id") % 3).cast("string")).alias("repo_id"), F.expr("timestamp_seconds(1700000000 + conv_id)").alias("created_at")).distinct()
     return own, c.select(F.col("conv_id").cast("string").alias("session_id"), "turn", "role", F.col("text").alias("content"))
 
 
-SESSIONS = """sessions AS (SELECT DISTINCT conv_id::VARCHAR AS session_id, 'u' || conv_id % 7 AS user_id FROM conversations), messages AS (SELECT conv_id::VARCHAR AS session_id, turn, role, text AS content FROM conversations)"""
+SESSIONS = """sessions AS (SELECT DISTINCT conv_id::VARCHAR AS session_id, 'u' || conv_id % 7 AS user_id, 'r' || conv_id % 3 AS repo_id, make_timestamp((1700000000 + conv_id) * 1000000) AS created_at FROM conversations), messages AS (SELECT conv_id::VARCHAR AS session_id, turn, role, text AS content FROM conversations)"""

@@ -70,12 +70,17 @@ def s5(spark, d):
     return S.upsert_analysis(old, new)
 
 
-@query("s6_upsert_repositories", """WITH e AS (SELECT 'r' || c_custkey AS full_name, 'i' || c_custkey AS id, 1 AS stars, 'old' AS commit_sha FROM customer WHERE c_custkey % 2 = 0),
-n AS (SELECT 'r' || o_custkey AS full_name, 'n' || o_orderkey AS id, (o_orderkey % 1000)::INT AS stars, 'h' || o_orderkey AS commit_sha FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, 'n' || o_orderkey DESC) = 1)
-SELECT full_name, coalesce(e.id, n.id) AS id, coalesce(n.stars, e.stars) AS stars, coalesce(n.commit_sha, e.commit_sha) AS commit_sha FROM e FULL JOIN n USING (full_name)""")
+_FIELDS = {"github_url": "'https://x/' || k", "owner": "'w' || k % 5", "name": "'n' || k", "default_branch": "'main'", "latest_commit_sha": "'h' || k", "description": "CASE WHEN k % 3 = 0 THEN NULL ELSE 'd' || k END", "stars": "CAST(k % 1000 AS INT)", "forks": "CAST(k % 10 AS INT)", "language": "'py'", "size_kb": "CAST(k % 77 AS INT)"}
+_ALL_FIELDS = ", ".join(f"{sql} AS {c}" for c, sql in _FIELDS.items())
+
+
+@query("s6_upsert_repositories", f"""WITH e AS (SELECT 'r' || c_custkey AS full_name, 'i' || c_custkey AS id, {_ALL_FIELDS} FROM (SELECT *, c_custkey + 5 AS k FROM customer) WHERE c_custkey % 2 = 0),
+n AS (SELECT 'r' || o_custkey AS full_name, 'n' || o_orderkey AS id, {_ALL_FIELDS} FROM (SELECT *, o_orderkey AS k FROM orders) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, 'n' || o_orderkey DESC) = 1)
+SELECT full_name, coalesce(e.id, n.id) AS id, {', '.join(f'CASE WHEN n.id IS NULL THEN e.{c} ELSE n.{c} END AS {c}' for c in _FIELDS)} FROM e FULL JOIN n USING (full_name)""")
 def s6(spark, d):
-    old = X.table(spark, d, "customer").where("c_custkey % 2 = 0").selectExpr("concat('r', c_custkey) full_name", "concat('i', c_custkey) id", "1 stars", "'old' commit_sha")
-    new = X.table(spark, d, "orders").selectExpr("concat('r', o_custkey) full_name", "concat('n', o_orderkey) id", "cast(o_orderkey % 1000 as int) stars", "concat('h', o_orderkey) commit_sha", "o_orderdate snapshot_at")
+    fields = [f"{sql} AS {c}" for c, sql in _FIELDS.items()]
+    old = X.table(spark, d, "customer").where("c_custkey % 2 = 0").withColumn("k", F.expr("c_custkey + 5")).selectExpr("concat('r', c_custkey) full_name", "concat('i', c_custkey) id", *fields)
+    new = X.table(spark, d, "orders").withColumn("k", F.col("o_orderkey")).selectExpr("concat('r', o_custkey) full_name", "concat('n', o_orderkey) id", *fields, "o_orderdate snapshot_at")
     return S.upsert_repositories(old, new)
 
 
@@ -156,16 +161,16 @@ def p11(spark, d):
     return X.files(spark, d).select("doc_id", P.is_test_path(F.col("file_path")).alias("is_test"))
 
 
-_PAYLOAD = "concat('{\"event\":\"', event_type, '\",\"route\":\"/r', user_id % 9, '\",\"duration_ms\":', if(event_id % 3 = 0, '\"x\"', cast(event_id % 500 as string)), if(event_id % 11 = 0, '', '}'))"
+_PAYLOAD = "concat('{\"event\":\"', event_type, '\",\"route\":\"/r', user_id % 9, '\",\"duration_ms\":', if(event_id % 3 = 0, '\"x\"', cast(event_id % 500 as string)), if(event_id % 4 = 0, ',\"metadata\":{\"k\":1}', ''), if(event_id % 11 = 0, '', '}'))"
 
 
 def client_payloads(spark, d):
     return X.table(spark, d, "events").select("event_id", "ts", F.expr(_PAYLOAD).alias("payload"))
 
 
-@query("p12_normalize_client_event", "SELECT event_id, event_type AS event, '/r' || user_id % 9 AS route, CASE WHEN event_id % 3 <> 0 THEN (event_id % 500)::DOUBLE END AS duration_ms FROM events WHERE event_id % 11 <> 0")
+@query("p12_normalize_client_event", "SELECT event_id, event_type AS event, '/r' || user_id % 9 AS route, CASE WHEN event_id % 3 <> 0 THEN (event_id % 500)::DOUBLE END AS duration_ms, CASE WHEN event_id % 4 = 0 THEN '{\"k\":1}' ELSE '{}' END AS metadata FROM events WHERE event_id % 11 <> 0")
 def p12(spark, d):
-    return P.client_events(client_payloads(spark, d)).select("event_id", "event", "route", "duration_ms")
+    return P.client_events(client_payloads(spark, d)).select("event_id", "event", "route", "duration_ms", "metadata")
 
 
 # --- chunking ----------------------------------------------------------------------------------------------------------
@@ -269,36 +274,20 @@ def a7(spark, d):
 
 
 _FACTS = f"""{X.CHUNKS}, {_LANGS}, top AS (SELECT repo_id, lang AS top_language FROM langs QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY chars DESC, lang) = 1),
-facts AS (SELECT repo_id, count(DISTINCT file_path) AS files, count(*) AS chunks, array_to_string(list_sort(list(DISTINCT file_path))[1:5], ',') AS first_paths FROM chunks GROUP BY repo_id),
-arch AS (SELECT repo_id, top_language, files, chunks, first_paths, 'Primary language: ' || top_language || '. Files: ' || files || '. Chunks: ' || chunks || '.' AS summary FROM facts JOIN top USING (repo_id))"""
+facts AS (SELECT repo_id, count(DISTINCT file_path) AS files, count(*) AS chunks, array_to_string(list_sort(list(DISTINCT file_path))[1:5], ', ') AS first_paths FROM chunks GROUP BY repo_id), {X.CODE_REPOS},
+arch AS (SELECT repo_id, top_language, files, chunks, first_paths, 'Repository ' || full_name || ' (branch ' || default_branch || ') is primarily ' || top_language || '. The parse/index stage identified ' || files || ' source files and ' || chunks || ' chunks. Representative paths include: ' || first_paths || '. This summary is generated from structural chunk metadata and should be refined with LLM synthesis in later stages.' AS summary FROM facts JOIN top USING (repo_id) JOIN code_repos USING (repo_id))"""
 
 
 @query("a8_architecture_facts", f"WITH {_FACTS} SELECT * FROM arch")
 def a8(spark, d):
-    return A.architecture_facts(X.chunks(spark, d))
-
-
-def ranked(spark, d):
-    """Ranked results for questions: the chunks of a repository in the order of their hash."""
-    nth = F.expr("row_number() over (partition by repo_id order by sha2(chunk_id, 256))")
-    return X.chunks(spark, d).withColumn("rank", nth).where("rank <= 30").select(F.lit(1).alias("query_id"), "repo_id", "chunk_id", "file_path", "start_line", "end_line", "language", F.expr("round(1.0D / rank, 6)").alias("score"), "rank")
-
-
-_RANKED = X.CHUNKS + ", ranked AS (SELECT * FROM (SELECT 1 AS query_id, repo_id, chunk_id, file_path, start_line, end_line, language, row_number() OVER (PARTITION BY repo_id ORDER BY sha256(chunk_id)) AS rank FROM chunks) WHERE rank <= 30)"
-
-
-@query("a9_repo_summary_facets", f"""WITH {_RANKED}, m AS (SELECT repo_id AS query_id, CASE WHEN string_split(file_path, '/')[1] IN ('src', 'app', 'lib', 'packages') AND len(string_split(file_path, '/')) > 2 THEN array_to_string(string_split(file_path, '/')[1:2], '/') ELSE string_split(file_path, '/')[1] END AS module, min(rank) AS f FROM ranked WHERE rank <= 8 GROUP BY ALL)
-SELECT query_id, module, nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f) AS nth FROM m) WHERE nth <= 5""")
-def a9(spark, d):
-    return A.repo_summary_facets(ranked(spark, d).withColumn("query_id", F.col("repo_id")))
+    return A.architecture_facts(X.chunks(spark, d), X.code_repositories(spark, d))
 
 
 @query("a10_analyze_repos", rf"""WITH {_FACTS}, t AS (SELECT repo_id, sum(len(regexp_extract_all(content, '(?i)\b(TODO|FIXME)\b'))) AS todo, bool_or(lower(file_path) LIKE '%readme.md') AS readme, bool_or(contains(lower(file_path), '/tests/')) AS tested FROM chunks GROUP BY repo_id),
 q AS (SELECT repo_id, least(100, greatest(0, 100 - least(30, todo) - CASE WHEN tested THEN 0 ELSE 20 END + CASE WHEN readme THEN 5 ELSE 0 END))::BIGINT AS quality_score FROM t)
-SELECT r.repo_id, quality_score, summary, CASE WHEN summary IS NULL THEN 'NO_CHUNKS' END AS error_code FROM (SELECT DISTINCT source AS repo_id FROM documents UNION SELECT 'empty') r LEFT JOIN q USING (repo_id) LEFT JOIN arch USING (repo_id)""")
+SELECT r.repo_id, quality_score, summary, CASE WHEN summary IS NULL THEN 'NO_CHUNKS' END AS error_code FROM code_repos r LEFT JOIN q USING (repo_id) LEFT JOIN arch USING (repo_id)""")
 def a10(spark, d):
-    repos = X.table(spark, d, "documents").select(F.col("source").alias("repo_id")).union(spark.sql("select 'empty'")).distinct()
-    return A.analyze_repos(X.chunks(spark, d), repos)
+    return A.analyze_repos(X.chunks(spark, d), X.code_repositories(spark, d))
 
 
 # --- graph -------------------------------------------------------------------------------------------------------------
@@ -309,8 +298,8 @@ def g1(spark, d):
     return G.merge_file_text(X.chunks(spark, d)).select("repo_id", "file_path", F.sha2("content", 256).alias("h"))
 
 
-@query("g2_extract_imports", f"""WITH {X.CODE}, r AS (SELECT repo_id, file_path, CASE WHEN py THEN 'src.f' || g ELSE CASE WHEN g = (7 * f + 3) % 97 THEN './f' || g ELSE '../src/f' || g END END AS ref, py FROM refs
-  UNION SELECT repo_id, file_path, 'os', py FROM code WHERE py UNION SELECT repo_id, file_path, '../src/f' || (3 * f + 1) % 89, py FROM code WHERE NOT py)
+@query("g2_extract_imports", f"""WITH {X.CODE}, r AS (SELECT repo_id, file_path, CASE WHEN py THEN 'src.f' || g ELSE CASE WHEN first THEN './f' || g ELSE '../src/f' || g END END AS ref, py FROM (SELECT repo_id, file_path, py, f // 2 AS g, true AS first FROM code UNION ALL SELECT repo_id, file_path, py, ('0x' || md5(text)[1:6])::BIGINT % (f + 1), false FROM code)
+  UNION SELECT repo_id, file_path, 'os', py FROM code WHERE py)
 SELECT DISTINCT repo_id, file_path, ref, CASE WHEN py THEN 'python' ELSE 'js' END AS kind FROM r""")
 def g2(spark, d):
     return G.extract_imports(G.merge_file_text(X.code_files(spark, d)))
@@ -332,7 +321,7 @@ def g4_stats(spark, d):
     return G.graph_stats(X.code_files(spark, d))
 
 
-_BLAST = f"""{X.CODE}, changed AS (SELECT repo_id, file_path FROM code WHERE f % 50 IN (3, 4)),
+_BLAST = f"""{X.CODE}, changed AS (SELECT repo_id, file_path FROM code WHERE contains(text, '@')),
 reach AS (SELECT repo_id, file_path FROM changed UNION SELECT e.repo_id, e.source FROM edges e JOIN reach r ON r.repo_id = e.repo_id AND r.file_path = e.target),
 blast AS (SELECT repo_id, file_path FROM reach ANTI JOIN changed USING (repo_id, file_path))"""
 
@@ -340,7 +329,7 @@ blast AS (SELECT repo_id, file_path FROM reach ANTI JOIN changed USING (repo_id,
 @query("g5_blast_radius", f"WITH RECURSIVE {_BLAST} SELECT * FROM blast")
 def g5(spark, d):
     code = X.code_files(spark, d)
-    return G.blast_radius(G.dependency_edges(code), code.where("cast(regexp_extract(file_path, '[0-9]+', 0) as int) % 50 in (3, 4)"))
+    return G.blast_radius(G.dependency_edges(code), code.where("contains(content, '@')"))
 
 
 # --- retrieval ---------------------------------------------------------------------------------------------------------
@@ -405,9 +394,17 @@ fused AS (SELECT *, round_even(5e-1 * nd + 4e-1 * nl + 1e-1 * CASE WHEN len(qs)
 hybrid AS (SELECT * FROM (SELECT query_id, repo_id, chunk_id, file_path, start_line, end_line, language, score, q, row_number() OVER (PARTITION BY query_id, repo_id ORDER BY score DESC, chunk_id) AS rank FROM fused) WHERE rank <= 5)"""
 
 
-def hybrid(spark, d):
+def hybrid(spark, d, limit=5):
     chunks, asked = X.whole(spark, d), X.questions(spark, d)
-    return R.hybrid_search(lexical(spark, d), R.dense_search(X.vectors(spark, d), asked, 10), chunks, asked, 5)
+    return R.hybrid_search(lexical(spark, d), R.dense_search(X.vectors(spark, d), asked, 10), chunks, asked, limit)
+
+
+_RANKED = _HYBRID.replace("WHERE rank <= 5)", "WHERE rank <= 20)").replace("hybrid AS (", "ranked AS (")
+
+
+def ranked(spark, d):
+    """Search results of the questions."""
+    return hybrid(spark, d, 20)
 
 
 @query("r6_hybrid_search", f"WITH {_HYBRID} SELECT query_id, repo_id, chunk_id, file_path, score, rank FROM hybrid")
@@ -415,9 +412,9 @@ def r6(spark, d):
     return hybrid(spark, d).select("query_id", "repo_id", "chunk_id", "file_path", "score", "rank")
 
 
-@query("r7_hydrate_content", f"WITH {_RANKED} SELECT r.repo_id, r.chunk_id, r.rank, sha256(c.content) AS h FROM ranked r LEFT JOIN chunks c USING (repo_id, chunk_id)")
+@query("r7_hydrate_content", f"WITH {_RANKED} SELECT r.query_id, r.repo_id, r.chunk_id, r.rank, sha256(c.content) AS h FROM ranked r LEFT JOIN whole c USING (repo_id, chunk_id)")
 def r7(spark, d):
-    return R.hydrate_content(ranked(spark, d), X.chunks(spark, d)).select("repo_id", "chunk_id", "rank", F.sha2("content", 256).alias("h"))
+    return R.hydrate_content(ranked(spark, d), X.whole(spark, d)).select("query_id", "repo_id", "chunk_id", "rank", F.sha2("content", 256).alias("h"))
 
 
 @query("r8_rerank", f"""WITH {_HYBRID}, s AS (SELECT h.*, list_distinct(regexp_extract_all(lower(h.q), '[a-z0-9_]+')) AS qs, regexp_extract_all(lower(h.file_path || chr(10) || h.language || chr(10) || w.content), '[a-z0-9_]+') AS ts FROM hybrid h JOIN whole w USING (repo_id, chunk_id)),
@@ -428,9 +425,9 @@ def r8(spark, d):
     return R.rerank(found, X.questions(spark, d), 3).select("query_id", "repo_id", "chunk_id", "score", "rank")
 
 
-@query("r9_diverse_select", f"""WITH {_RANKED}, o AS (SELECT *, file_path AS p FROM ranked QUALIFY row_number() OVER (PARTITION BY repo_id, file_path ORDER BY rank) = 1),
-w AS (SELECT *, {_WEIGHT} AS weight FROM o), f AS (SELECT *, row_number() OVER (PARTITION BY repo_id, string_split(file_path, '/')[1] ORDER BY weight, rank) AS k FROM w),
-a AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY weight, rank) AS place FROM f WHERE k <= 2), a2 AS (SELECT query_id, repo_id, chunk_id, file_path, 1 AS phase, place FROM a WHERE place <= 6),
+@query("r9_diverse_select", f"""WITH {_RANKED}, o AS (SELECT *, file_path AS p FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id, repo_id, file_path ORDER BY rank) = 1),
+w AS (SELECT *, {_WEIGHT} AS weight FROM o), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, repo_id, string_split(file_path, '/')[1] ORDER BY weight, rank) AS k FROM w),
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id, repo_id ORDER BY weight, rank) AS place FROM f WHERE k <= 2), a2 AS (SELECT query_id, repo_id, chunk_id, file_path, 1 AS phase, place FROM a WHERE place <= 6),
 u AS (SELECT * FROM a2 UNION ALL SELECT query_id, repo_id, chunk_id, file_path, 2, rank FROM ranked ANTI JOIN a2 USING (query_id, repo_id, chunk_id))
 SELECT query_id, repo_id, chunk_id, file_path, pick FROM (SELECT *, row_number() OVER (PARTITION BY query_id, repo_id ORDER BY phase, place) AS pick FROM u) WHERE pick <= 6""")
 def r9(spark, d):
@@ -439,7 +436,21 @@ def r9(spark, d):
 
 # --- grounding ---------------------------------------------------------------------------------------------------------
 
-_CITED = f"{_RANKED}, cited AS (SELECT query_id, repo_id, chunk_id, file_path, start_line AS line_start, end_line AS line_end, file_path || '#L' || start_line || '-L' || end_line AS anchor, round(1e0 / rank, 6) AS score FROM ranked WHERE rank <= 3)"
+_MODULE = "CASE WHEN d[1] IN ('src', 'app', 'lib', 'packages') AND len(d) > 1 THEN d[1] || '/' || d[2] ELSE d[1] END"
+_NAME = "CASE language WHEN 'py' THEN 'Python' WHEN 'ts' THEN 'TypeScript' WHEN 'go' THEN 'Go' WHEN 'md' THEN 'Markdown' WHEN 'js' THEN 'JavaScript' END"
+_FACETS = f"""{_RANKED}, parts AS (SELECT *, string_split(file_path, '/') AS d FROM ranked WHERE rank <= 8),
+mods AS (SELECT query_id, repo_id, {_MODULE} AS m, min(rank) AS r FROM parts GROUP BY ALL), mods2 AS (SELECT query_id, repo_id, list(m ORDER BY r)[1:5] AS modules FROM mods GROUP BY ALL),
+names AS (SELECT query_id, repo_id, {_NAME} AS name, min(rank) AS r FROM ranked GROUP BY ALL), names2 AS (SELECT query_id, repo_id, list(name ORDER BY r) AS languages FROM names GROUP BY ALL),
+hints AS (SELECT query_id, repo_id, bool_or(regexp_matches(lower(file_path), 'cli|argparse|typer')) AS cli, bool_or(regexp_matches(lower(file_path), 'api|route|controller')) AS api, bool_or(regexp_matches(lower(file_path), 'service|core|engine')) AS core FROM parts GROUP BY ALL),
+facets AS (SELECT query_id, repo_id, modules, languages, [x FOR x IN [CASE WHEN cli THEN 'CLI entrypoint receives arguments' END, CASE WHEN api THEN 'request handlers call service modules' END, CASE WHEN core THEN 'core modules execute main business logic' END] IF x IS NOT NULL] AS flows FROM mods2 JOIN names2 USING (query_id, repo_id) JOIN hints USING (query_id, repo_id))"""
+
+
+@query("a9_repo_summary_facets", f"WITH {_FACETS} SELECT query_id, repo_id, array_to_string(modules, ',') AS modules, array_to_string(languages, ',') AS languages, '' AS outputs, array_to_string(flows, ',') AS flows FROM facets")
+def a9(spark, d):
+    return A.repo_summary_facets(ranked(spark, d)).select("query_id", "repo_id", *[F.array_join(c, ",").alias(c) for c in ("modules", "languages", "outputs", "flows")])
+
+
+_CITED = f"{_RANKED}, cited AS (SELECT query_id, repo_id, rank, chunk_id, file_path, start_line AS line_start, greatest(end_line, 1) AS line_end, file_path || '#L' || start_line || '-L' || greatest(end_line, 1) AS anchor, score FROM ranked WHERE rank <= 3)"
 
 
 @query("k1_format_citations", f"WITH {_CITED} SELECT * FROM cited")
@@ -449,55 +460,61 @@ def k1(spark, d):
 
 def stretched(spark, d):
     """Citations of which those of rank 2 reach beyond their chunk."""
-    return K.format_citations(ranked(spark, d)).withColumn("line_end", F.col("line_end") + F.expr("if(score = 0.5, 3, 0)"))
+    return K.format_citations(ranked(spark, d)).withColumn("line_end", F.col("line_end") + F.expr("if(rank = 2, 3, 0)"))
 
 
-_VALID = f"{_CITED}, valid AS (SELECT * FROM cited WHERE score <> 0.5)"
+_VALID = f"{_CITED}, valid AS (SELECT * FROM cited WHERE rank <> 2)"
 
 
 @query("k2_validate_citations", f"WITH {_VALID} SELECT query_id, repo_id, chunk_id, file_path, line_start, line_end FROM valid")
 def k2(spark, d):
-    return K.validate_citations(stretched(spark, d), X.chunks(spark, d)).select("query_id", "repo_id", "chunk_id", "file_path", "line_start", "line_end")
+    return K.validate_citations(stretched(spark, d), X.whole(spark, d)).select("query_id", "repo_id", "chunk_id", "file_path", "line_start", "line_end")
 
 
-@query("k3_no_citation_flag", f"WITH {_VALID}, {X.FILES.replace('files AS', 'f2 AS')} SELECT 1 AS query_id, r.repo_id, NOT EXISTS (SELECT 1 FROM valid v WHERE v.repo_id = r.repo_id AND v.score < 0.4) AS no_citation FROM (SELECT DISTINCT repo_id FROM f2 UNION SELECT 'none') r")
+@query("k3_no_citation_flag", f"WITH {_VALID} SELECT q.query_id, q.repo_id, NOT EXISTS (SELECT 1 FROM valid v WHERE v.query_id = q.query_id AND v.repo_id = q.repo_id AND v.rank = 3) AS no_citation FROM questions q")
 def k3(spark, d):
-    asked = X.files(spark, d).select("repo_id").union(spark.sql("select 'none'")).distinct().select(F.lit(1).alias("query_id"), "repo_id")
-    return K.no_citation_flag(asked, K.validate_citations(stretched(spark, d), X.chunks(spark, d)).where("score < 0.4"))
+    return K.no_citation_flag(X.questions(spark, d), K.validate_citations(stretched(spark, d), X.whole(spark, d)).where("rank = 3"))
 
 
 def asked_kinds(spark, d):
-    repos = X.files(spark, d).select("repo_id").union(spark.sql("select 'none'")).distinct()
-    q = F.expr("element_at(array('which languages?', 'give a summary', 'where is it?'), cast(pmod(length(repo_id), 3) as int) + 1)")
-    return repos.select(F.lit(1).alias("query_id"), "repo_id", q.alias("q"))
-
-
-@query("k4_answer_plan", f"""WITH {_RANKED}, a AS (SELECT repo_id, ['which languages?', 'give a summary', 'where is it?'][length(repo_id) % 3 + 1] AS q FROM (SELECT DISTINCT repo_id FROM files UNION SELECT 'none')),
-l AS (SELECT repo_id, CASE language WHEN 'py' THEN 'Python' WHEN 'ts' THEN 'TypeScript' WHEN 'go' THEN 'Go' WHEN 'md' THEN 'Markdown' WHEN 'js' THEN 'JavaScript' END AS name, min(rank) AS f FROM ranked GROUP BY ALL), l2 AS (SELECT repo_id, array_to_string(list(name ORDER BY f), ', ') AS languages FROM l GROUP BY repo_id)
-SELECT 1 AS query_id, a.repo_id, CASE WHEN languages IS NULL THEN 'no_results' WHEN contains(q, 'language') THEN 'language' WHEN contains(q, 'summary') THEN 'summary' ELSE 'model' END AS plan, coalesce(languages, '') AS languages FROM a LEFT JOIN l2 USING (repo_id)""")
+    """The questions with their text replaced by one of each kind, and one of a repository without any code."""
+    q = F.expr("element_at(array('which languages?', 'give a summary', 'where is it?'), cast(pmod(query_id, 3) as int) + 1)")
+    return X.questions(spark, d).select("query_id", "repo_id", q.alias("q")).union(spark.sql("select -1L, 'empty', 'give a summary'"))
+
+
+@query("k4_answer_plan", f"""WITH {_FACETS}, a AS (SELECT query_id, repo_id, ['which languages?', 'give a summary', 'where is it?'][query_id % 3 + 1] AS q FROM questions UNION ALL SELECT -1, 'empty', 'give a summary'),
+refs AS (SELECT query_id, repo_id, string_agg(file_path || ':1', ', ' ORDER BY rank) AS refs FROM ranked WHERE rank IN (1, 3) GROUP BY ALL),
+p AS (SELECT a.*, f.modules, f.flows, f.languages, r.refs, CASE WHEN modules IS NULL THEN 'no_results' WHEN contains(q, 'language') THEN 'language' WHEN contains(q, 'summary') THEN 'summary' ELSE 'model' END AS plan FROM a LEFT JOIN facets f USING (query_id, repo_id) LEFT JOIN refs r USING (query_id, repo_id))
+SELECT query_id, repo_id, plan, coalesce(array_to_string(languages[1:8], ', '), '') AS languages, CASE plan WHEN 'no_results' THEN 'I could not find relevant indexed code context for that query.'
+WHEN 'language' THEN CASE WHEN len(languages) = 1 THEN 'The indexed code appears to be primarily ' ELSE 'The indexed code appears to use: ' END || array_to_string(languages[1:8], ', ') || '. Evidence from: ' || coalesce(refs, 'no exact anchor') || '.'
+WHEN 'summary' THEN '- Purpose: Codebase for o/' || repo_id || '.' || chr(10) || '- Core modules: ' || array_to_string(modules, ', ') || '.' || chr(10) || '- Runtime flow: ' || CASE WHEN len(flows) > 0 THEN array_to_string(flows, '; ') || '.' ELSE 'entrypoint initializes modules, then feature components/services process the main workflow.' END
+  || chr(10) || '- Output formats: runtime artifacts inferred from code paths.' || chr(10) || '- Primary languages: ' || array_to_string(languages[1:6], ', ') || '.' END AS text FROM p""")
 def k4(spark, d):
-    return K.answer_plan(asked_kinds(spark, d), ranked(spark, d))
+    valid = K.validate_citations(stretched(spark, d), X.whole(spark, d))
+    return K.answer_plan(asked_kinds(spark, d), ranked(spark, d), valid, X.code_repositories(spark, d), spark.createDataFrame([], "repo_id string, summary string"))
 
 
-@query("k5_build_contexts", f"WITH {_RANKED} SELECT r.query_id, r.repo_id, sum(length(substring(c.content, 1, 100)))::BIGINT AS chars, count(*) AS n, string_agg(r.file_path, ',' ORDER BY rank) AS paths FROM ranked r JOIN chunks c USING (repo_id, chunk_id) WHERE rank <= 6 GROUP BY ALL")
+@query("k5_build_contexts", f"WITH {_RANKED} SELECT r.query_id, r.repo_id, sum(length(substring(c.content, 1, 100)))::BIGINT AS chars, count(*) AS n, string_agg(r.file_path, ',' ORDER BY rank) AS paths FROM ranked r JOIN whole c USING (repo_id, chunk_id) WHERE rank <= 6 GROUP BY ALL")
 def k5(spark, d):
-    made = K.build_contexts(R.hydrate_content(ranked(spark, d), X.chunks(spark, d)), 6, 100)
+    made = K.build_contexts(R.hydrate_content(ranked(spark, d), X.whole(spark, d)), 6, 100)
     items = made.select("query_id", "repo_id", F.from_json("contexts", "array<struct<rank:int,file_path:string,content:string>>").alias("c"))
     return items.select("query_id", "repo_id", F.aggregate(F.transform("c", lambda x: F.length(x["content"])), F.lit(0).cast("long"), lambda a, x: a + x).alias("chars"), F.size("c").cast("long").alias("n"), F.array_join(F.transform("c", lambda x: x["file_path"]), ",").alias("paths"))
 
 
-@query("k6_snippet_answer", rf"WITH {_RANKED} SELECT r.query_id, r.repo_id, 'Relevant code: ' || string_agg(r.file_path || ':' || r.start_line || ' -> ' || substring(trim(regexp_replace(c.content, '[ \t\n\r\f\x0B]+', ' ', 'g')), 1, 120), ' | ' ORDER BY rank) AS answer FROM ranked r JOIN chunks c USING (repo_id, chunk_id) WHERE rank <= 3 GROUP BY ALL")
+@query("k6_snippet_answer", rf"""WITH {_RANKED}, s AS (SELECT r.query_id, r.repo_id, rank, r.file_path || ':' || r.start_line AS place, substring(trim(regexp_replace(c.content, '{P.SPACES}', ' ', 'g')), 1, 120) AS preview FROM ranked r JOIN whole c USING (repo_id, chunk_id) WHERE rank <= 3)
+SELECT query_id, repo_id, 'Based on indexed code context: ' || string_agg(CASE WHEN preview <> '' THEN place || ' -> ' || preview ELSE place END, ' | ' ORDER BY rank) || '.' AS answer FROM s GROUP BY ALL""")
 def k6(spark, d):
-    return K.snippet_answer(R.hydrate_content(ranked(spark, d), X.chunks(spark, d)))
+    return K.snippet_answer(R.hydrate_content(ranked(spark, d), X.whole(spark, d)))
 
 
 @query("k7_suggested_questions", f"""WITH {X.CHUNKS}, p AS (SELECT repo_id, file_path, row_number() OVER (PARTITION BY repo_id ORDER BY file_path) AS n FROM (SELECT DISTINCT repo_id, file_path FROM chunks))
-SELECT repo_id, i AS nth, q AS question FROM (SELECT DISTINCT repo_id FROM chunks), (VALUES (1, 'What does this repository do?'), (2, 'How is the code structured?'), (3, 'How do I run it?')) v(i, q) UNION ALL SELECT repo_id, n + 3, 'What does ' || file_path || ' do?' FROM p WHERE n <= 2""")
+SELECT repo_id, i AS nth, q AS question FROM (SELECT DISTINCT repo_id FROM chunks), (VALUES (1, 'What are the main architecture components in this repository?'), (2, 'Where is authentication and token handling implemented?'), (3, 'Which files show the core business logic flow?')) v(i, q)
+UNION ALL SELECT repo_id, n + 3, 'Explain the responsibilities of `' || file_path || '`.' FROM p WHERE n <= 2""")
 def k7(spark, d):
     return K.suggested_questions(X.chunks(spark, d), 5)
 
 
-@query("k8_session_list", f"WITH {X.SESSIONS} SELECT s.session_id, s.user_id, count(m.session_id) AS messages, coalesce(substring(max_by(m.content, m.turn), 1, 120), '') AS preview FROM sessions s LEFT JOIN messages m USING (session_id) GROUP BY ALL")
+@query("k8_session_list", f"WITH {X.SESSIONS} SELECT s.session_id, s.user_id, s.repo_id, s.created_at, count(m.session_id) AS messages, substring(max_by(m.content, m.turn), 1, 120) AS preview FROM sessions s LEFT JOIN messages m USING (session_id) GROUP BY ALL")
 def k8(spark, d):
     return K.session_list(*X.sessions(spark, d))
 
@@ -553,9 +570,11 @@ def d6(spark, d):
 
 
 @query("d7_diff_fallback_answer", f"""WITH {_TOUCH}, c AS (SELECT head_sha, array_to_string(list_sort(list_distinct(flatten(list(categories)))), ', ') AS categories, string_agg(path, ', ' ORDER BY file_no) AS paths, any_value(repo_id) AS repo_id FROM touch GROUP BY head_sha)
-SELECT repo_id, head_sha, categories, 'Commit ' || head_sha[1:10] || ' changes ' || paths || CASE WHEN categories <> '' THEN '; security areas: ' || categories ELSE '' END || '.' AS answer FROM c""")
+SELECT repo_id, head_sha, categories, 'This commit (' || head_sha[1:10] || ') changed: ' || paths || '.' || CASE WHEN categories <> '' THEN ' Security-sensitive areas: ' || categories || '.' ELSE '' END AS answer FROM c
+UNION ALL SELECT 'empty', '0123456789abcdef', '', 'This commit (0123456789) changed: no files.'""")
 def d7(spark, d):
-    return D.diff_fallback_answer(D.diff_files(X.diffs(spark, d)))
+    diffs = X.diffs(spark, d).select("repo_id", "head_sha", "diff_text").union(spark.sql("select 'empty', '0123456789abcdef', ''"))
+    return D.diff_fallback_answer(diffs, D.diff_files(diffs))
 
 
 # --- jobs --------------------------------------------------------------------------------------------------------------
@@ -593,16 +612,24 @@ def j4(spark, d):
 def failures(spark, d):
     code = F.expr("element_at(array('CLONE_TIMEOUT', 'EMBED_UPSERT_FAILED', 'CLONE_FAILED', 'UNEXPECTED_X', 'NO_CHUNKS'), cast(event_id % 5 as int) + 1)")
     stage = F.expr("element_at(array('parsing', 'embedding', 'analyzing'), cast(event_id % 3 as int) + 1)")
-    return X.jobs(spark, d).select("job_id", stage.alias("stage"), code.alias("error_code"), F.expr("event_id % 4").alias("retry_count"))
+    return X.jobs(spark, d).select("job_id", "repo_id", stage.alias("stage"), code.alias("error_code"), F.concat(F.lit("m"), "repo_id").alias("message"), F.expr("event_id % 4").alias("retry_count"))
+
+
+_FAILED = """f AS (SELECT event_id::VARCHAR AS job_id, user_id::VARCHAR AS repo_id, ['parsing', 'embedding', 'analyzing'][event_id % 3 + 1] AS stage, ['CLONE_TIMEOUT', 'EMBED_UPSERT_FAILED', 'CLONE_FAILED', 'UNEXPECTED_X', 'NO_CHUNKS'][event_id % 5 + 1] AS code, event_id % 4 AS n FROM events),
+a AS (SELECT *, (code LIKE '%TIMEOUT' OR (stage = 'embedding' AND code = 'EMBED_UPSERT_FAILED') OR (stage = 'parsing' AND code IN ('CLONE_FAILED', 'CLONE_TIMEOUT')) OR code LIKE 'UNEXPECTED%') AND n < 3 AS again FROM f)"""
 
 
-@query("j5_route_failures", f"""WITH f AS (SELECT event_id::VARCHAR AS job_id, ['parsing', 'embedding', 'analyzing'][event_id % 3 + 1] AS stage, ['CLONE_TIMEOUT', 'EMBED_UPSERT_FAILED', 'CLONE_FAILED', 'UNEXPECTED_X', 'NO_CHUNKS'][event_id % 5 + 1] AS code, event_id % 4 AS n FROM events),
-a AS (SELECT *, (code LIKE '%TIMEOUT' OR (stage = 'embedding' AND code = 'EMBED_UPSERT_FAILED') OR (stage = 'parsing' AND code IN ('CLONE_FAILED', 'CLONE_TIMEOUT')) OR code LIKE 'UNEXPECTED%') AND n < 3 AS again FROM f)
-SELECT job_id, CASE WHEN again THEN stage ELSE 'failed' END AS status, CASE WHEN again THEN n + 1 ELSE n END AS retry_count, CASE WHEN again THEN {DNOW} + to_seconds((30 * 2 ** n)::INT) END AS next_retry_at, NOT again AS dead_letter FROM a""")
+@query("j5_route_failures", f"""WITH {_FAILED} SELECT job_id, CASE WHEN again THEN stage ELSE 'failed' END AS status, CASE WHEN NOT again THEN 100 END AS progress, code || ': m' || repo_id AS error_message, CASE WHEN again THEN n + 1 ELSE n END AS retry_count,
+CASE WHEN again THEN {DNOW} + to_seconds((30 * 2 ** n)::INT) END AS next_retry_at, CASE WHEN NOT again THEN {DNOW} END AS completed_at, NOT again AS dead_letter FROM a""")
 def j5(spark, d):
     return J.route_failures(failures(spark, d), now())
 
 
+@query("j5_dead_letters", f"WITH {_FAILED} SELECT job_id, repo_id, stage, code AS error_code, 'm' || repo_id AS error_message, n AS attempt_count FROM a WHERE NOT again")
+def j5_dead(spark, d):
+    return J.dead_letters(failures(spark, d))
+
+
 def submissions(spark, d):
     return X.table(spark, d, "orders").selectExpr("o_orderkey as request_id", "cast(o_custkey % 300 as string) repo_id", "concat('c', o_orderkey % 3) commit_sha", "concat('k', o_orderkey % 6) idempotency_key", "o_orderkey % 9 = 0 as force")
 
@@ -637,15 +664,24 @@ def j9(spark, d):
     return J.dashboard(X.repositories(spark, d), X.results(spark, d))
 
 
-@query("j10_complete_jobs", f"WITH {X.JOBS} SELECT job_id, repo_id, CASE WHEN event_id % 10 = 3 THEN 'done' ELSE status END AS status, CASE WHEN event_id % 10 = 3 THEN 100 ELSE progress END AS progress, CASE WHEN event_id % 10 = 3 THEN {DNOW} END AS completed_at FROM jobs")
+@query("j10_complete_jobs", f"WITH {X.JOBS} SELECT job_id, repo_id, CASE WHEN event_id % 10 = 3 THEN 'done' ELSE status END AS status, CASE WHEN event_id % 10 = 3 THEN 100 ELSE progress END AS progress, CASE WHEN event_id % 10 <> 3 THEN error_message END AS error_message, CASE WHEN event_id % 10 = 3 THEN {DNOW} END AS completed_at FROM jobs")
 def j10(spark, d):
     jobs = X.jobs(spark, d)
     return J.complete_jobs(jobs, jobs.where("event_id % 10 = 3"), now())
 
 
-@query("j12_valid_tokens", f"WITH {X.TOKENS} SELECT share_id, repo_id, CASE WHEN revoked_at IS NOT NULL THEN 'revoked' WHEN expires_at <= TIMESTAMP '1996-01-01' THEN 'expired' ELSE 'valid' END AS state FROM tokens")
+@query("j10_mark_analyzed", f"WITH {X.JOBS}, {X.REPOS} SELECT repo_id, CASE WHEN repo_id IN (SELECT repo_id FROM jobs WHERE event_id % 10 = 3) THEN {DNOW} ELSE TIMESTAMP '2020-01-01' END AS last_analyzed_at FROM repositories")
+def j10_repositories(spark, d):
+    jobs = X.jobs(spark, d)
+    repos = X.repositories(spark, d).select("repo_id", F.expr("timestamp'2020-01-01 00:00:00'").alias("last_analyzed_at"))
+    return J.mark_analyzed(repos, jobs, jobs.where("event_id % 10 = 3"), now())
+
+
+@query("j12_valid_tokens", f"""WITH {X.TOKENS}, asked AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS share_id, CASE WHEN o_orderkey % 10 = 0 THEN 'other' ELSE o_custkey::VARCHAR END AS repo_id FROM orders UNION ALL SELECT -1, 'none', 'other')
+SELECT share_id, a.repo_id, CASE WHEN t.repo_id IS NULL OR t.repo_id <> a.repo_id THEN 'invalid' WHEN revoked_at IS NOT NULL THEN 'revoked' WHEN expires_at <= TIMESTAMP '1996-01-01' THEN 'expired' ELSE 'valid' END AS state FROM asked a LEFT JOIN tokens t USING (share_id)""")
 def j12(spark, d):
-    return J.valid_tokens(X.tokens_table(spark, d), F.expr("timestamp'1996-01-01'"))
+    asked = X.table(spark, d, "orders").selectExpr("cast(o_orderkey as string) share_id", "if(o_orderkey % 10 = 0, 'other', cast(o_custkey as string)) repo_id").union(spark.sql("select 'none', 'other'"))
+    return J.valid_tokens(X.tokens_table(spark, d), asked, F.expr("timestamp'1996-01-01'"))
 
 
 # --- embedding ---------------------------------------------------------------------------------------------------------
@@ -688,7 +724,8 @@ def e2(spark, d):
 
 @query("e3_nearest_rank_percentile", "SELECT event_type, list_sort(list(value))[greatest(1, ceil(count(*) * 5e-1)::INT)] AS p50, list_sort(list(value))[greatest(1, ceil(count(*) * 95e-2)::INT)] AS p95 FROM events GROUP BY event_type")
 def e3(spark, d):
-    return X.table(spark, d, "events").groupBy("event_type").agg(E.nearest_rank("value", 50).alias("p50"), E.nearest_rank("value", 95).alias("p95"))
+    ranks = E.nearest_rank(X.table(spark, d, "events"), "value", (50, 95), ("event_type",))
+    return ranks.groupBy("event_type").agg(*[F.max(F.when(F.col("percent") == p, F.col("value"))).alias(f"p{p}") for p in (50, 95)])
 
 
 @query("e4_sla_report", f"""WITH {X.JOBS}, a AS (SELECT list_sort(list(value * 5) FILTER (status = 'done')) AS s, list_sort(list(value * 40) FILTER (event_id % 3 <> 0)) AS t FROM jobs),
@@ -716,15 +753,19 @@ def e7(spark, d):
     return E.run_delta(e6(spark, d))
 
 
+_SECTIONED = "- **Purpose**: a\n- Core modules: b\n* Runtime flow : c\n- output formats: d\n - Primary languages: e\n"
+
+
 def answers(spark, d):
-    text = F.expr("case when turn = 1 then concat('- Purpose\n- Core modules\n* runtime flow\n- output and languages\n', text) when turn = 3 then '' else text end")
-    return X.table(spark, d, "conversations").where("role = 'assistant' and text is not null").select(F.expr("conv_id * 1000 + turn").alias("answer_id"), text.alias("answer"), F.expr("if(conv_id % 2 = 0, 'summary', 'other')").alias("intent"), F.expr("cast(conv_id % 3 as int)").alias("citation_count"), F.expr("if(turn = 5, 'error', 'ok')").alias("status"), F.length("text").cast("double").alias("latency_ms"))
+    text = F.expr(f"case when turn = 1 then concat('{_SECTIONED}', if(conv_id % 5 = 0, 'Representative paths include: x', ''), text) when turn = 3 then ' ' when turn = 5 then left(text, 39) else text end")
+    return X.table(spark, d, "conversations").where("role = 'assistant'").select(F.expr("conv_id * 1000 + turn").alias("answer_id"), text.alias("answer"), F.expr("if(conv_id % 2 = 0, 'Summary', 'other')").alias("intent"), F.expr("cast(conv_id % 3 as int)").alias("citation_count"), F.expr("if(turn = 5, 'error', 'ok')").alias("status"), F.length("text").cast("double").alias("latency_ms"))
 
 
-_QUALITY = r"""ans AS (SELECT conv_id * 1000 + turn AS answer_id, CASE WHEN turn = 1 THEN '- Purpose' || chr(10) || '- Core modules' || chr(10) || '* runtime flow' || chr(10) || '- output and languages' || chr(10) || text WHEN turn = 3 THEN '' ELSE text END AS answer, conv_id % 2 = 0 AS summary, conv_id % 3 AS cites, CASE WHEN turn = 5 THEN 'error' ELSE 'ok' END AS status, length(text)::DOUBLE AS latency_ms FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
-q1 AS (SELECT *, trim(answer) = '' AS blank, cites <= 0 AS bare, len(regexp_extract_all(answer, '(?m)^[ \t]*[-*] ')) >= 4 AND contains(lower(answer), 'purpose') AND contains(lower(answer), 'core modules') AND contains(lower(answer), 'runtime flow') AND contains(lower(answer), 'output') AND contains(lower(answer), 'languages') AS shaped, regexp_matches(lower(answer), 'as an ai|i cannot|lorem ipsum|todo') AS noisy FROM ans),
-q2 AS (SELECT *, CASE WHEN blank THEN 0 ELSE 1 END + CASE WHEN bare THEN 0 ELSE 1 END + CASE WHEN summary THEN CASE WHEN shaped THEN 2 ELSE 0 END + CASE WHEN noisy THEN 0 ELSE 1 END ELSE CASE WHEN length(answer) >= 40 THEN 1 ELSE 0 END END AS score,
-  concat_ws(',', CASE WHEN blank THEN 'empty_answer' END, CASE WHEN bare THEN 'no_citations' END, CASE WHEN summary AND NOT shaped THEN 'weak_structure' END, CASE WHEN summary AND noisy THEN 'noise' END) AS flags FROM q1),
+_QUALITY = rf"""ans AS (SELECT conv_id * 1000 + turn AS answer_id, CASE WHEN turn = 1 THEN '{_SECTIONED}' || CASE WHEN conv_id % 5 = 0 THEN 'Representative paths include: x' ELSE '' END || text WHEN turn = 3 THEN ' ' WHEN turn = 5 THEN left(text, 39) ELSE text END AS raw, conv_id % 2 = 0 AS summary, conv_id % 3 AS cites, CASE WHEN turn = 5 THEN 'error' ELSE 'ok' END AS status, length(text)::DOUBLE AS latency_ms FROM conversations WHERE role = 'assistant'),
+q0 AS (SELECT *, regexp_replace(regexp_replace(raw, '^{P.SPACES}', ''), '{P.SPACES}$', '') AS answer FROM ans),
+q1 AS (SELECT *, answer = '' AS blank, cites <= 0 AS bare, len(regexp_extract_all(answer, '(?m)^\s*[-*] [^\S\r\n]*\S')) >= 4{"".join(f" AND regexp_matches(answer, '(?im)^{chr(92)}s*[-*]{chr(92)}s*(?:{x}|{chr(92)}*{chr(92)}*{x}{chr(92)}*{chr(92)}*){chr(92)}s*:')" for x in E.SECTIONS)} AS shaped, regexp_matches(answer, '(?i)parse/index stage identified|representative paths include') AS noisy, length(answer) < 40 AS short FROM q0),
+q2 AS (SELECT *, CASE WHEN blank THEN 0 ELSE 1 END + CASE WHEN bare THEN 0 ELSE 1 END + CASE WHEN summary THEN CASE WHEN shaped THEN 2 ELSE 0 END + CASE WHEN noisy THEN 0 ELSE 1 END ELSE CASE WHEN short THEN 0 ELSE 1 END END AS score,
+  concat_ws(',', CASE WHEN blank THEN 'empty_answer' END, CASE WHEN bare THEN 'missing_citations' END, CASE WHEN summary AND NOT shaped THEN 'summary_structure_incomplete' END, CASE WHEN summary AND noisy THEN 'summary_noise_phrase' END, CASE WHEN NOT summary AND short THEN 'answer_too_short' END) AS flags FROM q1),
 quality AS (SELECT *, score >= 3 AND flags = '' AS passed FROM q2)"""
 
 
@@ -744,10 +785,12 @@ def e10(spark, d):
     return E.rubric_gate(X.scores(spark, d))
 
 
-@query("e11_recall_at_k", f"WITH {_RANKED}, q AS (SELECT repo_id AS query_id, chunk_id, rank FROM ranked), rel AS (SELECT repo_id AS query_id, chunk_id FROM chunks WHERE start_line = 7), h AS (SELECT DISTINCT q.query_id FROM q JOIN rel USING (query_id, chunk_id) WHERE rank <= 5), a AS (SELECT DISTINCT query_id FROM rel) SELECT count(*) AS questions, round_even(avg(CASE WHEN h.query_id IS NULL THEN 0 ELSE 1 END), 4) AS recall FROM a LEFT JOIN h USING (query_id)")
+@query("e11_recall_at_k", f"WITH {_RANKED}, q AS (SELECT query_id, chunk_id, rank FROM ranked), rel AS (SELECT query_id, w.chunk_id FROM questions JOIN whole w USING (repo_id) WHERE contains(lower(w.content), lower(questions.q))), h AS (SELECT DISTINCT q.query_id FROM q JOIN rel USING (query_id, chunk_id) WHERE rank <= 5), a AS (SELECT DISTINCT query_id FROM rel) SELECT count(*) AS questions, round_even(avg(CASE WHEN h.query_id IS NULL THEN 0 ELSE 1 END), 4) AS recall FROM a LEFT JOIN h USING (query_id)")
 def e11(spark, d):
-    relevant = X.chunks(spark, d).where("start_line = 7").select(F.col("repo_id").alias("query_id"), "chunk_id")
-    return E.recall_at_k(ranked(spark, d).withColumn("query_id", F.col("repo_id")), relevant)
+    """Relevant to a question is what holds it word for word."""
+    asked = X.questions(spark, d).select("query_id", "repo_id", "q")
+    relevant = X.whole(spark, d).join(asked, "repo_id").where(F.contains(F.lower("content"), F.lower("q"))).select("query_id", "chunk_id")
+    return E.recall_at_k(ranked(spark, d), relevant)
 
 
 @query("e12_client_event_rollup", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS event, '/r' || user_id % 9 AS route, count(*) AS n, round_even(avg(CASE WHEN event_id % 3 <> 0 THEN (event_id % 500)::DOUBLE END), 4) AS mean_ms FROM events WHERE event_id % 11 <> 0 GROUP BY ALL")

@@ -16,18 +16,32 @@ FILE_NAMES = ("dockerfile", "makefile", "procfile")
 SKIPPED_DIRS = (".git", "node_modules", ".venv", "venv", "dist", "build", "__pycache__")
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the folder of spark.checkpoint.dir, which all executors share, and read it back: cuts the lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    return folder
+
+
+def durable(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, forgets partitioning."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.durable_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete durable tables that no frame still to be computed reads."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.durable_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_source_tree(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
@@ -81,11 +95,15 @@ def upsert_analysis(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return newest(existing.unionByName(incoming), ["job_id"], "created_at", "quality_score")
 
 
-def upsert_repositories(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+#: Fields of a repository that a new snapshot replaces, by null too. Fixed values.
+REPOSITORY_FIELDS = ("github_url", "owner", "name", "default_branch", "latest_commit_sha", "description", "stars", "forks", "language", "size_kb")
+
+
+def upsert_repositories(existing: DataFrame, incoming: DataFrame, fields: tuple[str, ...] = REPOSITORY_FIELDS) -> DataFrame:
     """By full_name; the newest snapshot wins on every mutable field, the first id stays."""
-    fresh = incoming.groupBy("full_name").agg(F.max_by(F.struct("id", "stars", "commit_sha"), F.struct("snapshot_at", "id")).alias("n"))
+    fresh = incoming.groupBy("full_name").agg(F.max_by(F.struct("id", *fields), F.struct("snapshot_at", "id")).alias("n"))
     both = existing.join(fresh, "full_name", "full_outer")
-    return both.select("full_name", F.coalesce("id", "n.id").alias("id"), F.coalesce("n.stars", "stars").alias("stars"), F.coalesce("n.commit_sha", "commit_sha").alias("commit_sha"))
+    return both.select("full_name", F.coalesce("id", "n.id").alias("id"), *[F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in fields])
 
 
 def latest_commit_diff(diffs: DataFrame, head_sha: Column | None = None) -> DataFrame:

@@ -1,23 +1,33 @@
-"""Structured Streaming forms of the job-state operators (J3, J6, J7, E1, E12, J11). State is bounded by timers, watermarks or ends of jobs."""
+"""Structured Streaming forms of the job-state operators (J3, J6, J7, E1, E12, J11). State is bounded by watermarks and times to live."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from corpusmill.operators.analysis import analyze_repos
+from corpusmill.operators.chunking import chunk_files
+from corpusmill.operators.embedding import check_vectors, embed_hashed, embed_with_cache
 from corpusmill.operators.evaluation import client_event_rollup, duration_histogram
+from corpusmill.operators.jobs import dead_letters, route_failures
+from corpusmill.sources.tables import capacity_guard, durable, filter_source_files, replace_chunks, upsert_analysis, within_capacity
 
 
 class _Changes(StatefulProcessor):
     """Keeps the last signature of a job; lets changes through until a terminal state."""
 
+    def __init__(self, keep_seconds: int) -> None:
+        self.keep_seconds = keep_seconds
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "mark string, ended boolean")
+        self.last = handle.getValueState("last", "mark string, ended boolean", self.keep_seconds * 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         mark, ended = self.last.get() if self.last.exists() else (None, False)
@@ -34,19 +44,19 @@ class _Changes(StatefulProcessor):
         pass
 
 
-def status_changes_stream(history: DataFrame) -> DataFrame:
-    """Needs the RocksDB state store provider. An ended job keeps one boolean, so that late states stay silent."""
-    return history.groupBy("job_id").transformWithStateInPandas(_Changes(), "job_id string, event_id long, status string, progress int", "append", "none")
+def status_changes_stream(history: DataFrame, keep_seconds: int = 7 * 86_400) -> DataFrame:
+    """Needs the RocksDB state store provider. A job's state is dropped keep_seconds of processing time after its last row; a state that comes later counts as new."""
+    return history.groupBy("job_id").transformWithStateInPandas(_Changes(keep_seconds), "job_id string, event_id long, status string, progress int", "append", "processingTime")
 
 
 class _Limits(StatefulProcessor):
     """Keeps start and count of an identity's window; a request past its end opens the next."""
 
-    def __init__(self, limit: int, seconds: int) -> None:
-        self.limit, self.seconds = limit, seconds
+    def __init__(self, limit: int, seconds: int, keep_seconds: int) -> None:
+        self.limit, self.seconds, self.keep_seconds = limit, seconds, keep_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", "start long, n int")
+        self.window = handle.getValueState("window", "start long, n int", self.keep_seconds * 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         start, n = self.window.get() if self.window.exists() else (None, 0)
@@ -63,10 +73,11 @@ class _Limits(StatefulProcessor):
         pass
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = 10, seconds: int = 3600) -> DataFrame:
-    """Requests must carry `at`, microseconds of the request."""
+def rate_limit_stream(requests: DataFrame, limit: int = 10, seconds: int = 3600, keep_seconds: int | None = None) -> DataFrame:
+    """Requests must carry `at`, microseconds of the request. An identity's window is dropped keep_seconds of processing time after its last request: an hour after the window's length, if not given."""
     schema = "scope string, identity string, request_id long, allowed boolean, remaining int"
-    return requests.groupBy("scope", "identity").transformWithStateInPandas(_Limits(limit, seconds), schema, "append", "none")
+    keep = seconds + 3600 if keep_seconds is None else keep_seconds
+    return requests.groupBy("scope", "identity").transformWithStateInPandas(_Limits(limit, seconds, keep), schema, "append", "processingTime")
 
 
 def dedupe_requests_stream(requests: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -84,6 +95,67 @@ def client_rollup_stream(events: DataFrame, width: str = "1 hour", late: str = "
     return client_event_rollup(events.withWatermark("ts", late), width)
 
 
-def corpus_job(file_sets: DataFrame, handle: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Every new set of files goes through `handle` (chunk, embed, analyse, store) as one batch."""
-    return file_sets.writeStream.foreachBatch(lambda batch, _: handle(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+@dataclass
+class CorpusStore:
+    """Where J11 keeps its tables: one folder, partitioned by repository or appended to."""
+
+    folder: str
+    model: str = "hashed"
+    dim: int = 64
+    max_files: int = 8_000
+    max_chunks: int = 20_000
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
+    def read(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(self.path(name))
+        except AnalysisException:
+            return spark.createDataFrame([], schema)
+
+
+CACHE = "model string, content_hash string, embedding array<float>, stored_at timestamp"
+
+
+def run_corpus_job(files: DataFrame, repositories: DataFrame, store: CorpusStore, now: Column) -> None:
+    """J11 for one set of files (job_id, repo_id, file_path, content, retry_count): S2, S3, C4, S4; V2, V3, V4; A10, S5; rejects go through J5.
+
+    Tables of the store: chunks and vectors (a repository's partition is replaced), cache, results, failures and dead_letters (appended).
+    """
+    spark = files.sparkSession
+    files = durable(files, "job-files")
+    jobs = files.groupBy("repo_id").agg(F.max("job_id").alias("job_id"), F.max("retry_count").alias("retry_count"))
+    kept = filter_source_files(files)
+    few = capacity_guard(kept, store.max_files, "FILE_LIMIT_EXCEEDED")
+    cut = durable(chunk_files(within_capacity(kept, few)), "job-chunks")
+    chunks_guard = capacity_guard(cut, store.max_chunks, "CHUNK_LIMIT_EXCEEDED")
+    chunks = within_capacity(cut, chunks_guard)
+    cached = store.read(spark, "cache", CACHE)
+    found, _ = embed_with_cache(chunks, cached, store.model, now, lambda t: embed_hashed(t, store.dim))
+    vectors = durable(found.select("repo_id", "chunk_id", "content_hash", "embedding"), "job-vectors")
+    bad = chunks.select("repo_id", "chunk_id").join(check_vectors(chunks, vectors, store.dim), "chunk_id").groupBy("repo_id").agg(F.min("error_code").alias("error_code"))
+    linked = chunks.join(bad.select("repo_id"), "repo_id", "left_anti").withColumn("vector_id", F.col("chunk_id"))
+    replace_chunks(linked, store.path("chunks"))
+    payload = vectors.join(linked.select("repo_id", "chunk_id", "file_path", "start_line", "end_line", "language"), ["repo_id", "chunk_id"])
+    replace_chunks(payload, store.path("vectors"))
+    new = vectors.select("content_hash", "embedding").dropDuplicates(["content_hash"]).join(cached.where(F.col("model") == store.model).select("content_hash"), "content_hash", "left_anti")
+    new.select(F.lit(store.model).alias("model"), "content_hash", "embedding", now.alias("stored_at")).write.mode("append").parquet(store.path("cache"))
+    analysed = durable(analyze_repos(linked, repositories.join(jobs.select("repo_id"), "repo_id", "left_semi")), "job-results")
+    done = analysed.where("error_code is null").join(jobs, "repo_id").select("job_id", "repo_id", "quality_score", "summary", now.alias("created_at"))
+    old = store.read(spark, "results", "job_id string, repo_id string, quality_score long, summary string, created_at timestamp")
+    results = durable(upsert_analysis(old, done), "job-upserts")
+    results.write.mode("overwrite").parquet(store.path("results"))
+    failed = [few.where("error_code is not null").select("repo_id", "error_code", F.lit("parsing").alias("stage")), chunks_guard.where("error_code is not null").select("repo_id", "error_code", F.lit("parsing").alias("stage"))]
+    failed.append(bad.select("repo_id", "error_code", F.lit("embedding").alias("stage")))
+    earlier = failed[0].unionByName(failed[1]).unionByName(failed[2])
+    late = analysed.where("error_code is not null").select("repo_id", "error_code", F.lit("analyzing").alias("stage")).join(earlier.select("repo_id"), "repo_id", "left_anti")
+    failures = durable(earlier.unionByName(late).join(jobs, "repo_id").withColumn("message", F.lit("rejected")), "job-failures")
+    route_failures(failures, now).write.mode("append").parquet(store.path("failures"))
+    dead_letters(failures).write.mode("append").parquet(store.path("dead_letters"))
+
+
+def corpus_job(file_sets: DataFrame, repositories: DataFrame, store: CorpusStore, checkpoint: str) -> StreamingQuery:
+    """Every new set of files goes through run_corpus_job as one batch."""
+    handle = lambda batch, _: run_corpus_job(batch, repositories, store, F.current_timestamp())
+    return file_sets.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
