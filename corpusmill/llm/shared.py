@@ -1,9 +1,7 @@
-"""Helpers that the corpus operators share: scratch tables, hot-key joins, running offsets, text constants."""
+"""Helpers that the corpus operators share: hot-key joins, Bloom filters, running offsets, Arrow slices, text constants. scratch and discard are the library's durable tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,42 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusmill.sources.tables import discard
+from corpusmill.sources.tables import durable as scratch
+
+__all__ = ["attach", "attach_some", "bounded_batches", "byte_slices", "discard", "fresh", "maybe_among", "running_start", "scratch"]
+
 #: A word and a run of white space, as Java, Python and RE2 all read them.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Blocks of a Bloom filter that are broadcast at most: 2^20 rows of two longs.
-MAX_BROADCAST_BLOCKS = 1 << 20
+#: Blocks of a Bloom filter that are broadcast at most: 2^19 rows of two longs.
+MAX_BROADCAST_BLOCKS = 1 << 19
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; a cluster must name one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def scratch(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, forgets partitioning."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table.scratch_path = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete scratch tables that no frame still to be computed reads."""
-    for table in tables:
-        jvm = table.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """From now on Arrow batches of the session hold at most that many rows, as texts are long. A smaller bound stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
