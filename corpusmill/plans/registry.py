@@ -696,9 +696,12 @@ def cache(spark, d):
     return X.whole(spark, d).where("cast(chunk_id as long) % 3 != 0").select(F.lit("m").alias("model"), P.content_hash(F.col("content")).alias("content_hash"), F.array(F.lit(1.0).cast("float")).alias("embedding"), F.expr(f"{X.NOW} - make_interval(0, 0, 0, cast(cast(chunk_id as long) % 10 as int))").alias("stored_at"))
 
 
-@query("v2_embed_with_cache", f"WITH {X.WHOLE}, h AS (SELECT DISTINCT sha256(content) AS content_hash FROM whole), c AS (SELECT DISTINCT sha256(content) AS content_hash FROM whole WHERE chunk_id::BIGINT % 3 <> 0 AND chunk_id::BIGINT % 10 <= 7) SELECT content_hash, c.content_hash IS NOT NULL AS hit FROM h LEFT JOIN c USING (content_hash)")
+@query("v2_embed_with_cache", f"""WITH {X.WHOLE}, h AS (SELECT chunk_id, sha256(content) AS content_hash FROM whole), c AS (SELECT DISTINCT sha256(content) AS content_hash FROM whole WHERE chunk_id::BIGINT % 3 <> 0 AND chunk_id::BIGINT % 10 <= 7)
+SELECT chunk_id, content_hash, c.content_hash IS NOT NULL AS hit, CASE WHEN c.content_hash IS NULL THEN 64 ELSE 1 END AS dim FROM h LEFT JOIN c USING (content_hash)""")
 def v2(spark, d):
-    return V.cache_split(X.whole(spark, d), cache(spark, d), "m", now())
+    """Cached vectors have one number, those made now 64."""
+    found, _ = V.embed_with_cache(X.whole(spark, d), cache(spark, d), "m", now(), lambda texts: V.embed_hashed(texts, 64))
+    return found.select("chunk_id", "content_hash", (F.size("embedding") == 1).alias("hit"), F.size("embedding").alias("dim"))
 
 
 @query("v3_check_vectors", f"WITH {X.WHOLE}, {X.VECTORS} SELECT w.chunk_id, CASE WHEN v.chunk_id IS NULL THEN 'MISSING' ELSE 'EMBED_VECTOR_MISMATCH' END AS error_code FROM whole w LEFT JOIN vectors v USING (chunk_id) WHERE v.chunk_id IS NULL OR w.chunk_id::BIGINT % 4 = 0")
