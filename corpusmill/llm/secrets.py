@@ -45,14 +45,14 @@ def highest_entropy(s: str, window: int = WINDOW) -> float:
     total = 0.0
     best = math.inf
     for i, c in enumerate(s):
-        n = count.get(c, 0)
-        total += logs[n + 1] - logs[n]
-        count[c] = n + 1
         if i >= w:
             old = s[i - w]
             n = count[old]
             total += logs[n - 1] - logs[n]
             count[old] = n - 1
+        n = count.get(c, 0)
+        total += logs[n + 1] - logs[n]
+        count[c] = n + 1
         if i >= w - 1:
             best = min(best, total)
     return math.log2(w) - best / w

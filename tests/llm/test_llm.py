@@ -207,7 +207,7 @@ def test_pii_boosting_adds_national_phones_and_spelled_out_addresses(spark):
         )[i % 12])
     got = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     added = [np.mean([r.n_added == 1 for r in got if r.doc_id % 12 == k]) for k in range(12)]
-    assert min(added[5:10]) > 0.95 and max(added[:5] + added[10:]) < 0.05
+    assert min(added[5:10]) > 0.95 and max(added[:5] + added[10:]) < 0.05, added
     assert all(r.spans == "address:6:%d" % (len(texts[r.doc_id]) - 6) for r in got if r.doc_id % 12 in (8, 9))
 
 
@@ -253,7 +253,7 @@ def test_secrets_added_by_recount(spark):
     assert total > 50
 
 
-@given(st.text("ab1cD2", min_size=1, max_size=60))
+@given(st.text("ab1cD2", min_size=1, max_size=60) | st.text("a", min_size=1, max_size=60))
 @settings(max_examples=60, deadline=None)
 def test_highest_entropy_by_recount(s):
     w = min(20, len(s))
