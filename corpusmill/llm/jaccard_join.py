@@ -37,8 +37,8 @@ from corpusmill.llm.shared import attach, attach_some, bounded_batches, byte_sli
 MAX_LIGHT = 20
 #: What verifying one candidate costs, in list entries: its parity bits, texts and sets against 24 bytes of an entry.
 CANDIDATE_COST = 24
-#: Buckets in which shingles are counted, and the rows they are summed in.
-BUCKETS, STRIPE = 1 << 20, 1 << 14
+#: Buckets in which shingles are counted for each row, at most, and in a row of the table that they are summed in. Counts stop at MOST.
+BUCKETS_PER_ROW, MAX_BUCKETS, STRIPE, MOST = 16, 1 << 22, 1 << 14, (1 << 15) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,36 +120,40 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def _counts(docs: DataFrame, k: int) -> np.ndarray:
-    """Shingles of all documents, counted in BUCKETS hash buckets; BUCKETS numbers reach the driver, however many rows."""
-    buckets, stripe = BUCKETS, STRIPE
+    """Shingles of all documents, counted in hash buckets, which grow with the rows up to MAX_BUCKETS; two bytes each reach the driver."""
+    stripe, most = STRIPE, MOST
+    buckets = min(MAX_BUCKETS, 1 << max(14, (BUCKETS_PER_ROW * docs.count() - 1).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
+        total = np.zeros(buckets, np.int16)
         for batch in batches:
             for b in byte_slices(batch, "text"):
                 h, _ = window_hashes(b["text"], k)
-                total += np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets // stripe)), _lists(list(total.reshape(-1, stripe)))], ["stripe", "counts"])
+                at, n = np.unique((h & np.uint64(buckets - 1)).astype(np.int32), return_counts=True)
+                total[at] = np.minimum(total[at] + n, most)
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(0, buckets + 1, stripe), pa.int32()), pa.array(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets // stripe)), rows], ["stripe", "counts"])
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(stripe, np.int64)
         for part in rows["counts"]:
             total += part
-        return pd.DataFrame({"stripe": [key[0]], "counts": [total]})
+        return pd.DataFrame({"stripe": [key[0]], "counts": [np.minimum(total, most).astype(np.int16)]})
 
-    parts = docs.select("text").mapInArrow(count, "stripe long, counts array<long>")
-    total = np.zeros(buckets, np.int64)
-    for r in parts.groupBy("stripe").applyInPandas(add, "stripe long, counts array<long>").toLocalIterator():
+    parts = docs.select("text").mapInArrow(count, "stripe long, counts array<short>")
+    total = np.zeros(buckets, np.uint16)
+    for r in parts.groupBy("stripe").applyInPandas(add, "stripe long, counts array<short>").toLocalIterator():
         total[r.stripe * stripe : (r.stripe + 1) * stripe] = r.counts
-    return np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+    return total
 
 
 def _sets(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
     """doc_id, n, key (hash of the whole set), parity, tokens: prefix in the order of the sketch, or the whole set up to MAX_LIGHT."""
-    buckets, whole = BUCKETS, MAX_LIGHT
+    whole = MAX_LIGHT
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = counts.value
+        buckets = len(weight)
         for batch in batches:
             for b in byte_slices(batch, "text"):
                 sets = shingle_sets(b["text"], k)
