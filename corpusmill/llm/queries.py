@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from corpusmill.llm.best_fit_packing import pack_documents
 from corpusmill.llm.chat_format import conversation_digests
 from corpusmill.llm.exact_dedup import duplicate_report
+from corpusmill.llm.filter_audit import audit_filters
 from corpusmill.llm.jaccard_join import jaccard_classes
 from corpusmill.llm.pii import find_personal_data
 from corpusmill.llm.quality_divergence import quality_verdicts
+from corpusmill.llm.repeat_index import remove_repeats
 from corpusmill.llm.secrets import scan_secrets
+from corpusmill.llm.source_audit import audit_sources
 from corpusmill.llm.source_mix import mix_sources
 from corpusmill.llm.toxicity import held_out, score_toxicity, train, training_labels
 from corpusmill.llm.url_reputation import judge_urls
@@ -71,7 +74,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_source_mix, op3_quality_divergence, op4_pii, op5_secrets, op6_chat_format, op7_jaccard_join, op8_exact_dedup, op9_url_reputation, op10_best_fit_packing)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(_table(spark, sf_dir, "documents"))
+
+
+def op13_repeat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_source_mix, op3_quality_divergence, op4_pii, op5_secrets, op6_chat_format, op7_jaccard_join, op8_exact_dedup, op9_url_reputation, op10_best_fit_packing,
+        op11_filter_audit, op12_source_audit, op13_repeat_index,
+    )
+}
 
 _MIX = r"""
 WITH d AS (
@@ -165,4 +186,52 @@ SELECT page_id, host, path, rule,
 FROM u JOIN v USING (host), al
 """
 
-ORACLE_SQL = {"op2_source_mix": _MIX, "op6_chat_format": _CHAT, "op7_jaccard_join": _JACCARD, "op8_exact_dedup": _DEDUP, "op9_url_reputation": _URLS}
+_FILTERS = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS fails FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+p AS (SELECT part, fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS x(f, v)),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.v, b.v, c.v, d.v, e.v] AS v FROM x a, x b, x c, x d, x e WHERE a.v + b.v + c.v + d.v + e.v = 31),
+s AS (SELECT filter_order, step, v[step] AS own, CASE step WHEN 1 THEN 0 WHEN 2 THEN v[1] WHEN 3 THEN v[1] + v[2] WHEN 4 THEN v[1] + v[2] + v[3] ELSE v[1] + v[2] + v[3] + v[4] END AS before
+      FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step) n),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (fails & (own | before) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails & before = 0 AND fails & own != 0), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (fails & before != 0 AND fails & own != 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+             coalesce(sum(n) FILTER (fails & before = 0 AND fails & own != 0 AND good = 1), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (fails & before = 0 AND fails & own != 0 AND toxic = 1), 0)::BIGINT AS toxic_lost
+      FROM p, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
+"""
+
+_SOURCES = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS c FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY ALL),
+g AS (SELECT d.lang, d.source, coalesce(v.v, 0) AS v, coalesce(v.n, 0) AS lang_n FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN v ON v.lang = d.lang),
+n AS (SELECT g.lang, g.source, g.v, g.lang_n, coalesce(sum(c.c), 0) AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+e AS (SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c, (1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 1) // (n.n + n.v))::HUGEINT AS p, (1 + 1000000000::HUGEINT * (k.total + 1) // (n.lang_n + n.v))::HUGEINT AS lang_p
+      FROM n JOIN k ON k.lang = n.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM e a JOIN e b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL),
+q AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+m AS (SELECT lang, source, 'term' AS part, term AS item, ((p - lang_p) * (p - lang_p) // lang_p)::BIGINT AS value FROM e WHERE c > 0 AND p > lang_p),
+u AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM q UNION ALL SELECT * FROM m))
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM u WHERE part = 'pair' OR rank <= 200
+"""
+
+_REPEATS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM d WHERE len(x) >= 400),
+w AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS h FROM s),
+m AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+b AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM m),
+k AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM b),
+p AS (SELECT r, run, min(i) AS a, max(i) + 200 AS z FROM k GROUP BY r, run),
+o AS (SELECT p.r, a, z, substr(x, 2 * lag(z, 1, 0) OVER (PARTITION BY p.r ORDER BY a) + 1, 2 * (a - lag(z, 1, 0) OVER (PARTITION BY p.r ORDER BY a))) AS kept FROM p JOIN d ON d.r = p.r),
+j AS (SELECT r, sum(z - a) AS gone, count(*) AS runs, max(z) AS z, string_agg(kept, '' ORDER BY a) AS kept FROM o GROUP BY r)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN j ON j.r = d.r
+"""
+
+ORACLE_SQL = {"op2_source_mix": _MIX, "op6_chat_format": _CHAT, "op7_jaccard_join": _JACCARD, "op8_exact_dedup": _DEDUP, "op9_url_reputation": _URLS, "op11_filter_audit": _FILTERS, "op12_source_audit": _SOURCES, "op13_repeat_index": _REPEATS}

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from corpusmill.sources.tables import discard
 from corpusmill.sources.tables import durable as scratch
 
-__all__ = ["attach", "attach_some", "bounded_batches", "byte_slices", "discard", "fresh", "maybe_among", "running_start", "scratch"]
+__all__ = ["attach", "attach_some", "bloom_array", "bounded_batches", "byte_slices", "discard", "fresh", "in_bloom", "maybe_among", "running_start", "scratch"]
 
 #: A word and a run of white space, as Java, Python and RE2 all read them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -91,6 +91,23 @@ def bloom_bits(h: Column) -> Column:
     return F.call_function("shiftleft", one, bloom_bit(h, 0)).bitwiseOR(F.call_function("shiftleft", one, bloom_bit(h, 1)))
 
 
+def bloom_array(keys: DataFrame, key: str) -> np.ndarray:
+    """A Bloom filter of the keys (a scratch table; longs that are hashes already) as an array of at most MAX_BROADCAST_BLOCKS blocks; beyond 4 keys a block it lets more others through."""
+    blocks = min(MAX_BROADCAST_BLOCKS, 1 << max(10, (keys.count() // 4).bit_length()))
+    h = F.col(key)
+    found = keys.groupBy(bloom_block(h, blocks).alias("block")).agg(F.bit_or(bloom_bits(h)).alias("bits")).toArrow()
+    bits = np.zeros(blocks, np.uint64)
+    bits[found["block"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def in_bloom(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each of the keys (np.uint64) may be in a filter of bloom_array."""
+    one, low = np.uint64(1), np.uint64(63)
+    mask = one << (keys >> np.uint64(40) & low) | one << (keys >> np.uint64(46) & low)
+    return bits[keys & np.uint64(len(bits) - 1)] & mask == mask
+
+
 def maybe_among(left: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
     """Add the boolean `flag`: false only if left's key is not among the keys (a scratch table of one column named key, without nulls).
 
