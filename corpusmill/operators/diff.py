@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.functions.text import ascii_words
+from corpusmill.functions.text import LINE_BREAK, ascii_words
+from corpusmill.operators.graph import blast_radius
 
 #: Labels of security-sensitive text and their patterns.
 SECURITY_PATTERNS = {
@@ -19,8 +20,8 @@ _HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 
 
 def diff_files(diffs: DataFrame, most_lines: int = 200) -> DataFrame:
-    """One record for each file of a diff, with its hunks and first added lines. All in the row: no shuffle."""
-    parts = F.filter(F.split("diff_text", _START), lambda p: p.startswith("diff --git a/") & p.rlike("(?dm)" + HEADER))
+    """One record for each file of a diff, with its hunks and first added lines. All in the row: no shuffle. Every line break ends a line, as in P2."""
+    parts = F.filter(F.split(F.regexp_replace("diff_text", LINE_BREAK, "\n"), _START), lambda p: p.startswith("diff --git a/") & p.rlike("(?dm)" + HEADER))
     files = diffs.select("repo_id", "head_sha", F.posexplode(parts).alias("nth", "part")).select("repo_id", "head_sha", F.col("nth") + 1, F.split("part", "\n").alias("lines")).toDF("repo_id", "head_sha", "file_no", "lines")
     header = F.get("lines", F.lit(0))
     renamed = F.try_element_at(F.filter("lines", lambda x: x.startswith("+++ b/")), F.lit(-1))
@@ -38,10 +39,14 @@ def diff_files(diffs: DataFrame, most_lines: int = 200) -> DataFrame:
 
 
 def security_touches(files: DataFrame) -> DataFrame:
-    """D3: sorted labels of what a file's path and added lines mention; files without a label are left out."""
+    """D3: sorted labels of what a file's path and added lines mention; files without a label are left out.
+
+    The text is bound once, and the labels come out of a generator, below which no filter is pushed: each pattern occurs once in the plan.
+    """
     text = F.concat_ws("\n", F.array(F.col("path")), F.col("added_lines"))
-    labels = F.array_sort(F.array_compact(F.array(*[F.when(text.rlike("(?i)" + ascii_words(p)), F.lit(name)) for name, p in SECURITY_PATTERNS.items()])))
-    return files.select("repo_id", "head_sha", "path", labels.alias("categories")).where(F.size("categories") > 0)
+    found = lambda t: F.array_sort(F.array_compact(F.array(*[F.when(t.rlike("(?i)" + ascii_words(p)), F.lit(name)) for name, p in SECURITY_PATTERNS.items()])))
+    labels = F.filter(F.transform(F.array(text), found), lambda c: F.size(c) > 0)
+    return files.select("repo_id", "head_sha", "path", F.explode(labels).alias("categories"))
 
 
 def diff_summary(files: DataFrame) -> DataFrame:
@@ -55,12 +60,13 @@ def diff_contexts(files: DataFrame, most: int = 6, lines: int = 60) -> DataFrame
     return files.withColumn("rank", nth).where(F.col("rank") <= most).select("repo_id", "head_sha", "rank", "path", F.try_element_at("hunks", F.lit(1))["start"].alias("line_start"), F.try_element_at("hunks", F.lit(-1))["end"].alias("line_end"), F.array_join(F.slice("added_lines", 1, lines), "\n").alias("content"))
 
 
-def commit_report(files: DataFrame, impacted: DataFrame) -> DataFrame:
-    """For each diff, how many files changed, which are sensitive and how many other files they reach."""
+def commit_report(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """For each diff, how many files changed, which are sensitive and how many other files import what it changed."""
     changed = files.groupBy("repo_id", "head_sha").agg(F.count("*").alias("changed"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))
     flagged = security_touches(files).groupBy("repo_id", "head_sha").agg(F.count("*").alias("flagged"))
-    reach = impacted.groupBy("repo_id").agg(F.count("*").alias("impacted"))
-    out = changed.join(flagged, ["repo_id", "head_sha"], "left").join(reach, "repo_id", "left")
+    own = files.where("coalesce(path, '') != ''").select("repo_id", "head_sha", F.col("path").alias("file_path"))
+    reach = blast_radius(edges, own).groupBy("repo_id", "head_sha").agg(F.count("*").alias("impacted"))
+    out = changed.join(flagged, ["repo_id", "head_sha"], "left").join(reach, ["repo_id", "head_sha"], "left")
     return out.select("repo_id", "head_sha", "changed", "added", "removed", F.coalesce("flagged", F.lit(0)).cast("long").alias("flagged"), F.coalesce("impacted", F.lit(0)).cast("long").alias("impacted"))
 
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.sources.tables import durable
+from corpusmill.sources.tables import discard, durable
 
+#: Suffixes of scripts, and what an import or a require looks like there; the names of an import may take several lines.
 JS = ("ts", "tsx", "js", "jsx", "mjs", "cjs")
+JS_IMPORT = r"""(?:import|export)\s+(?:[^'"]+?\s+from\s+)?['"]([^'"]+)['"]"""
+JS_REQUIRE = r"""require\(\s*['"]([^'"]+)['"]\s*\)"""
 
 
 def merge_file_text(chunks: DataFrame) -> DataFrame:
@@ -25,8 +28,8 @@ def extract_imports(files: DataFrame) -> DataFrame:
     plain = F.flatten(F.transform(find(r"(?m)^[ \t]*import[ \t]+([^\n#]+)"), lambda x: F.split(x, ",")))
     modules = F.transform(plain, lambda x: F.trim(F.regexp_replace(x, r"(?s)[ \t]+as[ \t].*$", "")))
     dotted = find(r"(?m)^[ \t]*from[ \t]+([a-zA-Z0-9_.]+)[ \t]+import[ \t]+")
-    quoted = F.concat(find(r"""(?:import|export)\s[^'"\n]*?['"]([^'"\n]+)['"]"""), find(r"""require\(\s*['"]([^'"\n]+)['"]\s*\)"""))
-    refs = files.select("repo_id", "file_path", F.when(py, F.concat(modules, dotted)).when(js, quoted).otherwise(F.array().cast("array<string>")).alias("refs"), F.when(py, "python").otherwise("js").alias("kind"))
+    quoted = F.concat(find(JS_IMPORT), find(JS_REQUIRE))
+    refs = files.select("repo_id", "file_path", F.when(py, F.concat(modules, dotted)).when(js, quoted).otherwise(F.array().cast("array<string>")).alias("refs"), F.when(py, "python").otherwise("javascript").alias("kind"))
     return refs.select("repo_id", "file_path", F.explode("refs").alias("ref"), "kind").where("ref != ''").distinct()
 
 
@@ -61,18 +64,44 @@ def graph_stats(chunks: DataFrame) -> DataFrame:
     return nodes.join(edges, "repo_id", "left").select("repo_id", "nodes", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"))
 
 
-def blast_radius(edges: DataFrame, changed: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def _doubled(hops: DataFrame, most: int) -> DataFrame | None:
+    """Hops (repo_id, file_path, source) of twice the length; None if more than `most` pairs would meet at their middles."""
+    here = hops.groupBy("repo_id", "file_path").agg(F.count("*").alias("out"))
+    there = hops.groupBy("repo_id", F.col("source").alias("file_path")).agg(F.count("*").alias("into"))
+    pairs = here.join(there, ["repo_id", "file_path"]).agg(F.coalesce(F.sum(F.col("out") * F.col("into")), F.lit(0))).first()[0]
+    if pairs > most:
+        return None
+    first = hops.select("repo_id", "file_path", F.col("source").alias("middle"))
+    second = hops.select("repo_id", F.col("file_path").alias("middle"), "source")
+    return durable(first.join(second, ["repo_id", "middle"]).where("file_path != source").select("repo_id", "file_path", "source").distinct(), "hops")
+
+
+def blast_radius(edges: DataFrame, changed: DataFrame, widest: int = 4, max_rounds: int = 10_000) -> DataFrame:
     """Files that import a changed file (repo_id, file_path), directly or not; changed files are not counted.
 
-    One round for each step of distance; rounds meet only new files, and each is written to the shared folder.
+    Other columns of changed, such as a commit, keep apart what is asked at once. Hops double their length in each round, from one import to 2, 4, 8
+    and so on: after a round with hops of length n all files nearer than 2 n are known, so rounds are logarithmic in depth. Hops stop
+    doubling when the longer ones would outnumber `widest` times the imports; then each round adds files of that length's distance, and
+    meets only new ones. Each round is written to the shared folder, the one before it deleted; only counts reach the driver.
     """
-    back = durable(edges.select("repo_id", F.col("target").alias("file_path"), "source").distinct(), "edges")
-    seen = frontier = durable(changed.select("repo_id", "file_path").distinct(), "changed")
-    first = seen
+    keys = [c for c in changed.columns if c != "file_path"]
+    hops = durable(edges.select("repo_id", F.col("target").alias("file_path"), "source").distinct(), "hops")
+    most = widest * hops.count()
+    first = durable(changed.select(*keys, "file_path").distinct(), "changed")
+    seen = ahead = first
+    doubling = True
     for _ in range(max_rounds):
-        step = frontier.join(back, ["repo_id", "file_path"]).select("repo_id", F.col("source").alias("file_path")).distinct()
-        frontier = durable(step.join(seen, ["repo_id", "file_path"], "left_anti"), "frontier")
-        if frontier.isEmpty():
-            return seen.join(first, ["repo_id", "file_path"], "left_anti")
-        seen = durable(seen.union(frontier), "seen")
-    raise RuntimeError(f"blast radius is deeper than {max_rounds}")
+        step = ahead.join(hops, ["repo_id", "file_path"]).select(*keys, F.col("source").alias("file_path")).distinct()
+        new = durable(step.join(seen, [*keys, "file_path"], "left_anti"), "new")
+        if new.isEmpty():
+            return seen.join(first, [*keys, "file_path"], "left_anti")
+        known = durable(seen.union(new), "seen")
+        longer = _doubled(hops, most) if doubling else None
+        doubling = longer is not None
+        if seen is not first:
+            discard(seen)
+        if doubling:
+            discard(hops)
+            hops = longer
+        seen, ahead = known, known if doubling else new
+    raise RuntimeError(f"blast radius takes more than {max_rounds} rounds")

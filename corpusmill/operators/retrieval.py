@@ -115,14 +115,17 @@ def term_overlap(q: Column, text: Column) -> Column:
 
 
 def rerank(results: DataFrame, questions: DataFrame, most: int = 50, scorer: Callable[[Column, Column], Column] = term_overlap) -> DataFrame:
-    """The first `most` results of a question get the scorer's score of question and text; one missing score leaves all as they were."""
+    """The first `most` results of a question get the scorer's score of question and text; one missing score leaves all as they were.
+
+    results are all merged candidates (R6 without a cut); equal scores go by chunk_id. Cut what comes out.
+    """
     known = results.join(questions.select("query_id", "repo_id", "q"), ["query_id", "repo_id"])
     text = F.concat(F.coalesce("file_path", F.lit("")), F.lit("\n"), F.coalesce("language", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
     asked = Window.partitionBy("query_id", "repo_id")
     new = known.withColumn("new", F.when(F.col("rank") <= most, scorer(F.col("q"), text)))
     failed = F.max((F.col("new").isNull() & (F.col("rank") <= most)).cast("int")).over(asked) == 1
     final = new.withColumn("score", F.when(failed | F.col("new").isNull(), F.col("score")).otherwise(F.col("new")))
-    nth = F.row_number().over(asked.orderBy(F.desc("score"), "rank"))
+    nth = F.row_number().over(asked.orderBy(F.desc("score"), "chunk_id"))
     return final.withColumn("new_rank", nth).drop("rank", "new", "q").withColumnRenamed("new_rank", "rank")
 
 

@@ -73,22 +73,23 @@ def code_files(spark: SparkSession, d: str) -> DataFrame:
     top = F.expr("element_at(array('src0', 'src1', 'src2', 'src3'), cast(doc_id % 4 as int) + 1)")
     path = F.expr("concat('src/f', f, if(doc_id % 8 < 4, '.py', '.ts'))")
     one, two = F.expr("cast(f div 2 as string)"), F.expr("cast(cast(conv(substring(md5(text), 1, 6), 16, 10) as long) % (f + 1) as string)")
-    text = F.when(F.expr("doc_id % 8 < 4"), F.concat(F.lit("import src.f"), one, F.lit(" as x, os\nfrom src.f"), two, F.lit(" import y\n"), "text")).otherwise(F.concat(F.lit("import { a } from './f"), one, F.lit("'\nconst b = require('../src/f"), two, F.lit("')\n"), "text"))
+    text = F.when(F.expr("doc_id % 8 < 4"), F.concat(F.lit("import src.f"), one, F.lit(" as x, os\nfrom src.f"), two, F.lit(" import y\n"), "text")).otherwise(F.concat(F.lit("import {\n  a,\n} from './f"), one, F.lit("'\nexport const p = './none'\nconst b = require('../src/f"), two, F.lit("')\n"), "text"))
     return n.select(top.alias("repo_id"), path.alias("file_path"), F.lit(1).alias("start_line"), text.alias("content"))
 
 
 CODE = """code AS (SELECT ['src0', 'src1', 'src2', 'src3'][doc_id % 4 + 1] AS repo_id, doc_id // 4 AS f, doc_id % 8 < 4 AS py, 'src/f' || (doc_id // 4) || CASE WHEN doc_id % 8 < 4 THEN '.py' ELSE '.ts' END AS file_path, coalesce(text, '') AS text FROM documents),
 refs AS (SELECT *, f // 2 AS g FROM code UNION ALL SELECT *, ('0x' || md5(text)[1:6])::BIGINT % (f + 1) FROM code),
-edges AS (SELECT DISTINCT r.repo_id, r.file_path AS source, t.file_path AS target, CASE WHEN r.py THEN 'python' ELSE 'js' END AS kind FROM refs r JOIN code t ON t.repo_id = r.repo_id AND t.py = r.py AND t.f = r.g WHERE t.file_path <> r.file_path)"""
+edges AS (SELECT DISTINCT r.repo_id, r.file_path AS source, t.file_path AS target, CASE WHEN r.py THEN 'python' ELSE 'javascript' END AS kind FROM refs r JOIN code t ON t.repo_id = r.repo_id AND t.py = r.py AND t.f = r.g WHERE t.file_path <> r.file_path)"""
 
 
-def diffs(spark: SparkSession, d: str) -> DataFrame:
-    """A diff for each document: its lines added or removed by parity, in two files."""
+def diffs(spark: SparkSession, d: str, repo: str = "source", path: str = "concat('auth/f', doc_id, '.py')", newest: str = "doc_id") -> DataFrame:
+    """A diff for each document: its lines added or removed by parity, in two files; every third with the line breaks of another system."""
     docs = table(spark, d, "documents")
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 2 == 0, "+").otherwise("-"), x))
-    head = lambda name: F.concat(F.lit(f"diff --git a/{name}"), F.col("doc_id").cast("string"), F.lit(f".py b/{name}"), F.col("doc_id").cast("string"), F.lit(".py\n"))
-    body = F.concat(head("auth/f"), F.when(F.expr("doc_id % 6 = 0"), "new file mode 100644\n").otherwise(""), F.lit("@@ -1,2 +10,5 @@\n"), F.array_join(lines, "\n"), F.lit("\n"), head("doc"), F.lit("@@ -3 +4 @@\n+one\n-two"))
-    return docs.select(F.col("source").alias("repo_id"), F.sha2(F.col("doc_id").cast("string"), 256).alias("head_sha"), body.alias("diff_text"), F.expr("timestamp_seconds(1700000000 + doc_id)").alias("created_at"))
+    head = lambda name: F.concat(F.lit("diff --git a/"), F.expr(name), F.lit(" b/"), F.expr(name), F.lit("\n"))
+    body = F.concat(head(path), F.when(F.expr("doc_id % 6 = 0"), "new file mode 100644\n").otherwise(""), F.lit("@@ -1,2 +10,5 @@\n"), F.array_join(lines, "\n"), F.lit("\n"), head("concat('doc', doc_id, '.py')"), F.lit("@@ -3 +4 @@\n+one\n-two"))
+    body = F.when(F.expr("doc_id % 3 = 0"), F.regexp_replace(body, "\n", "\r\n")).otherwise(body)
+    return docs.select(F.expr(repo).alias("repo_id"), F.sha2(F.col("doc_id").cast("string"), 256).alias("head_sha"), body.alias("diff_text"), F.expr(f"timestamp_seconds(1700000000 + {newest})").alias("created_at"))
 
 
 DIFFS = """dl AS (SELECT source AS repo_id, doc_id, sha256(doc_id::VARCHAR) AS head_sha, string_split(text, chr(10)) AS l FROM documents),

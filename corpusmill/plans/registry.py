@@ -192,11 +192,12 @@ def source_texts(spark, d):
     """Texts as code: every fourth line opens a definition, the lines after it are its body."""
     lines = P.split_lines(F.col("content"))
     code = F.array_join(F.transform(lines, lambda x, i: F.when(i % 4 == 1, F.concat(F.lit("def f("), x)).when(i % 4 == 0, F.concat(F.lit("x"), x)).otherwise(F.concat(F.lit("  "), x))), "\n")
-    return X.files(spark, d).where("file_path != 'README.md'").select("repo_id", "file_path", F.when(F.expr("doc_id % 2 = 0"), code).otherwise(F.col("content")).alias("content"), "doc_id")
+    path = F.expr("if(file_path = 'README.md', concat('README', doc_id, '.md'), file_path)")
+    return X.files(spark, d).select("repo_id", path.alias("file_path"), F.when(F.expr("doc_id % 2 = 0"), code).otherwise(F.col("content")).alias("content"), "doc_id")
 
 
-_CODED = X.LINES + """, coded AS (SELECT repo_id, file_path, doc_id, regexp_extract(file_path, '[^.]+$') AS language, unnest(list_transform(lines, lambda x, i: CASE WHEN doc_id % 2 = 1 THEN x WHEN (i - 1) % 4 = 1 THEN 'def f(' || x WHEN (i - 1) % 4 = 0 THEN 'x' || x ELSE '  ' || x END)) AS line,
- unnest(range(1, len(lines) + 1)) AS line_no FROM lined WHERE file_path <> 'README.md')"""
+_CODED = X.LINES + """, coded AS (SELECT repo_id, CASE WHEN file_path = 'README.md' THEN 'README' || doc_id || '.md' ELSE file_path END AS file_path, doc_id, regexp_extract(file_path, '[^.]+$') AS language, unnest(list_transform(lines, lambda x, i: CASE WHEN doc_id % 2 = 1 THEN x WHEN (i - 1) % 4 = 1 THEN 'def f(' || x WHEN (i - 1) % 4 = 0 THEN 'x' || x ELSE '  ' || x END)) AS line,
+ unnest(range(1, len(lines) + 1)) AS line_no FROM lined)"""
 _SPANS = _CODED + r""", k AS (SELECT *, CASE language WHEN 'py' THEN regexp_matches(line, '^(?:(?:async\s+)?def|class)\b|^@') WHEN 'go' THEN regexp_matches(line, '^(?:func|type)\b') WHEN 'js' THEN regexp_matches(line, '^(?:async\s+)?function\b|^(?:abstract\s+)?class\b')
   ELSE regexp_matches(line, '^(?:async\s+)?function\b|^(?:abstract\s+)?class\b|^interface\b|^enum\b') END AS opens, regexp_matches(line, '^\S') AND NOT regexp_matches(line, '^(?:[}\])]|end\b|#)') AS at0 FROM coded WHERE language IN ('py', 'go', 'js', 'ts')),
 k2 AS (SELECT *, CASE WHEN opens THEN 'definition' WHEN at0 THEN 'gap' END AS own FROM k),
@@ -300,12 +301,12 @@ def g1(spark, d):
 
 @query("g2_extract_imports", f"""WITH {X.CODE}, r AS (SELECT repo_id, file_path, CASE WHEN py THEN 'src.f' || g ELSE CASE WHEN first THEN './f' || g ELSE '../src/f' || g END END AS ref, py FROM (SELECT repo_id, file_path, py, f // 2 AS g, true AS first FROM code UNION ALL SELECT repo_id, file_path, py, ('0x' || md5(text)[1:6])::BIGINT % (f + 1), false FROM code)
   UNION SELECT repo_id, file_path, 'os', py FROM code WHERE py)
-SELECT DISTINCT repo_id, file_path, ref, CASE WHEN py THEN 'python' ELSE 'js' END AS kind FROM r""")
+SELECT DISTINCT repo_id, file_path, ref, CASE WHEN py THEN 'python' ELSE 'javascript' END AS kind FROM r""")
 def g2(spark, d):
     return G.extract_imports(G.merge_file_text(X.code_files(spark, d)))
 
 
-@query("g3_resolve_imports", f"WITH {X.CODE} SELECT DISTINCT r.repo_id, r.file_path AS source, t.file_path AS target, CASE WHEN r.py THEN 'python' ELSE 'js' END AS kind FROM refs r JOIN code t ON t.repo_id = r.repo_id AND t.py = r.py AND t.f = r.g")
+@query("g3_resolve_imports", f"WITH {X.CODE} SELECT DISTINCT r.repo_id, r.file_path AS source, t.file_path AS target, CASE WHEN r.py THEN 'python' ELSE 'javascript' END AS kind FROM refs r JOIN code t ON t.repo_id = r.repo_id AND t.py = r.py AND t.f = r.g")
 def g3(spark, d):
     files = G.merge_file_text(X.code_files(spark, d))
     return G.resolve_imports(G.extract_imports(files), files).distinct()
@@ -329,7 +330,7 @@ blast AS (SELECT repo_id, file_path FROM reach ANTI JOIN changed USING (repo_id,
 @query("g5_blast_radius", f"WITH RECURSIVE {_BLAST} SELECT * FROM blast")
 def g5(spark, d):
     code = X.code_files(spark, d)
-    return G.blast_radius(G.dependency_edges(code), code.where("contains(content, '@')"))
+    return G.blast_radius(G.dependency_edges(code), code.where("contains(content, '@')").select("repo_id", "file_path"))
 
 
 # --- retrieval ---------------------------------------------------------------------------------------------------------
@@ -417,12 +418,13 @@ def r7(spark, d):
     return R.hydrate_content(ranked(spark, d), X.whole(spark, d)).select("query_id", "repo_id", "chunk_id", "rank", F.sha2("content", 256).alias("h"))
 
 
-@query("r8_rerank", f"""WITH {_HYBRID}, s AS (SELECT h.*, list_distinct(regexp_extract_all(lower(h.q), '[a-z0-9_]+')) AS qs, regexp_extract_all(lower(h.file_path || chr(10) || h.language || chr(10) || w.content), '[a-z0-9_]+') AS ts FROM hybrid h JOIN whole w USING (repo_id, chunk_id)),
+@query("r8_rerank", f"""WITH {_RANKED}, s AS (SELECT h.*, list_distinct(regexp_extract_all(lower(h.q), '[a-z0-9_]+')) AS qs, regexp_extract_all(lower(h.file_path || chr(10) || h.language || chr(10) || w.content), '[a-z0-9_]+') AS ts FROM ranked h JOIN whole w USING (repo_id, chunk_id)),
 n AS (SELECT *, CASE WHEN rank <= 3 THEN CASE WHEN len(qs) > 0 THEN round_even(len(list_intersect(qs, ts)) / len(qs)::DOUBLE, 6) ELSE 0 END ELSE score END AS s2 FROM s)
-SELECT query_id, repo_id, chunk_id, s2 AS score, row_number() OVER (PARTITION BY query_id, repo_id ORDER BY s2 DESC, rank) AS rank FROM n""")
+SELECT * FROM (SELECT query_id, repo_id, chunk_id, s2 AS score, row_number() OVER (PARTITION BY query_id, repo_id ORDER BY s2 DESC, chunk_id) AS rank FROM n) WHERE rank <= 5""")
 def r8(spark, d):
-    found = R.hydrate_content(hybrid(spark, d), X.whole(spark, d))
-    return R.rerank(found, X.questions(spark, d), 3).select("query_id", "repo_id", "chunk_id", "score", "rank")
+    """All merged candidates; three of a question are scored anew, and the first five are kept then."""
+    found = R.hydrate_content(ranked(spark, d), X.whole(spark, d))
+    return R.rerank(found, X.questions(spark, d), 3).where("rank <= 5").select("query_id", "repo_id", "chunk_id", "score", "rank")
 
 
 @query("r9_diverse_select", f"""WITH {_RANKED}, o AS (SELECT *, file_path AS p FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id, repo_id, file_path ORDER BY rank) = 1),
@@ -477,14 +479,14 @@ def k3(spark, d):
 
 
 def asked_kinds(spark, d):
-    """The questions with their text replaced by one of each kind, and one of a repository without any code."""
-    q = F.expr("element_at(array('which languages?', 'give a summary', 'where is it?'), cast(pmod(query_id, 3) as int) + 1)")
+    """The questions, each followed by one of three kinds, and one of a repository without any code."""
+    q = F.expr("concat(q, element_at(array(', in which languages?', ', as a summary', ', and where is it?'), cast(pmod(query_id, 3) as int) + 1))")
     return X.questions(spark, d).select("query_id", "repo_id", q.alias("q")).union(spark.sql("select -1L, 'empty', 'give a summary'"))
 
 
-@query("k4_answer_plan", f"""WITH {_FACETS}, a AS (SELECT query_id, repo_id, ['which languages?', 'give a summary', 'where is it?'][query_id % 3 + 1] AS q FROM questions UNION ALL SELECT -1, 'empty', 'give a summary'),
+@query("k4_answer_plan", f"""WITH {_FACETS}, a AS (SELECT query_id, repo_id, q || [', in which languages?', ', as a summary', ', and where is it?'][query_id % 3 + 1] AS q FROM questions UNION ALL SELECT -1, 'empty', 'give a summary'),
 refs AS (SELECT query_id, repo_id, string_agg(file_path || ':1', ', ' ORDER BY rank) AS refs FROM ranked WHERE rank IN (1, 3) GROUP BY ALL),
-p AS (SELECT a.*, f.modules, f.flows, f.languages, r.refs, CASE WHEN modules IS NULL THEN 'no_results' WHEN contains(q, 'language') THEN 'language' WHEN contains(q, 'summary') THEN 'summary' ELSE 'model' END AS plan FROM a LEFT JOIN facets f USING (query_id, repo_id) LEFT JOIN refs r USING (query_id, repo_id))
+p AS (SELECT a.*, f.modules, f.flows, f.languages, r.refs, CASE WHEN modules IS NULL THEN 'no_results' WHEN regexp_matches(lower(q), '{alternatives(P.LANGUAGE_QUESTIONS)}') AND len(languages) > 0 THEN 'language' WHEN regexp_matches(lower(q), '{alternatives(P.SUMMARY_QUESTIONS)}') THEN 'summary' ELSE 'model' END AS plan FROM a LEFT JOIN facets f USING (query_id, repo_id) LEFT JOIN refs r USING (query_id, repo_id))
 SELECT query_id, repo_id, plan, coalesce(array_to_string(languages[1:8], ', '), '') AS languages, CASE plan WHEN 'no_results' THEN 'I could not find relevant indexed code context for that query.'
 WHEN 'language' THEN CASE WHEN len(languages) = 1 THEN 'The indexed code appears to be primarily ' ELSE 'The indexed code appears to use: ' END || array_to_string(languages[1:8], ', ') || '. Evidence from: ' || coalesce(refs, 'no exact anchor') || '.'
 WHEN 'summary' THEN '- Purpose: Codebase for o/' || repo_id || '.' || chr(10) || '- Core modules: ' || array_to_string(modules, ', ') || '.' || chr(10) || '- Runtime flow: ' || CASE WHEN len(flows) > 0 THEN array_to_string(flows, '; ') || '.' ELSE 'entrypoint initializes modules, then feature components/services process the main workflow.' END
@@ -561,12 +563,19 @@ def d5(spark, d):
     return D.diff_contexts(D.diff_files(X.diffs(spark, d))).select("repo_id", "head_sha", "rank", "path", "line_start", "line_end", F.sha2("content", 256).alias("h"))
 
 
-@query("d6_commit_report", f"""WITH RECURSIVE {_TOUCH}, {_BLAST}, newest AS (SELECT repo_id, head_sha FROM dl QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY doc_id DESC) = 1)
-SELECT t.repo_id, t.head_sha, count(*) AS changed, sum(df.added)::BIGINT AS added, sum(df.removed)::BIGINT AS removed, count(*) FILTER (len(categories) > 0) AS flagged, coalesce((SELECT count(*) FROM blast b WHERE b.repo_id = t.repo_id), 0) AS impacted
+_CODE_TOUCH = _TOUCH.replace("source AS repo_id", "['src0', 'src1', 'src2', 'src3'][doc_id % 4 + 1] AS repo_id").replace("'auth/f' || doc_id || '.py'", "'src/f' || (doc_id // 4) || CASE WHEN doc_id % 8 < 4 THEN '.py' ELSE '.ts' END")
+
+
+@query("d6_commit_report", f"""WITH RECURSIVE {_CODE_TOUCH}, {X.CODE}, newest AS (SELECT repo_id, head_sha FROM dl QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY doc_id * 7919 % 1009 DESC, head_sha DESC) = 1),
+changed AS (SELECT df.repo_id, df.path AS file_path FROM df JOIN newest USING (repo_id, head_sha)),
+reach AS (SELECT repo_id, file_path FROM changed UNION SELECT e.repo_id, e.source FROM edges e JOIN reach r ON r.repo_id = e.repo_id AND r.file_path = e.target),
+blast AS (SELECT repo_id, count(*) AS n FROM reach ANTI JOIN changed USING (repo_id, file_path) GROUP BY repo_id)
+SELECT t.repo_id, t.head_sha, count(*) AS changed, sum(df.added)::BIGINT AS added, sum(df.removed)::BIGINT AS removed, count(*) FILTER (len(categories) > 0) AS flagged, coalesce((SELECT n FROM blast b WHERE b.repo_id = t.repo_id), 0) AS impacted
 FROM touch t JOIN newest USING (repo_id, head_sha) JOIN df ON df.head_sha = t.head_sha AND df.file_no = t.file_no GROUP BY ALL""")
 def d6(spark, d):
-    latest = S.latest_commit_diff(X.diffs(spark, d))
-    return D.commit_report(D.diff_files(latest), g5(spark, d))
+    """The newest diff of each code repository; it changes the code file of its document's number."""
+    made = X.diffs(spark, d, "element_at(array('src0', 'src1', 'src2', 'src3'), cast(doc_id % 4 as int) + 1)", "concat('src/f', doc_id div 4, if(doc_id % 8 < 4, '.py', '.ts'))", "doc_id * 7919 % 1009")
+    return D.commit_report(D.diff_files(S.latest_commit_diff(made)), G.dependency_edges(X.code_files(spark, d)))
 
 
 @query("d7_diff_fallback_answer", f"""WITH {_TOUCH}, c AS (SELECT head_sha, array_to_string(list_sort(list_distinct(flatten(list(categories)))), ', ') AS categories, string_agg(path, ', ' ORDER BY file_no) AS paths, any_value(repo_id) AS repo_id FROM touch GROUP BY head_sha)
@@ -760,11 +769,16 @@ _SECTIONED = "- **Purpose**: a\n- Core modules: b\n* Runtime flow : c\n- output
 
 
 def answers(spark, d):
-    text = F.expr(f"case when turn = 1 then concat('{_SECTIONED}', if(conv_id % 5 = 0, 'Representative paths include: x', ''), text) when turn = 3 then ' ' when turn = 5 then left(text, 39) else text end")
-    return X.table(spark, d, "conversations").where("role = 'assistant'").select(F.expr("conv_id * 1000 + turn").alias("answer_id"), text.alias("answer"), F.expr("if(conv_id % 2 = 0, 'Summary', 'other')").alias("intent"), F.expr("cast(conv_id % 3 as int)").alias("citation_count"), F.expr("if(turn = 5, 'error', 'ok')").alias("status"), F.length("text").cast("double").alias("latency_ms"))
+    """All texts of assistants, those of the first turn below a summary's sections; and once more those of turns 3 and 5, blank and short."""
+    own = X.table(spark, d, "conversations").where("role = 'assistant'")
+    whole = own.withColumn("answer", F.expr(f"if(turn = 1, concat('{_SECTIONED}', if(conv_id % 5 = 0, 'Representative paths include: x', ''), text), text)")).withColumn("more", F.lit(0))
+    odd = own.where("turn in (3, 5)").withColumn("answer", F.expr("if(turn = 3, ' ', left(text, 39))")).withColumn("more", F.lit(500))
+    return whole.unionByName(odd).select(F.expr("conv_id * 1000 + turn + more").alias("answer_id"), "answer", F.expr("if(conv_id % 2 = 0, 'Summary', 'other')").alias("intent"), F.expr("cast(conv_id % 3 as int)").alias("citation_count"), F.expr("if(turn = 5, 'error', 'ok')").alias("status"), F.length("text").cast("double").alias("latency_ms"))
 
 
-_QUALITY = rf"""ans AS (SELECT conv_id * 1000 + turn AS answer_id, CASE WHEN turn = 1 THEN '{_SECTIONED}' || CASE WHEN conv_id % 5 = 0 THEN 'Representative paths include: x' ELSE '' END || text WHEN turn = 3 THEN ' ' WHEN turn = 5 THEN left(text, 39) ELSE text END AS raw, conv_id % 2 = 0 AS summary, conv_id % 3 AS cites, CASE WHEN turn = 5 THEN 'error' ELSE 'ok' END AS status, length(text)::DOUBLE AS latency_ms FROM conversations WHERE role = 'assistant'),
+_QUALITY = rf"""conv AS (SELECT *, 0 AS more, CASE WHEN turn = 1 THEN '{_SECTIONED}' || CASE WHEN conv_id % 5 = 0 THEN 'Representative paths include: x' ELSE '' END || text ELSE text END AS raw FROM conversations WHERE role = 'assistant'
+  UNION ALL SELECT *, 500, CASE WHEN turn = 3 THEN ' ' ELSE left(text, 39) END FROM conversations WHERE role = 'assistant' AND turn IN (3, 5)),
+ans AS (SELECT conv_id * 1000 + turn + more AS answer_id, raw, conv_id % 2 = 0 AS summary, conv_id % 3 AS cites, CASE WHEN turn = 5 THEN 'error' ELSE 'ok' END AS status, length(text)::DOUBLE AS latency_ms FROM conv),
 q0 AS (SELECT *, regexp_replace(regexp_replace(raw, '^{P.SPACES}', ''), '{P.SPACES}$', '') AS answer FROM ans),
 q1 AS (SELECT *, answer = '' AS blank, cites <= 0 AS bare, len(regexp_extract_all(answer, '(?m)^\s*[-*] [^\S\r\n]*\S')) >= 4{"".join(f" AND regexp_matches(answer, '(?im)^{chr(92)}s*[-*]{chr(92)}s*(?:{x}|{chr(92)}*{chr(92)}*{x}{chr(92)}*{chr(92)}*){chr(92)}s*:')" for x in E.SECTIONS)} AS shaped, regexp_matches(answer, '(?i)parse/index stage identified|representative paths include') AS noisy, length(answer) < 40 AS short FROM q0),
 q2 AS (SELECT *, CASE WHEN blank THEN 0 ELSE 1 END + CASE WHEN bare THEN 0 ELSE 1 END + CASE WHEN summary THEN CASE WHEN shaped THEN 2 ELSE 0 END + CASE WHEN noisy THEN 0 ELSE 1 END ELSE CASE WHEN short THEN 0 ELSE 1 END END AS score,

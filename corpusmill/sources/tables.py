@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,15 +18,22 @@ FILE_NAMES = ("dockerfile", "makefile", "procfile")
 SKIPPED_DIRS = (".git", "node_modules", ".venv", "venv", "dist", "build", "__pycache__")
 
 
+#: The folder of a local master without spark.checkpoint.dir, which can't be set in a running session; for each application.
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; a cluster must name one."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local master gets a temporary one, gone at exit; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _local_folders:
+        made = _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="corpusmill-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return f"file://{_local_folders[context.applicationId]}"
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:

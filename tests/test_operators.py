@@ -1,6 +1,9 @@
 """The survey's operators: literal cases, every DuckDB twin on the smallest tables, and streams against their batch twins."""
 
 import math
+import os
+import subprocess
+import sys
 import time
 from datetime import datetime, timedelta
 
@@ -46,6 +49,46 @@ def test_twin(spark, duck, name):
     assert got == sorted(tuple(spell(dict(zip(names, row))[c]) for c in columns) for row in found.fetchall())
 
 
+def test_imports_of_scripts(spark):
+    text = "import {\n a,\n b\n} from './x'\nexport const p = './y'\nexport * from \"../z\"\nimport './w'\nconst q = require( './v' )"
+    files = spark.createDataFrame([("r", "a.ts", text), ("r", "a.md", text)], "repo_id string, file_path string, content string")
+    assert sorted(r.ref for r in graph.extract_imports(files).collect()) == ["../z", "./v", "./w", "./x"]
+    assert {r.kind for r in graph.extract_imports(files).collect()} == {"javascript"}
+
+
+def test_blast_radius_is_logarithmic_in_depth(spark, monkeypatch):
+    n = 5000
+    chain = spark.range(n).select(F.lit("r").alias("repo_id"), F.concat(F.lit("f"), F.col("id") + 1).alias("source"), F.concat(F.lit("f"), "id").alias("target"))
+    written = []
+    real = graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df, label: written.append(label) or real(df, label))
+    reach = graph.blast_radius(chain, spark.createDataFrame([("r", "f0")], "repo_id string, file_path string"))
+    assert reach.count() == n and written.count("new") < 20
+    # a wide star of importers, which hops must not square, kept apart by commit; a cycle; a changed file nobody imports
+    star = [("r", f"s{i}", "hub") for i in range(300)] + [("r", "hub", f"t{i}") for i in range(300)] + [("r", "a", "b"), ("r", "b", "a")]
+    edges = spark.createDataFrame(star, "repo_id string, source string, target string")
+    asked = spark.createDataFrame([("r", "c1", "t7"), ("r", "c2", "a"), ("r", "c3", "s1")], "repo_id string, head_sha string, file_path string")
+    found = {(r.head_sha, r.file_path) for r in graph.blast_radius(edges, asked).collect()}
+    assert found == {("c1", "hub"), *(("c1", f"s{i}") for i in range(300)), ("c2", "b")}
+
+
+def test_durable_tables_need_no_setting(tmp_path):
+    """A session without any configuration writes its tables to a folder of its own, which is gone at exit."""
+    code = (
+        "import sys; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "assert spark.conf.get('spark.checkpoint.dir', None) is None\n"
+        "from corpusmill.plans.registry import QUERIES\n"
+        "from corpusmill.sources import tables\n"
+        "print('rows', QUERIES['g5_blast_radius'](spark, {d!r}).count(), tables.shared_folder(spark))\n"
+    ).format(root=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), d=DIR)
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("SPARK_CONF", "PYSPARK_SUBMIT"))} | {"SPARK_CONF_DIR": str(tmp_path)}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    said = next(x for x in done.stdout.splitlines() if x.startswith("rows"))
+    assert int(said.split()[1]) > 0 and not os.path.exists(said.split()[2].removeprefix("file://")), done.stderr[-2000:]
+
+
 def test_split_lines_like_python(spark):
     texts = ["", "a", "a\n", "\n", "a\r\nb\rc", "a\n\nb\x0b\x0c\x85c d", "\n\n"]
     got = [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select(P.split_lines(F.col("t")).alias("x")).collect()]
@@ -132,6 +175,27 @@ def test_diff(spark):
     assert [f.path for f in flags] == ["auth.py"] and {"token", "jwt", "password"} <= set(flags[0].categories)
 
 
+def test_diff_of_another_system(spark):
+    text = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/y.py\n@@ -1 +1,2 @@\n+one\n+two\n-three\n"
+    both = spark.createDataFrame([("r", "1", text), ("r", "2", text.replace("\n", "\r\n"))], "repo_id string, head_sha string, diff_text string")
+    found = [tuple(r) for r in diff.diff_files(both).drop("head_sha").collect()]
+    assert found[0] == found[1] and found[0][2] == "y.py" and found[0][-1] == ["one", "two"]
+
+
+def test_security_patterns_occur_once_in_the_plan(spark):
+    both = spark.createDataFrame([("r", "1", "diff --git a/x.py b/x.py\n+my token")], "repo_id string, head_sha string, diff_text string")
+    touched = diff.security_touches(diff.diff_files(both))
+    assert touched.first().categories == ["token"]
+    plan = touched._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("credential") == 2  # its pattern and its name
+
+
+def test_equal_scores_go_by_chunk(spark):
+    known = spark.createDataFrame([(1, "r", c, "p", 1, 1, "py", 0.5, n, "x") for n, c in enumerate(("zz", "aa", "mm"), 1)], "query_id int, repo_id string, chunk_id string, file_path string, start_line int, end_line int, language string, score double, rank int, content string")
+    asked = spark.createDataFrame([(1, "r", "x")], "query_id int, repo_id string, q string")
+    assert [r.chunk_id for r in retrieval.rerank(known, asked).orderBy("rank").collect()] == ["aa", "mm", "zz"]
+
+
 def test_lexical_and_fusion(spark):
     rows = [("c1", "src/payment/service.py", "payment service charges"), ("c2", "src/auth/jwt.py", "jwt token"), ("c3", "readme.md", "the payment is far away from any other word of the service")]
     chunks = spark.createDataFrame([("r", c, p, 1, 2, t, "py") for c, p, t in rows], "repo_id string, chunk_id string, file_path string, start_line int, end_line int, content string, language string")
@@ -208,13 +272,10 @@ def test_facets_answers_and_snippets(spark):
     plans = {r.repo_id: r for r in grounding.answer_plan(asked, results, valid, repos, spark.createDataFrame([("r", said)], "repo_id string, summary string")).collect()}
     assert plans["none"].text == "I could not find relevant indexed code context for that query."
     assert plans["r"].text == "\n".join((
-        "- Purpose: Repository o/x (branch main) is primarily py. Fine tool.", "- Core modules: src/cli, src/api, app/web, lib/webp, docs.",
+        "- Purpose: Repository o/x (branch main) is primarily py. The parse/index stage identified 3 source files and 9 chunks. Fine tool.", "- Core modules: src/cli, src/api, app/web, lib/webp, docs.",
         "- Runtime flow: CLI entrypoint receives arguments; request handlers call service modules; UI components render feature views.",
         "- Output formats: GIF, data URL, WebP, web UI views, structured config/data.", "- Primary languages: TypeScript, Python.",
     ))
-    tidy = lambda t: spark.createDataFrame([(t,)], "t string").select(grounding.tidy_summary(F.col("t"))).first()[0]
-    assert tidy("") == "" and tidy("Purpose: " + "word " * 60 + "- Flow: a\nmore\n-b\n- c\n- d\n- e\n- f") == "- Purpose: " + ("word " * 34).strip() + ".\n- Flow: a more\n- b\n- c\n- d\n- e"
-    assert tidy("- Purpose: The parse/index stage identified 3 files. ") == "- Purpose: This repository appears to implement its main product features.."
 
 
 def test_architecture_and_suggestions(spark):
