@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -15,9 +14,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 from corpusmill.operators.analysis import analyze_repos
 from corpusmill.operators.chunking import chunk_files
 from corpusmill.operators.embedding import check_vectors, embed_hashed, embed_with_cache
-from corpusmill.operators.evaluation import client_event_rollup, duration_histogram
+from corpusmill.operators.evaluation import client_event_rollup
 from corpusmill.operators.jobs import dead_letters, route_failures
-from corpusmill.sources.tables import capacity_guard, durable, filter_source_files, replace_chunks, upsert_analysis, within_capacity
+from corpusmill.sources.snapshots import Batch, SnapshotStore, StoredTable, latest, replaced
+from corpusmill.sources.tables import capacity_guard, discard, durable, filter_source_files, upsert_analysis, within_capacity
 
 
 class _Changes(StatefulProcessor):
@@ -85,77 +85,115 @@ def dedupe_requests_stream(requests: DataFrame, late: str = "1 hour") -> DataFra
     return requests.withWatermark("ts", late).dropDuplicatesWithinWatermark(["repo_id", "commit_sha", "idempotency_key"])
 
 
-def histogram_stream(samples: DataFrame, labels: list[str], value: str) -> DataFrame:
-    """E1 on a stream, for output mode update."""
-    return duration_histogram(samples, labels, value)
-
-
 def client_rollup_stream(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """E12 on a stream: windows close with the watermark."""
     return client_event_rollup(events.withWatermark("ts", late), width)
 
 
+#: Tables of J11's store and the keys of their buckets. What has no key is appended to.
+CORPUS_TABLES = {
+    "chunks": StoredTable("chunk_id string, repo_id string, file_path string, start_line int, end_line int, language string, content string, vector_id string", "repo_id"),
+    "vectors": StoredTable("repo_id string, chunk_id string, content_hash string, file_path string, start_line int, end_line int, language string, embedding array<float>", "repo_id"),
+    "cache": StoredTable("model string, content_hash string, embedding array<float>, stored_at timestamp", "content_hash"),
+    "results": StoredTable("job_id string, repo_id string, quality_score long, summary string, created_at timestamp", "job_id"),
+    "jobs": StoredTable("job_id string, repo_id string, status string, progress int, error_message string, retry_count long, next_retry_at timestamp, completed_at timestamp", "job_id"),
+    "progress": StoredTable("job_id string, step int, status string, progress int"),
+    "dead_letters": StoredTable("job_id string, repo_id string, stage string, error_code string, error_message string, attempt_count long"),
+}
+
+
 @dataclass
 class CorpusStore:
-    """Where J11 keeps its tables: one folder, partitioned by repository or appended to."""
+    """Where J11 keeps its tables (CORPUS_TABLES), and its limits."""
 
     folder: str
     model: str = "hashed"
     dim: int = 64
     max_files: int = 8_000
     max_chunks: int = 20_000
+    embed_batch: int = 32
+    buckets: int = 32
 
-    def path(self, name: str) -> str:
-        return f"{self.folder}/{name}"
+    @property
+    def tables(self) -> SnapshotStore:
+        return SnapshotStore(self.folder, CORPUS_TABLES, self.buckets)
 
-    def read(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
-        try:
-            return spark.read.schema(schema).parquet(self.path(name))
-        except AnalysisException:
-            return spark.createDataFrame([], schema)
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        return self.tables.read(spark, name)
 
 
-CACHE = "model string, content_hash string, embedding array<float>, stored_at timestamp"
+def job_steps(jobs: DataFrame, embed_batch: int) -> DataFrame:
+    """The states that a job goes through (job_id, step, status, progress). jobs: job_id, chunks (null where parsing failed), failed_in.
 
-
-def run_corpus_job(files: DataFrame, repositories: DataFrame, store: CorpusStore, now: Column) -> None:
+    They are fixed values: parsing at 10, 30 and 80 percent, embedding from 40 to 95 by batches of chunks, analyzing at 10 and 80, done.
+    """
+    at = lambda status, *progress: [F.struct(F.lit(status).alias("status"), F.lit(p).cast("int").alias("progress")) for p in progress]
+    chunks = F.coalesce("chunks", F.lit(0)).cast("long")
+    batches = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.ceil(chunks / embed_batch))), lambda i: F.struct(F.lit("embedding").alias("status"), F.least(F.lit(95), 40 + F.floor(F.least(i * embed_batch, chunks) * 50 / F.greatest(chunks, F.lit(1)))).cast("int").alias("progress")))
+    parsing = F.array(*at("parsing", 10, 30))
+    parsed = F.concat(parsing, F.array(*at("parsing", 80), *at("embedding", 100, 10)))
+    embedded = F.concat(parsed, F.array(*at("embedding", 40)), batches)
+    ready = F.concat(embedded, F.array(*at("analyzing", 100, 10)))
+    failed = F.col("failed_in")
+    steps = F.when(failed == "parsing", parsing).when(failed == "embedding", F.when(chunks == 0, parsed).otherwise(embedded)).when(failed == "analyzing", ready).otherwise(F.concat(ready, F.array(*at("analyzing", 80), *at("done", 100))))
+    return jobs.select("job_id", F.posexplode(steps).alias("step", "s")).select("job_id", "step", "s.status", "s.progress")
+
+
+def run_corpus_job(files: DataFrame, repositories: DataFrame, store: CorpusStore, now: Column, source: str = "job", number: int = 0) -> bool:
     """J11 for one set of files (job_id, repo_id, file_path, content, retry_count): S2, S3, C4, S4; V2, V3, V4; A10, S5; rejects go through J5.
 
-    Tables of the store: chunks and vectors (a repository's partition is replaced), cache, results, failures and dead_letters (appended).
+    All tables of the store change at once, when the batch `number` of `source` is committed; False if the store holds it already.
+    A repository's chunks and vectors are replaced; results, jobs and the cache of vectors are merged by key; states and dead letters are appended.
+    Parsing rejects repositories over a limit, embedding those without chunks and vectors that don't fit, analyzing what A10 refuses.
     """
     spark = files.sparkSession
-    files = durable(files, "job-files")
-    jobs = files.groupBy("repo_id").agg(F.max("job_id").alias("job_id"), F.max("retry_count").alias("retry_count"))
+    batch = Batch(spark, store.tables, source, number)
+    if batch.done:
+        return False
+    made = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        made.append(durable(df, label))
+        return made[-1]
+
+    files = keep(files, "job-files")
+    jobs = keep(files.groupBy("repo_id").agg(F.max("job_id").alias("job_id"), F.max("retry_count").cast("long").alias("retry_count")), "jobs")
     kept = filter_source_files(files)
     few = capacity_guard(kept, store.max_files, "FILE_LIMIT_EXCEEDED")
-    cut = durable(chunk_files(within_capacity(kept, few)), "job-chunks")
-    chunks_guard = capacity_guard(cut, store.max_chunks, "CHUNK_LIMIT_EXCEEDED")
-    chunks = within_capacity(cut, chunks_guard)
-    cached = store.read(spark, "cache", CACHE)
-    found, _ = embed_with_cache(chunks, cached, store.model, now, lambda t: embed_hashed(t, store.dim))
-    vectors = durable(found.select("repo_id", "chunk_id", "content_hash", "embedding"), "job-vectors")
-    bad = chunks.select("repo_id", "chunk_id").join(check_vectors(chunks, vectors, store.dim), "chunk_id").groupBy("repo_id").agg(F.min("error_code").alias("error_code"))
+    cut = keep(chunk_files(within_capacity(kept, few)), "job-chunks")
+    many = capacity_guard(cut, store.max_chunks, "CHUNK_LIMIT_EXCEEDED")
+    refused = keep(few.unionByName(many).where("error_code is not null").select("repo_id", "error_code"), "job-refused")
+    parsed = jobs.join(refused.select("repo_id"), "repo_id", "left_anti")
+    chunks = cut.join(refused.select("repo_id"), "repo_id", "left_anti")
+    found, fresh = embed_with_cache(chunks, batch.read("cache"), store.model, now, lambda t: embed_hashed(t, store.dim))
+    vectors = keep(found.select("repo_id", "chunk_id", "content_hash", "embedding"), "job-vectors")
+    unfit = chunks.select("repo_id", "chunk_id").join(check_vectors(chunks, vectors, store.dim), "chunk_id").groupBy("repo_id").agg(F.min("error_code").alias("error_code"))
+    sizes = keep(parsed.join(chunks.groupBy("repo_id").agg(F.count("*").alias("chunks")), "repo_id", "left").select("repo_id", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks")), "job-sizes")
+    bad = keep(unfit.unionByName(sizes.where("chunks = 0").select("repo_id", F.lit("NO_CHUNKS").alias("error_code"))), "job-unfit")
     linked = chunks.join(bad.select("repo_id"), "repo_id", "left_anti").withColumn("vector_id", F.col("chunk_id"))
-    replace_chunks(linked, store.path("chunks"))
     payload = vectors.join(linked.select("repo_id", "chunk_id", "file_path", "start_line", "end_line", "language"), ["repo_id", "chunk_id"])
-    replace_chunks(payload, store.path("vectors"))
-    new = vectors.select("content_hash", "embedding").dropDuplicates(["content_hash"]).join(cached.where(F.col("model") == store.model).select("content_hash"), "content_hash", "left_anti")
-    new.select(F.lit(store.model).alias("model"), "content_hash", "embedding", now.alias("stored_at")).write.mode("append").parquet(store.path("cache"))
-    analysed = durable(analyze_repos(linked, repositories.join(jobs.select("repo_id"), "repo_id", "left_semi")), "job-results")
+    batch.merge("chunks", linked, lambda old, new: replaced(old, new, "repo_id", parsed), parsed)
+    batch.merge("vectors", payload, lambda old, new: replaced(old, new, "repo_id", parsed), parsed)
+    batch.merge("cache", fresh, lambda old, new: latest(old, new, "content_hash", "stored_at", "model"))
+    embedded = parsed.join(bad.select("repo_id"), "repo_id", "left_anti")
+    analysed = keep(analyze_repos(linked, repositories.join(embedded.select("repo_id"), "repo_id", "left_semi")), "job-results")
     done = analysed.where("error_code is null").join(jobs, "repo_id").select("job_id", "repo_id", "quality_score", "summary", now.alias("created_at"))
-    old = store.read(spark, "results", "job_id string, repo_id string, quality_score long, summary string, created_at timestamp")
-    results = durable(upsert_analysis(old, done), "job-upserts")
-    results.write.mode("overwrite").parquet(store.path("results"))
-    failed = [few.where("error_code is not null").select("repo_id", "error_code", F.lit("parsing").alias("stage")), chunks_guard.where("error_code is not null").select("repo_id", "error_code", F.lit("parsing").alias("stage"))]
-    failed.append(bad.select("repo_id", "error_code", F.lit("embedding").alias("stage")))
-    earlier = failed[0].unionByName(failed[1]).unionByName(failed[2])
-    late = analysed.where("error_code is not null").select("repo_id", "error_code", F.lit("analyzing").alias("stage")).join(earlier.select("repo_id"), "repo_id", "left_anti")
-    failures = durable(earlier.unionByName(late).join(jobs, "repo_id").withColumn("message", F.lit("rejected")), "job-failures")
-    route_failures(failures, now).write.mode("append").parquet(store.path("failures"))
-    dead_letters(failures).write.mode("append").parquet(store.path("dead_letters"))
+    batch.merge("results", done, upsert_analysis)
+    late = analysed.where("error_code is not null").select("repo_id", "error_code")
+    failures = [of.select("repo_id", "error_code", F.lit(stage).alias("stage")) for of, stage in ((refused, "parsing"), (bad, "embedding"), (late, "analyzing"))]
+    failed = keep(failures[0].unionByName(failures[1]).unionByName(failures[2]).groupBy("repo_id").agg(F.min_by(F.struct("stage", "error_code"), F.struct("stage", "error_code")).alias("f")).join(jobs, "repo_id").select("repo_id", "job_id", "retry_count", "f.stage", "f.error_code", F.lit("rejected").alias("message")), "job-failures")
+    sent_back = route_failures(failed, now).join(failed.select("job_id", "repo_id"), "job_id").drop("dead_letter")
+    ended = jobs.join(analysed.where("error_code is null").select("repo_id"), "repo_id").select("job_id", "repo_id", F.lit("done").alias("status"), F.lit(100).alias("progress"), "retry_count", now.alias("completed_at"))
+    batch.merge("jobs", sent_back.unionByName(ended, allowMissingColumns=True), lambda old, new: replaced(old, new, "job_id", new))
+    told = jobs.join(sizes, "repo_id", "left").join(failed.select("job_id", F.col("stage").alias("failed_in")), "job_id", "left")
+    batch.append("progress", job_steps(told, store.embed_batch))
+    batch.append("dead_letters", dead_letters(failed))
+    batch.commit()
+    discard(*made)
+    return True
 
 
 def corpus_job(file_sets: DataFrame, repositories: DataFrame, store: CorpusStore, checkpoint: str) -> StreamingQuery:
-    """Every new set of files goes through run_corpus_job as one batch."""
-    handle = lambda batch, _: run_corpus_job(batch, repositories, store, F.current_timestamp())
+    """Every new set of files goes through run_corpus_job as one batch, named by the checkpoint and the stream's number, so a batch that is run again changes nothing twice."""
+    handle = lambda batch, number: run_corpus_job(batch, repositories, store, F.current_timestamp(), checkpoint, number)
     return file_sets.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as P
 from corpusmill.operators import analysis, chunking, diff, embedding, evaluation, graph, grounding, jobs, retrieval
 from corpusmill.plans.registry import ORACLE_SQL, QUERIES
-from corpusmill.sources import tables
+from corpusmill.sources import snapshots, tables
 from corpusmill.streaming import streams
 
 DIR = "/root/testdata/sf0.001"
@@ -389,20 +389,101 @@ def test_dedupe_stream(spark, tmp_path):
     assert got.count() == 1
 
 
-def test_corpus_job(spark, tmp_path):
+class Killed(Exception):
+    pass
+
+
+def corpus_inputs(spark):
     rows = [("j1", "r1", "src/a.py", "import os\n\ndef f():\n    return 1\n", 0), ("j1", "r1", "README.md", "words here", 0), ("j1", "r1", "x.bin", "no source", 0), ("j2", "r2", "x.bin", "no source", 0), ("j3", "r3", "a.py", "x = 1", 0), ("j3", "r3", "b.py", "x = 2", 0), ("j3", "r3", "c.py", "x = 3", 0)]
-    frame = spark.createDataFrame(rows, "job_id string, repo_id string, file_path string, content string, retry_count int")
-    repos = spark.createDataFrame([(r, f"o/{r}", "main") for r in ("r1", "r2", "r3")], "repo_id string, full_name string, default_branch string")
+    repos = spark.createDataFrame([(r, f"o/{r}", "main") for r in ("r1", "r2", "r3", "r4")], "repo_id string, full_name string, default_branch string")
+    return spark.createDataFrame(rows, "job_id string, repo_id string, file_path string, content string, retry_count int"), repos
+
+
+def stored(spark, store):
+    return {name: sorted(map(spell, store.read(spark, name).drop("stored_at", "created_at", "completed_at").collect())) for name in streams.CORPUS_TABLES}
+
+
+def test_corpus_job(spark, tmp_path):
+    frame, repos = corpus_inputs(spark)
     store = streams.CorpusStore(str(tmp_path / "store"), dim=16, max_files=2)
     for i in range(2):
-        frame.withColumn("content", F.concat("content", F.lit("\n" * i))).write.mode("append").parquet(str(tmp_path / "in"))
+        frame.withColumn("content", F.concat("content", F.lit("\n" * i))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         streams.corpus_job(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), repos, store, str(tmp_path / "cp")).awaitTermination(300)
-    table = lambda name: spark.read.parquet(store.path(name))
+    table = lambda name: store.read(spark, name)
     assert {r.repo_id for r in table("chunks").collect()} == {"r1"} and table("chunks").count() == table("vectors").count() == 3
     assert {len(r.embedding) for r in table("vectors").collect()} == {16}
     assert [(r.job_id, r.repo_id) for r in table("results").collect()] == [("j1", "r1")]
-    assert {(r.job_id, r.stage, r.error_code) for r in table("dead_letters").collect()} == {("j2", "analyzing", "NO_CHUNKS"), ("j3", "parsing", "FILE_LIMIT_EXCEEDED")}
+    assert {(r.job_id, r.stage, r.error_code) for r in table("dead_letters").collect()} == {("j2", "embedding", "NO_CHUNKS"), ("j3", "parsing", "FILE_LIMIT_EXCEEDED")}
+    assert table("dead_letters").count() == 4 and {(r.job_id, r.status) for r in table("jobs").collect()} == {("j1", "done"), ("j2", "failed"), ("j3", "failed")}
     assert table("cache").groupBy("content_hash").count().where("count > 1").count() == 0
+    steps = {j: [(r.status, r.progress) for r in table("progress").where(F.col("job_id") == j).orderBy("step").dropDuplicates(["step"]).orderBy("step").collect()] for j in ("j1", "j2", "j3")}
+    assert steps["j3"] == [("parsing", 10), ("parsing", 30)] and steps["j2"] == [*steps["j3"], ("parsing", 80), ("embedding", 100), ("embedding", 10)]
+    assert steps["j1"] == [*steps["j2"], ("embedding", 40), ("embedding", 90), ("analyzing", 100), ("analyzing", 10), ("analyzing", 80), ("done", 100)]
+
+
+def test_corpus_job_killed_after_any_write(spark, tmp_path, monkeypatch):
+    """Whatever write a batch is killed after, nothing of it is visible, and its next run leaves what one run would. A batch that is done changes nothing."""
+    frame, repos = corpus_inputs(spark)
+    now = F.lit("2024-01-01").cast("timestamp")
+    second = frame.withColumn("content", F.concat("content", F.lit("\ny = 2")))
+    good, torn = (streams.CorpusStore(str(tmp_path / n), dim=8, max_files=2, buckets=4) for n in ("good", "torn"))
+    for store in (good, torn):
+        assert streams.run_corpus_job(frame, repos, store, now, "s", 0)
+    before = stored(spark, torn)
+    assert streams.run_corpus_job(second, repos, good, now, "s", 1) and stored(spark, good) != before
+    real, writes = snapshots.Batch._write, []
+
+    def write(self, name, rows, touched):
+        real(self, name, rows, touched)
+        writes.append(name)
+        if len(writes) == stop:
+            raise Killed
+
+    monkeypatch.setattr(snapshots.Batch, "_write", write)
+    for stop in (1, 4, 7):
+        writes.clear()
+        with pytest.raises(Killed):
+            streams.run_corpus_job(second, repos, torn, now, "s", 1)
+        assert stored(spark, torn) == before
+    stop = 0
+    assert streams.run_corpus_job(second, repos, torn, now, "s", 1) and stored(spark, torn) == stored(spark, good)
+    assert not streams.run_corpus_job(second, repos, torn, now, "s", 1) and not streams.run_corpus_job(frame, repos, torn, now, "s", 0)
+    assert stored(spark, torn) == stored(spark, good) and torn.tables.versions(spark) == [1, 2]
+    torn.tables.expire(spark, 1)
+    assert torn.tables.versions(spark) == [2] and stored(spark, torn) == stored(spark, good)
+
+
+def test_upsert_leaves_untouched_buckets(spark, tmp_path):
+    """A merge reads and writes the touched buckets alone; the files of others stay as they are."""
+    kinds = {"results": snapshots.StoredTable("job_id string, quality_score long, created_at timestamp", "job_id"), "log": snapshots.StoredTable("n long")}
+    store = snapshots.SnapshotStore(str(tmp_path), kinds, buckets=8)
+    row = lambda i, q, day: (f"j{i}", q, datetime(2024, 1, day))
+    frame = lambda rows: spark.createDataFrame(rows, kinds["results"].schema)
+    first = snapshots.Batch(spark, store, "s", 0)
+    first.merge("results", frame([row(i, i, 1) for i in range(100)]), tables.upsert_analysis)
+    first.commit()
+    files = lambda: {p: os.stat(p).st_mtime_ns for p in map(str, tmp_path.glob("data/results/*/*/*.parquet"))}
+    old = files()
+    assert store.read(spark, "results").count() == 100 and len(store.manifest(spark).tables["results"]) == 8
+    second = snapshots.Batch(spark, store, "s", 1)
+    seen = []
+    second.merge("results", frame([row(3, 99, 2), row(3, 98, 1)]), lambda a, b: seen.append(a.inputFiles()) or tables.upsert_analysis(a, b))
+    second.append("log", spark.range(3).withColumnRenamed("id", "n"))
+    second.commit()
+    assert {p: t for p, t in files().items() if p in old} == old
+    one = {p.rsplit("/", 2)[1] for p in files() if p not in old}
+    assert len(one) == 1 and {f.rsplit("/", 2)[1] for f in seen[0]} == one
+    now = {r.job_id: r.quality_score for r in store.read(spark, "results").collect()}
+    assert len(now) == 100 and now["j3"] == 99 and now["j4"] == 4
+    for i in range(2, 14):  # appended folders become one
+        more = snapshots.Batch(spark, store, "s", i)
+        more.append("log", spark.range(2).withColumnRenamed("id", "n"))
+        more.commit()
+    assert store.read(spark, "log").count() == 3 + 24 and len(store.manifest(spark).tables["log"]) <= 8
+    with pytest.raises(RuntimeError):
+        stale = snapshots.Batch(spark, store, "other", 0)
+        stale.made.version = 1
+        stale.commit()
 
 
 def test_percentile(spark):
