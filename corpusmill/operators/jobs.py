@@ -69,41 +69,71 @@ def dead_letters(failures: DataFrame, most_retries: int = 3) -> DataFrame:
     return failures.where(~again).select("job_id", "repo_id", "stage", "error_code", F.col("message").alias("error_message"), F.col("retry_count").cast("long").alias("attempt_count"))
 
 
+def known_jobs(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+    """requests with what jobs hold for them: `keyed`, the newest job of their repository, commit and key, and `live`, the newest active or done one of their commit; both (job_id, done)."""
+    found = F.max_by(F.struct("job_id", (F.col("status") == "done").alias("done")), F.struct("created_at", "job_id"))
+    keyed = jobs.groupBy("repo_id", "commit_sha", "idempotency_key").agg(found.alias("keyed"))
+    live = jobs.where(F.col("status").isin(*ACTIVE, "done")).groupBy("repo_id", "commit_sha").agg(found.alias("live"))
+    asked = requests.withColumn("idempotency_key", F.nullif("idempotency_key", F.lit("")))
+    return asked.join(keyed, ["repo_id", "commit_sha", "idempotency_key"], "left").join(live, ["repo_id", "commit_sha"], "left")
+
+
 def dedupe_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
-    """The job that a request reuses: of its own key, or an active or done one of the same commit; forced ones never do."""
-    per = lambda keys: jobs.groupBy(*keys).agg(F.max_by(F.struct("job_id", "status"), F.struct("created_at", "job_id")).alias("j"))
-    keyed = per(["repo_id", "commit_sha", "idempotency_key"]).withColumnRenamed("j", "by_key")
-    live = jobs.where(F.col("status").isin(*ACTIVE, "done")).groupBy("repo_id", "commit_sha").agg(F.max_by(F.struct("job_id", "status"), F.struct("created_at", "job_id")).alias("by_commit"))
-    out = requests.join(keyed, ["repo_id", "commit_sha", "idempotency_key"], "left").join(live, ["repo_id", "commit_sha"], "left")
-    use = F.when(~F.col("force"), F.coalesce("by_key", "by_commit"))
-    return out.select("request_id", use["job_id"].alias("job_id"), F.coalesce(use["status"] == "done", F.lit(False)).alias("cache_hit"))
+    """The job that each request (request_id, repo_id, commit_sha, idempotency_key, force, ts) gets, in the order of ts and request_id; (request_id, job_id, cache_hit, created).
+
+    A forced request makes a job, named by it. Any other takes the newest job of its own key, made before or by a request before it, else the newest
+    active or done one of its commit; only the first of a commit that finds neither makes one, which those after it take.
+    """
+    order = ["ts", "request_id"]
+    commit, key = (Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) for by in (["repo_id", "commit_sha"], ["repo_id", "commit_sha", "idempotency_key"]))
+    asked = known_jobs(requests, jobs).withColumn("force", F.coalesce("force", F.lit(False)))
+    may_make = F.col("force") | (F.col("keyed").isNull() & F.col("live").isNull())
+    asked = asked.withColumn("may_make", may_make).withColumn("created", F.col("force") | (F.col("may_make") & (F.coalesce(F.count_if("may_make").over(commit), F.lit(0)) == 0)))
+    own = F.when(F.col("created"), F.struct(F.concat(F.lit("job-"), F.col("request_id").cast("string")).alias("job_id"), F.lit(False).alias("done")))
+    asked = asked.withColumn("own", own).withColumn("by_key", F.when(F.col("idempotency_key").isNotNull(), F.last("own", True).over(key))).withColumn("by_commit", F.last("own", True).over(commit))
+    job = F.coalesce("own", "by_key", "keyed", "by_commit", "live")
+    return asked.select("request_id", job["job_id"].alias("job_id"), job["done"].alias("cache_hit"), "created")
 
 
-def rate_limit_audit(requests: DataFrame, limit: int = 10, seconds: int = 3600) -> DataFrame:
-    """J7, batch twin: windows start at the first request of an identity; (identity, ts, allowed, remaining).
+#: Requests of a window that an identity of each type may make: fixed values.
+LIMITS = {"auth": 50, "guest": 10}
 
-    Spark sorts each identity's requests; the fold keeps (identity, start, count) across Arrow batches, as the streaming
-    form does as state, so time is linear and memory a batch, however many requests an identity has.
+
+def rate_limit_audit(requests: DataFrame, limits: dict[str, int] | None = None, seconds: int = 3600) -> DataFrame:
+    """J7, batch twin: requests (scope, identity_type, identity, request_id, ts) against the limit of their type, that of guests for any other type than those of `limits`.
+
+    Windows start at the first request of an identity. Spark sorts each identity's requests; the fold keeps (identity, start, count) across Arrow
+    batches, as the streaming form does as state, so time is linear and memory a batch, however many requests an identity has.
     """
+    own = ["scope", "identity_type", "identity"]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, start, n = None, None, 0
         for b in batches:
             nth = []
-            for scope, identity, at in zip(b["scope"].to_pylist(), b["identity"].to_pylist(), b["at"].to_pylist()):
-                if (scope, identity) != last:
-                    last, start, n = (scope, identity), None, 0
+            for *who, at in zip(*[b[c].to_pylist() for c in (*own, "at")]):
+                if who != last:
+                    last, start, n = who, None, 0
                 if start is None or at >= start + seconds * 1_000_000:
                     start, n = at, 0
                 n += 1
                 nth.append(n)
-            columns = [b["scope"], b["identity"], b["request_id"], pa.array([x <= limit for x in nth], pa.bool_()), pa.array([max(limit - x, 0) for x in nth], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["scope", "identity", "request_id", "allowed", "remaining"])
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in (*own, "request_id", "most")], pa.array(nth, pa.int64())], [*own, "request_id", "most", "nth"])
 
-    timed = requests.select("scope", "identity", F.col("request_id").cast("long").alias("request_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    most = limit_of(F.col("identity_type"), limits or LIMITS)
+    timed = requests.select(*own, F.col("request_id").cast("long").alias("request_id"), most.alias("most"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     types = dict(timed.dtypes)
-    ordered = timed.repartition("scope", "identity").sortWithinPartitions("scope", "identity", "at", "request_id")
-    return ordered.mapInArrow(fold, f"scope {types['scope']}, identity {types['identity']}, request_id long, allowed boolean, remaining int")
+    ordered = timed.repartition(*own).sortWithinPartitions(*own, "at", "request_id")
+    counted = ordered.mapInArrow(fold, ", ".join(f"{c} {types[c]}" for c in own) + ", request_id long, most int, nth long")
+    return counted.select(*own, "request_id", (F.col("nth") <= F.col("most")).alias("allowed"), F.greatest(F.col("most") - F.col("nth"), F.lit(0)).cast("int").alias("remaining"))
+
+
+def limit_of(identity_type: Column, limits: dict[str, int]) -> Column:
+    """The limit of a type of identity."""
+    found = F.lit(limits["guest"])
+    for name, most in limits.items():
+        found = F.when(identity_type == name, most).otherwise(found)
+    return found.cast("int")
 
 
 def stage_progress(batches: DataFrame, total: str = "total") -> DataFrame:

@@ -640,26 +640,34 @@ def j5_dead(spark, d):
 
 
 def submissions(spark, d):
-    return X.table(spark, d, "orders").selectExpr("o_orderkey as request_id", "cast(o_custkey % 300 as string) repo_id", "concat('c', o_orderkey % 3) commit_sha", "concat('k', o_orderkey % 6) idempotency_key", "o_orderkey % 9 = 0 as force")
-
-
-@query("j6_dedupe_requests", f"""WITH {X.JOBS}, q AS (SELECT o_orderkey AS request_id, (o_custkey % 300)::VARCHAR AS repo_id, 'c' || o_orderkey % 3 AS commit_sha, 'k' || o_orderkey % 6 AS idempotency_key, o_orderkey % 9 = 0 AS force FROM orders),
-k AS (SELECT * FROM jobs QUALIFY row_number() OVER (PARTITION BY repo_id, commit_sha, idempotency_key ORDER BY created_at DESC, job_id DESC) = 1), c AS (SELECT * FROM jobs WHERE status <> 'failed' QUALIFY row_number() OVER (PARTITION BY repo_id, commit_sha ORDER BY created_at DESC, job_id DESC) = 1)
-SELECT request_id, CASE WHEN NOT force THEN coalesce(k.job_id, c.job_id) END AS job_id, CASE WHEN NOT force THEN coalesce(CASE WHEN k.job_id IS NOT NULL THEN k.status ELSE c.status END = 'done', false) ELSE false END AS cache_hit
-FROM q LEFT JOIN k USING (repo_id, commit_sha, idempotency_key) LEFT JOIN c ON c.repo_id = q.repo_id AND c.commit_sha = q.commit_sha""")
+    return X.table(spark, d, "orders").selectExpr("o_orderkey as request_id", "cast(o_custkey % 300 as string) repo_id", "concat('c', o_orderkey % 4) commit_sha", "if(o_orderkey % 7 = 0, '', concat('k', o_orderkey % 6)) idempotency_key", "o_orderkey % 9 = 0 as force", "cast(o_orderdate as timestamp) ts")
+
+
+@query("j6_dedupe_requests", f"""WITH RECURSIVE {X.JOBS}, q0 AS (SELECT o_orderkey AS request_id, (o_custkey % 300)::VARCHAR AS repo_id, 'c' || o_orderkey % 4 AS commit_sha, CASE WHEN o_orderkey % 7 <> 0 THEN 'k' || o_orderkey % 6 END AS idempotency_key, o_orderkey % 9 = 0 AS force, o_orderdate AS ts FROM orders),
+k AS (SELECT * FROM jobs QUALIFY row_number() OVER (PARTITION BY repo_id, commit_sha, idempotency_key ORDER BY created_at DESC, job_id DESC) = 1), c AS (SELECT * FROM jobs WHERE status <> 'failed' QUALIFY row_number() OVER (PARTITION BY repo_id, commit_sha ORDER BY created_at DESC, job_id DESC) = 1),
+q AS (SELECT q0.*, k.job_id AS kj, k.status = 'done' AS kd, c.job_id AS cj, c.status = 'done' AS cd, row_number() OVER (PARTITION BY q0.repo_id, q0.commit_sha ORDER BY q0.ts, q0.request_id) AS i
+  FROM q0 LEFT JOIN k USING (repo_id, commit_sha, idempotency_key) LEFT JOIN c ON c.repo_id = q0.repo_id AND c.commit_sha = q0.commit_sha),
+r AS (SELECT repo_id, commit_sha, i, request_id, CASE WHEN force OR coalesce(kj, cj) IS NULL THEN 'job-' || request_id ELSE coalesce(kj, cj) END AS job_id, NOT force AND coalesce(CASE WHEN kj IS NOT NULL THEN kd ELSE cd END, false) AS cache_hit, force OR coalesce(kj, cj) IS NULL AS created,
+    CASE WHEN force OR coalesce(kj, cj) IS NULL THEN 'job-' || request_id END AS made, CASE WHEN (force OR coalesce(kj, cj) IS NULL) AND idempotency_key IS NOT NULL THEN '|' || idempotency_key || '=job-' || request_id || '|' ELSE '' END AS keys FROM q WHERE i = 1
+  UNION ALL SELECT q.repo_id, q.commit_sha, q.i, q.request_id, CASE WHEN f THEN 'job-' || q.request_id ELSE found END, NOT f AND contains(own, 'none') AND coalesce(CASE WHEN q.kj IS NOT NULL THEN q.kd WHEN r.made IS NULL THEN q.cd END, false), f,
+    CASE WHEN f THEN 'job-' || q.request_id ELSE r.made END, CASE WHEN f AND q.idempotency_key IS NOT NULL THEN '|' || q.idempotency_key || '=job-' || q.request_id || '|' || r.keys ELSE r.keys END
+  FROM r JOIN q ON q.repo_id = r.repo_id AND q.commit_sha = r.commit_sha AND q.i = r.i + 1,
+    LATERAL (SELECT CASE WHEN q.idempotency_key IS NOT NULL AND contains(r.keys, '|' || q.idempotency_key || '=') THEN regexp_extract(r.keys, '[|]' || q.idempotency_key || '=([^|]*)[|]', 1) ELSE 'none' END AS own) o,
+    LATERAL (SELECT coalesce(nullif(own, 'none'), q.kj, r.made, q.cj) AS found) g, LATERAL (SELECT q.force OR found IS NULL AS f) h)
+SELECT request_id, job_id, cache_hit, created FROM r""")
 def j6(spark, d):
     return J.dedupe_requests(submissions(spark, d), X.jobs(spark, d))
 
 
 def requests(spark, d):
-    return X.table(spark, d, "events").select(F.col("event_type").alias("scope"), F.col("user_id").cast("string").alias("identity"), F.col("event_id").alias("request_id"), "ts")
+    return X.table(spark, d, "events").select(F.col("event_type").alias("scope"), F.expr("if(event_id % 3 = 0, 'guest', 'auth')").alias("identity_type"), F.col("user_id").cast("string").alias("identity"), F.col("event_id").alias("request_id"), "ts")
 
 
-@query("j7_rate_limit_audit", """WITH RECURSIVE o AS (SELECT event_type AS scope, user_id::VARCHAR AS identity, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type, user_id ORDER BY epoch_us(ts), event_id) AS i FROM events),
-r AS (SELECT scope, identity, event_id, i, us AS start, 1 AS n FROM o WHERE i = 1 UNION ALL SELECT o.scope, o.identity, o.event_id, o.i, CASE WHEN o.us >= r.start + 864000000000 THEN o.us ELSE r.start END, CASE WHEN o.us >= r.start + 864000000000 THEN 1 ELSE r.n + 1 END FROM r JOIN o ON o.scope = r.scope AND o.identity = r.identity AND o.i = r.i + 1)
-SELECT scope, identity, event_id AS request_id, n <= 3 AS allowed, greatest(3 - n, 0) AS remaining FROM r""")
+@query("j7_rate_limit_audit", """WITH RECURSIVE o AS (SELECT event_type AS scope, CASE WHEN event_id % 3 = 0 THEN 'guest' ELSE 'auth' END AS identity_type, user_id::VARCHAR AS identity, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type, event_id % 3 = 0, user_id ORDER BY epoch_us(ts), event_id) AS i FROM events),
+r AS (SELECT scope, identity_type, identity, event_id, i, us AS start, 1 AS n FROM o WHERE i = 1 UNION ALL SELECT o.scope, o.identity_type, o.identity, o.event_id, o.i, CASE WHEN o.us >= r.start + 864000000000 THEN o.us ELSE r.start END, CASE WHEN o.us >= r.start + 864000000000 THEN 1 ELSE r.n + 1 END FROM r JOIN o ON o.scope = r.scope AND o.identity_type = r.identity_type AND o.identity = r.identity AND o.i = r.i + 1)
+SELECT scope, identity_type, identity, event_id AS request_id, n <= CASE identity_type WHEN 'auth' THEN 4 ELSE 2 END AS allowed, greatest(CASE identity_type WHEN 'auth' THEN 4 ELSE 2 END - n, 0) AS remaining FROM r""")
 def j7(spark, d):
-    return J.rate_limit_audit(requests(spark, d), 3, 864_000)
+    return J.rate_limit_audit(requests(spark, d), {"auth": 4, "guest": 2}, 864_000)
 
 
 @query("j8_stage_progress", "WITH b AS (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS n FROM lineitem GROUP BY ALL) SELECT l_orderkey::VARCHAR AS job_id, l_linenumber AS batch_no, least(95, 40 + floor(sum(n) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) * 50 / sum(n) OVER (PARTITION BY l_orderkey)))::INT AS progress FROM b")

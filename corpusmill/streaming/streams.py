@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the job-state operators (J3, J6, J7, E1, E12, J11). State is bounded by watermarks and times to live."""
+"""Structured Streaming forms of the job-state operators (J3, J6, J7, E1, E12, J11). State is bounded by watermarks and event time."""
 
 from __future__ import annotations
 
@@ -15,74 +15,164 @@ from corpusmill.operators.analysis import analyze_repos
 from corpusmill.operators.chunking import chunk_files
 from corpusmill.operators.embedding import check_vectors, embed_hashed, embed_with_cache
 from corpusmill.operators.evaluation import client_event_rollup
-from corpusmill.operators.jobs import dead_letters, route_failures
+from corpusmill.operators.jobs import LIMITS, dead_letters, known_jobs, limit_of, route_failures
 from corpusmill.sources.snapshots import Batch, SnapshotStore, StoredTable, latest, replaced
 from corpusmill.sources.tables import capacity_guard, discard, durable, filter_source_files, upsert_analysis, within_capacity
 
 
-class _Changes(StatefulProcessor):
-    """Keeps the last signature of a job; lets changes through until a terminal state."""
+class _InOrder(StatefulProcessor):
+    """Holds a key's rows until the watermark has passed them, then hands them to `step` in the order of their time and number.
 
-    def __init__(self, keep_seconds: int) -> None:
-        self.keep_seconds = keep_seconds
+    Rows are kept as a list state and released by event-time timers, one for each second that rows of a micro-batch fall in. What a step keeps is one value
+    state; it is dropped when the watermark passes what `until` says and no row waits.
+    """
+
+    #: Columns of the rows that are held, their number first and `at`, microseconds, second; of the value state; of the output.
+    held: dict[str, str]
+    kept: dict[str, str]
+    out: list[str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "mark string, ended boolean", self.keep_seconds * 1000)
+        spell = lambda fields: ", ".join(f"{c} {kind}" for c, kind in fields.items())
+        self.handle = handle
+        self.rows = handle.getListState("rows", spell(self.held))
+        self.value = handle.getValueState("value", spell(self.kept))
+
+    def step(self, key: tuple, value: tuple | None, row: tuple) -> tuple[tuple, tuple | None]:
+        """The new value and what comes out for a row, if anything."""
+        raise NotImplementedError
+
+    def until(self, value: tuple) -> int:
+        """Milliseconds of the event time at which the value may be dropped."""
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mark, ended = self.last.get() if self.last.exists() else (None, False)
+        for some in rows:
+            some = some[list(self.held)]
+            self.rows.appendList(list(some.astype(object).where(some.notna(), None).itertuples(index=False, name=None)))
+            for second in (-(-some["at"] // 1_000_000)).unique():
+                self.handle.registerTimer(int(second) * 1000)
+        yield pd.DataFrame(columns=self.out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = list(self.rows.get()) if self.rows.exists() else []
+        due = sorted((r for r in held if r[1] <= passed * 1000), key=lambda r: (r[1], r[0]))
+        value = self.value.get() if self.value.exists() else None
         out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            now = f"{r.status}|{r.progress}|{r.error_message or ''}"
-            if not ended and now != mark:
-                out.append((key[0], r.event_id, r.status, r.progress))
-            mark, ended = now, ended or r.status in ("done", "failed")
-        self.last.update((mark, bool(ended)))
-        yield pd.DataFrame(out, columns=["job_id", "event_id", "status", "progress"])
+        for row in due:
+            value, said = self.step(key, value, tuple(row))
+            if said is not None:
+                out.append(said)
+        if due:
+            wait = [tuple(r) for r in held if r[1] > passed * 1000]
+            self.rows.put(wait) if wait else self.rows.clear()
+            self.value.update(value)
+            self.handle.registerTimer(self.until(value))
+        elif value is not None and not held and self.until(value) <= passed:
+            self.value.clear()
+        yield pd.DataFrame(out, columns=self.out)
 
     def close(self) -> None:
         pass
 
 
-def status_changes_stream(history: DataFrame, keep_seconds: int = 7 * 86_400) -> DataFrame:
-    """Needs the RocksDB state store provider. A job's state is dropped keep_seconds of processing time after its last row; a state that comes later counts as new."""
-    return history.groupBy("job_id").transformWithStateInPandas(_Changes(keep_seconds), "job_id string, event_id long, status string, progress int", "append", "processingTime")
+class _Changes(_InOrder):
+    """Keeps the last state of a job; lets changes through until a terminal one."""
+
+    held = {"event_id": "long", "at": "long", "status": "string", "progress": "int", "error_message": "string"}
+    kept = {"mark": "string", "ended": "boolean", "at": "long"}
+    out = ["job_id", "event_id", "status", "progress"]
 
+    def __init__(self, keep_seconds: int) -> None:
+        self.keep_seconds = keep_seconds
+
+    def step(self, key, value, row):
+        event_id, at, status, progress, error = row
+        mark, ended, _ = value or (None, False, 0)
+        now = f"{status}|{progress}|{error or ''}"
+        said = (key[0], event_id, status, progress) if not ended and now != mark else None
+        return (now, bool(ended or status in ("done", "failed")), at), said
+
+    def until(self, value):
+        return value[2] // 1000 + self.keep_seconds * 1000
+
+
+def _timed(rows: DataFrame, late: str) -> DataFrame:
+    return rows.withColumn("ts", F.coalesce("ts", F.timestamp_micros(F.lit(0)))).withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+
+
+def status_changes_stream(history: DataFrame, late: str = "10 minutes", keep_seconds: int = 7 * 86_400) -> DataFrame:
+    """Needs the RocksDB state store provider. Rows may come in any order within `late`; they take effect in theirs, behind the watermark.
+
+    A job's state is dropped keep_seconds of event time after its last row; a state that comes later counts as new.
+    """
+    return _timed(history, late).groupBy("job_id").transformWithStateInPandas(_Changes(keep_seconds), "job_id string, event_id long, status string, progress int", "append", "eventTime")
 
-class _Limits(StatefulProcessor):
+
+class _Limits(_InOrder):
     """Keeps start and count of an identity's window; a request past its end opens the next."""
 
-    def __init__(self, limit: int, seconds: int, keep_seconds: int) -> None:
-        self.limit, self.seconds, self.keep_seconds = limit, seconds, keep_seconds
+    held = {"request_id": "long", "at": "long", "most": "int"}
+    kept = {"start": "long", "n": "long"}
+    out = ["scope", "identity_type", "identity", "request_id", "allowed", "remaining"]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", "start long, n int", self.keep_seconds * 1000)
+    def __init__(self, seconds: int) -> None:
+        self.seconds = seconds
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        start, n = self.window.get() if self.window.exists() else (None, 0)
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["at", "request_id"]).itertuples():
-            if start is None or r.at >= start + self.seconds * 1_000_000:
-                start, n = r.at, 0
-            n += 1
-            out.append((key[0], key[1], r.request_id, n <= self.limit, max(self.limit - n, 0)))
-        self.window.update((int(start), int(n)))
-        yield pd.DataFrame(out, columns=["scope", "identity", "request_id", "allowed", "remaining"])
+    def step(self, key, value, row):
+        request_id, at, most = row
+        start, n = value or (at, 0)
+        if at >= start + self.seconds * 1_000_000:
+            start, n = at, 0
+        return (start, n + 1), (*key, request_id, n + 1 <= most, max(most - n - 1, 0))
 
-    def close(self) -> None:
-        pass
+    def until(self, value):
+        return value[0] // 1000 + self.seconds * 1000
+
+
+def rate_limit_stream(requests: DataFrame, limits: dict[str, int] | None = None, seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """Requests may come in any order within `late`; they are counted in theirs, behind the watermark. An identity's window is dropped at its end."""
+    timed = _timed(requests, late).withColumn("most", limit_of(F.col("identity_type"), limits or LIMITS))
+    schema = "scope string, identity_type string, identity string, request_id long, allowed boolean, remaining int"
+    return timed.groupBy("scope", "identity_type", "identity").transformWithStateInPandas(_Limits(seconds), schema, "append", "eventTime")
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = 10, seconds: int = 3600, keep_seconds: int | None = None) -> DataFrame:
-    """Requests must carry `at`, microseconds of the request. An identity's window is dropped keep_seconds of processing time after its last request: an hour after the window's length, if not given."""
-    schema = "scope string, identity string, request_id long, allowed boolean, remaining int"
-    keep = seconds + 3600 if keep_seconds is None else keep_seconds
-    return requests.groupBy("scope", "identity").transformWithStateInPandas(_Limits(limit, seconds, keep), schema, "append", "processingTime")
+class _Requests(_InOrder):
+    """Keeps the newest job made for a commit, and for each of its keys."""
 
+    held = {"request_id": "long", "at": "long", "idempotency_key": "string", "force": "boolean", "keyed": "struct<job_id:string,done:boolean>", "live": "struct<job_id:string,done:boolean>"}
+    kept = {"job_id": "string", "by_key": "map<string,string>", "at": "long"}
+    out = ["request_id", "job_id", "cache_hit", "created"]
 
-def dedupe_requests_stream(requests: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Requests with the same repository, commit and key within the watermark count once."""
-    return requests.withWatermark("ts", late).dropDuplicatesWithinWatermark(["repo_id", "commit_sha", "idempotency_key"])
+    def __init__(self, keep_seconds: int) -> None:
+        self.keep_seconds = keep_seconds
+
+    def step(self, key, value, row):
+        request_id, at, own, force, keyed, live = row
+        made, by_key, _ = value or (None, {}, 0)
+        by_key = dict(by_key or {})
+        if not force:
+            used = (by_key[own], False) if own in by_key else keyed or ((made, False) if made else live)
+            if used:
+                return (made, by_key, at), (request_id, used[0], bool(used[1]), False)
+        made = f"job-{request_id}"
+        if own is not None:
+            by_key[own] = made
+        return (made, by_key, at), (request_id, made, False, True)
+
+    def until(self, value):
+        return value[2] // 1000 + self.keep_seconds * 1000
+
+
+def dedupe_requests_stream(requests: DataFrame, jobs: DataFrame, late: str = "10 minutes", keep_seconds: int = 86_400) -> DataFrame:
+    """J6 on a stream: requests (request_id, repo_id, commit_sha, idempotency_key, force, ts) in any order within `late`, jobs a static table of those that were there before.
+
+    The jobs that requests make are kept for a commit until keep_seconds of event time after its last request; by then they should be among `jobs`.
+    """
+    asked = known_jobs(_timed(requests, late), jobs)
+    schema = "request_id long, job_id string, cache_hit boolean, created boolean"
+    return asked.groupBy("repo_id", "commit_sha").transformWithStateInPandas(_Requests(keep_seconds), schema, "append", "eventTime")
 
 
 def client_rollup_stream(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

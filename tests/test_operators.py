@@ -329,29 +329,40 @@ def run_stream(spark, frame, schema, make, tmp_path, name):
     return spark.table(name)
 
 
+def shuffled(frame, order):
+    """frame dealt over three files by a hash of its rows, with one more row, an hour later, in the last one, which lets the watermark pass all others."""
+    last = frame.orderBy(F.desc("ts")).limit(1).withColumn("ts", F.expr("ts + interval 1 hour")).withColumn(order, F.lit(999_999).cast("long"))
+    return frame.withColumn("part", F.pmod(F.xxhash64(order), F.lit(3))).unionByName(last.withColumn("part", F.lit(2).cast("long")))
+
+
 def test_status_changes_stream_equals_batch(spark, tmp_path):
+    """States that come in any order over several micro-batches give what the batch twin gives."""
     base = datetime(2024, 1, 1)
     states = ["queued", "queued", "parsing", "parsing", "done", "parsing"]
-    rows = [(f"j{j}", i, states[i] if j else states[min(i, 3)], 0, None, base + timedelta(seconds=i), i // 2) for j in range(3) for i in range(6)]
-    frame = spark.createDataFrame(rows, "job_id string, event_id long, status string, progress int, error_message string, ts timestamp, part int")
+    rows = [(f"j{j}", 10 * j + i, states[i] if j else states[min(i, 3)], 0, None, base + timedelta(seconds=i)) for j in range(3) for i in range(6)]
+    frame = spark.createDataFrame(rows, "job_id string, event_id long, status string, progress int, error_message string, ts timestamp")
     want = sorted(map(tuple, jobs.status_changes(frame).collect()))
-    got = run_stream(spark, frame, frame.drop("part").schema, streams.status_changes_stream, tmp_path, "changes")
-    assert sorted(map(tuple, got.select("job_id", "event_id", "status", "progress").collect())) == want
+    dealt = shuffled(frame, "event_id")
+    got = run_stream(spark, dealt, dealt.drop("part").schema, streams.status_changes_stream, tmp_path, "changes")
+    assert sorted(map(tuple, got.where("event_id < 999999").select("job_id", "event_id", "status", "progress").collect())) == want and len(want) == 8
 
 
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
+    """Shuffled requests of both types of identity, over several micro-batches."""
     base = datetime(2024, 1, 1)
-    rows = [("chat", f"u{u}", 100 * u + i, base + timedelta(seconds=20 * i * (u + 1)), i // 4) for u in range(3) for i in range(12)]
-    frame = spark.createDataFrame(rows, "scope string, identity string, request_id long, ts timestamp, part int")
-    want = sorted(map(tuple, jobs.rate_limit_audit(frame, 3, 100).collect()))
-    timed = frame.withColumn("at", F.unix_micros("ts"))
-    got = run_stream(spark, timed, timed.drop("part").schema, lambda s: streams.rate_limit_stream(s, 3, 100), tmp_path, "limits")
-    assert sorted(map(tuple, got.select("scope", "identity", "request_id", "allowed", "remaining").collect())) == want
+    rows = [("chat", kind, f"u{u}", 1000 * n + 100 * u + i, base + timedelta(seconds=20 * i * (u + 1))) for n, kind in enumerate(("auth", "guest", "other")) for u in range(2) for i in range(12)]
+    frame = spark.createDataFrame(rows, "scope string, identity_type string, identity string, request_id long, ts timestamp")
+    limits = {"auth": 4, "guest": 2}
+    want = sorted(map(tuple, jobs.rate_limit_audit(frame, limits, 100).collect()))
+    assert [sum(r[4] for r in want if r[1] == kind) for kind in ("auth", "guest", "other")] == [22, 14, 14] and jobs.LIMITS == {"auth": 50, "guest": 10}
+    dealt = shuffled(frame, "request_id")
+    got = run_stream(spark, dealt, dealt.drop("part").schema, lambda s: streams.rate_limit_stream(s, limits, 100), tmp_path, "limits")
+    assert sorted(map(tuple, got.where("request_id < 999999").collect())) == want
 
 
 def test_rate_limit_audit_folds_a_hot_identity_across_batches(spark):
-    rows = spark.range(30_000).selectExpr("'chat' scope", "if(id % 10 = 0, concat('u', id % 70), 'hot') identity", "id request_id", "if(id < 20, null, timestamp_seconds(id * 7919 % 10007)) ts")
-    audit = jobs.rate_limit_audit(rows, 3, 100)
+    rows = spark.range(30_000).selectExpr("'chat' scope", "'guest' identity_type", "if(id % 10 = 0, concat('u', id % 70), 'hot') identity", "id request_id", "if(id < 20, null, timestamp_seconds(id * 7919 % 10007)) ts")
+    audit = jobs.rate_limit_audit(rows, {"guest": 3}, 100)
     assert "collect_list" not in audit._jdf.queryExecution().toString()
     want, state = {}, {}
     for r in sorted(rows.selectExpr("identity", "request_id", "unix_micros(ts) div 1000000 at").collect(), key=lambda r: (r.at is not None, r.at or 0, r.request_id)):
@@ -369,24 +380,38 @@ def test_rate_limit_audit_folds_a_hot_identity_across_batches(spark):
 
 
 def test_stream_state_expires(spark, tmp_path):
+    """The same state again is no change, unless the job's was dropped by the event time that other jobs brought."""
     base = datetime(2024, 1, 1)
-    frame = spark.createDataFrame([("j", 0, "queued", 0, None, base)], "job_id string, event_id long, status string, progress int, error_message string, ts timestamp")
-    sizes = []
-    for name, keep in (("kept", 3600), ("gone", 1)):
-        for i in range(2):
-            frame.withColumn("event_id", F.lit(i).cast("long")).write.mode("append").parquet(str(tmp_path / name))
-            source = spark.readStream.schema(frame.schema).parquet(str(tmp_path / name))
-            q = streams.status_changes_stream(source, keep).writeStream.format("parquet").option("path", str(tmp_path / (name + "-out"))).option("checkpointLocation", str(tmp_path / (name + "-state"))).trigger(availableNow=True).start()
+    row = lambda job, n, minute: (job, n, "queued", 0, None, base + timedelta(minutes=minute))
+    schema = "job_id string, event_id long, status string, progress int, error_message string, ts timestamp"
+    found = []
+    for name, keep in (("kept", 36_000), ("gone", 60)):
+        for i, rows in enumerate(([row("j", 1, 0), row("x", 2, 30)], [row("x", 3, 60)], [row("j", 4, 65), row("x", 5, 120)])):
+            spark.createDataFrame([(*r, i) for r in rows], schema + ", part int").drop("part").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            q = streams.status_changes_stream(spark.readStream.schema(schema).parquet(str(tmp_path / name)), "1 minute", keep).writeStream.format("parquet").option("path", str(tmp_path / (name + "-out"))).option("checkpointLocation", str(tmp_path / (name + "-state"))).trigger(availableNow=True).start()
             q.awaitTermination(120)
-            time.sleep(2)
-        sizes.append(spark.read.parquet(str(tmp_path / (name + "-out"))).count())
-    assert sizes == [1, 2]
-
-
-def test_dedupe_stream(spark, tmp_path):
-    frame = spark.createDataFrame([("r", "c", "k", datetime(2024, 1, 1))] * 4, "repo_id string, commit_sha string, idempotency_key string, ts timestamp").withColumn("part", F.lit(0))
-    got = run_stream(spark, frame, frame.drop("part").schema, streams.dedupe_requests_stream, tmp_path, "dedupe")
-    assert got.count() == 1
+        found.append(sorted(r.event_id for r in spark.read.parquet(str(tmp_path / (name + "-out"))).where("job_id = 'j'").collect()))
+    assert found == [[1], [1, 4]]
+
+
+def test_dedupe_requests_in_order(spark, tmp_path):
+    """Requests see what those before them made, in a batch and, shuffled, on a stream."""
+    day = lambda n: datetime(2024, 1, 1, 0, 0, n)
+    asked = [
+        (1, "r", "new", "k", False, day(1)), (2, "r", "new", "other", False, day(2)), (3, "r", "new", "k", True, day(3)), (4, "r", "new", "k", False, day(4)), (5, "r", "new", None, False, day(5)), (6, "r", "new", "other", False, day(6)),
+        (7, "r", "old", "k", False, day(1)), (8, "r", "old", "", False, day(2)), (9, "r", "old", "", True, day(3)), (10, "r", "old", "k", False, day(4)), (11, "r", "bad", "k", False, day(1)), (12, "r", "bad", "x", False, day(2)), (13, "r", "bad", "y", False, day(3)),
+    ]
+    known = [("a", "r", "old", "k", "done", day(0)), ("b", "r", "old", "z", "queued", day(1)), ("c", "r", "bad", "k", "failed", day(0))]
+    requests = spark.createDataFrame(asked, "request_id long, repo_id string, commit_sha string, idempotency_key string, force boolean, ts timestamp")
+    there = spark.createDataFrame(known, "job_id string, repo_id string, commit_sha string, idempotency_key string, status string, created_at timestamp")
+    got = {r.request_id: (r.job_id, r.cache_hit, r.created) for r in jobs.dedupe_requests(requests, there).collect()}
+    assert got == {
+        1: ("job-1", False, True), 2: ("job-1", False, False), 3: ("job-3", False, True), 4: ("job-3", False, False), 5: ("job-3", False, False), 6: ("job-3", False, False),
+        7: ("a", True, False), 8: ("b", False, False), 9: ("job-9", False, True), 10: ("a", True, False), 11: ("c", False, False), 12: ("job-12", False, True), 13: ("job-12", False, False),
+    }
+    dealt = shuffled(requests, "request_id")
+    streamed = run_stream(spark, dealt, dealt.drop("part").schema, lambda s: streams.dedupe_requests_stream(s, there), tmp_path, "dedupe")
+    assert {r.request_id: (r.job_id, r.cache_hit, r.created) for r in streamed.where("request_id < 999999").collect()} == got
 
 
 class Killed(Exception):
