@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as P
 from corpusmill.operators import analysis as A
+from corpusmill.operators import approximate as N
 from corpusmill.operators import chunking as C
 from corpusmill.operators import diff as D
 from corpusmill.operators import embedding as V
@@ -375,6 +376,16 @@ def r3(spark, d):
     return R.dense_search(e.select("repo_id", F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "repo_id", "embedding"), 5)
 
 
+@query("r3_approximate_search")
+def r3_approximate(spark, d):
+    """The questions of r3_dense_search, among hashed vectors, with as many probes as a sample of them needs for 95 % of the exact results."""
+    e = X.table(spark, d, "embeddings").withColumn("repo_id", F.col("label").cast("string"))
+    vectors, asked = e.select("repo_id", F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "repo_id", "embedding")
+    first = vectors.select(F.size("embedding")).first()
+    dim = first[0] if first else 1
+    return N.approximate_search(vectors, N.build_vector_index(vectors, dim), asked, dim, N.fit_probes(vectors, asked, dim), 10)
+
+
 @query("r4_min_max_normalize", "SELECT event_id, CASE WHEN max(value) OVER w = min(value) OVER w THEN 1.0 ELSE round_even((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w), 6) END AS v FROM events WINDOW w AS (PARTITION BY user_id)")
 def r4(spark, d):
     from pyspark.sql.window import Window

@@ -8,11 +8,12 @@ import time
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as P
-from corpusmill.operators import analysis, chunking, diff, embedding, evaluation, graph, grounding, jobs, retrieval
+from corpusmill.operators import analysis, approximate, chunking, diff, embedding, evaluation, graph, grounding, jobs, retrieval
 from corpusmill.plans.registry import ORACLE_SQL, QUERIES
 from corpusmill.sources import snapshots, tables
 from corpusmill.streaming import streams
@@ -209,6 +210,43 @@ def test_lexical_and_fusion(spark):
     assert [(r.chunk_id, r.score) for r in failed] == [("c1", 0.9), ("c2", 0.2)]
 
 
+def searched(spark, vectors, asked, dim, **more):
+    """(recall@10 against the exact search, share of all pairs that were scored, probes)."""
+    probes = approximate.fit_probes(vectors, asked, dim, **more)
+    index = approximate.build_vector_index(vectors, dim)
+    found = approximate.approximate_search(vectors, index, asked, dim, probes, 10)
+    met = approximate.probe(asked, dim, probes).join(index, ["repo_id", "table_no", "code"]).select("query_id", "chunk_id").distinct().count()
+    every = asked.select("repo_id").join(vectors.select("repo_id"), "repo_id").count()
+    return approximate.recall_of(found, retrieval.dense_search(vectors, asked, 10)), met / every, probes
+
+
+def test_approximate_search_of_all_vectors(spark):
+    """The given vectors have no near neighbours, so most buckets must be looked into; recall holds all the same."""
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").withColumn("repo_id", F.lit("r"))
+    dim = e.select(F.size("embedding")).first()[0]
+    vectors, asked = e.select("repo_id", F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "repo_id", "embedding")
+    recall, share, probes = searched(spark, vectors, asked, dim)
+    assert recall >= 0.9 and share < 1 and probes <= 256
+    print("recall", recall, "share", share, "probes", probes)
+    assert approximate.build_vector_index(vectors, dim).count() == approximate.TABLES * vectors.count()
+
+
+def test_approximate_search_of_near_vectors(spark):
+    """Vectors around 200 centres, of two repositories: few buckets suffice, though the sample is smaller than the questions."""
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((200, 32))
+    rows = [(f"r{i % 2}", str(i), [float(v) for v in centres[i % 200] + 0.15 * rng.standard_normal(32)]) for i in range(4000)]
+    vectors = spark.createDataFrame(rows, "repo_id string, chunk_id string, embedding array<float>")
+    asked = vectors.where("cast(chunk_id as int) % 20 = 0").select(F.col("chunk_id").cast("long").alias("query_id"), "repo_id", "embedding")
+    recall, share, probes = searched(spark, vectors, asked, 32, most=50)
+    print("recall", recall, "share", share, "probes", probes)
+    assert recall >= 0.9 and share < 0.2
+    odd = vectors.union(spark.createDataFrame([("r0", "short", [1.0]), ("r0", "none", None), ("r0", None, [0.0] * 32), ("r0", "zero", [0.0] * 32)], vectors.schema))
+    index = approximate.build_vector_index(odd, 32)
+    assert {r.chunk_id for r in index.where("chunk_id in ('short', 'none', 'zero') or chunk_id is null").collect()} == {"zero"}
+    assert approximate.fit_probes(vectors.limit(0), asked.limit(0), 32) == 1 and approximate.approximate_search(odd, index, asked.limit(0), 32, 2).count() == 0
+
+
 def test_citations(spark):
     results = spark.createDataFrame([(1, "r", "c", "src/auth/jwt.py", 10, 30, 0.5, 1)], "query_id int, repo_id string, chunk_id string, file_path string, start_line int, end_line int, score double, rank int")
     assert grounding.format_citations(results).first().anchor == "src/auth/jwt.py#L10-L30"
