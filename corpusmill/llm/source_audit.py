@@ -41,7 +41,7 @@ def count_terms(docs: DataFrame) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, df) in counts.items():
                 terms = list(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([df[t] for t in terms], pa.int64())], ["lang", "source", "term", "count", "df"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([df[t] for t in terms], pa.int64())], ["lang", "source", "term", "count", "df"])
             counts.clear()
 
         for b in batches:
