@@ -16,13 +16,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusmill.llm.shared import LOWER, UPPER, attach, scratch
 
 #: Second labels that country domains register names under; such a suffix has two labels, any other is the last label. Fixed values.
 SECOND_LABELS = ("ac", "co", "com", "edu", "gen", "go", "gob", "gov", "gouv", "govt", "gv", "id", "info", "me", "mil", "ne", "net", "nom", "or", "org", "school", "sch", "web")
-MAX_RULES = 200
+#: Rules that are broadcast at most.
+MAX_BROADCAST_RULES = 100_000
 
 
 def url_host(url: Column) -> Column:
@@ -55,16 +55,19 @@ def registered_domain(name: Column) -> Column:
     return F.when(_address(name), name).when(_two_labels(name), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
-def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """The longest rule (host, then path, as in `example.com/en/`) that fits the host or a parent of it, else null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: join a table of rules instead")
-    found = None
-    for _, rule in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
-        name, slash, rest = rule.partition("/")
-        fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest)
-        found = F.when(fits, F.lit(rule)) if found is None else found.when(fits, F.lit(rule))
-    return F.lit(None).cast("string") if found is None else found
+def rules_of_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, fitting): the rules (verdict, rule) of a host or a parent of it, longest first, as an array of (path, rule, verdict). Hosts without any are left out.
+
+    rules are like `example.com/en/`: a name and the start of a path. Each host meets them by its names, its own and its parents'.
+    """
+    parts = F.split("rule", "/", 2)
+    known = rules.select(parts[0].alias("name"), F.concat(F.lit("/"), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("path"), "rule", "verdict")
+    known = F.broadcast(known) if rules.count() <= MAX_BROADCAST_RULES else known
+    labels = F.split("host", r"\.")
+    names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    met = hosts.select("host", F.explode(names).alias("name")).join(known, "name")
+    fitting = F.array_sort(F.collect_list(F.struct((-F.length("rule")).alias("order"), "rule", "path", "verdict")))
+    return met.groupBy("host").agg(fitting.alias("fitting"))
 
 
 def _shrink(children: DataFrame, parent: str, default_strength: float) -> DataFrame:
@@ -80,40 +83,40 @@ def _shrink(children: DataFrame, parent: str, default_strength: float) -> DataFr
 
 
 def host_reputation(hosts: DataFrame, z: float = 1.645, default_strength: float = 10.0) -> DataFrame:
-    """hosts (host, n labelled pages, bad ones) to (host, share, bound, overall): the posterior share of bad pages, its lower bound, and the share over all hosts.
+    """hosts (a scratch table: host, n labelled pages, bad ones) to (host, share, bound, overall): the posterior share of bad pages, its lower bound, and the share over all hosts.
 
-    The sum over all suffixes is a window of one row for each suffix.
+    Suffixes with many domains and domains with many hosts meet them by broadcast (attach).
     """
     name = host_name(F.col("host"))
     hosts = hosts.withColumn("domain", registered_domain(name)).withColumn("suffix", url_suffix(name))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    everything = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    overall = (F.sum("bad").over(everything) + 1) / (F.sum("n").over(everything) + 2)
-    suffixes = suffixes.withColumn("overall", overall).withColumn("mean", (default_strength * overall + F.col("bad")) / (default_strength + F.col("n")))
-    prior = suffixes.select("suffix", "overall", F.col("mean").alias("prior")).join(_shrink(domains, "suffix", default_strength), "suffix")
-    domains = domains.join(prior, "suffix").withColumn("mean", (F.col("strength") * F.col("prior") + F.col("bad")) / (F.col("strength") + F.col("n")))
-    prior = domains.select("domain", "overall", F.col("mean").alias("prior")).join(_shrink(hosts, "domain", default_strength), "domain")
+    domains = scratch(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("hosts")), "domains")
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("domains"))
+    total = domains.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("*").alias("domains"), F.coalesce(F.sum("hosts"), F.lit(0)).alias("hosts")).first()
+    overall = F.lit((total.bad + 1) / (total.n + 2))
+    mean = (default_strength * overall + F.col("bad")) / (default_strength + F.col("n"))
+    prior = scratch(suffixes.select("suffix", "domains", mean.alias("prior")).join(_shrink(domains, "suffix", default_strength), "suffix"), "suffixes")
+    domains = attach(domains, prior, "suffix", "domains", total.domains).withColumn("mean", (F.col("strength") * F.col("prior") + F.col("bad")) / (F.col("strength") + F.col("n")))
+    prior = scratch(domains.select("domain", "hosts", F.col("mean").alias("prior")).join(_shrink(hosts, "domain", default_strength), "domain"), "priors")
     a, b = F.col("strength") * F.col("prior") + F.col("bad"), F.col("strength") * (1 - F.col("prior")) + F.col("n") - F.col("bad")
-    scored = hosts.join(prior, "domain").select("host", "pages", "n", "bad", "overall", (a / (a + b)).alias("share"), (a + b).alias("weight"))
+    scored = attach(hosts, prior, "domain", "hosts", total.hosts).select("host", "pages", "n", "bad", overall.alias("overall"), (a / (a + b)).alias("share"), (a + b).alias("weight"))
     return scored.withColumn("bound", F.col("share") - z * F.sqrt(F.col("share") * (1 - F.col("share")) / (F.col("weight") + 1)))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], lift: float = 1.25, z: float = 1.645) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, lift: float = 1.25, z: float = 1.645) -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict, bound. outcomes: page_id, bad (0 or 1).
 
-    rules: (verdict, rule). The rule's verdict holds; elsewhere a host whose bound reaches `lift` times the share of all pages is blocked.
+    rules: (verdict, rule), a list or a table of any size. The verdict of the longest that fits holds, of equally long ones the first; elsewhere a host
+    whose bound reaches `lift` times the share of all pages is blocked.
     """
     url = F.col("url")
     parsed = scratch(pages.select("page_id", url_host(url).alias("host"), url_path(url).alias("path")), "urls")
     n_rows = parsed.count()
     known = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     counted = parsed.select("page_id", "host").join(known, "page_id", "left")
-    hosts = counted.groupBy("host").agg(F.count("*").alias("pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    reputation = scratch(host_reputation(scratch(hosts, "hosts"), z).select("host", "pages", "share", "bound", "overall"), "reputation")
-    judged = attach(parsed, reputation, "host", "pages", n_rows)
-    rule = longest_rule(F.col("host"), F.col("path"), rules)
-    said = F.create_map(*[F.lit(x) for verdict, r in rules for x in (r, verdict)]) if rules else F.lit(None).cast("map<string,string>")
-    judged = judged.withColumn("rule", rule)
-    verdict = F.coalesce(F.element_at(said, F.coalesce("rule", F.lit(""))), F.when(F.col("bound") >= lift * F.col("overall"), "block").otherwise("allow"))
-    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "share", "bound")
+    hosts = scratch(counted.groupBy("host").agg(F.count("*").alias("pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "hosts")
+    table = rules if isinstance(rules, DataFrame) else pages.sparkSession.createDataFrame(list(rules), "verdict string, rule string")
+    reputation = host_reputation(hosts, z).select("host", "pages", "share", "bound", "overall").join(rules_of_hosts(hosts, table), "host", "left")
+    judged = attach(parsed, scratch(reputation, "reputation"), "host", "pages", n_rows)
+    first = F.get(F.filter("fitting", lambda r: F.col("path").startswith(r["path"])), F.lit(0))
+    verdict = F.coalesce(first["verdict"], F.when(F.col("bound") >= lift * F.col("overall"), "block").otherwise("allow"))
+    return judged.select("page_id", "host", "path", first["rule"].alias("rule"), verdict.alias("verdict"), "share", "bound")
