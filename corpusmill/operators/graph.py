@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.sources.tables import discard, durable
+from corpusmill.sources.tables import discard, durable, join_few
 
 #: Suffixes of scripts, and what an import or a require looks like there; the names of an import may take several lines.
 JS = ("ts", "tsx", "js", "jsx", "mjs", "cjs")
@@ -48,7 +48,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     guesses = F.array(*[F.concat(base, F.lit(f"{way}.{ext}")) for ext in JS for way in ("", "/index")])
     js = F.when(F.col("ref").startswith("."), F.when(base.rlike(r"\.(?:ts|tsx|js|jsx|mjs|cjs)$"), F.array(base)).otherwise(guesses))
     tries = imports.select("repo_id", F.col("file_path").alias("source"), "ref", "kind", F.posexplode(F.when(F.col("kind") == "python", python).otherwise(js)).alias("nth", "target"))
-    found = tries.join(files.select("repo_id", F.col("file_path").alias("target")), ["repo_id", "target"])
+    # a file that all others import is one key with a row from each
+    found = join_few(durable(tries, "tries"), files.select("repo_id", F.col("file_path").alias("target")), ["repo_id", "target"])
     return found.groupBy("repo_id", "source", "ref", "kind").agg(F.min_by("target", "nth").alias("target")).select("repo_id", "source", "target", "kind")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,9 +14,17 @@ from corpusmill.functions.text import all_tokens, path_weight, tokens
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
 
+#: Terms that are broadcast at most, to build the part of an index that they need.
+MAX_BROADCAST_TERMS = 200_000
+
+
+def _indexed_text() -> Column:
+    return F.concat(F.coalesce("file_path", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
+
+
 def build_lexical_index(chunks: DataFrame) -> DataFrame:
     """(repo_id, term, chunk_id, positions) over path and content. A chunk's positions are sorted and cut by term in its row: no shuffle."""
-    text = F.concat(F.coalesce("file_path", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
+    text = _indexed_text()
     once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  binds an array, so that it is computed once for a row
     placed = F.sort_array(F.transform(all_tokens(text), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
 
@@ -34,6 +42,32 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return asked.select("query_id", "repo_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("term_no", "term"))
 
 
+def index_of_terms(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """The part of R1's index that questions ask for. Tokens of other terms go before anything is sorted or shuffled; with very many terms the whole index is built and cut."""
+    asked = query_terms(questions).select("repo_id", "term").distinct()
+    if asked.count() > MAX_BROADCAST_TERMS:
+        return build_lexical_index(chunks).join(asked, ["repo_id", "term"], "left_semi")
+    tokens_of = chunks.select("repo_id", "chunk_id", F.posexplode(all_tokens(_indexed_text())).alias("pos", "term"))
+    met = tokens_of.join(F.broadcast(asked), ["repo_id", "term"])
+    return met.groupBy("repo_id", "chunk_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions")).select("repo_id", "term", "chunk_id", "positions")
+
+
+def _bucket(repo: Column, term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(repo, term), F.lit(buckets)).cast("int")
+
+
+def save_lexical_index(index: DataFrame, path: str, buckets: int = 64) -> None:
+    """R1, stored: folders of a hash of repository and term, sorted by both, so that a reader opens few folders and skips most of a file."""
+    placed = index.withColumn("bucket", _bucket(F.col("repo_id"), F.col("term"), buckets))
+    placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "repo_id", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def stored_lexical_index(spark: SparkSession, path: str, questions: DataFrame, buckets: int = 64) -> DataFrame:
+    """Of a stored index, the buckets that questions' terms lie in; buckets as it was saved. Numbers of buckets alone reach the driver."""
+    asked = query_terms(questions).select(_bucket(F.col("repo_id"), F.col("term"), buckets).alias("bucket")).distinct().collect()
+    return spark.read.parquet(path).where(F.col("bucket").isin([r.bucket for r in asked])).drop("bucket")
+
+
 def cover_density(n_terms: Column, hits: Column, k: int = 16) -> Column:
     """Sum over minimal covers of min(1, k / (length)), folding positions in order; hits: array<struct<pos,term_no>>."""
     start = F.struct(F.array_repeat(F.lit(-1), n_terms).alias("last"), F.lit(-1).alias("done"), F.lit(0.0).alias("score"))
@@ -49,9 +83,18 @@ def cover_density(n_terms: Column, hits: Column, k: int = 16) -> Column:
 
 
 def lexical_search(index: DataFrame, chunks: DataFrame, questions: DataFrame, limit: int = 20) -> DataFrame:
-    """R2: chunks that hold all terms of a question, by cover density, path, line."""
+    """R2: chunks that hold all terms of a question, by cover density, path, line. The index is read more than once: pass a stored one.
+
+    Only the chunks of a question's rarest term are looked at: its other terms meet the index by chunk, so a term that all chunks hold makes no
+    more rows than the rarest has, and no key is hot.
+    """
     limit = max(1, min(100, limit))
-    met = query_terms(questions).join(index, ["repo_id", "term"])
+    asked = query_terms(questions)
+    often = index.join(asked.select("repo_id", "term").distinct(), ["repo_id", "term"], "left_semi").groupBy("repo_id", "term").agg(F.count("*").alias("df"))
+    terms = F.collect_list(F.struct("term", "term_no")).alias("terms")
+    rarest = asked.join(often, ["repo_id", "term"], "left").groupBy("query_id", "repo_id", "n_terms").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term_no")).alias("term"), terms)
+    few = rarest.join(index.select("repo_id", "term", "chunk_id"), ["repo_id", "term"]).select("query_id", "repo_id", "chunk_id", "n_terms", F.explode("terms").alias("t"))
+    met = few.select("query_id", "repo_id", "chunk_id", "n_terms", "t.term", "t.term_no").join(index, ["repo_id", "chunk_id", "term"])
     hits = F.array_sort(F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("pos"), F.col("term_no").alias("term_no"))))))
     found = met.groupBy("query_id", "repo_id", "chunk_id", "n_terms").agg(F.count("*").alias("n"), hits.alias("hits")).where("n = n_terms")
     scored = found.select("query_id", "repo_id", "chunk_id", F.bround(cover_density(F.col("n_terms"), F.col("hits")), 6).alias("score"))

@@ -360,8 +360,8 @@ def r1(spark, d):
 
 
 def lexical(spark, d):
-    chunks = X.whole(spark, d)
-    return R.lexical_search(R.build_lexical_index(chunks), chunks, X.questions(spark, d), 10)
+    chunks, asked = X.whole(spark, d), X.questions(spark, d)
+    return R.lexical_search(S.durable(R.index_of_terms(chunks, asked), "index"), chunks, asked, 10)
 
 
 @query("r2_lexical_search", f"WITH {_LEX} SELECT query_id, repo_id, chunk_id, score, rank FROM lex")

@@ -53,6 +53,20 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_few(left: DataFrame, right: DataFrame, keys: list[str], parts: int = 1000) -> DataFrame:
+    """left join of left (a durable table) to right's only row of a key, inner, whatever left's keys.
+
+    Keys that at least 1 / parts of left's rows have are counted; there can be `parts` of them at most, so their rows of right are broadcast and left's stay where
+    they are. The rest goes by an ordinary join.
+    """
+    least = max(2, -(-left.count() // parts))
+    heavy = durable(left.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(*keys), "heavy")
+    if heavy.isEmpty():
+        return left.join(right, keys)
+    hot = left.join(F.broadcast(right.join(F.broadcast(heavy), keys, "left_semi")), keys)
+    return hot.unionByName(left.join(F.broadcast(heavy), keys, "left_anti").join(right, keys))
+
+
 def read_source_tree(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     """files(repo_id, file_path, content) under root, path relative to it, bytes that are no UTF-8 dropped."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

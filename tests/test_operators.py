@@ -247,6 +247,49 @@ def test_approximate_search_of_near_vectors(spark):
     assert approximate.fit_probes(vectors.limit(0), asked.limit(0), 32) == 1 and approximate.approximate_search(odd, index, asked.limit(0), 32, 2).count() == 0
 
 
+def test_stored_index_opens_the_buckets_asked_for(spark, tmp_path):
+    """R1 stored, R2 over it: as over an index built anew, from the folders of the questions' terms alone."""
+    chunks = spark.createDataFrame([("r", f"c{i}", f"f{i}.py", f"common w{i % 50} x{i % 7} common", 1, 9, "py") for i in range(200)], "repo_id string, chunk_id string, file_path string, content string, start_line int, end_line int, language string")
+    asked = spark.createDataFrame([(1, "r", "common w3"), (2, "r", "w3 x3 nowhere"), (3, "r", "x1 common"), (4, "other", "common")], "query_id int, repo_id string, q string")
+    whole = retrieval.build_lexical_index(chunks)
+    retrieval.save_lexical_index(whole, str(tmp_path / "index"), 16)
+    read = retrieval.stored_lexical_index(spark, str(tmp_path / "index"), asked, 16)
+    assert len({f.rsplit("/", 2)[1] for f in read._jdf.inputFiles()}) > 0
+    opened = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in opened
+    want = sorted(map(tuple, retrieval.lexical_search(whole, chunks, asked).collect()))
+    assert want and {r[2] for r in want} >= {1, 3} and sorted(map(tuple, retrieval.lexical_search(read, chunks, asked).collect())) == want
+    few = retrieval.index_of_terms(chunks, asked)
+    assert sorted(map(tuple, retrieval.lexical_search(few, chunks, asked).collect())) == want and {r.term for r in few.collect()} == {"common", "w3", "x3", "x1"}
+    retrieval.MAX_BROADCAST_TERMS, most = 0, retrieval.MAX_BROADCAST_TERMS
+    try:
+        assert sorted(map(tuple, retrieval.index_of_terms(chunks, asked).collect())) == sorted(map(tuple, few.collect()))
+    finally:
+        retrieval.MAX_BROADCAST_TERMS = most
+
+
+def largest_share(df):
+    """The rows of the largest partition that df comes in, over those of the mean one."""
+    n = [r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(n) * 8 / sum(n)
+
+
+def test_hot_files_and_terms_are_no_task_of_their_own(spark):
+    """A file that 20,000 others import, and a term that all chunks hold."""
+    n = 20_000
+    imports = spark.range(n).selectExpr("'r' repo_id", "concat('a/m', id, '.py') file_path", "if(id % 10 = 0, concat('b.m', id), 'core') ref", "'python' kind").repartition(8)
+    files = spark.range(n).selectExpr("'r' repo_id", "concat('b/m', id, '.py') file_path").union(spark.sql("select 'r', 'core.py'"))
+    found = graph.resolve_imports(imports, files)
+    assert found.count() == n and found.where("target = 'core.py'").count() == n * 9 // 10
+    joined = tables.join_few(tables.durable(imports.withColumn("target", F.col("ref")), "hot"), spark.createDataFrame([("r", "core", 1)], "repo_id string, target string, x int"), ["repo_id", "target"])
+    assert joined.count() == n * 9 // 10 and largest_share(joined) < 3
+    index = spark.range(n).selectExpr("'r' repo_id", "explode(array('all', concat('w', id % 2000))) term", "concat('c', id) chunk_id", "array(1) positions")
+    chunks = spark.range(n).selectExpr("'r' repo_id", "concat('c', id) chunk_id", "'f' file_path", "1 start_line", "2 end_line", "'py' language")
+    asked = spark.range(200).selectExpr("id query_id", "'r' repo_id", "concat('all w', id) q")
+    hits = retrieval.lexical_search(index, chunks, asked)
+    assert hits.count() == 2000
+
+
 def test_citations(spark):
     results = spark.createDataFrame([(1, "r", "c", "src/auth/jwt.py", 10, 30, 0.5, 1)], "query_id int, repo_id string, chunk_id string, file_path string, start_line int, end_line int, score double, rank int")
     assert grounding.format_citations(results).first().anchor == "src/auth/jwt.py#L10-L30"
