@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.llm.shared import attach, attach_some, bounded_batches, byte_slices, discard, fresh, maybe_among, scratch
+from corpusmill.llm.shared import attach, attach_some, bloom_array, bounded_batches, byte_slices, discard, fresh, in_bloom, maybe_among, scratch
 
 #: Largest size for which subsets may be enumerated; sets up to it are stored whole.
 MAX_LIGHT = 20
@@ -304,30 +304,37 @@ def _apart(shared: DataFrame, classes: DataFrame, boundary: int, percent: int) -
     return found
 
 
-def _exact_postings(docs: DataFrame, apart: DataFrame, k: int, percent: int) -> DataFrame:
-    """Postings (token, node, n, i) of the nodes apart, in lists of two or more, in the order of their tokens' true counts among these nodes.
+def _repeated_postings(docs: DataFrame, apart: DataFrame, k: int, percent: int, counts) -> DataFrame:
+    """Postings (token, node, n, i) of the nodes apart, of tokens that two or more of these nodes have, in an order in which all others come first.
 
-    Tokens counted once come first and make no list, so most nodes that merely quote the same passage meet nobody here.
+    Tokens are counted by a shuffle of nothing but tokens. Those counted twice or more make a Bloom filter, and the order is by whether a token
+    passes it, then by the sketch, then by the token: the same for all nodes, so any links' first common token is in both prefixes. Tokens that
+    occur once make no list, so most nodes that merely quote the same passage meet nobody here.
     """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in byte_slices(batch, "text"):
-                sets = shingle_sets(b["text"], k)
-                names = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["node", "set", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"], _lists(shingle_sets(b["text"], k))], ["node", "tokens"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, bits = counts.value, repeated.value
+        buckets = len(weight)
+        for b in batches:
+            for node, tokens in zip(b["node"].to_pylist(), b["tokens"]):
+                t = tokens.values.to_numpy().view(np.uint64)
+                again = in_bloom(bits, t)
+                order = np.lexsort((t, weight[(t & np.uint64(buckets - 1)).astype(np.int64)], again))[: prefix_length(len(t), percent)] if len(t) else np.empty(0, np.int64)
+                i = np.flatnonzero(again[order])
+                columns = [pa.array(t[order[i]].view(np.int64)), *[pa.array(np.full(len(i), x, np.int64)) for x in (node, len(t))], pa.array(i.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n", "i"])
 
     ids = scratch(apart.select(F.col("node").alias("doc_id")), "ids")
-    found = scratch(_rows_of(docs.select("doc_id", "text"), ids).mapInArrow(tokens, "node long, set long, n long, tokens array<long>"), "tokens")
-    rows = found.select("node", "set", "n", F.explode("tokens").alias("token"))
-    often = scratch(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "often")
-    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    met = attach_some(rows, often, "token", "df", total)
-    own = Window.partitionBy("node", "set")
-    once = F.col("n") - F.count("*").over(own)
-    rank = F.row_number().over(own.orderBy("df", "token")) - 1
-    placed = met.select("token", "node", "n", (once + rank).cast("int").alias("i")).where(F.expr(f"i < n - ceil({percent} * n / 100) + 1"))
-    postings = scratch(placed, "placed")
+    found = scratch(_rows_of(docs.select("doc_id", "text"), ids).mapInArrow(tokens, "node long, tokens array<long>"), "tokens")
+    often = scratch(found.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "often")
+    repeated = docs.sparkSession.sparkContext.broadcast(bloom_array(often, "token"))
+    postings = scratch(found.mapInArrow(place, "token long, node long, n long, i int"), "placed")
+    repeated.destroy()
     discard(ids, found, often)
     return postings
 
@@ -356,6 +363,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     lists = scratch(postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "lists")
     total = lists.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     shared = scratch(attach_some(postings, lists, "token", "c", total), "postings")
+    discard(lists)
     boundary = boundary_by_cost(nodes, shared, percent)
     light = _light_pairs(nodes, boundary, percent)
     shared = shared.where(F.col("n") >= least_overlap(boundary + 1, percent))
@@ -365,9 +373,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     first = met.where((F.col("node") != F.col("pivot")) & some_heavy & _may_link("n", "i", "pn", "pi", percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     first = scratch(first.union(light).distinct(), "pairs")
     links = _verify(docs, scratch(_possible(first, nodes, percent), "possible"), k, percent)
-    counts.destroy()
     apart = _apart(shared.select("token", "node", "n", "i"), scratch(components(links), "classes"), boundary, percent)
-    listed = _roles(_exact_postings(docs, apart, k, percent).join(apart, "node"), percent)
+    listed = _roles(_repeated_postings(docs, apart, k, percent, counts).join(apart, "node"), percent)
+    counts.destroy()
     sides = [listed.where("smaller" if x == "a" else "not smaller").select("group", *[F.col(c).alias(f"{c}_{x}") for c in ("token", "node", "n", "i", "component")]) for x in "ab"]
     near = (F.col("token_a") == F.col("token_b")) & (F.col("component_a") != F.col("component_b")) & (F.greatest("n_a", "n_b") > boundary) & _may_link("n_a", "i_a", "n_b", "i_b", percent)
     second = sides[0].join(sides[1], "group").where(near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()

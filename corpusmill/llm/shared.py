@@ -19,8 +19,8 @@ __all__ = ["attach", "attach_some", "bloom_array", "bounded_batches", "byte_slic
 #: A word and a run of white space, as Java, Python and RE2 all read them.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Blocks of a Bloom filter that are broadcast at most: 2^19 rows of two longs.
-MAX_BROADCAST_BLOCKS = 1 << 19
+#: Blocks of a Bloom filter that are broadcast at most: as rows of two longs, or as an array of 16 MB.
+MAX_BROADCAST_BLOCKS, MAX_ARRAY_BLOCKS = 1 << 19, 1 << 21
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -92,8 +92,8 @@ def bloom_bits(h: Column) -> Column:
 
 
 def bloom_array(keys: DataFrame, key: str) -> np.ndarray:
-    """A Bloom filter of the keys (a scratch table; longs that are hashes already) as an array of at most MAX_BROADCAST_BLOCKS blocks; beyond 4 keys a block it lets more others through."""
-    blocks = min(MAX_BROADCAST_BLOCKS, 1 << max(10, (keys.count() // 4).bit_length()))
+    """A Bloom filter of the keys (a scratch table; longs that are hashes already) as an array of at most MAX_ARRAY_BLOCKS blocks; beyond 4 keys a block it lets more others through."""
+    blocks = min(MAX_ARRAY_BLOCKS, 1 << max(10, (keys.count() // 4).bit_length()))
     h = F.col(key)
     found = keys.groupBy(bloom_block(h, blocks).alias("block")).agg(F.bit_or(bloom_bits(h)).alias("bits")).toArrow()
     bits = np.zeros(blocks, np.uint64)
@@ -111,11 +111,10 @@ def in_bloom(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def maybe_among(left: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
     """Add the boolean `flag`: false only if left's key is not among the keys (a scratch table of one column named key, without nulls).
 
-    A broadcast Bloom filter tells; beyond MAX_BROADCAST_BLOCKS blocks every flag is true, so more rows go on to the exact join.
+    A broadcast Bloom filter tells. It has a block for 4 keys, at most MAX_BROADCAST_BLOCKS; beyond, blocks fill up and more rows go on to the exact join:
+    2 % without a key among 2 million keys, 15 % among 8 million, 75 % among 32 million.
     """
-    blocks = 1 << max(10, (keys.count() // 4).bit_length())
-    if blocks > MAX_BROADCAST_BLOCKS:
-        return left.withColumn(flag, F.lit(True))
+    blocks = min(MAX_BROADCAST_BLOCKS, 1 << max(10, (keys.count() // 4).bit_length()))
     block, bits = fresh(left, "__block"), fresh(left, "__bits")
     h = F.xxhash64(key)
     there = keys.groupBy(bloom_block(h, blocks).alias(block)).agg(F.bit_or(bloom_bits(h)).alias(bits))

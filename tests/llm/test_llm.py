@@ -52,11 +52,13 @@ def test_exact_dedup_odd_rows(odd):
     assert exact_dedup.duplicate_report(odd.limit(0)).count() == 0 and exact_dedup.exact_dedup(odd.limit(0)).count() == 0
 
 
-def test_exact_dedup_with_a_full_filter_loses_nothing(spark, docs, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MAX_BROADCAST_BLOCKS", 0)
+def test_exact_dedup_with_a_full_filter_loses_nothing(docs):
+    """Filters folded to a few words, down to one, let unique rows through to the shuffle, and change nothing else."""
     norm = Counter(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in docs.collect())
-    got = exact_dedup.duplicate_report(docs).collect()
-    assert sum(r.kept for r in got) == len(norm) and sorted(r.group_size for r in got if r.kept) == sorted(norm.values())
+    for words in (1, 4):
+        got = exact_dedup.duplicate_report(docs, max_words=words).collect()
+        assert sum(r.kept for r in got) == len(norm) and sorted(r.group_size for r in got if r.kept) == sorted(norm.values())
+        assert exact_dedup.exact_dedup(docs, max_words=words).count() == len(norm)
 
 
 def test_exact_dedup_shuffles_no_text_that_is_unique(docs):
@@ -406,6 +408,33 @@ def test_url_rules_and_reputation(spark):
     assert [r.verdict for r in url_reputation.judge_urls(twice, outcomes.union(outcomes), URL_RULES).collect()] == ["allow"] * 4
 
 
+def test_url_rules_as_a_table(spark):
+    """More rules than a broadcast takes, as a table; the longest fitting one of a host, of its parents, or none."""
+    hosts = [f"h{i}.d{i % 50}.org" for i in range(300)] + ["d3.org", "xd3.org", "org"]
+    pages = spark.createDataFrame([(i, f"http://{h}/p/{i % 3}/x") for i, h in enumerate(hosts)], "page_id long, url string")
+    rules = [("block", f"d{i}.org/") for i in range(0, 50, 2)] + [("allow", f"h{i}.d{i % 50}.org/p/0/") for i in range(0, 300, 3)] + [("block", f"h{i}.d{i % 50}.org/p/9") for i in range(300)] + [("allow", f"none{i}.net/") for i in range(300)]
+    none = spark.createDataFrame([], "page_id long, bad int")
+    want = {}
+    for i, h in enumerate(hosts):
+        fits = [(len(r), r, v) for v, r in rules for name, path in [r.split("/", 1)] if (h == name or h.endswith("." + name)) and f"/p/{i % 3}/x".startswith("/" + path)]
+        want[i] = max(fits)[1:] if fits else (None, "allow")
+    for most in (url_reputation.MAX_BROADCAST_RULES, 0):
+        url_reputation.MAX_BROADCAST_RULES, before = most, url_reputation.MAX_BROADCAST_RULES
+        try:
+            got = {r.page_id: (r.rule, r.verdict) for r in url_reputation.judge_urls(pages, none, spark.createDataFrame(rules, "verdict string, rule string")).collect()}
+        finally:
+            url_reputation.MAX_BROADCAST_RULES = before
+        assert got == want
+
+
+def test_url_reputation_needs_no_window(spark):
+    """Many addresses, each its own suffix: no task gets a row for each of them."""
+    pages = spark.createDataFrame([(i, f"http://10.0.{i // 256}.{i % 256}/") for i in range(2000)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, i % 4 // 3) for i in range(2000)], "page_id long, bad int")
+    judged = url_reputation.judge_urls(pages, outcomes, [])
+    assert "Window" not in judged._jdf.queryExecution().toString() and judged.count() == 2000
+
+
 def test_url_names(spark):
     hosts = {"b.org:80": ("b.org", "b.org", "org"), "u:p@x.y.co.uk": ("x.y.co.uk", "y.co.uk", "co.uk"), "1.2.3.4:8080": ("1.2.3.4", "1.2.3.4", "1.2.3.4"), "[::1]:80": ("[::1]", "[::1]", "[::1]"), "a.com.": ("a.com", "a.com", "com"), "": ("", "", ""), "com": ("com", "com", "com"), "co.uk": ("co.uk", "co.uk", "co.uk"), "www.me.de": ("www.me.de", "www.me.de", "me.de")}
     name = url_reputation.host_name(F.col("h"))
