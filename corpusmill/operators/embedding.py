@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import all_tokens, content_hash
@@ -50,9 +50,49 @@ def embed_with_cache(texts: DataFrame, cache: DataFrame, model: str, now: Column
     keyed = texts.withColumn("content_hash", content_hash(F.col("content")))
     fresh = cache.where((F.col("model") == model) & (F.unix_timestamp("stored_at") + ttl_seconds >= F.unix_timestamp(now)) & F.col("embedding").isNotNull())
     known = fresh.groupBy("content_hash").agg(F.max_by("embedding", "stored_at").alias("embedding"))
-    missing = keyed.select("content_hash", "content").dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti")
-    made = embed(missing).select("content_hash", "embedding")
-    return keyed.join(known.unionByName(made), "content_hash"), made.select(F.lit(model).alias("model"), "content_hash", "embedding", now.alias("stored_at"))
+    met = keyed.join(known, "content_hash", "left")
+    missing = met.where("embedding is null").drop("embedding")
+    made = embed(missing.select("content_hash", "content").dropDuplicates(["content_hash"])).select("content_hash", "embedding")
+    return met.where("embedding is not null").unionByName(missing.join(made, "content_hash")), made.select(F.lit(model).alias("model"), "content_hash", "embedding", now.alias("stored_at"))
+
+
+class BucketedCache:
+    """V2's cache as a table of the session's catalog, in buckets of the content hash: a join or an aggregate by hash meets it without a shuffle of its side.
+
+    Rows are added as they come; `compact` writes the next generation of the table, one row of each model and hash, without expired ones, and drops the
+    one before. One writer at a time.
+    """
+
+    SCHEMA = "model string, content_hash string, embedding array<float>, stored_at timestamp"
+
+    def __init__(self, spark: SparkSession, name: str, buckets: int = 32) -> None:
+        self.spark, self.name, self.buckets = spark, name, buckets
+
+    def generations(self) -> list[int]:
+        tables = [t.name for t in self.spark.catalog.listTables(pattern=f"{self.name}_g*")]
+        return sorted(int(t.rsplit("_g", 1)[1]) for t in tables)
+
+    def read(self) -> DataFrame:
+        found = self.generations()
+        return self.spark.table(f"{self.name}_g{found[-1]}") if found else self.spark.createDataFrame([], self.SCHEMA)
+
+    def _write(self, rows: DataFrame, generation: int) -> None:
+        columns = self.spark.createDataFrame([], self.SCHEMA).columns
+        rows.select(*columns).repartition(self.buckets, "content_hash").write.mode("append").bucketBy(self.buckets, "content_hash").sortBy("content_hash").saveAsTable(f"{self.name}_g{generation}")
+
+    def add(self, rows: DataFrame) -> None:
+        """Rows of embed_with_cache."""
+        self._write(rows, max(self.generations(), default=1))
+
+    def compact(self, now: Column, ttl_seconds: int = 604_800) -> None:
+        old = self.generations()
+        if not old:
+            return
+        fresh = self.read().where(F.unix_timestamp("stored_at") + ttl_seconds >= F.unix_timestamp(now))
+        last = fresh.groupBy("content_hash", "model").agg(F.max_by(F.struct("embedding", "stored_at"), "stored_at").alias("v")).select("model", "content_hash", "v.embedding", "v.stored_at")
+        self._write(last, old[-1] + 1)
+        for g in old:
+            self.spark.sql(f"drop table {self.name}_g{g}")
 
 
 def check_vectors(chunks: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:

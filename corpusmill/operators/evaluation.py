@@ -25,6 +25,29 @@ def label_counters(samples: DataFrame, labels: list[str], empty: str = "unknown"
     return samples.groupBy(*named).agg(F.count("*").alias("n"))
 
 
+def merge_histograms(old: DataFrame, new: DataFrame, labels: list[str]) -> DataFrame:
+    """E1 of both: sums of two tables of duration_histogram."""
+    sums = [c for c in new.columns if c not in labels]
+    return old.select(*new.columns).unionByName(new).groupBy(*labels).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def percentile_sketches(rows: DataFrame, value: str, by: list[str], k: int = 800) -> DataFrame:
+    """E3 in bounded space: (by..., sketch), a KLL sketch of each group's values, nulls left out. With k of 800 ranks are off by less than 0.5 % of the values, with 99 % confidence."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+
+
+def merge_sketches(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches of both tables; the order of merges doesn't matter to the error."""
+    return old.select(*new.columns).unionByName(new).groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketched_percentiles(sketches: DataFrame, percents: tuple[float, ...], by: list[str]) -> DataFrame:
+    """E3 from sketches: (by..., percent, value, n)."""
+    found = F.arrays_zip(F.array(*[F.lit(float(p)) for p in percents]).alias("percent"), F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(p / 100) for p in percents])).alias("value"))
+    each = sketches.select(*by, F.kll_sketch_get_n_double("sketch").alias("n"), F.explode(found).alias("x"))
+    return each.select(*by, "x.percent", "x.value", "n")
+
+
 def nearest_rank(rows: DataFrame, value: str, percents: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., percent, value): sorted[ceil(p/100 n) - 1] of each group, nulls left out; a group without values has no row.
 

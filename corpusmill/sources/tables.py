@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -67,12 +68,19 @@ def join_few(left: DataFrame, right: DataFrame, keys: list[str], parts: int = 10
     return hot.unionByName(left.join(F.broadcast(heavy), keys, "left_anti").join(right, keys))
 
 
-def read_source_tree(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
-    """files(repo_id, file_path, content) under root, path relative to it, bytes that are no UTF-8 dropped."""
+def read_source_tree(spark: SparkSession, root: str, repo_id: str, only_source: bool = False) -> DataFrame:
+    """files(repo_id, file_path, content) under root, path relative to it, bytes that are no UTF-8 dropped.
+
+    only_source: S2 holds for the listing already. Spark prunes files by a filter on their hidden path, so skipped folders and suffixes are neither
+    opened nor given to a task; what is left is dealt over tasks by its sizes.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
+    base = re.sub(r"^[a-z]+:/*", "/", root.rstrip("/"))
     text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "�", "")
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + _quoted(base) + "/", "")
+    relative = lambda path: F.regexp_replace(F.regexp_replace(path, r"^[a-z]+:/*", "/"), "^" + _quoted(base) + "/", "")
+    if only_source:
+        raw = raw.where(is_source_file(relative(F.col("_metadata.file_path"))))
+    path = relative("path")
     return raw.select(F.lit(repo_id).alias("repo_id"), path.alias("file_path"), text.alias("content"))
 
 

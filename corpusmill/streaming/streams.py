@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -175,6 +175,23 @@ def dedupe_requests_stream(requests: DataFrame, jobs: DataFrame, late: str = "10
     return asked.groupBy("repo_id", "commit_sha").transformWithStateInPandas(_Requests(keep_seconds), schema, "append", "eventTime")
 
 
+def summary_stream(samples: DataFrame, store: SnapshotStore, name: str, summarise: Callable[[DataFrame], DataFrame], merged: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+    """E1, E3 on a stream: each micro-batch is summarised, and merged into the stored table `name`, of which only touched buckets are rewritten.
+
+    For histograms and sketches (merge_histograms, merge_sketches) the table is that of all samples so far. A batch that is run again counts once.
+    """
+
+    def handle(rows: DataFrame, number: int) -> None:
+        batch = Batch(rows.sparkSession, store, checkpoint, number)
+        if not batch.done:
+            new = durable(summarise(rows), "summary")
+            batch.merge(name, new, merged)
+            batch.commit()
+            discard(new)
+
+    return samples.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def client_rollup_stream(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """E12 on a stream: windows close with the watermark."""
     return client_event_rollup(events.withWatermark("ts", late), width)

@@ -119,6 +119,61 @@ def test_file_filter_and_tree(spark, tmp_path):
     assert (row.file_path, row.content) == ("src/a.py", "x = 1\n")
 
 
+def scanned(df):
+    """Runs df; (files that its scan opened, partitions that it read them in)."""
+    n = df.rdd.getNumPartitions()
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    leaves = plan.collectLeaves()
+    return leaves.apply(0).metrics().apply("numFiles").value(), n
+
+
+def test_tree_opens_source_files_alone(spark, tmp_path):
+    """3,000 files, a third of them source: no other is opened, and they are dealt over several tasks."""
+    for folder, suffix in (("src/deep", "py"), ("node_modules/x", "js"), ("docs", "bin")):
+        (tmp_path / "t" / folder).mkdir(parents=True)
+        for i in range(1000):
+            (tmp_path / "t" / folder / f"f {i}.{suffix}").write_text(f"x = {i}")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64k")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")
+    try:
+        tree = tables.read_source_tree(spark, f"file://{tmp_path}/t", "r", only_source=True)
+        assert tree.count() == 1000 and {r.file_path for r in tree.limit(3).collect()} <= {f"src/deep/f {i}.py" for i in range(1000)}
+        files, parts = scanned(tree)
+        assert files == 1000 and parts >= 8
+        assert scanned(tables.read_source_tree(spark, f"{tmp_path}/t", "r"))[0] == 3000
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_summaries_of_a_stream(spark, tmp_path):
+    """Histograms and sketches of a stream: those of all its samples; ranks of sketches within 1 % of exact ones."""
+    rows = spark.range(30_000).selectExpr("concat('s', id % 3) series", "pow(hash(id) % 1000 / 100.0D, 2) * (id % 3 + 1) v", "cast(id % 5 as int) part").withColumn("v", F.when(F.expr("part = 4 and series = 's1'"), None).otherwise(F.col("v")))
+    for i in range(3):
+        rows.where(F.pmod("part", F.lit(3)) == i).drop("part").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    histogram = evaluation.duration_histogram(rows, ["series"], "v")
+    kinds = {"sketches": snapshots.StoredTable("series string, sketch binary", "series"), "histogram": snapshots.StoredTable(", ".join(f"{c} {k}" for c, k in histogram.dtypes), "series")}
+    store = snapshots.SnapshotStore(str(tmp_path / "store"), kinds, 4)
+    source = lambda: spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs_of = {"sketches": (lambda r: evaluation.percentile_sketches(r, "v", ["series"]), lambda a, b: evaluation.merge_sketches(a, b, ["series"])), "histogram": (lambda r: evaluation.duration_histogram(r, ["series"], "v"), lambda a, b: evaluation.merge_histograms(a, b, ["series"]))}
+    for name, (summarise, merged) in jobs_of.items():
+        streams.summary_stream(source(), store, name, summarise, merged, str(tmp_path / name)).awaitTermination(120)
+    assert len(store.versions(spark)) == 6
+    percents = (1.0, 25.0, 50.0, 95.0, 99.0)
+    exact = sorted(map(spell, histogram.drop("total").collect()))
+    assert sorted(map(spell, store.read(spark, "histogram").drop("total").collect())) == exact
+    values = {s: np.sort([r.v for r in rows.where(f"series = '{s}' and v is not null").collect()]) for s in ("s0", "s1", "s2")}
+    found = evaluation.sketched_percentiles(store.read(spark, "sketches"), percents, ["series"]).collect()
+    assert len(found) == 15
+    for r in found:
+        own = values[r.series]
+        low, high = np.searchsorted(own, r.value, "left") / len(own), np.searchsorted(own, r.value, "right") / len(own)
+        assert r.n == len(own) and low - 0.01 <= r.percent / 100 <= high + 0.01
+    near = {(r.series, r.percent): r.value for r in evaluation.nearest_rank(rows, "v", percents, ("series",)).collect()}
+    assert all(abs(np.searchsorted(values[s], near[s, p]) / len(values[s]) - p / 100) < 0.01 for s, p in near)
+
+
 def test_sinks(spark, tmp_path):
     one = spark.createDataFrame([("a", 1), ("b", 2)], "repo_id string, n int")
     tables.replace_chunks(one, str(tmp_path / "c"))
@@ -400,6 +455,44 @@ def test_embedding(spark):
     assert abs(sum(x * x for x in unit) - 1) < 1e-6
 
 
+def test_bucketed_cache(spark):
+    """The cache's side of the join isn't shuffled; expired rows and older ones of a hash are gone after compaction."""
+    cache = embedding.BucketedCache(spark, "vectors_test", 4)
+    texts = spark.range(400).selectExpr("cast(id as string) chunk_id", "concat('text ', id % 200) content")
+    now = lambda day: F.lit(f"2024-01-{day:02}").cast("timestamp")
+    assert cache.read().count() == 0
+    try:
+        for day in (1, 2):
+            found, new = embedding.embed_with_cache(texts.where(f"cast(substring(content, 6) as int) < {100 * day}"), cache.read(), "m", now(day), lambda t: embedding.embed_hashed(t, 8))
+            assert found.count() == 200 * day
+            cache.add(new)
+        assert cache.read().count() == 200
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found, new = embedding.embed_with_cache(texts, cache.read(), "m", now(3), lambda t: embedding.embed_hashed(t, 8))
+        assert found.count() == 400 and new.count() == 0
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        met = found._jdf.queryExecution().executedPlan().toString()
+        above, inside = [], 0
+        for line in met.splitlines():
+            depth = len(line) - len(line.lstrip(" :+-"))
+            above = [(d, t) for d, t in above if d < depth] + [(depth, line)]
+            if "vectors_test_g1" in line:
+                inside += 1
+                joined = next(i for i in range(len(above) - 1, -1, -1) if "Join" in above[i][1])
+                assert not any("Exchange" in t for _, t in above[joined:])
+        assert inside >= 1
+        cache.add(new.union(spark.createDataFrame([("m", "h", [2.0], datetime(2024, 1, 1)), ("m", "h", [3.0], datetime(2024, 1, 3)), ("n", "h", [4.0], datetime(2024, 1, 3))], embedding.BucketedCache.SCHEMA)))
+        cache.compact(now(9), 7 * 86_400)
+        left = cache.read()
+        assert cache.generations() == [2] and left.count() == 102 and left.where("stored_at < timestamp'2024-01-02'").count() == 0
+        assert {(r.model, r.embedding[0]) for r in left.where("content_hash = 'h'").collect()} == {("m", 3.0), ("n", 4.0)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        for g in cache.generations():
+            spark.sql(f"drop table vectors_test_g{g}")
+
+
 def run_stream(spark, frame, schema, make, tmp_path, name):
     """The rows of a stream over frame, dealt in three files."""
     for i in range(3):
