@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.functions.text import ascii_words, is_test_path, normalize_language, stripped
+from corpusmill.functions.text import is_test_path, normalize_language, stripped
 from corpusmill.sources.tables import durable
 
-TODO = ascii_words(r"(?i)\b(TODO|FIXME)\b")
+TODO = r"(?i)(?<![A-Za-z0-9_])(?:TODO|FIXME)(?![A-Za-z0-9_])"
 
 
 def language_breakdown(chunks: DataFrame) -> DataFrame:
