@@ -33,6 +33,8 @@ LENGTH = 200
 ANCHOR = 64
 #: Bytes of contexts in a shard, on average, and contexts of one anchor that a shard takes at most.
 SHARD_BYTES, HOT = 1 << 20, 2048
+#: Bytes that are hashed at once.
+BLOCK = 1 << 22
 #: Multipliers that join two halves of a string, from the golden ratio, and low bits that hold a position.
 _JOIN = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) | 1) & (1 << 64) - 1) for k in range(ANCHOR.bit_length())]
 _AT = np.uint64((1 << 27) - 1)
@@ -42,11 +44,24 @@ def _bytes_table() -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(bytes([b])) for b in range(256)), np.uint64, 256)
 
 
-def contexts(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, start, end, place of the anchor) of every context of the texts buffer[starts:ends], in order.
+def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, start, end, place of the anchor) of every context of the texts data[starts:ends], in order; starts and ends are those of texts with `length` bytes or more.
 
-    At most 2^27 bytes; starts and ends are those of texts with `length` bytes or more.
+    A text beyond BLOCK bytes is read in pieces that share the bytes of the windows across their border, so memory is bounded; a context may end at a border.
     """
+    if len(data) <= BLOCK:
+        return _contexts(data, starts, ends, table, length)
+    found = []
+    for start, end in zip(starts.tolist(), ends.tolist()):
+        for a in range(start, end - length + 1, BLOCK):
+            piece = data[a : min(a + BLOCK + length - 1, end)]
+            key, *places = _contexts(piece, np.array([0]), np.array([len(piece)]), table, length)
+            found.append((key, *[p + a for p in places]))
+    return tuple(map(np.concatenate, zip(*found))) if found else _contexts(data[:0], starts[:0], ends[:0], table, length)
+
+
+def _contexts(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """contexts, of at most 2^27 bytes."""
     if not len(starts):
         return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
     h, size = table[buffer], 1

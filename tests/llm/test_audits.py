@@ -183,6 +183,19 @@ def test_repeats_by_brute_force(request, table):
     assert repeat_index.remove_repeats(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [200, 333, 1000])
+def test_contexts_of_long_texts_in_pieces(monkeypatch, block):
+    """Windows of a text that is read in pieces have the anchors that they have in one piece, each in one context."""
+    rng = np.random.default_rng(block)
+    data = rng.integers(97, 100, 4000, np.uint8)
+    starts, ends = np.array([0, 2300]), np.array([2100, 4000])
+    named = lambda: {i: (k, p) for k, a, z, p in zip(*repeat_index.contexts(data, starts, ends, repeat_index._bytes_table())) for i in range(a, z - 199)}
+    whole = named()
+    monkeypatch.setattr(repeat_index, "BLOCK", block)
+    assert named() == whole and len(whole) == 1901 + 1501
+    assert all(len(x) == 0 for x in repeat_index.contexts(data, starts[:0], ends[:0], repeat_index._bytes_table()))
+
+
 def test_repeats_in_small_shards_and_hot_anchors(spark):
     """Pieces of one base at all offsets, a passage between many different texts, runs of one character; indexed in tiny shards, and counted as windows."""
     rng = np.random.default_rng(3)
