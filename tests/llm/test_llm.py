@@ -291,6 +291,13 @@ def test_chat_reads_long_and_odd_conversations(spark):
         assert sorted((t.role, t.text) for t in r.turns_read) == sorted((x[2] or "", x[3] or "") for x in rows if x[0] == i)
 
 
+def test_chat_without_an_id(spark):
+    """Rows without a conv_id are one conversation, beside all others."""
+    turns = [(None, 0, "user", "hi"), (None, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "yes")]
+    got = {r.conv_id: r for r in chat_format.conversation_digests(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {None, 1} and got[None].n_turns == got[1].n_turns == 2 and got[None].loss_sha256 == got[1].loss_sha256 == hashlib.sha256(b"yes").hexdigest()
+
+
 def test_chat_layouts(spark):
     rows = [('{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]}',), ('{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}',), ('{"completion":"b","prompt":"a"}',), ('{"instruction":"a","output":"b"}',), ('{"other":1}',), ("no json",), (None,)]
     got = chat_format.canonical_turns(spark.createDataFrame(rows, "record string")).select("layout", "turns").collect()
