@@ -33,11 +33,11 @@ def long_chunks(chunks: DataFrame, lines: int = 50, most: int = 50) -> DataFrame
 
 
 def missing_tests(chunks: DataFrame, most: int = 20) -> DataFrame:
-    """A4: of a repository without any test path, the first paths."""
-    paths = chunks.select("repo_id", "file_path").distinct()
-    any_test = F.max(is_test_path(F.col("file_path"))).over(Window.partitionBy("repo_id"))
+    """A4: of a repository without any test path, the first paths. Each task keeps its own first ones before the shuffle, so a large repository is no task's."""
+    tested = chunks.where(is_test_path(F.col("file_path"))).select("repo_id").distinct()
+    paths = chunks.select("repo_id", "file_path").distinct().join(tested, "repo_id", "left_anti")
     nth = F.row_number().over(Window.partitionBy("repo_id").orderBy("file_path"))
-    return paths.select("repo_id", "file_path", any_test.alias("tested"), nth.alias("nth")).where(~F.col("tested") & (F.col("nth") <= most)).select("repo_id", "file_path", "nth")
+    return paths.withColumn("nth", nth).where(F.col("nth") <= most).select("repo_id", "file_path", "nth")
 
 
 def file_metrics(chunks: DataFrame) -> DataFrame:
