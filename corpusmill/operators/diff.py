@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +16,11 @@ SECURITY_PATTERNS = {
     "auth": r"\bauth(?:enticat|oriz)?", "token": r"\btokens?\b", "jwt": r"\bjwt\b", "oauth": r"\boauth\b", "password": r"\bpass(?:word|wd)\b", "secret": r"\bsecret\b", "credential": r"\bcredential",
     "api_key": r"\bapi[_-]?key\b", "env": r"\.env\b|\bENV\[|os\.environ", "crypto": r"\b(?:encrypt|decrypt|hash|hmac|bcrypt|sha256)\b",
 }
+#: What a lower text must hold, one of each, before a pattern is tried.
+SECURITY_STEMS = {
+    "auth": ("auth",), "token": ("token",), "jwt": ("jwt",), "oauth": ("oauth",), "password": ("pass",), "secret": ("secret",), "credential": ("credential",),
+    "api_key": ("key",), "env": ("env",), "crypto": ("crypt", "hash", "hmac", "sha256"),
+}
 HEADER = r"^diff --git a/(.+?) b/(.+)$"
 _START = r"(?dm)(?=^diff --git a/.+? b/.+$)"
 _HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
@@ -44,8 +51,10 @@ def security_touches(files: DataFrame) -> DataFrame:
     The text is bound once, and the labels come out of a generator, below which no filter is pushed: each pattern occurs once in the plan.
     """
     text = F.concat_ws("\n", F.array(F.col("path")), F.col("added_lines"))
-    found = lambda t: F.array_sort(F.array_compact(F.array(*[F.when(t.rlike("(?i)" + ascii_words(p)), F.lit(name)) for name, p in SECURITY_PATTERNS.items()])))
-    labels = F.filter(F.transform(F.array(text), found), lambda c: F.size(c) > 0)
+    holds = lambda low, name: reduce(lambda a, b: a | b, [low.contains(stem) for stem in SECURITY_STEMS[name]])
+    found = lambda x: F.array_sort(F.array_compact(F.array(*[F.when(holds(x["low"], name) & x["t"].rlike("(?i)" + ascii_words(p)), F.lit(name)) for name, p in SECURITY_PATTERNS.items()])))
+    lowered = F.transform(F.array(text), lambda t: F.struct(t.alias("t"), F.lower(t).alias("low")))
+    labels = F.filter(F.transform(lowered, found), lambda c: F.size(c) > 0)
     return files.select("repo_id", "head_sha", "path", F.explode(labels).alias("categories"))
 
 
