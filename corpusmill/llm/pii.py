@@ -2,15 +2,17 @@ r"""Personal data by candidate gradient boosting.
 
 High-recall generators propose overlapping spans: the four fixed formats (email, ip, card, phone), loose runs of digits,
 and spelled-out addresses. Each span gets features of its format (digits, separators, groups) and of its context (words
-before it, characters around it). Boosted trees, fitted to a bounded sample of candidates, score what the fixed formats
-don't take; the threshold is calibrated on held-out candidates so that the wanted share of what it selects is right.
+before it, characters around it). Boosted trees score what the fixed formats don't take; the threshold is calibrated on
+held-out candidates so that the wanted share of what it selects is right. All labelled candidates count: by hash three of
+four are learned from and the fourth is held out. Those with equal features, label and kind make one row, weighted by
+their number, so what the trees read grows with the variety of candidates and not with the corpus.
 
-Labels of the sample are those of spans that could be added, never of whether a fixed format covers them. Right are valid
+Labels are those of spans that could be added, never of whether a fixed format covers them. Right are valid
 phones and emails in a spelling that no fixed format takes (without +, as a national number, with "(at)" for @), one for each
 valid span. Wrong are uncovered numbers that fail a fixed format, are a date or a decimal, stand inside a word, follow a word such as "id" or "page" or
 have too few digits for a phone, and addresses that don't end in letters. All else has no label: it is scored, but neither
 learned from nor tested on. The fixed formats' own checks (Luhn, parts up to 255) are no features. Each kind has its own
-threshold of 0.5 or more; where none reaches the precision on 20 held-out candidates at least, nothing of the kind is added.
+threshold, the lowest from 0.5 on that reaches the precision; where none reaches the precision on 20 held-out candidates at least, nothing of the kind is added.
 
 Patterns are written for Java with possessive quantifiers and a start at the end of the last match or of a run, which gives
 the same leftmost matches as the plain patterns in linear time and without recursion.
@@ -21,6 +23,8 @@ columns are ignored. Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -161,24 +165,41 @@ def labelled(candidates: DataFrame) -> DataFrame:
     return right.unionByName(loose.where(wrong).select(*keys, *FEATURES, F.lit(0.0).alias("label")))
 
 
-def fit(candidates: DataFrame, max_candidates: int = 20_000, trees: int = 20, depth: int = 4, precision: float = 0.95):
-    """(model, thresholds by kind) from at most max_candidates labelled candidates, the first by hash, or None if there are too few or none passes."""
-    sample = scratch(labelled(candidates).orderBy(F.xxhash64("key", "start", "span"), "key", "start", "kind", "span").limit(max_candidates).select("kind", *FEATURES, "label", (F.pmod(F.xxhash64("key", "start"), F.lit(4)) == 0).alias("held_out")), "candidates")
-    kinds = {r.label: r["count"] for r in sample.where("not held_out").groupBy("label").count().collect()}
-    if min(kinds.get(0.0, 0), kinds.get(1.0, 0)) < 20:
+def weighted(labels: DataFrame) -> DataFrame:
+    """Labelled candidates by kind, features, label and held_out, with their number n: no candidate is left out."""
+    alike = ["kind", *FEATURES, "label", "held_out"]
+    return labels.withColumn("held_out", F.pmod(F.xxhash64("key", "start"), F.lit(4)) == 0).groupBy(*alike).agg(F.count("*").alias("n")).sortWithinPartitions(*alike)
+
+
+def _bins(rows: int) -> int:
+    """maxBins with which MLlib takes its split points from all rows: beyond 10,000 rows it draws maxBins squared of them."""
+    return 32 if rows <= 10_000 else isqrt(rows) + 1
+
+
+def fit(candidates: DataFrame, max_candidates: int | None = None, trees: int = 20, depth: int = 4, precision: float = 0.95):
+    """(model, thresholds by kind) from all labelled candidates, or None if there are too few or none passes. A caller may bound them by max_candidates, the first by hash."""
+    labels = labelled(candidates)
+    if max_candidates is not None:
+        labels = labels.orderBy(F.xxhash64("key", "start", "span"), "key", "start", "kind", "span").limit(max_candidates)
+    known = scratch(weighted(labels), "candidates")
+    learned = known.where("not held_out")
+    totals = {r.label: r for r in learned.groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
+    if len(totals) < 2 or min(r.n for r in totals.values()) < 20:
         return None
-    stages = [VectorAssembler(inputCols=list(FEATURES), outputCol="features"), GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, maxBins=32)]
-    model = Pipeline(stages=stages).fit(sample.where("not held_out").coalesce(4))
-    checked = _probability(model, sample.where("held_out"))
-    steps = checked.where("p >= 0.5").groupBy("kind", F.floor(F.col("p") * 50).alias("step")).agg(F.sum("label").alias("right"), F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    rows = sum(r.rows for r in totals.values())
+    stages = [VectorAssembler(inputCols=list(FEATURES), outputCol="features"), GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, maxBins=_bins(rows), weightCol="n")]
+    model = Pipeline(stages=stages).fit(learned.coalesce(max(4, rows // 50_000)))
+    checked = _probability(model, known.where("held_out"))
+    steps = checked.where("p >= 0.5").groupBy("kind", F.floor(F.col("p") * 50).alias("step")).agg(F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("n")).collect()
     best = {}
     for kind, *_ in LOOSE:
+        found = {s.step: s for s in steps if s.kind == kind}
         right, n = 0.0, 0
-        for s in steps:
-            if s.kind == kind:
-                right, n = right + s.right, n + s.n
-                if n >= 20 and right >= precision * n:
-                    best[kind] = s.step / 50
+        for step in range(50, 24, -1):  # steps without candidates too: the threshold doesn't hang on where the lowest right one lies
+            if step in found:
+                right, n = right + found[step].right, n + found[step].n
+            if n >= 20 and right >= precision * n:
+                best[kind] = step / 50
     return (model, best) if best else None
 
 

@@ -219,6 +219,22 @@ def test_pii_learns_the_same_from_any_partitions(spark):
     assert sample(table.coalesce(1)) == sample(table.repartition(7))
 
 
+def test_pii_learns_from_every_labelled_candidate(spark):
+    """Of 100,160 candidates 160 are addresses: a sample of 20,000 would hold out too few of them for a threshold."""
+    spelled = [f"write bob{'x' * i}{at}host{dot}example today" for i in range(20) for at, dot in ((" (at) ", " (dot) "), ("[at]", "."))]
+    texts = ["page 1234567 of " * 1000] * 100 + [f"write ann{i}@mail{i % 7}.example.org today" for i in range(160)] + spelled
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r.n_added == (r.doc_id >= 260) for r in pii.find_personal_data(table).collect())
+    known = pii.weighted(pii.labelled(pii._base_cover(pii.propose(table))))
+    assert {(r.kind, r.label): r.n for r in known.groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()} == {("number", 0.0): 100_000, ("address", 1.0): 160}
+    assert known.count() < 100
+
+
+def test_pii_splits_come_from_all_rows():
+    """MLlib draws the larger of 10,000 and maxBins squared rows for its split points: no fewer than there are."""
+    assert all(max(10_000, pii._bins(n) ** 2) >= n and pii._bins(n) >= 32 for n in (0, 1, 10_000, 10_001, 10_201, 10**6, 10**9))
+
+
 def secret_brute(text):
     spans = []
     for order, (kind, pattern, least) in enumerate((("assign", r"((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6), ("access", r"AKIA[A-Z0-9]+", 20), ("hex", r"[0-9a-f]+", 24))):
