@@ -37,13 +37,13 @@ def _pieces(spans: Column, size: int, step: int) -> Column:
     return F.transform(F.flatten(F.transform(spans, windows)), lambda w: F.struct(w["a"].alias("start_line"), w["z"].alias("end_line"), text(w).alias("content")))
 
 
-def _chunks(files: DataFrame, pieces: Column) -> DataFrame:
-    cut = files.select("repo_id", "file_path", "language", F.explode(pieces).alias("c")).select("repo_id", "file_path", "c.*", "language")
+def _chunks(files: DataFrame, pieces: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    cut = files.select("repo_id", "file_path", "language", *keep, F.explode(pieces).alias("c")).select("repo_id", "file_path", "c.*", "language", *keep)
     return cut.withColumn("chunk_id", chunk_id(F.col("repo_id"), F.col("file_path"), F.col("start_line"), F.col("end_line")))
 
 
-def _lined(files: DataFrame) -> DataFrame:
-    return files.select("repo_id", "file_path", language_tag(F.col("file_path")).alias("language"), split_lines(F.col("content")).alias("lines"))
+def _lined(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return files.select("repo_id", "file_path", language_tag(F.col("file_path")).alias("language"), split_lines(F.col("content")).alias("lines"), *keep)
 
 
 def _whole() -> Column:
@@ -51,11 +51,11 @@ def _whole() -> Column:
     return F.when(F.size("lines") > 0, one).otherwise(F.slice(one, 1, 0))
 
 
-def line_window_chunks(files: DataFrame, size: int = 120, overlap: int = 20) -> DataFrame:
-    """Windows of `size` lines, each sharing `overlap` with the last; blank windows stay."""
+def line_window_chunks(files: DataFrame, size: int = 120, overlap: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Windows of `size` lines, each sharing `overlap` with the last; blank windows stay. Chunks have their file's columns named in `keep`."""
     if size <= overlap:
         raise ValueError("INVALID_CHUNK_CONFIG")
-    return _chunks(_lined(files), _pieces(_whole(), size, size - overlap))
+    return _chunks(_lined(files, keep), _pieces(_whole(), size, size - overlap), keep)
 
 
 def window_spans(spans: DataFrame, size: int, overlap: int) -> DataFrame:

@@ -13,11 +13,14 @@ JS_IMPORT = r"""(?:import|export)\s+(?:[^'"]+?\s+from\s+)?['"]([^'"]+)['"]"""
 JS_REQUIRE = r"""require\(\s*['"]([^'"]+)['"]\s*\)"""
 
 
-def merge_file_text(chunks: DataFrame) -> DataFrame:
-    """G1: chunks of a file joined in order; one file's chunks come together."""
+def merge_file_text(chunks: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """G1: chunks of a file joined in order; one file's chunks come together.
+
+    Where several texts have one path, chunks that start at the same line go by the columns `order`, say the row of their text, and by content last.
+    """
     path = F.regexp_replace("file_path", r"\\", "/")
     kept = chunks.where((F.coalesce("file_path", F.lit("")) != "") & (F.coalesce("content", F.lit("")) != ""))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "content"))), lambda x: x["content"]), "\n")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", *order, "content"))), lambda x: x["content"]), "\n")
     return kept.groupBy("repo_id", path.alias("file_path")).agg(text.alias("content"))
 
 

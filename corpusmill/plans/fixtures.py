@@ -28,8 +28,8 @@ LINES = FILES + rf""", raw AS (SELECT *, regexp_split_to_array(content, '{_BREAK
 lined AS (SELECT repo_id, file_path, doc_id, CASE WHEN r[-1] = '' THEN r[:len(r) - 1] ELSE r END AS lines FROM raw)"""
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return line_window_chunks(files(spark, d), SIZE, OVERLAP)
+def chunks(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    return line_window_chunks(files(spark, d), SIZE, OVERLAP, keep)
 
 
 CHUNKS = LINES + """, cut AS (SELECT *, len(lines) AS n, unnest(range(CASE WHEN len(lines) <= 8 THEN 1 ELSE 1 + ceil((len(lines) - 8) / 6.0)::INT END)) AS i FROM lined WHERE len(lines) > 0),

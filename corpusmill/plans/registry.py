@@ -297,7 +297,8 @@ def a10(spark, d):
 
 @query("g1_merge_file_text", f"WITH {X.CHUNKS} SELECT repo_id, file_path, sha256(string_agg(content, chr(10) ORDER BY start_line)) AS h FROM chunks WHERE content <> '' GROUP BY ALL")
 def g1(spark, d):
-    return G.merge_file_text(X.chunks(spark, d)).select("repo_id", "file_path", F.sha2("content", 256).alias("h"))
+    """Documents that share a path are joined in the order of their ids, as the rows lie in the table."""
+    return G.merge_file_text(X.chunks(spark, d, "doc_id"), ("doc_id",)).select("repo_id", "file_path", F.sha2("content", 256).alias("h"))
 
 
 @query("g2_extract_imports", f"""WITH {X.CODE}, r AS (SELECT repo_id, file_path, CASE WHEN py THEN 'src.f' || g ELSE CASE WHEN first THEN './f' || g ELSE '../src/f' || g END END AS ref, py FROM (SELECT repo_id, file_path, py, f // 2 AS g, true AS first FROM code UNION ALL SELECT repo_id, file_path, py, ('0x' || md5(text)[1:6])::BIGINT % (f + 1), false FROM code)

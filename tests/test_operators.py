@@ -1,5 +1,6 @@
 """The survey's operators: literal cases, every DuckDB twin on the smallest tables, and streams against their batch twins."""
 
+import hashlib
 import math
 import os
 import subprocess
@@ -57,6 +58,18 @@ def test_imports_of_scripts(spark):
     assert {r.kind for r in graph.extract_imports(files).collect()} == {"javascript"}
 
 
+def test_files_of_one_path_are_joined_by_row(spark, tmp_path):
+    """Documents 0, 97 and 194 of a source are all its README.md; none of their chunks is in the order of its content."""
+    rows = [(0, "s", "z"), (97, "s", "\n".join(["y"] * 9)), (194, "s", "x\n" * 9), (1, "s", "w")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    first = ["z", "\n".join(["y"] * 8), "\n".join(["x"] * 8), "\n".join(["y"] * 3), "\n".join(["x"] * 3)]
+    with duckdb.connect() as con:
+        con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        want = sorted(con.execute(ORACLE_SQL["g1_merge_file_text"]).fetchall())
+    got = sorted(tuple(r) for r in QUERIES["g1_merge_file_text"](spark, str(tmp_path)).collect())
+    assert got == want and ("s", "README.md", hashlib.sha256("\n".join(first).encode()).hexdigest()) in got
+
+
 def test_blast_radius_is_logarithmic_in_depth(spark, monkeypatch):
     n = 5000
     chain = spark.range(n).select(F.lit("r").alias("repo_id"), F.concat(F.lit("f"), F.col("id") + 1).alias("source"), F.concat(F.lit("f"), "id").alias("target"))
