@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import ROUND_HALF_EVEN, Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from corpusmill.functions.text import all_tokens, path_weight, tokens
+from corpusmill.sources.tables import durable
 
 #: Words that lexical search leaves out: fixed values.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
@@ -17,6 +23,9 @@ STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "i
 #: Terms that are broadcast at most, to build the part of an index that they need.
 MAX_BROADCAST_TERMS = 200_000
 
+#: Exact dense search: numbers in a block of vectors, pairs that are scored at once, and pairs of a task, more or less.
+CELLS, SLICE, TASK_PAIRS = 1 << 20, 1 << 20, 1 << 27
+
 
 def _indexed_text() -> Column:
     return F.concat(F.coalesce("file_path", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
@@ -107,16 +116,125 @@ def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def _numbers(lists: pa.Array, length: int) -> np.ndarray:
+    """(rows, length) of lists that all have that length and no null."""
+    return lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(lists), length)
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    """Length of each list; -1 without one or with a null in it, which has no cosine with anything."""
+    found = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    if lists.flatten().null_count:
+        broken = pc.list_parent_indices(lists).to_numpy()[pc.is_null(lists.flatten()).to_numpy(zero_copy_only=False)]
+        found[broken] = -1
+    return found
+
+
+def _products(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Dot products of rows i of x and j of y, summed in the order of the dimensions as `dot` does, so both agree to the last bit."""
+    total = np.zeros(len(i))
+    for p, q in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)):
+        total += p[i] * q[j]
+    return total
+
+
+def _rounded(score: np.ndarray) -> np.ndarray:
+    """Ten-thousandths as bround(score, 4) has them: by the shortest decimal form where that decides."""
+    scaled = score * 1e4
+    whole = np.rint(scaled)
+    near = np.flatnonzero(np.abs(np.abs(scaled - np.trunc(scaled)) - 0.5) < 1e-6)
+    values, back = np.unique(score[near], return_inverse=True)
+    whole[near] = np.array([float(Decimal(repr(float(v))).scaleb(4).to_integral_value(ROUND_HALF_EVEN)) for v in values])[back]
+    return whole
+
+
+def _floor(scores: np.ndarray, limit: int) -> np.ndarray:
+    """For each row, a number that at least `limit` of its scores reach: of the best of so many strided groups, the limit-th."""
+    groups = 16 * limit
+    deep = scores.shape[1] // groups
+    best = scores[:, : deep * groups].reshape(len(scores), deep, groups).max(axis=1) if deep > 1 else scores
+    return np.partition(best, -limit, axis=1)[:, -limit] if best.shape[1] > limit else np.full(len(scores), -np.inf)
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, cosine): for each row of x the first `limit` of y by rounded cosine, NaN first, then by place.
+
+    One matrix product tells which pairs can be among them; their cosines are then taken as `dot` takes them. Vectors whose products could leave a
+    double's range, or of no length, are always taken that way.
+    """
+    norms = [np.sqrt(_products(m, m, np.arange(len(m)), np.arange(len(m)))) for m in (x, y)]
+    tame = [(n > 1e-100) & (n < 1e100) for n in norms]
+    unit = [np.where(t[:, None], m, 0.0) / np.where(t, n, 1.0)[:, None] for m, n, t in zip((x, y), norms, tame)]
+    calm, wild = np.flatnonzero(tame[1]), np.flatnonzero(~tame[1])
+    there = np.ascontiguousarray(unit[1][calm].T)
+    found = []
+    slices = max(1, SLICE // max(1, len(y)))
+    for a in range(0, len(x), slices):
+        scores = unit[0][a : a + slices] @ there
+        least = np.where(tame[0][a : a + slices], _floor(scores, limit) - 1.01e-4, -np.inf)  # as far apart may two scores be that round alike
+        i, j = np.nonzero(scores >= least[:, None])
+        i = np.concatenate([i, np.repeat(np.arange(len(scores)), len(wild))]) + a
+        j = np.concatenate([calm[j], np.tile(wild, len(scores))])
+        cosine = _products(x, y, i, j) / (norms[0][i] * norms[1][j])
+        no = np.isnan(cosine)
+        order = np.lexsort((j, -_rounded(np.where(no, 0.0, cosine)), ~no, i))
+        i, j, cosine = i[order], j[order], cosine[order]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < limit
+        found.append((i[kept], j[kept], cosine[kept]))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def _nearest_of_block(limit: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a block of questions and one of vectors: (query_id, repo_id, chunk_id, cosine) that can be among a question's first `limit`."""
+
+    def nearest(asked: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by("chunk_id")
+        x, y = (t["embedding"].combine_chunks() for t in (asked, known))
+        lengths, others = _lengths(x), _lengths(y)
+        rows = []
+        for n in np.unique(lengths) if known.num_rows else []:
+            here, there = np.flatnonzero(lengths == n), np.flatnonzero((others == n) & (n >= 0))
+            if len(there):
+                with np.errstate(all="ignore"):
+                    i, j, cosine = _nearest(_numbers(x.take(pa.array(here)), n), _numbers(y.take(pa.array(there)), n), limit)
+                rows.append((here[i], there[j], cosine, np.zeros(len(i), bool)))
+            rest = np.flatnonzero((others != n) | (n < 0))[: max(0, limit - len(there))]  # no cosine: after all others
+            rows.append((np.repeat(here, len(rest)), np.tile(rest, len(here)), np.zeros(len(here) * len(rest)), np.ones(len(here) * len(rest), bool)))
+        i, j, cosine, none = (np.concatenate(part) for part in zip(*rows)) if rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, bool))
+        return pa.table({"query_id": asked["query_id"].take(pa.array(i)), "repo_id": asked["repo_id"].take(pa.array(i)), "chunk_id": known["chunk_id"].take(pa.array(j)), "cosine": pa.array(cosine, mask=none)})
+
+    return nearest
+
+
 def dense_search(vectors: DataFrame, questions: DataFrame, limit: int = 20) -> DataFrame:
-    """The most similar vectors of the question's repository. Questions meet vectors by repo_id; each task keeps its own best before the shuffle.
+    """The most similar vectors of the question's repository, exactly: all pairs are scored.
 
-    Norms are taken once for a vector, not for a pair.
+    A repository's questions and vectors are dealt into blocks of some CELLS numbers; each block of vectors meets each block of questions in a group of its
+    own, where one matrix product finds the pairs that can be among the first. The groups' first ones are ranked together. What a task holds doesn't
+    grow with the input or with a repository. Rows of a length other than the question's or with nulls have no score and come last.
     """
-    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    asked = questions.where("embedding is not null").select("query_id", "repo_id", F.col("embedding").alias("asked"), norm.alias("asked_norm"))
-    known = vectors.where("chunk_id is not null").select("repo_id", "chunk_id", "embedding", norm.alias("norm"))
-    cosine = dot(F.col("asked"), F.col("embedding")) / (F.col("asked_norm") * F.col("norm"))
-    scored = known.join(asked, "repo_id").select("query_id", "repo_id", "chunk_id", F.bround(cosine, 4).alias("score"))
+    numbers = lambda c: F.col(c) if dict(questions.dtypes)[c] == dict(vectors.dtypes)[c] == "array<float>" else F.col(c).cast("array<double>")
+    asked = questions.where("embedding is not null and repo_id is not null").select("query_id", "repo_id", numbers("embedding").alias("embedding"))
+    known = vectors.where("chunk_id is not null and repo_id is not null").select("repo_id", "chunk_id", numbers("embedding").alias("embedding"))
+    cells = F.sum(F.greatest(F.coalesce(F.size("embedding"), F.lit(0)), F.lit(16)).cast("long"))
+    count = lambda rows, name: rows.groupBy("repo_id").agg(F.count("*").alias(name), F.ceil(cells / CELLS).cast("int").alias(f"{name}_parts"))
+    sizes = durable(count(known, "known").join(count(asked, "asked"), "repo_id"), "sizes")
+    units, work = sizes.agg(F.sum(F.col("known_parts").cast("double") * F.col("asked_parts")), F.sum(F.col("known").cast("double") * F.col("asked"))).first()
+    large = F.broadcast(sizes.where("known_parts > 1 or asked_parts > 1").select("repo_id", "known_parts", "asked_parts"))
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        """Each row with the number of its own block, once for each block of the other side."""
+        parts = lambda c: F.coalesce(f"{c}_parts", F.lit(1))
+        numbered = rows.join(large, "repo_id", "left").withColumn("own", F.pmod(F.xxhash64(key), parts(own)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts(other) - 1)))
+        return numbered.select(*[F.col(c).alias(c) for c in rows.columns], F.col("own").alias(own), F.col("other").alias(other))  # both sides may be one table: new columns
+
+    keys = ["repo_id", "known", "asked"]
+    usual = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(max(1, min(units or 0, max(usual, min((work or 0) / TASK_PAIRS, 100_000)))))
+    pairs = [dealt(*side).repartition(n, *keys).groupBy(*keys) for side in ((asked, "query_id", "asked", "known"), (known, "chunk_id", "known", "asked"))]
+    kinds = [asked.schema["query_id"], asked.schema["repo_id"], known.schema["chunk_id"]]
+    best = pairs[0].cogroup(pairs[1]).applyInArrow(_nearest_of_block(limit), StructType([StructField(k.name, k.dataType) for k in kinds] + [StructField("cosine", DoubleType())]))
+    scored = best.select("query_id", "repo_id", "chunk_id", F.bround("cosine", 4).alias("score"))
     nth = F.row_number().over(Window.partitionBy("query_id", "repo_id").orderBy(F.desc("score"), "chunk_id"))
     return scored.withColumn("rank", nth).where(F.col("rank") <= limit)
 

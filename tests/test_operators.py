@@ -7,6 +7,7 @@ import subprocess
 import sys
 import time
 from datetime import datetime, timedelta
+from decimal import ROUND_HALF_EVEN, Decimal
 
 import duckdb
 import numpy as np
@@ -316,6 +317,53 @@ def test_approximate_search_of_near_vectors(spark):
     assert approximate.fit_probes(vectors.limit(0), asked.limit(0), 32) == 1 and approximate.approximate_search(odd, index, asked.limit(0), 32, 2).count() == 0
 
 
+def test_dense_search_in_blocks(spark, monkeypatch):
+    """Blocks of a few rows, equal vectors, and rows without a cosine: as all pairs scored one by one. Zero vectors have NaN, as in SQL."""
+    rng, nan = np.random.default_rng(2), float("nan")
+    rows = [("r", f"c{i}", [float(v) for v in np.round(rng.standard_normal(4), 1)]) for i in range(150)] + [("r", f"same{i}", [1.0, 2.0, 0.5, -1.0]) for i in range(150)] + [("s", f"d{i}", [-1.0, 0.0, 0.0, 0.0]) for i in range(3)]
+    rows += [("r", "zero", [0.0] * 4), ("s", "empty", []), ("s", "short", [1.0]), ("s", "long", [1.0] * 5), ("s", "hole", [1.0, None, 1.0, 1.0]), ("s", "none", None), ("s", "nan", [nan, 1.0, 1.0, 1.0]), ("r", None, [1.0] * 4), (None, "lost", [1.0] * 4), ("t", "alone", [1.0] * 4)]
+    asked = [(n, r, v) for n, (r, _, v) in enumerate(rows) if n % 4 == 0 or n > 299] + [(9000, "r", [1.0]), (9002, "s", []), (9001, "nowhere", [1.0] * 4), (None, "s", [1.0, 2.0, 3.0, 4.0])]
+
+    def cosine(a, b):
+        if b is None or len(a) != len(b) or None in a + b:
+            return None
+
+        def over(x, y):
+            total = 0.0  # in this order: sum() adds up more exactly
+            for p, q in zip(x, y):
+                total += p * q
+            return total
+
+        size = math.sqrt(over(a, a)) * math.sqrt(over(b, b))
+        return float(Decimal(repr(over(a, b) / size)).quantize(Decimal("0.0001"), ROUND_HALF_EVEN)) if size > 0 else nan
+
+    last = lambda x: (x[0] is None, -math.inf if x[0] is None or x[0] != x[0] else -x[0], x[1])
+    want = []
+    for q, r, v in asked:
+        found = [(cosine(v, w), c) for s, c, w in rows if r and s == r and c and v is not None]
+        first = sorted(found, key=lambda x: (x[0] is None or x[0] == x[0], *last(x)))[:5]
+        want += [(q, r, c, score, n) for n, (score, c) in enumerate(first, 1)]
+    vectors, questions = spark.createDataFrame(rows, "repo_id string, chunk_id string, embedding array<double>"), spark.createDataFrame(asked, "query_id long, repo_id string, embedding array<double>")
+    for cells in (1 << 20, 256):
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        got = [tuple(r) for r in retrieval.dense_search(vectors, questions, 5).select("query_id", "repo_id", "chunk_id", "score", "rank").collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_dense_search_of_many_pairs(spark):
+    """20,000,000 pairs of one repository, which took minutes when each was a row."""
+    rng = np.random.default_rng(3)
+    numbers = rng.standard_normal((20_000, 64)).astype(np.float32)
+    vectors = spark.createDataFrame([("r", str(i), v.tolist()) for i, v in enumerate(numbers)], "repo_id string, chunk_id string, embedding array<float>")
+    asked = vectors.where("cast(chunk_id as int) % 20 = 0").select(F.col("chunk_id").cast("long").alias("query_id"), "repo_id", "embedding")
+    began = time.time()
+    found = retrieval.dense_search(vectors, asked, 5).collect()
+    assert time.time() - began < 45 and len(found) == 5000
+    unit = numbers.astype(float) / np.linalg.norm(numbers.astype(float), axis=1, keepdims=True)
+    best = -np.sort(-(unit[::20] @ unit.T), axis=1)[:, :5]
+    assert all(abs(r.score - best[r.query_id // 20, r["rank"] - 1]) < 6e-5 for r in found)
+
+
 def test_stored_index_opens_the_buckets_asked_for(spark, tmp_path):
     """R1 stored, R2 over it: as over an index built anew, from the folders of the questions' terms alone."""
     chunks = spark.createDataFrame([("r", f"c{i}", f"f{i}.py", f"common w{i % 50} x{i % 7} common", 1, 9, "py") for i in range(200)], "repo_id string, chunk_id string, file_path string, content string, start_line int, end_line int, language string")
